@@ -111,19 +111,20 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray, keys: lis
     base = base.withColumn("declared", F.when(F.col("declared").isin(languages), F.col("declared"))).withColumn("suffix", F.when(F.col("host").contains("."), F.substring_index("host", ".", -1)))
     carried = [*keys, "declared", "host", "suffix"]
     types = {f.name: f.dataType.simpleString() for f in base.schema.fields}
-    table = np.ascontiguousarray(model.T)
+    table = [np.ascontiguousarray(m) for m in model]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
             column = tv.texts(at["_text"])
-            markup = at["_markup"].to_pylist()
-            if any(markup):
-                column = pa.array([visible_text(t) if m else t for t, m in zip(column.to_pylist(), markup, strict=True)], pa.string())
             for a, z in tv.slices(column):
-                key, bound = trigrams(column.slice(a, z - a))
+                part = column.slice(a, z - a)
+                markup = at["_markup"].slice(a, z - a).to_pylist()
+                if any(markup):
+                    part = pa.array([visible_text(t) if m else t for t, m in zip(part.to_pylist(), markup, strict=True)], pa.string())
+                key, bound = trigrams(part)
                 size = np.diff(bound)
-                like = np.stack([tv.fold(table[key, i], bound) for i in range(n)], 1) / np.maximum(size, 1)[:, None]
+                like = np.stack([tv.fold(rows_of[key], bound) for rows_of in table], 1) / np.maximum(size, 1)[:, None]
                 like = np.round(like * np.minimum(size, TEMPER)[:, None], 6)
                 yield pa.record_batch([*(at[c].slice(a, z - a) for c in carried), pa.ListArray.from_arrays(pa.array(np.arange(0, like.size + 1, n), pa.int32()), pa.array(like.ravel()))], [*carried, "like"])
 
