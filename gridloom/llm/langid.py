@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .scratch import staged
+from .scratch import smallest, staged
 
 BUCKETS = 1 << 13
 SAMPLE = 4000
@@ -71,7 +71,8 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities languages x BUCKETS) from the ``sample`` labelled rows with the smallest hashes."""
     spark = docs.sparkSession
-    chosen = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).orderBy(F.xxhash64("id", F.lit(3)), "id", "lang").limit(sample).collect()
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    chosen = smallest(labelled, F.xxhash64("id", F.lit(3)), ["id", "lang"], sample).collect()
     languages = sorted({r.lang for r in chosen}) or ["und"]
     few = F.broadcast(spark.createDataFrame([(r.id,) for r in {r.id: r for r in chosen}.values()], "id long"))
 

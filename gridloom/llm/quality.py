@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .scratch import smallest
 
 BUCKETS = 1 << 15
 BINS = 16
@@ -154,7 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     key = F.col(id_col).cast("string")
-    chosen = labels.where(F.col(label_col).isNotNull() & (F.crc32(key) % 3 != 1)).orderBy(F.xxhash64(key, F.lit(11)), id_col, label_col).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).limit(sample).collect()
+    taught = labels.where(F.col(label_col).isNotNull() & (F.crc32(key) % 3 != 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    chosen = smallest(taught, F.xxhash64(F.col("id").cast("string"), F.lit(11)), ["id", "label"], sample).collect()
     if not chosen:
         none = np.zeros(0, np.int64)
         return train(np.zeros(1, np.int64), none, none, none)

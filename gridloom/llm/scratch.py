@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -36,6 +37,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def smallest(df: DataFrame, hashed: Column, ties: list[str], n: int) -> DataFrame:
+    """About the ``n`` rows with the smallest hashes, ``n`` at most, for a sample whose size is a parameter.
+
+    A hash below a bound that about twice ``n`` rows pass is asked for first,
+    so that partitions don't send ``n`` rows each to the driver.
+    """
+    rows = df.count()
+    if rows > 2 * n:
+        df = df.where(hashed < F.lit(int(-(1 << 63) + (1 << 64) * (2 * n / rows))).cast("long"))
+    return df.orderBy(hashed, *ties).limit(n)
+
+
 def drop(df: DataFrame) -> None:
     """Deletes the table behind a frame that ``staged`` returned, once nothing will read it again."""
     files = df.inputFiles()[:1]
