@@ -41,16 +41,52 @@ from .scratch import staged
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 600_000
+CACHE_WORDS = 2_000_000
+SLICE_BYTES = 4 << 20
+END_OF_WORD = "</w>"
+TOGETHER = 256
 
 _encoders: dict[str, _Encoder] = {}
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_TAIL = np.zeros(256, bool)  # ASCII marks but the apostrophe, which can begin a contraction
+_TAIL[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = True
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[97:123] = True
+
+
+def _parts(w: tv.Words) -> tv.Words:
+    """Words in lower case with the marks at their ends apart, so that fewer of them differ.
+
+    Exact for a tokenizer that lower-cases, splits at white space and takes a
+    run of letters and a run of marks apart. Words that hold "<", which may
+    begin a special token, stay as they are.
+    """
+    if not len(w.start):
+        return w
+    odd = np.add.reduceat((w.data == 60).astype(np.int32), w.start) > 0 if (w.data == 60).any() else np.zeros(len(w.start), bool)
+    data = _LOWER[w.data]
+    for s, e in zip(w.start[odd].tolist(), w.end[odd].tolist(), strict=True):
+        data[s:e] = w.data[s:e]
+    body = np.maximum.accumulate(np.where(_TAIL[data], 0, np.arange(1, len(data) + 1)))
+    tail = body[w.end - 1]  # where the marks at the end begin
+    split = (tail > w.start) & (tail < w.end) & ~odd
+    split &= _ASCII_LETTER[data[np.maximum(tail, 1) - 1]]
+    count = 1 + split
+    at = np.cumsum(count) - count
+    start, end = np.repeat(w.start, count), np.repeat(w.end, count)
+    end[at[split]] = tail[split]
+    start[at[split] + 1] = tail[split]
+    return tv.Words(data, start, end, np.concatenate([[0], np.cumsum(count)])[w.bound])
+
+
 class _Encoder:
-    """Ids of white-space separated words, each distinct word encoded once and kept by its hash.
+    """Ids of white-space separated words, each distinct part encoded once and kept by its hash.
 
-    Exact for a tokenizer that splits at white space and drops it. The cache
-    is emptied at ``CACHE_WORDS`` words.
+    Two sorted tables, one of what came lately, merged when it has grown. The
+    cache is emptied at ``CACHE_WORDS`` parts.
     """
 
     def __init__(self, vocabulary: str):
@@ -58,44 +94,96 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        by_id = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(by_id.values()) + 1, bool)
+        self.ends[[i for t, i in by_id.items() if t.endswith(END_OF_WORD)]] = True
         self.empty()
 
     def empty(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-
-    def _slots(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.keys):
-            return np.zeros(len(distinct), np.int64), np.zeros(len(distinct), bool)
-        slot = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
-        return slot, self.keys[slot] == distinct
-
-    def encode(self, w: tv.Words) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the words in order, and how many each word has."""
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.old, self.new = none, none
+        self.place, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.words, self.ids, self.used = 0, np.zeros(1 << 18, np.uint32), 0
+
+    def _find(self, distinct: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 if unknown."""
+        out = np.full(len(distinct), -1, np.int64)
+        for keys, number in (self.old, self.new):
+            if len(keys):
+                slot = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+                hit = keys[slot] == distinct
+                out[hit] = number[slot[hit]]
+        return out
+
+    def _fresh(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, sizes, ids): the ids of ``texts`` taken in ``order``.
+
+        A word of letters alone is one run of ids that ends at an id with the
+        end-of-word mark, so many of them are encoded as one text and told
+        apart by these ends.
+        """
+        plain = np.fromiter(map(str.isalpha, texts), bool, len(texts))
+        order, sizes, ids = [np.flatnonzero(~plain)], [], []
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in order[0].tolist()], add_special_tokens=False)]
+        sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+        ids.append(np.fromiter((i for x in lists for i in x), np.uint32, int(sizes[0].sum())))
+        alone = np.flatnonzero(plain)
+        groups = [alone[i : i + TOGETHER] for i in range(0, len(alone), TOGETHER)]
+        joined = [" ".join([texts[i] for i in g.tolist()]) for g in groups]
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            got = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.ends[got]) + 1
+            if len(ends) == len(g) and ends[-1] == len(got):
+                size = np.diff(np.concatenate([[0], ends]))
+            else:  # a letter that lower case turns into more than letters
+                lists = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in g.tolist()], add_special_tokens=False)]
+                size = np.fromiter(map(len, lists), np.int64, len(lists))
+                got = np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum()))
+            order.append(g)
+            sizes.append(size)
+            ids.append(got)
+        return np.concatenate(order), np.concatenate(sizes), np.concatenate(ids)
+
+    def _learn(self, keys: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        self.ids = _room(self.ids, self.used, len(flat))
+        self.place, self.size = (_room(a, self.words, len(keys)) for a in (self.place, self.size))
+        self.ids[self.used : self.used + len(flat)] = flat
+        number = self.words + np.arange(len(keys))
+        self.place[number], self.size[number] = self.used + np.cumsum(size) - size, size
+        self.used += len(flat)
+        self.words += len(keys)
+        self.new = _merged(self.new, (keys, number))
+        if 8 * len(self.new[0]) > len(self.old[0]):
+            self.old, self.new = _merged(self.old, self.new), (keys[:0], number[:0])
+
+    def encode(self, words: tv.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the words in order, how many each part has, and the bounds of parts between texts."""
+        w = _parts(words)
         distinct, first, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        if len(self.keys) > CACHE_WORDS:
+        if self.words > CACHE_WORDS:
             self.empty()
-        slot, known = self._slots(distinct)
-        if not known.all():
-            new = np.flatnonzero(~known)
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast(tv.as_strings(w.data, w.start[first[new]], w.end[first[new]]), add_special_tokens=False)]
-            size = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum()))
-            if self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(flat), self.used) + (1 << 16), np.uint32)])
-            self.ids[self.used : self.used + len(flat)] = flat
-            keys = np.concatenate([self.keys, distinct[new]])
-            at = np.concatenate([self.at, self.used + np.cumsum(size) - size])
-            size = np.concatenate([self.size, size])
-            self.used += len(flat)
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.at, self.size = keys[order], at[order], size[order]
-            slot, _ = self._slots(distinct)
-        count = self.size[slot][inverse]
-        start = self.at[slot][inverse]
+        number = self._find(distinct)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            texts = tv.as_strings(w.data, w.start[first[new]], w.end[first[new]])
+            order, size, ids = self._fresh(texts)
+            self._learn(distinct[new[order]], size, ids)
+            number = self._find(distinct)
+        count = self.size[number][inverse]
         ends = np.cumsum(count)
-        take = np.repeat(start - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
-        return self.ids[take], count
+        take = np.repeat(self.place[number][inverse] - (ends - count), count)
+        take += np.arange(len(take))
+        return self.ids[take], count, w.bound
+
+
+def _room(a: np.ndarray, used: int, more: int) -> np.ndarray:
+    return a if used + more <= len(a) else np.concatenate([a[:used], np.zeros(max(more, used) + 1024, a.dtype)])
+
+
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys, number = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], number[order]
 
 
 def _encoder(vocabulary: str) -> _Encoder:
@@ -107,8 +195,8 @@ def _encoder(vocabulary: str) -> _Encoder:
 def token_ids(column: pa.Array, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each followed by ``end_id``, and the bounds between texts."""
     w = tv.words(column)
-    ids, count = _encoder(vocabulary).encode(w)
-    size = tv.fold(count, w.bound)
+    ids, count, parts = _encoder(vocabulary).encode(w)
+    size = tv.fold(count, parts)
     bound = np.concatenate([[0], np.cumsum(size + 1)])
     out = np.full(bound[-1], end_id, np.uint32)
     inside = np.ones(bound[-1], bool)
@@ -123,7 +211,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = tv.texts(batch.column(1))
-            for a, z in tv.slices(column):
+            for a, z in tv.slices(column, SLICE_BYTES):
                 ids, bound = token_ids(column.slice(a, z - a), vocabulary, end_id)
                 count = -(-np.diff(bound) // capacity)
                 row = np.repeat(np.arange(z - a), count)
