@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 BLOCK = 4096
 QUERY_BLOCK = 512
-FIRST_DEPTH = 32
+FIRST_DEPTH = 64
 
 
 def quantised(vector: Column, scale: float = 64) -> Column:
@@ -46,48 +46,45 @@ class SortedLists:
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         by = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[by], rows[by]
-        self.order = np.argsort(self.rows, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.rows, self.order, 0)
-        small = len(rows) and float(np.abs(rows).max()) < 2**20
-        self.exact = self.rows.astype(np.float64) if small else self.rows
-
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best rows, best first."""
+        order = np.argsort(self.rows, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.rows, order, 0)
+        self.rank = np.empty(order.shape, np.int32)
+        np.put_along_axis(self.rank, order, np.arange(len(rows), dtype=np.int32)[:, None], 0)
+        self.size = max(1, rows.shape[1]) * int(np.abs(rows).max(initial=0))
+
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, scores) of the k best rows of every query, best first.
+
+        All queries go down their lists together, in rounds of growing depth;
+        a query whose bound can't beat its k-th score leaves.
+        """
         n = len(self.ids)
-        dims = np.flatnonzero(query)
-        down = query[dims] > 0
-        q = query.astype(self.exact.dtype)
-        seen = np.zeros(n, bool)
-        best, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        depth, step = 0, min(FIRST_DEPTH, n)
-        if not len(dims):
-            seen[:] = True
-            best, score = self._best(np.flatnonzero(self.ids != own), np.zeros(int((self.ids != own).sum()), np.int64), k)
-            return self.ids[best], score
-        while depth < n:
-            to = min(n, depth + step)
-            at = np.arange(depth, to)[:, None]
-            place = np.where(down, n - 1 - at, at)
-            met = np.zeros(n, bool)
-            met[self.order[place, dims]] = True
-            new = np.flatnonzero(met & ~seen)
-            seen |= met
-            new = new[self.ids[new] != own]
-            if len(new):
-                got = np.rint(self.exact[new] @ q).astype(np.int64) if self.exact.dtype.kind == "f" else self.exact[new] @ q
-                best, score = self._best(np.concatenate([best, new]), np.concatenate([score, got]), k)
-            bound = int((self.sorted[place[-1], dims] * query[dims]).sum())
-            if len(best) == k and score[-1] > bound:
-                break
-            depth, step = to, step * 2
-        return self.ids[best], score
-
-    def _best(self, rows: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(rows) > 4 * k:
-            floor = np.partition(score, len(score) - k)[len(score) - k]
-            rows, score = rows[score >= floor], score[score >= floor]
-        by = np.lexsort((rows, -score))[:k]  # rows are in the order of their ids
-        return rows[by], score[by]
+        # products as floats where every sum is a whole number that they hold exactly
+        largest = self.size * int(np.abs(queries).max(initial=0))
+        kind = np.float32 if largest < 2**24 else np.float64 if largest < 2**53 else np.int64
+        rows, asked = self.rows.astype(kind), queries.astype(kind)
+        up = queries >= 0
+        least = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
+        found: list = [None] * len(queries)
+        active, depth = np.arange(len(queries)), min(FIRST_DEPTH, n)
+        while len(active):
+            from_top, from_bottom = (n - 1 - self.rank < depth), (self.rank < depth)
+            down = up[active]
+            met = (down.astype(np.float32) @ from_top.T.astype(np.float32) + (~down).astype(np.float32) @ from_bottom.T.astype(np.float32)) > 0
+            met &= self.ids != own[active, None]
+            some = np.flatnonzero(met.any(0))
+            score = np.where(met[:, some], asked[active] @ rows[some].T, least)
+            edge = np.where(down, self.sorted[n - depth], self.sorted[depth - 1])
+            bound = (edge * queries[active]).sum(1)
+            have = met.sum(1) >= k
+            kth = np.partition(score, len(some) - k, axis=1)[:, len(some) - k] if len(some) >= k else np.full(len(active), least)
+            done = (have & (kth > bound)) | (depth >= n)
+            for i in np.flatnonzero(done):
+                best = np.flatnonzero((score[i] >= kth[i]) & met[i, some])
+                best = best[np.lexsort((best, -score[i, best]))[:k]]  # rows are in the order of their ids
+                found[active[i]] = self.ids[some[best]], score[i, best].astype(np.int64)
+            active, depth = active[~done], min(n, depth * 8)
+        return found
 
 
 def _matrix(rows: list[list[int]]) -> np.ndarray:
@@ -128,7 +125,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                 width = max(rows.shape[1], q_rows.shape[1])
                 lists = SortedLists(ids, np.pad(rows, ((0, 0), (0, width - rows.shape[1]))))
                 q_rows = np.pad(q_rows, ((0, 0), (0, width - q_rows.shape[1])))
-                found = [lists.top(q, own, k) for own, q in zip(q_ids.tolist(), q_rows, strict=True)]
+                found = lists.top(q_rows, q_ids, k)
                 size = [len(f[0]) for f in found]
                 yield pa.record_batch([pa.array(np.repeat(q_ids, size)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], ["query_id", "id", "score"])
 
