@@ -32,11 +32,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .scratch import drop, staged
+from .scratch import staged
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -299,22 +299,22 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (u, v): root is the smallest node that it is connected to.
 
-    Rounds of the smallest label among neighbours, then of the label's own
-    label, until nothing changes; each round is a table in the shared folder.
+    Edges point from the larger node to the smaller. A round ties all smaller
+    neighbours of a node to the smallest of them, which leaves few different
+    edges of a dense group, and then lets each edge skip to what its smaller
+    node points at. Rounds end when every node points at one root. Each is a
+    table in the shared folder.
     """
-    both = staged(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "edges")
-    labels = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root")).select(F.col("u").alias("node"), "root"), "labels")
+    down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     while True:
-        near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("root").alias("near"))
-        low = labels.join(near, F.col("node") == F.col("u"), "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("mid"))
-        jump = labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        new = staged(low.join(jump, F.col("mid") == F.col("_n"), "left").select("node", F.least("mid", F.coalesce("_r", "mid")).alias("root"), "old"), "labels")
-        changed = new.where("root <> old").limit(1).count()
-        drop(labels)
-        labels = new.select("node", "root")
-        if not changed:
-            drop(both)
-            return labels
+        low = down.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        tied = low.select("u", F.col("m").alias("v")).union(low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+        tied = staged(tied, "tied")
+        least = tied.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_v"), F.count(F.lit(1)).alias("_n"))
+        skip = tied.join(least, F.col("v") == F.col("_u"), "left").select("u", F.coalesce("_v", "v").alias("v"), F.col("_v").isNotNull().alias("moved"))
+        if not least.where("_n > 1").limit(1).count() and not skip.where("moved").limit(1).count():
+            return tied.select(F.col("u").alias("node"), F.col("v").alias("root")).union(tied.select("v", "v").distinct())
+        down = skip.select("u", "v").distinct()
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
