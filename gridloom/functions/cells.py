@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,36 +112,47 @@ def _s64(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def let(v: Column, f: Callable[[Column], Column]) -> Column:
+    """f(v) with ``v`` computed once: expressions that use a value many times would else grow with every step."""
+    return F.transform(F.array(v), f)[0]
+
+
+def _long(k: int) -> Column:
+    return F.lit(k).cast("long")
+
+
 def mul64(v: Column, k: int) -> Column:
     """v * k modulo 2**64 on the bits of a BIGINT, under ANSI arithmetic too."""
-    a = [F.shiftrightunsigned(v, 16 * n).bitwiseAND(F.lit(_M16).cast("long")) for n in range(4)]
     b = [(k >> (16 * n)) & _M16 for n in range(4)]
-    out, carry = [], F.lit(0).cast("long")
-    for n in range(4):
-        s = carry
-        for m in range(n + 1):
-            s = s + a[m] * F.lit(b[n - m]).cast("long")
-        out.append(s.bitwiseAND(F.lit(_M16).cast("long")))
-        carry = F.shiftrightunsigned(s, 16)
-    r = out[0]
-    for n in (1, 2, 3):
-        r = r.bitwiseOR(F.shiftleft(out[n], 16 * n))
-    return r
+
+    def product(x: Column) -> Column:
+        a = [F.shiftrightunsigned(x, 16 * n).bitwiseAND(_long(_M16)) for n in range(4)]
+        columns = [sum((a[m] * _long(b[n - m]) for m in range(1, n + 1)), a[0] * _long(b[n])) for n in range(4)]
+        # below 2**35 each, so two of them make a sum without a carry lost
+        low = columns[0] + F.shiftleft(columns[1].bitwiseAND(_long(_M16)), 16)
+        high = F.shiftrightunsigned(columns[1], 16) + columns[2] + F.shiftleft(columns[3].bitwiseAND(_long(_M16)), 16)
+        return let(low, lambda lo: F.shiftleft((high + F.shiftrightunsigned(lo, 32)).bitwiseAND(_long(0xFFFFFFFF)), 32).bitwiseOR(lo.bitwiseAND(_long(0xFFFFFFFF))))
+
+    return let(v, product)
 
 
 def add64(v: Column, k: int) -> Column:
     """v + k modulo 2**64 by halves."""
-    lo = v.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")) + F.lit(k & 0xFFFFFFFF).cast("long")
-    hi = F.shiftrightunsigned(v, 32) + F.lit((k >> 32) & 0xFFFFFFFF).cast("long") + F.shiftrightunsigned(lo, 32)
-    return F.shiftleft(hi.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), 32).bitwiseOR(lo.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+
+    def total(x: Column) -> Column:
+        lo = x.bitwiseAND(_long(0xFFFFFFFF)) + _long(k & 0xFFFFFFFF)
+        hi = F.shiftrightunsigned(x, 32) + _long((k >> 32) & 0xFFFFFFFF) + F.shiftrightunsigned(lo, 32)
+        return F.shiftleft(hi.bitwiseAND(_long(0xFFFFFFFF)), 32).bitwiseOR(lo.bitwiseAND(_long(0xFFFFFFFF)))
+
+    return let(v, total)
 
 
 def mix64(v: Column) -> Column:
     """SplitMix64 of a BIGINT's bits."""
-    z = add64(v, 0x9E3779B97F4A7C15)
-    z = mul64(z.bitwiseXOR(F.shiftrightunsigned(z, 30)), 0xBF58476D1CE4E5B9)
-    z = mul64(z.bitwiseXOR(F.shiftrightunsigned(z, 27)), 0x94D049BB133111EB)
-    return z.bitwiseXOR(F.shiftrightunsigned(z, 31))
+    fold = lambda n: lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, n))
+    z = let(add64(v, 0x9E3779B97F4A7C15), fold(30))
+    z = let(mul64(z, 0xBF58476D1CE4E5B9), fold(27))
+    return let(mul64(z, 0x94D049BB133111EB), fold(31))
 
 
 def unit64(h: Column) -> Column:

@@ -89,13 +89,13 @@ def d8_receiver(g: Raster) -> Raster:
         near[dj, di] = F.col(f"c{di}") if dj == 0 else (F.lag(f"c{di}").over(COLUMN()) if dj < 0 else F.lead(f"c{di}").over(COLUMN()))
     df = df.withColumns({f"n{k}": near[o] for k, o in enumerate(hydro.D8)})
     width, cell = g.spec.width, g.spec.cell
-    best, to = F.lit(0.0), F.col("j") * width + F.col("i")
+    own = (F.col("j") * width + F.col("i")).cast("long")
+    drops = []
     for k, (dj, di) in enumerate(hydro.D8):
         drop = (F.col("v") - F.col(f"n{k}")) / math.hypot(dj * cell[1], di * cell[0])
-        better = F.coalesce(drop > best, F.lit(False))
-        to = F.when(better, (F.col("j") + dj) * width + F.col("i") + di).otherwise(to)
-        best = F.when(better, drop).otherwise(best)
-    return Raster(df.select("j", "i", "v", to.cast("long").alias("to")), g.spec, g.world)
+        drops.append(F.struct(F.coalesce(drop, F.lit(-1.0)).alias("drop"), F.lit(-k).alias("first"), (own + (dj * width + di)).alias("to")))
+    best = F.array_max(F.array(*drops))
+    return Raster(df.select("j", "i", "v", F.when(best["drop"] > 0, best["to"]).otherwise(own).alias("to")), g.spec, g.world)
 
 
 def drained(g: Raster) -> Raster:

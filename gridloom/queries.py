@@ -24,12 +24,15 @@ from .sources import sinks
 from .sources.tables import customers, events, line12
 
 SCALE = 1e6
+#: Not a half: values with few decimals would lie on the edge between two whole numbers.
+NUDGE = 0.4637
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 # Grids in SQL. W, H: samples a side; the cell is 100 m in each.
-LINE = """g AS (SELECT CAST(month(l_shipdate) - 1 AS INTEGER) AS j, CAST(l_quantity - 1 AS INTEGER) AS i,
- CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) / 50.0 AS v FROM lineitem GROUP BY 1, 2)"""
+LINE = """g0 AS (SELECT CAST(month(l_shipdate) - 1 AS INTEGER) AS j, CAST(l_quantity - 1 AS INTEGER) AS i,
+ CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) * 100 AS BIGINT) % 40000 AS c FROM lineitem GROUP BY 1, 2),
+ g AS (SELECT j, i, 300.0 + CAST(i AS DOUBLE) * 16.0 + CAST(j AS DOUBLE) * 20.0 + c / 100.0 AS v FROM g0)"""
 EVENTS = """g AS (SELECT CAST(b AS INTEGER) AS j, CAST(a AS INTEGER) AS i, coalesce(s, 0.0) AS v FROM range(24) t(a), range(30) u(b)
  LEFT JOIN (SELECT day(ts) - 1 AS dj, hour(ts) AS di, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS s FROM events WHERE day(ts) <= 30 GROUP BY 1, 2) ON dj = b AND di = a)"""
 EMPTY = "g AS (SELECT CAST(b AS INTEGER) AS j, CAST(a AS INTEGER) AS i FROM range(50) t(a), range(12) u(b))"
@@ -38,7 +41,7 @@ DX, DY = f"({X} - 2450.0)", f"({Y} - 550.0)"
 
 
 def whole(v, scale: float = SCALE):
-    return F.floor(v * scale + 0.5).cast("long")
+    return F.floor(v * scale + NUDGE).cast("long")
 
 
 def numbers(r: Raster, scale: float = SCALE) -> DataFrame:
@@ -46,7 +49,7 @@ def numbers(r: Raster, scale: float = SCALE) -> DataFrame:
 
 
 def sql_whole(e: str, scale: float = SCALE) -> str:
-    return f"CAST(floor(({e}) * {scale:.1f} + 0.5) AS BIGINT)"
+    return f"CAST(floor(({e}) * {scale:.1f} + {NUDGE}) AS BIGINT)"
 
 
 def select(e: str | dict[str, str], grid: str = LINE, more: str = "", source: str = "g", scale: float = SCALE, recursive: bool = False) -> str:

@@ -186,7 +186,7 @@ def image_files(cells: DataFrame, keys: list[str], channels: list[str], width: i
             raw = encode_exr({n: px[:, :, k] for k, n in enumerate(names)})
         else:
             raw = encode_png(px, 16 if kind == "png16" else 8)
-        return pa.table([*(pa.array([v.as_py()]) for v in key), pa.array([raw], pa.binary())], [*keys, "content"])
+        return pa.table([*(pa.array([v.as_py()], v.type) for v in key), pa.array([raw], pa.binary())], [*keys, "content"])
 
     types = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
     wanted = cells.select(*keys, "j", "i", *(F.col(c).cast("double").alias(c) for c in channels))
