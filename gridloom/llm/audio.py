@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .scratch import small_batches
 
 RATE = 8000
 UNIT = 576
@@ -129,6 +130,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     media.append(wav(raw[s:e].ljust(size, bytes([PAD]))))
                 yield pa.record_batch([batch.column(0).slice(a, z - a), pa.array(np.diff(offs)), pa.array(media, pa.binary())], [id_col, "n_bytes", "media"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
 
@@ -170,6 +172,7 @@ def features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
         full[:n] = mel
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), full, n, spans(mel.mean(1)), hashlib.sha256(stored).hexdigest()
 
+    small_batches(media.sparkSession)
     types = {f.name: f.dataType.simpleString() for f in media.schema.fields}
     return media.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in (id_col, *keep)]) + f", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, blocks {BLOCKS}, segments {SEGMENTS}")
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .scratch import smallest, staged
+from .scratch import small_batches, smallest, staged
 
 BUCKETS = 1 << 13
 SAMPLE = 4000
@@ -71,6 +71,7 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities languages x BUCKETS) from the ``sample`` labelled rows with the smallest hashes."""
     spark = docs.sparkSession
+    small_batches(spark)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     chosen = smallest(labelled, F.xxhash64("id", F.lit(3)), ["id", "lang"], sample).collect()
     languages = sorted({r.lang for r in chosen}) or ["und"]
@@ -102,6 +103,7 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray, keys: lis
     ``lang`` attribute then counts as declared. ``address_col`` is a URL or a
     bare host name.
     """
+    small_batches(rows.sparkSession)
     n = len(languages)
     blank = F.lit(None).cast("string")
     address = F.col(address_col).cast("string") if address_col else blank

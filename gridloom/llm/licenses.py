@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .scratch import small_batches
 
 
 @dataclass(frozen=True)
@@ -157,6 +158,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: s
     best share is the score. Templates with ``least`` below 1 take the union of
     their rare words' postings, so one changed word doesn't hide them.
     """
+    small_batches(docs.sparkSession)
     df = document_frequency(docs, templates, text_col)
     base = [t.base for t in templates]
 

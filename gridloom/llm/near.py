@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .scratch import staged
+from .scratch import small_batches, staged
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -320,6 +320,7 @@ def components(edges: DataFrame) -> DataFrame:
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, links) of every row: the class's smallest id, and how many other rows it is linked to."""
     spark = docs.sparkSession
+    small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
     some = rows.where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))

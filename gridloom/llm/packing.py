@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .scratch import staged
+from .scratch import small_batches, staged
 
 CAPACITY = 4096
 END_ID = 1
@@ -226,6 +226,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", te
                     columns.append(pa.ListArray.from_arrays(pa.array(bound_of(hi - lo), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.record_batch(columns, names)
 
+    small_batches(docs.sparkSession)
     names = [id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)

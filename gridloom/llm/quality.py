@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .scratch import smallest
+from .scratch import small_batches, smallest
 
 BUCKETS = 1 << 15
 BINS = 16
@@ -154,6 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     at most ``sample``, are broadcast; texts aren't shuffled.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     key = F.col(id_col).cast("string")
     taught = labels.where(F.col(label_col).isNotNull() & (F.crc32(key) % 3 != 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     chosen = smallest(taught, F.xxhash64(F.col("id").cast("string"), F.lit(11)), ["id", "label"], sample).collect()
@@ -188,12 +189,14 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                 out = np.round(1 / (1 + np.exp(-np.clip(margin.astype(np.float64), -30, 30))), 6)
                 yield pa.record_batch([batch.column(0).slice(a, z - a), pa.array(out, pa.float64())], [id_col, "score"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(rows, f"`{id_col}` {kind}, score double")
 
 
 def keep(docs: DataFrame, machine: Machine, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows, with all their columns, whose score is at least ``least``; texts stay where they lie."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

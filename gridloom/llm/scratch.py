@@ -21,6 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session by bytes, as texts may be long; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not (now.rstrip("bB").isdigit() and 0 < int(now.rstrip("bB")) <= BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/gridloom-{name}-{uuid.uuid4().hex}"
     if not _written:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .scratch import new_path
+from .scratch import new_path, small_batches
 
 
 @dataclass(frozen=True)
@@ -104,6 +104,7 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = R
     shared folder. Findings are sorted by start, then by the order of rules.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     path = ledger or new_path(spark, "ledger")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
     wanted = [r.key for r in rules]

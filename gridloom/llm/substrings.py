@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .scratch import staged
+from .scratch import small_batches, staged
 
 WINDOW = 13
 PERIOD = 7
@@ -272,6 +272,7 @@ def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256[, kept]) of every row; ``kept`` is the text that is left, words joined by spaces."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     seen = staged(rows.mapInArrow(_summary, "id long, content binary, n_words long, n_bytes long, kept_sha256 string, kept string"), "summary")
     first = seen.where(F.col("id").isNotNull() & (F.col("n_words") >= WINDOW)).groupBy("content").agg(F.min("id").alias("id"), F.max("n_bytes").alias("n_bytes"))
