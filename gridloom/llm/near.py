@@ -21,7 +21,7 @@ else that moves is signatures of ``2 * BANDS * ROWS`` bytes and ids.
 Defined results: words are separated by ASCII white space and unchanged; a
 text of one to four words has one shingle, all its words; a null or empty
 text has none and no links, and is a class of its own by its row id; equal
-rows are linked like any copies; rows with a null id keep a result each; an
+rows are linked like any copies, each counted once; rows with a null id keep a result each; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -220,6 +220,20 @@ def _cells(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int) -> It
         yield pa.Table.from_batches(held)
 
 
+def _once(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows without those whose ``keys`` equal the row's before."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys]
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        new[0] = last != tuple(c[0] for c in columns)
+        last = tuple(c[-1] for c in columns)
+        yield batch if new.all() else batch.filter(pa.array(new))
+
+
 def _pairs(cell: np.ndarray, block: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one cell; in a cell of two blocks, one row of each."""
     n = len(cell)
@@ -266,7 +280,7 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per cell and node with a link there: one spanning edge and the documents that it is linked to."""
-    for table in _cells(batches, ["cluster", "lo", "hi"], 512):
+    for table in _cells(_once(batches, ["cluster", "lo", "hi", "node"]), ["cluster", "lo", "hi"], 512):
         cell = _cell_ids(table, ["cluster", "lo", "hi"])
         sig, node, copies = _sigs(table["sig"]), table["node"].to_numpy(), table["copies"].to_numpy()
         runs, bound = shingles(tv.texts(table["text"]))
@@ -328,7 +342,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     classes = staged(ids.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
     key = classes.select(F.col("node").alias("_node"), F.col("first").alias("_first")).hint("shuffle_hash")
     own = (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_first"))
-    nodes = staged(some.mapInArrow(_sign, "id long, node long, sig binary").join(key, own).select("node", "sig"), "nodes")
+    nodes = staged(some.mapInArrow(_sign, "id long, node long, sig binary").join(key, own).select("node", "sig").dropDuplicates(["node"]), "nodes")
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = nodes.mapInArrow(_post(4 * partitions), "b int, keys binary, nodes binary").groupBy("b").applyInArrow(_deal, "key long, lo int, hi int, block int, node long")
@@ -338,7 +352,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     size = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK // 2)).cast("int").alias("blocks"))
     member = clusters.join(size, "root").select("node", F.col("root").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    member = member.join(classes, "node").join(nodes.dropDuplicates(["node"]), "node")
+    member = member.join(classes, "node").join(nodes, "node")
     member = member.select(F.col("node").alias("_m"), F.col("first").alias("_first"), "cluster", "blocks", "block", "copies", "sig").hint("shuffle_hash")
     whole = some.join(member, (F.col("node") == F.col("_m")) & F.col("id").eqNullSafe(F.col("_first")))
     paired = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "copies", "sig", "text")
