@@ -38,7 +38,8 @@ TEMPER = 60.0
 HOST_WEIGHT, SUFFIX_WEIGHT = 8.0, 32.0
 SALT = 32
 
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|nav|head)\b.*?</\1\s*>", re.S | re.I)
+_HIDDEN = re.compile(r"<(?:!--|(script|style|nav|head)\b)", re.I)
+_CLOSE = {"": re.compile("-->")} | {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style", "nav", "head")}
 _TAG = re.compile(r"<[^>]*>")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -47,8 +48,21 @@ _LETTER[97:123] = _LETTER[128:] = True
 
 
 def visible_text(html: str) -> str:
-    """Markup's text without scripts, styles, navigation, comments and tags."""
-    return _TAG.sub(" ", _HIDDEN.sub(" ", html))
+    """Markup's text without scripts, styles, navigation, comments and tags, in time linear in it."""
+    shown, at, open_ended = [], 0, set()
+    for m in _HIDDEN.finditer(html):
+        kind = (m.group(1) or "").lower()
+        if m.start() < at or kind in open_ended:
+            continue
+        close = _CLOSE[kind].search(html, m.end())
+        if close:
+            shown.append(html[at : m.start()])
+            at = close.end()
+        else:
+            open_ended.add(kind)
+    text = " ".join([*shown, html[at:]])
+    tags = text.rfind(">") + 1
+    return _TAG.sub(" ", text[:tags]) + text[tags:]
 
 
 def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

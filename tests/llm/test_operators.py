@@ -2,6 +2,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -77,6 +78,19 @@ def test_secrets_equal_plain_regex(docs, spark):
     assert len(got[1]) == 2
 
 
+def test_patterns_take_linear_time():
+    runs = ["ab" * 200_000, "eyJ" * 100_000, "0f" * 200_000, "secret " * 50_000, "a://" * 50_000, "token" + " " * 200_000]
+    began = time.process_time()
+    for rule in secrets.RULES:
+        regex = re.compile(rule.pattern, re.ASCII | (re.IGNORECASE if rule.any_case else 0))
+        for run in runs:
+            list(secrets._scan(rule, run, regex))
+    assert time.process_time() - began < 20
+    jwt, login = (next(r for r in secrets.RULES if r.kind == k) for k in ("jwt", "url_login"))
+    assert list(secrets._scan(jwt, "x eyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh y", re.compile(jwt.pattern))) == [(2, 36)]
+    assert list(secrets._scan(login, "see https://me:pass1@host", re.compile(login.pattern))) == [(4, 21)]
+
+
 def test_ledger_scans_only_what_is_unseen(docs, spark, tmp_path):
     path = str(tmp_path / "ledger")
     first = secrets.scan(docs, path).select("doc_id", secrets.joined(F.col("findings"))).collect()
@@ -221,6 +235,16 @@ def test_near_equals_all_pairs(docs):
     assert got == brute_near(corpus())
 
 
+def test_near_counts_repeated_rows_once(spark):
+    base = text(41, 60)
+    near_base = base + " end"
+    rows = [(1, base), (1, base), (1, base), (2, near_base), (3, text(42, 9)), (3, text(42, 9)), (4, text(43, 30)), (4, text(44, 30))]
+    got = sorted((r.doc_id, r.class_id, r.links) for r in near.join(spark.createDataFrame(rows * 2, "doc_id long, text string")).collect())
+    assert got == brute_near(rows * 2)
+    batches = [pa.record_batch([pa.array(k, pa.int64())], ["k"]) for k in ([1, 1, 2], [], [2, 2], [2, 3, 3, 4])]
+    assert [x for b in near._once(iter(batches), ["k"]) for x in b.column(0).to_pylist()] == [1, 2, 3, 4]
+
+
 def test_cells_of_two_blocks_meet_each_pair_once():
     node = np.arange(1000, dtype=np.int64)
     table = pa.table({"keys": pa.array([np.full(1000, 32, np.uint64).tobytes()]), "nodes": pa.array([node.tobytes()])})
@@ -401,6 +425,19 @@ def test_languages(spark):
     assert got.where("lang = truth").count() >= 0.97 * got.count()
 
 
+def test_visible_text_equals_one_pattern():
+    hidden = re.compile(r"<!--.*?-->|<(script|style|nav|head)\b.*?</\1\s*>", re.S | re.I)
+    bits = ["<", ">", "<!--", "-->", "<script a>", "</SCRIPT >", "<nav>", "</nav>", "<p>", "x", " y ", "</head>", "<header>"]
+    rng = np.random.default_rng(3)
+    for _ in range(500):
+        html = "".join(rng.choice(bits, rng.integers(0, 20)))
+        assert langid.visible_text(html) == re.sub(r"<[^>]*>", " ", hidden.sub(" ", html))
+    began = time.process_time()
+    for bit in ("<", "<!--", "<script "):
+        langid.visible_text(bit * 100_000)
+    assert time.process_time() - began < 10
+
+
 def test_evidence_is_fused(spark):
     languages = ["aa", "bb"]
     model = np.log(np.random.default_rng(0).dirichlet(np.ones(langid.BUCKETS), 2))
