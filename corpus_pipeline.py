@@ -21,10 +21,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, the one with the smallest id; rows without an id all stay."""
+    """One document of each class of near copies, the one with the smallest id; rows without an id, and different texts under one id, all stay."""
     first = near.join(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_first")).distinct()
     one = docs.join(first, F.col("doc_id") == F.col("_first")).drop("_first")
-    once = one.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("_n = 1").drop("_n")
+    once = one.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))).where("_n = 1").drop("_n")
     return once.unionByName(docs.where("doc_id IS NULL"))
 
 
