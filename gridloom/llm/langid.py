@@ -9,8 +9,8 @@ over all rows; a row's own count is left out of its priors.
 
 Texts are read once, where they lie; what moves is a few numbers a row. The
 joins with suffix and host totals are on salted keys, so a host with a third
-of all rows is spread out. The trigram model is fitted on at most ``sample``
-labelled documents (a parameter).
+of all rows is spread out. The languages are those of all labelled documents;
+their trigrams come from about ``sample`` documents of each (a parameter).
 
 Defined results: null and empty texts say nothing, nor does an undeclared
 language or a missing address, so other evidence or the prior of all rows
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .scratch import small_batches, smallest, staged
+from .scratch import small_batches, staged
 
 BUCKETS = 1 << 13
 SAMPLE = 4000
@@ -83,13 +83,19 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities languages x BUCKETS) from the ``sample`` labelled rows with the smallest hashes."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    chosen = smallest(labelled, F.xxhash64("id", F.lit(3)), ["id", "lang"], sample).collect()
-    languages = sorted({r.lang for r in chosen}) or ["und"]
-    few = F.broadcast(spark.createDataFrame([(r.id,) for r in {r.id: r for r in chosen}.values()], "id long"))
+    """(languages, log probabilities languages x BUCKETS): every language that a labelled row has, trigrams from about ``sample`` rows of each.
+
+    A language's rows are taken by a bound on the hash of the id (of the text
+    where there is no id), all of them up to ``sample``; the row with the
+    smallest hash is always among them.
+    """
+    small_batches(docs.sparkSession)
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    labelled = labelled.withColumn("hash", F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text")), F.lit(3)))
+    held = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("low")).collect()  # a row per language
+    languages = sorted(r.lang for r in held) or ["und"]
+    bounds = [(r.lang, max(r.low, (1 << 63) - 1 if r.n <= sample else int(-(1 << 63) + (1 << 64) * (sample / r.n)))) for r in held]
+    few = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), BUCKETS), np.int64)
@@ -103,7 +109,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         yield pa.record_batch([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["i", "j", "n"])
 
     out = np.zeros((len(languages), BUCKETS))
-    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(few, "id").select("text", "lang")
+    read = labelled.join(few, "lang").where("hash <= bound").select("text", "lang")
     for r in read.mapInArrow(count, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
         out[r.i, r.j] = r.n
     out += 0.5

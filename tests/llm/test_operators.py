@@ -425,6 +425,15 @@ def test_languages(spark):
     assert got.where("lang = truth").count() >= 0.97 * got.count()
 
 
+def test_rare_languages_are_known_whatever_the_sample(spark):
+    rows = [(k, f"the water of the river number {k}", "en") for k in range(400)] + [(None, "vann og fjell i nord", "no"), (401, "vesi ja kivi", "fi")]
+    languages, model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=20)
+    assert languages == ["en", "fi", "no"] and (model.max(1) > model.min(1)).all()
+    pages = spark.createDataFrame([(1, "<html lang='fi'><p>vesi ja kivi</p></html>")], "page_id long, html string").withColumn("yes", F.lit(True))
+    got = langid.identify(pages, languages, model, ["page_id"], "html", markup="yes").collect()[0]
+    assert (got.declared, got.lang) == ("fi", "fi")
+
+
 def test_visible_text_equals_one_pattern():
     hidden = re.compile(r"<!--.*?-->|<(script|style|nav|head)\b.*?</\1\s*>", re.S | re.I)
     bits = ["<", ">", "<!--", "-->", "<script a>", "</SCRIPT >", "<nav>", "</nav>", "<p>", "x", " y ", "</head>", "<header>"]
