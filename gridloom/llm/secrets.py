@@ -47,12 +47,20 @@ class Rule:
         return f"{self.kind}@{self.version}"
 
 
+#: A key from BEGIN through the END line of its name; without one, its header fields and the run of base64 lines (a last line may be short).
+_SEP = r"""(?:\\[nrt]|[\s"'>#,])"""
+PEM = (
+    r"-----BEGIN ((?:[A-Z]+ )?)PRIVATE KEY-----"
+    r"(?:(?>[^-]*+(?:-(?!----)[^-]*+)*+)-----END \1PRIVATE KEY-----"
+    rf"|(?:{_SEP}*+[A-Za-z]++-[A-Za-z]++: [^\n\\]*+)*+(?:{_SEP}*+[A-Za-z0-9+/]{{16,}}+={{0,2}})*+(?:{_SEP}++(?:[A-Za-z0-9+/]{{4}}){{0,3}}(?:[A-Za-z0-9+/]{{2}}==|[A-Za-z0-9+/]{{3}}=|(?<=[A-Za-z0-9+/]{{4}})(?=\s*(?:\n|\Z))))?)"
+)
+
 #: The kinds in the order that breaks ties of spans with one start. Each pattern takes time linear in the text.
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, any_case=True, hint=r"""(?i)(?:passw(?:or)?d|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8}"""),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16, hint=r"AKIA[A-Z0-9]{12}"),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32, hint=r"[0-9a-f]{32}"),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", hint=r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"),
+    Rule("pem", PEM, version=2, hint=r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"),
     Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", version=2, hint=r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8}"),
     Rule("bearer", r"[Bb]earer [A-Za-z0-9._~+/-]{20,}", hint=r"[Bb]earer [A-Za-z0-9._~+/-]{20}"),
     Rule("url_login", r"[a-z][a-z0-9+.-]{0,31}://[^\s/:@]+:[^\s/:@]{4,}@", version=2, hint=r"://[^\s/:@]+:[^\s/:@]{4,}@"),
@@ -118,7 +126,8 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = R
     same.select("r.blob", "u.rules", "r.text").mapInArrow(_scanner(rules), LEDGER).write.mode("append").parquet(path)
 
     rank = F.element_at(F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))]), F.col("f.kind"))
-    known = spark.read.schema(LEDGER).parquet(path).where(F.size("findings") > 0).select("blob", F.explode("findings").alias("f")).where(F.col("f.kind").isin([r.kind for r in rules])).distinct()
+    version = F.element_at(F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.key)]), F.col("f.kind"))  # findings of other versions don't count
+    known = spark.read.schema(LEDGER).parquet(path).where(F.size("findings") > 0).select("blob", "rules", F.explode("findings").alias("f")).where(F.array_contains("rules", version)).select("blob", "f").distinct()
     known = known.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct(F.col("f.start").alias("start"), rank.alias("rank"), F.col("f.end").alias("end"), F.col("f.kind").alias("kind")))).alias("found"))
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     all_rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("blob")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int"))
