@@ -40,6 +40,7 @@ class Rule:
     least: int = 1
     version: int = 1
     any_case: bool = False
+    span: int = 0  # group whose place is reported
     hint: str = ""  # RE2 pattern that any text with a finding holds
 
     @property
@@ -61,7 +62,7 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16, hint=r"AKIA[A-Z0-9]{12}"),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32, hint=r"[0-9a-f]{32}"),
     Rule("pem", PEM, version=2, hint=r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"),
-    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", version=2, hint=r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ))(eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)", 1, 8, version=3, span=1, hint=r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8}"),
     Rule("bearer", r"[Bb]earer [A-Za-z0-9._~+/-]{20,}", hint=r"[Bb]earer [A-Za-z0-9._~+/-]{20}"),
     Rule("url_login", r"[a-z][a-z0-9+.-]{0,31}://[^\s/:@]+:[^\s/:@]{4,}@", version=2, hint=r"://[^\s/:@]+:[^\s/:@]{4,}@"),
 )
@@ -73,7 +74,7 @@ SALT = 32
 def _scan(rule: Rule, text: str, regex: re.Pattern) -> Iterator[tuple[int, int]]:
     for m in regex.finditer(text):
         if m.end(rule.group) - m.start(rule.group) >= rule.least:
-            yield m.span()
+            yield m.span(rule.span)
 
 
 def _scanner(rules: tuple[Rule, ...]):

@@ -91,6 +91,23 @@ def test_patterns_take_linear_time():
     assert list(secrets._scan(login, "see https://me:pass1@host", re.compile(login.pattern))) == [(4, 21)]
 
 
+def test_signed_tokens_are_found_inside_runs():
+    rule = next(r for r in secrets.RULES if r.kind == "jwt")
+    regex, plain = re.compile(rule.pattern, re.ASCII), re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    token = "eyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh"
+    for before in ("", "x ", "a%3D", "\\n", "session-", "eyJ", "x.", "é", "eyJhbGciOiJI.", "eyJ."):
+        t = f"see {before}{token} y"
+        assert list(secrets._scan(rule, t, regex)) == [m.span() for m in plain.finditer(t)] != []
+    rng = np.random.default_rng(4)
+    for _ in range(3000):
+        t = "".join(rng.choice(["eyJ", "eyJabcdefgh", ".eyJ12345678", "abcdefgh", ".", ".", "-", " ", "é"], rng.integers(1, 25)))
+        assert list(secrets._scan(rule, t, regex)) == [m.span() for m in plain.finditer(t)]
+    began = time.process_time()
+    for run in ("eyJ" * 300_000, "eyJabcdefgh." * 80_000, "eyJabcdefgh.eyJ" * 60_000, "a" * 1_000_000):
+        list(secrets._scan(rule, run, regex))
+    assert time.process_time() - began < 20
+
+
 def test_ledger_scans_only_what_is_unseen(docs, spark, tmp_path):
     path = str(tmp_path / "ledger")
     first = secrets.scan(docs, path).select("doc_id", secrets.joined(F.col("findings"))).collect()
