@@ -12,6 +12,7 @@ from .noise import GOLDEN, U, derive, mix, unit
 #: Neighbours as (dj, di): edges W E N S, then diagonals NW NE SW SE. Ties go to the first.
 D8 = ((0, -1), (0, 1), (-1, 0), (1, 0), (-1, -1), (-1, 1), (1, -1), (1, 1))
 FLOW_LOW, FLOW_HIGH = 5e3, 5e7
+DRY = -1e9
 
 
 def jitter(n: int) -> np.ndarray:
@@ -183,6 +184,20 @@ def lakes(h: np.ndarray, cell: tuple[float, float], min_depth: float, min_area:
     return np.where(good[inverse].reshape(h.shape), label, -1), level
 
 
+def spread(label: np.ndarray, level: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(level, depth) of each cell's lake, grown by one cell (towards the higher lake where two meet); DRY and 0 elsewhere. A lake's depth is its deepest cell's."""
+    ids, inverse = np.unique(label, return_inverse=True)
+    deep = np.zeros(len(ids))
+    np.maximum.at(deep, inverse.ravel(), (level - h).ravel())
+    own = np.where(label >= 0, level, DRY), np.where(label >= 0, deep[inverse.reshape(h.shape)], 0.0)
+    top, depth = own
+    for dj, di in D8:
+        near = shifted(own[0], dj, di, DRY)
+        higher = (label < 0) & (near > top)
+        top, depth = np.where(higher, near, top), np.where(higher, shifted(own[1], dj, di, 0.0), depth)
+    return top, depth
+
+
 def thermal(h: np.ndarray, cell: tuple[float, float], duration_s: float, talus_deg: float, diffusivity: float, strength=1.0, hardness=0.0) -> np.ndarray:
     """Material above the angle of rest moves to lower neighbours; what leaves a cell arrives in another."""
     size = min(cell)

@@ -159,6 +159,12 @@ def wetness(c: Call):
 LAKES = (number("min_depth_m", 1, 0), number("min_area_m2", 5000, 0), number("infill", 0.3, 0, 1), number("shore_m", 30, 1e-6), number("detail_m", 8, 0.01, 1e4))
 
 
+def waterline(g: Raster, wet, width_m: float) -> Raster:
+    """1 at the waterline, 0 ``width_m`` away from it, in the water and on land."""
+    sides = Raster(join_layers({"land": distance_to(g, wet), "water": distance_to(g, ~wet)}), g.spec, g.world)
+    return sides.cells(1.0 - smoothstep(0.0, width_m, F.greatest("land", "water")), MASK)
+
+
 @operator("simulate.lakes", (H(),), (H("height"), H("water_surface"), M("lakes"), M("shore")), LAKES, reach=None)
 def lakes(c: Call):
     p, fine = c.params, _one(c.frame(), "in")
@@ -166,19 +172,19 @@ def lakes(c: Call):
 
     def f(cell, h):
         label, level = hydro.lakes(h, cell, p["min_depth_m"], p["min_area_m2"])
-        return {"lake": label, "level": np.where(label >= 0, level, -1e6)}
+        level, depth = hydro.spread(label, level, h)
+        return {"level": level, "depth": depth}
 
-    r = world_pass(sim, f, ["v"], ["lake", "level"])
-    level = _one(r, "level") if r.spec == c.spec else onto(_one(r, "level"), c.spec, nearest=True)
-    g = Raster(join_layers({"h": fine, "level": level}), c.spec, c.world)
+    r = world_pass(sim, f, ["v"], ["level", "depth"])
+    level, depth = (_one(r, name) if r.spec == c.spec else onto(_one(r, name), c.spec, nearest=True) for name in ("level", "depth"))
+    g = Raster(join_layers({"h": fine, "level": level, "depth": depth}), c.spec, c.world)
     deep = F.greatest(F.col("level") - F.col("h"), F.lit(0.0))
-    shore = distance_to(g, deep > 0).cells(1.0 - smoothstep(0.0, p["shore_m"], F.col("v")), MASK)
-    dry = Raster(join_layers({"s": shore, "h": fine, "level": level}), c.spec, c.world)
+    soft = clamp(deep / 0.1)
     return {
-        "height": g.cells(F.when(deep > 0, F.greatest(F.col("h"), F.col("level") - (1.0 - p["infill"]) * deep)).otherwise(F.col("h")), HEIGHT),
+        "height": g.cells(F.when(deep > 0, F.greatest(F.col("h"), F.col("level") - (1.0 - p["infill"]) * F.col("depth"))).otherwise(F.col("h")), HEIGHT),
         "water_surface": g.cells(F.when(deep > 0, F.col("level")).otherwise(F.col("h")), HEIGHT),
-        "lakes": g.cells(snap01(clamp(deep / 0.1)), MASK),
-        "shore": dry.cells(F.when(F.col("level") > F.col("h"), 0.0).otherwise(F.col("s")), MASK),
+        "lakes": g.cells(snap01(soft), MASK),
+        "shore": waterline(g, soft >= 0.5, p["shore_m"]),
     }
 
 
@@ -187,13 +193,18 @@ PIECES = 4
 
 
 def reaches(g: Raster, p: dict, seed: int = 0):
-    """Table of straight river pieces (x0, y0, x1, y1, level0, level1, half, depth): curves through cells' middles, downstream."""
+    """Table of straight river pieces (x0, y0, x1, y1, and water level, half width and depth at both ends), downstream.
+
+    Curves run from the middle of a cell's link to the middle of its
+    receiver's; a source has a piece from its own place to there. Size grows
+    with the decades of drained area; the meanders fade out at the edges.
+    """
     from ..functions import noise
 
-    source = p["source_area_km2"] * 1e6
-    wave = max(12.0 * p["meander_m"], 50.0)
-    schema = "x0 double, y0 double, x1 double, y1 double, level0 double, level1 double, half double, depth double"
-    shape, cell, origin = (g.spec.height, g.spec.width), g.spec.cell, g.spec.origin_m
+    source, amp = p["source_area_km2"] * 1e6, p["meander_m"]
+    wave = max(12.0 * amp, 50.0)
+    names = ["x0", "y0", "x1", "y1", "level0", "level1", "half0", "half1", "depth0", "depth1"]
+    shape, cell, origin, extent = (g.spec.height, g.spec.width), g.spec.cell, g.spec.origin_m, g.spec.extent_m
 
     def run(table: pa.Table) -> pa.Table:
         h = np.zeros(shape)
@@ -203,24 +214,34 @@ def reaches(g: Raster, p: dict, seed: int = 0):
             area = hydro.gather_down(to, order, np.full(h.size, cell[0] * cell[1]))
             j, i = np.divmod(np.arange(h.size), shape[1])
             x, y = origin[0] + i * cell[0], origin[1] + j * cell[1]
-            if p["meander_m"] > 0:
-                x, y = x + p["meander_m"] * noise.metres(x, y, wave, seed, 2), y + p["meander_m"] * noise.metres(x, y, wave, seed ^ 0x6D65616E, 2)
-        river = np.flatnonzero((area >= source) & (to != np.arange(h.size)))
-        a, b = river, to[river]
-        e = to[b]
-        big = np.clip(np.log10(np.maximum(area[a], source) / source) / 3.0, 0.0, 1.0)
-        level = np.minimum(filled.ravel(), h.ravel())
+            if amp > 0:
+                edge = np.minimum.reduce([x - origin[0], origin[0] + extent[0] - x, y - origin[1], origin[1] + extent[1] - y])
+                k = amp * np.minimum(edge / (2.0 * amp), 1.0)
+                x, y = x + k * noise.metres(x, y, wave, seed, 3), y + k * noise.metres(x, y, wave, seed ^ 0x6D65616E, 3)
+        big = np.clip(np.log10(np.maximum(area, source) / source) / 3.0, 0.0, 1.0)
+        half, depth, level = 0.5 * p["width_m"] * (0.1 + 0.9 * big), p["depth_m"] * (0.3 + 0.7 * big), filled.ravel()
+        runs = (area >= source) & (to != np.arange(h.size))
+        a = np.flatnonzero(runs)
+        b = to[a]
+        e = to[b]  # b itself where it is an outlet, so that middles with it are its own values
+        mid = lambda v, s, t: 0.5 * (v[s] + v[t])
+        first = {"level": mid(level, a, b), "half": mid(half, a, b), "depth": mid(depth, a, b)}
+        last = {"level": mid(level, b, e), "half": half[b], "depth": depth[b]}
         rows = []
         for k in range(PIECES):
-            ends = []
-            for t in (k / PIECES, (k + 1) / PIECES):
-                w = ((1 - t) ** 2 / 2, (1 - t) ** 2 / 2 + 2 * t * (1 - t) + t * t / 2, t * t / 2)
-                ends.append([w[0] * v[a] + w[1] * v[b] + w[2] * v[e] for v in (x, y, level)])
-            (x0, y0, l0), (x1, y1, l1) = ends
-            rows.append([x0, y0, x1, y1, l0, np.minimum(l0, l1), 0.5 * p["width_m"] * (0.1 + 0.9 * big), p["depth_m"] * (0.3 + 0.7 * big)])
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["x0", "y0", "x1", "y1", "level0", "level1", "half", "depth"])
+            row = {}
+            for end, t in enumerate((k / PIECES, (k + 1) / PIECES)):
+                u = 1.0 - t
+                row |= {f"{n}{end}": u * u * mid(v, a, b) + 2.0 * u * t * v[b] + t * t * mid(v, b, e) for n, v in (("x", x), ("y", y))}
+                row |= {f"{n}{end}": first[n] + (last[n] - first[n]) * t for n in first}
+            rows.append(row)
+        fed = np.zeros(h.size, bool)
+        fed[b] = True
+        s = a[~fed[a]]
+        rows.append({f"{n}0": v[s] for n, v in (("x", x), ("y", y), ("level", level), ("half", half), ("depth", depth))} | {f"{n}1": mid(v, s, to[s]) for n, v in (("x", x), ("y", y), ("level", level), ("half", half), ("depth", depth))})
+        return pa.table([pa.array(np.concatenate([row[n] for row in rows])) for n in names], names)
 
-    return g.df.select("j", "i", F.col("v").cast("double").alias("v"), F.lit(0).alias("all")).groupBy("all").applyInArrow(run, schema)
+    return g.df.select("j", "i", F.col("v").cast("double").alias("v"), F.lit(0).alias("all")).groupBy("all").applyInArrow(run, ", ".join(f"{n} double" for n in names))
 
 
 @operator("simulate.rivers", (H(),), (H("height"), H("water_surface"), M("river"), M("riverbank")), RIVERS, reach=None)
@@ -228,26 +249,30 @@ def rivers(c: Call):
     """Beds cut along the reaches: a band join of cells with pieces by blocks, then min and max per cell."""
     p, fine = c.params, _one(c.frame(), "in")
     sim, _ = simulated(fine, p["detail_m"])
-    block = max(32 * max(c.spec.cell), p["width_m"] + p["bank_m"])
-    pieces = reaches(sim, p, c.seed).withColumn("far", F.col("half") + p["bank_m"])
+    bank, pixel = p["bank_m"], min(c.spec.cell)
+    band = max(bank, 0.5 * pixel)
+    block = max(32 * max(c.spec.cell), p["width_m"] + bank)
+    pieces = reaches(sim, p, c.seed).withColumn("far", F.greatest("half0", "half1") + band)
     span = lambda a, b: F.explode(F.sequence(F.floor((F.least(a, b) - F.col("far")) / block), F.floor((F.greatest(a, b) + F.col("far")) / block)))
     dealt = pieces.withColumn("bx", span(F.col("x0"), F.col("x1"))).withColumn("by", span(F.col("y0"), F.col("y1")))
     cells = fine.df.withColumns({"x": fine.x, "y": fine.y}).withColumns({"bx": F.floor(F.col("x") / block), "by": F.floor(F.col("y") / block)})
     ex, ey = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     t = clamp(((F.col("x") - F.col("x0")) * ex + (F.col("y") - F.col("y0")) * ey) / F.greatest(ex * ex + ey * ey, F.lit(1e-9)))
     qx, qy = F.col("x") - F.col("x0") - t * ex, F.col("y") - F.col("y0") - t * ey
-    met = cells.join(dealt, ["bx", "by"]).withColumns({"d": F.sqrt(qx * qx + qy * qy), "level": F.col("level0") + t * (F.col("level1") - F.col("level0"))}).where("d <= far")
-    r = F.col("d") / F.col("half")
-    bed = F.when(r < 1, F.col("level") - F.col("depth") * (1.0 - r * r)).otherwise(F.col("level") + (F.col("v") - F.col("level")) * smoothstep(0.0, 1.0, (F.col("d") - F.col("half")) / max(p["bank_m"], 1e-6)))
-    inside = F.when(r < 1, 1.0).otherwise(0.0)
-    bank = 1.0 - smoothstep(0.0, 1.0, (F.col("d") - F.col("half")) / max(p["bank_m"], 1e-6))
-    per = met.groupBy("j", "i").agg(F.min(bed).alias("bed"), F.max(inside).alias("cover"), F.max(F.when(r < 1, F.col("level"))).alias("surface"), F.max(bank).alias("bank"))
+    at = lambda n: F.col(f"{n}0") + t * (F.col(f"{n}1") - F.col(f"{n}0"))
+    met = cells.join(dealt, ["bx", "by"]).withColumns({"d": F.sqrt(qx * qx + qy * qy), "level": at("level"), "half": at("half"), "depth": at("depth")}).where(F.col("d") < F.col("half") + band)
+    r, inside = F.col("d") / F.col("half"), F.col("d") < F.col("half")
+    slope = smoothstep(0.0, 1.0, (F.col("d") - F.col("half")) / bank) if bank > 0 else F.lit(1.0)
+    bed = F.when(inside, F.col("level") - F.col("depth") * (1.0 - r * r)).otherwise(F.col("level") + (F.col("v") - F.col("level")) * slope)
+    cover = clamp((F.col("half") - F.col("d")) / pixel + 0.5)  # the share of the pixel, so rivers narrower than one still show
+    per = met.groupBy("j", "i").agg(F.min(bed).alias("bed"), F.max(cover).alias("cover"), F.max(F.when(inside, F.col("level"))).alias("surface"), F.max(F.when(~inside, 1.0 - slope)).alias("bank"))
     g = Raster(fine.df.join(per, ["j", "i"], "left"), c.spec, c.world)
+    height, covered = F.least("v", F.coalesce("bed", "v")), F.coalesce("cover", F.lit(0.0))
     return {
-        "height": g.cells(F.least("v", F.coalesce("bed", "v")), HEIGHT),
-        "water_surface": g.cells(F.coalesce(F.least("surface", "v"), F.col("v")), HEIGHT),
-        "river": g.cells(F.coalesce("cover", F.lit(0.0)), MASK),
-        "riverbank": g.cells(F.when(F.coalesce("cover", F.lit(0.0)) > 0, 0.0).otherwise(F.coalesce("bank", F.lit(0.0))), MASK),
+        "height": g.cells(height, HEIGHT),
+        "water_surface": g.cells(F.greatest(height, F.coalesce("surface", height)), HEIGHT),
+        "river": g.cells(covered, MASK),
+        "riverbank": g.cells(F.coalesce("bank", F.lit(0.0)) * (1.0 - covered), MASK),
     }
 
 
@@ -266,13 +291,15 @@ def sea(c: Call):
     h, is_wet = F.col("h"), F.col("wet") > 0.5
     deep, above = level - h, h - level
     low = (above > 0) & (above < p["beach_m"])
+    line = waterline(g, is_wet, p["shore_m"])
     beach = level + above * (1.0 - p["erosion"] * F.col("near") * (1.0 - above / max(p["beach_m"], 1e-9)))
+    worn = F.when(~is_wet & low, beach).otherwise(h)
     return {
-        "height": g.cells(F.when(~is_wet & low, beach).otherwise(h), HEIGHT),
-        "water_surface": g.cells(F.when(is_wet, level).otherwise(h), HEIGHT),
+        "height": g.cells(worn, HEIGHT),
+        "water_surface": g.cells(F.when(is_wet, level).otherwise(worn), HEIGHT),
         "sea": g.cells(F.when(is_wet, F.least(deep / 0.1, F.lit(1.0))).otherwise(0.0), MASK),
         "shallow": g.cells(F.when(is_wet, 1.0 - smoothstep(0.0, p["shallow_m"], deep)).otherwise(0.0), MASK),
-        "shoreline": g.cells(F.when(is_wet, 0.0).otherwise(F.col("near")), MASK),
+        "shoreline": line,
     }
 
 

@@ -163,6 +163,44 @@ def test_thermal_keeps_mass_and_rests():
     assert np.allclose(out, out.T) and np.array_equal(hydro.thermal(h, (1.0, 1.0), 0, 35, 1.0), h)
 
 
+def test_lakes_reach_their_shore_on_the_fine_grid(spark):
+    g = grid(spark, lambda x, y: F.least(F.sqrt((x - 500.0) * (x - 500.0) + (y - 530.0) * (y - 530.0)), F.lit(300.0)), n=65)
+    out = {k: array(v) for k, v in apply("simulate.lakes", {"in": g}, {"detail_m": 64, "infill": 0.3, "shore_m": 50}).items()}
+    h, level = array(g), out["water_surface"].max()
+    assert level > 250 and ((out["lakes"] > 0) == (h < level)).all()
+    floor = out["height"].min()
+    assert floor > 50 and np.array_equal(out["height"], np.where(h < level, np.maximum(h, floor), h))
+    assert (out["shore"][h < level - 10].max() > 0.5) and (out["shore"][h >= level].max() > 0.5) and out["shore"][h < 200].max() == 0
+
+
+def test_lakes_grow_to_the_higher_one():
+    label, level = np.array([[0, -1, 2, -1, -1]]), np.array([[5.0, 1.0, 7.0, 1.0, 1.0]])
+    top, depth = hydro.spread(label, level, np.array([[2.0, 1.0, 3.0, 1.0, 1.0]]))
+    assert top.tolist() == [[5.0, 7.0, 7.0, 7.0, hydro.DRY]] and depth.tolist() == [[3.0, 4.0, 4.0, 4.0, 0.0]]
+
+
+def test_narrow_rivers_show_from_their_heads(spark):
+    g = grid(spark, lambda x, y: F.abs(x - 512.0) + 100.0 + y * 0.1)
+    p = {"source_area_km2": 0.02, "width_m": 40, "depth_m": 4, "bank_m": 0, "meander_m": 0, "detail_m": 8}
+    out = {k: array(v) for k, v in apply("simulate.rivers", {"in": g}, p).items()}
+    river = out["river"][1:15, 8]
+    assert (river > 0.5).all() and (river < 1).all() and (np.diff(river) <= 1e-9).all()
+    assert (out["height"] <= array(g)).all() and (out["water_surface"] >= out["height"]).all() and out["riverbank"].max() == 0
+    pieces = water.reaches(g, p).toPandas()
+    starts, ends = (set(zip(pieces[f"x{k}"].round(6), pieces[f"y{k}"].round(6))) for k in (0, 1))
+    assert {s for s in starts - ends if (s[0] % 64, s[1] % 64) == (0, 0)}
+    assert (pieces.half0 != pieces.half1).any() and (pieces.level1 <= pieces.level0 + 1e-9).all()
+    bent = water.reaches(g, p | {"meander_m": 300}).toPandas()
+    assert bent[["x0", "x1"]].min().min() >= 0 and bent[["y0", "y1"]].min().min() >= 0 and bent[["x0", "x1", "y0", "y1"]].max().max() <= 1024
+
+
+def test_shorelines_lie_on_both_sides(spark):
+    g = grid(spark, lambda x, y: x)
+    out = {k: array(v) for k, v in apply("simulate.sea", {"in": g}, {"sea_level_m": 500, "shore_m": 200, "beach_m": 100, "erosion": 1}).items()}
+    assert out["shoreline"][5, 6] > 0.2 and out["shoreline"][5, 9] > 0.2 and out["shoreline"][5, 1] == out["shoreline"][5, 14] == 0
+    assert np.array_equal(out["water_surface"][:, 8:], out["height"][:, 8:]) and out["height"][5, 8] < array(g)[5, 8]
+
+
 def test_points_keep_their_distance(spark):
     g = grid(spark, lambda x, y: x * 0 + 1.0).to(MASK)
     ground = grid(spark, lambda x, y: x * 0.5)
