@@ -1,10 +1,11 @@
 """License scans with a positional rare-token index.
 
-Each licence template is a run of words. Its rarest words, by how many
-documents of this corpus hold them, are looked up in a document; the
-postings of those words, shifted by their places in the template, must meet
-in one start; only there are all words and the mandatory key phrase
-compared. Two linear passes over the texts and one aggregate of at most
+Each licence template is a run of words with a key phrase that must stand
+in full. The rarest words of the key phrase, by how many documents of this
+corpus hold them, are looked up in a document; the postings of those words,
+shifted by their places in the template, must meet in one start; only there
+are all words compared. So no place is missed, whichever words are rare. Two
+linear passes over the texts and one aggregate of at most
 ``len(vocabulary)`` counts; no text is shuffled.
 
 Defined results: null and empty texts have no words, places or labels and
@@ -90,6 +91,13 @@ def _same(w: tv.Words, heads: np.ndarray, at: np.ndarray, word: str) -> np.ndarr
     return ok
 
 
+def _key(t: Template) -> range:
+    """The places of the words that must stand in full."""
+    key = tuple(t.key.split()) or t.parts
+    lead = next(i for i in range(len(t.parts)) if t.parts[i : i + len(key)] == key)
+    return range(lead, lead + len(key))
+
+
 def vocabulary(templates: tuple[Template, ...]) -> list[str]:
     return sorted({x for t in templates for x in t.parts})
 
@@ -123,7 +131,7 @@ def find(column: pa.Array, templates: tuple[Template, ...], df: dict[str, int])
     n = len(h)
     room = np.repeat(w.bound[1:], w.count)
     first = np.repeat(w.bound[:-1], w.count)
-    rare = [sorted(range(len(t.parts)), key=lambda i, t=t: (df.get(t.parts[i], 0), i))[:RARE] for t in templates]
+    rare = [sorted(_key(t), key=lambda i, t=t: (df.get(t.parts[i], 0), i))[:RARE] for t in templates]
     asked = np.unique(np.array([_head(t.parts[i]) for t, r in zip(templates, rare, strict=True) for i in r], np.uint64))
     slot = np.minimum(np.searchsorted(asked, h), len(asked) - 1)
     hits = np.flatnonzero(asked[slot] == h)
@@ -136,17 +144,14 @@ def find(column: pa.Array, templates: tuple[Template, ...], df: dict[str, int])
             posted = posted[_same(w, h, posted, t.parts[i])]
             # a start belongs to the text that holds the rare word
             own = posted[(posted - i >= first[posted]) & (posted - i + len(t.parts) <= room[posted])] - i
-            starts = own if starts is None else np.intersect1d(starts, own, assume_unique=True) if t.least == 1 else np.union1d(starts, own)
+            starts = own if starts is None else np.intersect1d(starts, own, assume_unique=True)
         agree = np.zeros(len(starts))
         for i, word in enumerate(t.parts):
             agree += _same(w, h, starts + i, word)
         share = agree / len(t.parts)
         ok = share >= t.least
-        if t.key:
-            key, where = tuple(t.key.split()), t.words.split()
-            lead = next(i for i in range(len(where)) if tuple(where[i : i + len(key)]) == key)
-            for i, word in enumerate(key):
-                ok &= _same(w, h, starts + lead + i, word)
+        for i in _key(t):
+            ok &= _same(w, h, starts + i, t.parts[i])
         out.append((starts[ok], share[ok]))
     return w, out
 
@@ -155,8 +160,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: s
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, places) of every row.
 
     ``places`` lists every (label, start word, share of words that agree); the
-    best share is the score. Templates with ``least`` below 1 take the union of
-    their rare words' postings, so one changed word doesn't hide them.
+    best share is the score.
     """
     small_batches(docs.sparkSession)
     df = document_frequency(docs, templates, text_col)

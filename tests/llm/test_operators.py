@@ -445,6 +445,13 @@ def test_license_with_a_changed_word(spark):
     assert got[1][0] == "bsd" and 0.8 <= got[1][1] < 1 and got[2] == ("", 0.0)
 
 
+def test_licenses_with_their_rarest_words_changed(spark):
+    t = "redistributions and use in source and binary forms with or without modifications are permitted"
+    common = [(k, "redistribution modification " * (k == 2) + "and use in source binary forms with or without are permitted") for k in range(2, 9)]
+    r = licenses.scan(spark.createDataFrame([(1, t), *common], "doc_id long, text string"))
+    assert {x.doc_id: (x.labels, x.score) for x in r.where("doc_id = 1").collect()} == {1: ("bsd", round(12 / 14, 6))}
+
+
 # 9
 
 
