@@ -4,9 +4,10 @@ A source's share of the tokens is raised to an exponent and normalised; the
 exponent is bisected until the weights meet a limit on how often a source
 repeats, or a target entropy. Weights times the budget give each source its
 tokens. They are realised as block permutations: a source's documents fall
-into blocks by a hash, each epoch goes through the blocks in an order of its
-own, whole epochs first, and in the last epoch blocks are taken while the
-budget lasts; only inside the block at the boundary single documents count.
+into blocks by a hash, whole epochs come first, and in the last epoch blocks
+are taken in the order of their hashes while the budget lasts; only inside
+the block at the boundary single documents count. Each epoch goes through
+its blocks and their documents in an order of its own (``turn``, ``place``).
 
 DataFrame and SQL functions only. Source totals and block totals are combined
 before their shuffles; windows run over block totals and over the documents
@@ -97,7 +98,11 @@ def _block_digits(docs: int, block_docs: int) -> int:
 
 
 def draw(docs: DataFrame, max_repeats: float | None = REPEATS, entropy: float | None = None, budget: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """(id, source, tokens, epoch, block, place) of every draw: ``epoch`` from 0, ``place`` the hash that orders a block."""
+    """(id, source, tokens, epoch, block, turn, place) of every draw: ``epoch`` from 0.
+
+    An epoch of a source is read by ``turn``, the hash of epoch and block,
+    then by ``place`` (and id where two agree), the hash of epoch and document.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), tokens_of(F.col(text_col)).alias("tokens")).withColumn("place", F.md5(F.col("id").cast("string")))
     rows = staged(rows, "tokens")  # the only look at the texts
     shares = rows.groupBy("source").agg(F.sum("tokens").alias("tokens"))
@@ -117,7 +122,9 @@ def draw(docs: DataFrame, max_repeats: float | None = REPEATS, entropy: float |
     running = F.sum("tokens").over(Window.partitionBy("source", "block").orderBy("place", "id").rowsBetween(Window.unboundedPreceding, 0))
     edge = planned.where("state = 1").withColumn("epoch", F.col("epochs")).withColumn("_to", F.col("before") + running).where("_to <= rest").drop("_to")
     chosen = whole.unionByName(more).unionByName(edge)
-    return chosen.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "tokens", F.col("epoch").cast("int").alias("epoch"), "block", "place")
+    own = lambda *of: F.md5(F.concat_ws(":", F.col("epoch").cast("string"), *of))
+    turn, within = own(F.coalesce(F.col("source").cast("string"), F.lit("")), "block"), own(F.col("id").cast("string"))
+    return chosen.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "tokens", F.col("epoch").cast("int").alias("epoch"), "block", turn.alias("turn"), within.alias("place"))
 
 
 def mix_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -130,4 +137,4 @@ def mix_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
 
 def op10_mix(spark, sf_dir: str) -> DataFrame:
-    return draw(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("place")
+    return draw(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("turn", "place")

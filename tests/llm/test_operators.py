@@ -528,6 +528,16 @@ def test_draws_keep_to_budgets(docs, spark):
     assert sorted(map(str, mixing.draw(docs.coalesce(1), budget=4000, block_docs=4).collect())) == sorted(map(str, mixing.draw(docs, budget=4000, block_docs=4).collect()))
 
 
+def test_each_epoch_has_an_order_of_its_own(spark):
+    d = spark.createDataFrame([(k, "a b", "x") for k in range(64)], "doc_id long, text string, source string")
+    got = mixing.draw(d, budget=300, block_docs=4).toPandas().sort_values(["epoch", "turn", "place", "doc_id"])
+    orders = [got[got.epoch == e] for e in range(3)]
+    assert [len(o) for o in orders] == [64, 64, 22]
+    assert list(orders[0].doc_id) != list(orders[1].doc_id) and list(dict.fromkeys(orders[0].block)) != list(dict.fromkeys(orders[1].block))
+    for o in orders:
+        assert (o.groupby("block").turn.nunique() == 1).all() and o.turn.nunique() == o.block.nunique()
+
+
 def test_every_document_is_drawn_without_a_budget(docs):
     ids = {r[0] for r in corpus()}
     out = mixing.mix_rows(docs)
