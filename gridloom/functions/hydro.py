@@ -7,12 +7,14 @@ import math
 
 import numpy as np
 
+from ..plans.world import PlanError
 from .noise import GOLDEN, U, derive, mix, unit
 
 #: Neighbours as (dj, di): edges W E N S, then diagonals NW NE SW SE. Ties go to the first.
 D8 = ((0, -1), (0, 1), (-1, 0), (1, 0), (-1, -1), (-1, 1), (1, -1), (1, 1))
 FLOW_LOW, FLOW_HIGH = 5e3, 5e7
 DRY = -1e9
+MOST_STEPS = 100_000
 
 
 def jitter(n: int) -> np.ndarray:
@@ -198,11 +200,20 @@ def spread(label: np.ndarray, level: np.ndarray, h: np.ndarray) -> tuple[np.ndar
     return top, depth
 
 
+def thermal_steps(cell: tuple[float, float], duration_s: float, diffusivity: float) -> int:
+    """Steps short enough to be stable; an error beyond 100,000 of them."""
+    if duration_s <= 0:
+        return 0
+    size = min(cell)
+    steps = max(1, math.ceil(duration_s / min(0.2 * size * size / max(diffusivity, 1e-12), 1.0)))
+    if steps > MOST_STEPS:
+        raise PlanError(f"erosion needs more than {MOST_STEPS:,} steps; reduce the duration or take a larger extent or detail")
+    return steps
+
+
 def thermal(h: np.ndarray, cell: tuple[float, float], duration_s: float, talus_deg: float, diffusivity: float, strength=1.0, hardness=0.0) -> np.ndarray:
     """Material above the angle of rest moves to lower neighbours; what leaves a cell arrives in another."""
-    size = min(cell)
-    dt = min(0.2 * size * size / max(diffusivity, 1e-12), 1.0)
-    steps = min(100_000, max(1, math.ceil(duration_s / dt))) if duration_s > 0 else 0
+    steps = thermal_steps(cell, duration_s, diffusivity)
     dt = duration_s / steps if steps else 0.0
     strength, soft = np.broadcast_to(strength, h.shape).astype(float), 1.0 - np.broadcast_to(hardness, h.shape)
     rest = math.tan(math.radians(talus_deg))

@@ -327,6 +327,7 @@ DETAIL = number("detail_m", 8, 0.01, 1e4)
 @operator("simulate.thermal", (H(), M("mask", True), M("hardness", True)), (H("height"), M("debris")), (number("duration_s", 60, 0), number("talus_deg", 35, 0, 89), number("diffusivity", 10, 0), DETAIL), reach=None)
 def thermal(c: Call):
     p = c.params
+    hydro.thermal_steps(simulated(_one(c.frame(), "in"), p["detail_m"])[1].cell, p["duration_s"], p["diffusivity"])  # said before anything runs
 
     def f(cell, h, strength, hard):
         d = hydro.thermal(h, cell, p["duration_s"], p["talus_deg"], p["diffusivity"], strength, hard) - h

@@ -201,6 +201,13 @@ def test_shorelines_lie_on_both_sides(spark):
     assert np.array_equal(out["water_surface"][:, 8:], out["height"][:, 8:]) and out["height"][5, 8] < array(g)[5, 8]
 
 
+def test_thermal_says_when_it_takes_too_many_steps(spark):
+    with pytest.raises(PlanError):
+        hydro.thermal(np.zeros((3, 3)), (1.0, 1.0), 2100, 35, 10)
+    with pytest.raises(PlanError):
+        apply("simulate.thermal", {"in": grid(spark, lambda x, y: x, n=65, size=64.0)}, {"duration_s": 2100, "detail_m": 1})
+
+
 def test_points_keep_their_distance(spark):
     g = grid(spark, lambda x, y: x * 0 + 1.0).to(MASK)
     ground = grid(spark, lambda x, y: x * 0.5)
