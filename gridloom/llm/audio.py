@@ -188,6 +188,21 @@ def tensors(featured: pa.Table) -> pa.Table:
     return pa.table([ids, blocks.field("t_start"), blocks.field("t_end"), blocks.field("frames"), tensor], [featured.schema.names[0], "t_start", "t_end", "frames", "logmel"])
 
 
+def stored_tensors(featured: DataFrame) -> DataFrame:
+    """(n_blocks, arrow) for every batch of files: ``tensors`` of it as the bytes of an Arrow IPC stream, made where the rows lie."""
+    id_col = featured.columns[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table, sink = tensors(pa.Table.from_batches([batch])), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            yield pa.record_batch([pa.array([table.num_rows], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["n_blocks", "arrow"])
+
+    small_batches(featured.sparkSession)
+    return featured.select(id_col, "blocks").mapInArrow(run, "n_blocks long, arrow binary")
+
+
 def op6_audio(spark, sf_dir: str) -> DataFrame:
     made = features(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     digest = F.sha2(F.to_json(F.struct("blocks", "segments")), 256)

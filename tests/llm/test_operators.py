@@ -371,6 +371,15 @@ def test_tensors_have_one_shape(docs):
     assert t.schema.field("logmel").type.shape == [audio.BLOCK, audio.MELS] and t.num_rows > 2
 
 
+def test_tensors_are_stored_by_spark(docs):
+    made = audio.features(audio.encode(docs))
+    blocks = sorted((r[0], b.t_start, b.logmel) for r in made.select("doc_id", "blocks").collect() for b in r[1])
+    got = [pa.ipc.open_stream(r.arrow).read_all() for r in audio.stored_tensors(made).collect()]
+    assert all(t.schema.field("logmel").type == pa.fixed_shape_tensor(pa.float32(), (audio.BLOCK, audio.MELS)) for t in got)
+    whole = pa.concat_tables(got)
+    assert sorted(zip(whole["doc_id"].to_pylist(), whole["t_start"].to_pylist(), whole["logmel"].combine_chunks().storage.to_pylist(), strict=True)) == blocks
+
+
 def test_resampling_and_mel():
     rng = np.random.default_rng(0)
     x = rng.normal(size=1000)
