@@ -132,7 +132,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
+    return docs.select(id_col, text_col).mapInArrow(tv.freeing(run), f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
 BLOCKS = "array<struct<t_start:double,t_end:double,frames:int,logmel:array<float>>>"
@@ -174,7 +174,7 @@ def features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
 
     small_batches(media.sparkSession)
     types = {f.name: f.dataType.simpleString() for f in media.schema.fields}
-    return media.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in (id_col, *keep)]) + f", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, blocks {BLOCKS}, segments {SEGMENTS}")
+    return media.mapInArrow(tv.freeing(run), ", ".join([f"`{c}` {types[c]}" for c in (id_col, *keep)]) + f", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, blocks {BLOCKS}, segments {SEGMENTS}")
 
 
 def tensors(featured: pa.Table) -> pa.Table:
@@ -200,7 +200,7 @@ def stored_tensors(featured: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array([table.num_rows], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["n_blocks", "arrow"])
 
     small_batches(featured.sparkSession)
-    return featured.select(id_col, "blocks").mapInArrow(run, "n_blocks long, arrow binary")
+    return featured.select(id_col, "blocks").mapInArrow(tv.freeing(run), "n_blocks long, arrow binary")
 
 
 def op6_audio(spark, sf_dir: str) -> DataFrame:

@@ -110,7 +110,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     out = np.zeros((len(languages), BUCKETS))
     read = labelled.join(few, "lang").where("hash <= bound").select("text", "lang")
-    for r in read.mapInArrow(count, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
+    for r in read.mapInArrow(tv.freeing(count), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
         out[r.i, r.j] = r.n
     out += 0.5
     return languages, np.log(out / out.sum(1, keepdims=True))
@@ -151,7 +151,7 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray, keys: lis
                 like = np.round(like * np.minimum(size, TEMPER)[:, None], 6)
                 yield pa.record_batch([*(at[c].slice(a, z - a) for c in carried), pa.ListArray.from_arrays(pa.array(np.arange(0, like.size + 1, n), pa.int32()), pa.array(like.ravel()))], [*carried, "like"])
 
-    read = staged(base.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in carried) + ", like array<double>"), "likelihoods")
+    read = staged(base.mapInArrow(tv.freeing(run), ", ".join(f"`{c}` {types[c]}" for c in carried) + ", like array<double>"), "likelihoods")
     best = lambda scores: F.array_position(scores, F.array_max(scores)).cast("int") - 1
     known = F.array_max("like") != F.array_min("like")
     read = read.withColumn("guess", F.when(known, best(F.col("like")))).withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(SALT)).cast("int"))

@@ -119,7 +119,7 @@ def document_frequency(docs: DataFrame, templates: tuple[Template, ...] = TEMPLA
                 total += np.bincount(np.unique(w.owner()[hit] * len(heads) + slot[hit]) % len(heads), minlength=len(heads))
         yield pa.record_batch([pa.array(range(len(heads)), pa.int32()), pa.array(total)], ["slot", "n"])
 
-    got = {r.slot: r.n for r in docs.select(text_col).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
+    got = {r.slot: r.n for r in docs.select(text_col).mapInArrow(tv.freeing(count), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
     at = {int(h): i for i, h in enumerate(heads)}
     return {x: got.get(at[_head(x)], 0) for x in known}
 
@@ -191,7 +191,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: s
 
     names = [id_col, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places"]
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places array<struct<label:string,start:bigint,share:double>>")
+    return docs.select(id_col, text_col).mapInArrow(tv.freeing(run), f"`{id_col}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places array<struct<label:string,start:bigint,share:double>>")
 
 
 def op8_licenses(spark, sf_dir: str) -> DataFrame:

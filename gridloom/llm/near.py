@@ -342,13 +342,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     classes = staged(ids.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
     key = classes.select(F.col("node").alias("_node"), F.col("first").alias("_first")).hint("shuffle_hash")
     own = (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_first"))
-    nodes = staged(some.mapInArrow(_sign, "id long, node long, sig binary").join(key, own).select("node", "sig").dropDuplicates(["node"]), "nodes")
+    nodes = staged(some.mapInArrow(tv.freeing(_sign), "id long, node long, sig binary").join(key, own).select("node", "sig").dropDuplicates(["node"]), "nodes")
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = nodes.mapInArrow(_post(4 * partitions), "b int, keys binary, nodes binary").groupBy("b").applyInArrow(_deal, "key long, lo int, hi int, block int, node long")
+    dealt = nodes.mapInArrow(tv.freeing(_post(4 * partitions)), "b int, keys binary, nodes binary").groupBy("b").applyInArrow(_deal, "key long, lo int, hi int, block int, node long")
     sigs = nodes.select(F.col("node").alias("_n"), "sig").hint("shuffle_hash")
     cells = dealt.join(sigs, F.col("node") == F.col("_n")).drop("_n").repartition(partitions, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
-    clusters = components(cells.mapInArrow(_link, "u long, v long"))
+    clusters = components(cells.mapInArrow(tv.freeing(_link), "u long, v long"))
 
     size = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK // 2)).cast("int").alias("blocks"))
     member = clusters.join(size, "root").select("node", F.col("root").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
@@ -356,7 +356,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     member = member.select(F.col("node").alias("_m"), F.col("first").alias("_first"), "cluster", "blocks", "block", "copies", "sig").hint("shuffle_hash")
     whole = some.join(member, (F.col("node") == F.col("_m")) & F.col("id").eqNullSafe(F.col("_first")))
     paired = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "copies", "sig", "text")
-    found = staged(paired.repartition(partitions, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "node").mapInArrow(_verify, "node long, root long, links long"), "links")
+    found = staged(paired.repartition(partitions, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "node").mapInArrow(tv.freeing(_verify), "node long, root long, links long"), "links")
     final = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -41,8 +41,7 @@ from .scratch import small_batches, staged
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 2_000_000
-SLICE_BYTES = 4 << 20
+CACHE_WORDS = 250_000
 END_OF_WORD = "</w>"
 TOGETHER = 256
 
@@ -211,7 +210,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = tv.texts(batch.column(1))
-            for a, z in tv.slices(column, SLICE_BYTES):
+            for a, z in tv.slices(column):
                 ids, bound = token_ids(column.slice(a, z - a), vocabulary, end_id)
                 count = -(-np.diff(bound) // capacity)
                 row = np.repeat(np.arange(z - a), count)
@@ -229,7 +228,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", te
     small_batches(docs.sparkSession)
     names = [id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return docs.select(id_col, text_col).mapInArrow(tv.freeing(run, _encoders.clear), f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def bound_of(size: np.ndarray) -> np.ndarray:

@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 bound, index, value = features(column.slice(a, z - a))
                 yield pa.record_batch([batch.column("id").slice(a, z - a), batch.column("label").slice(a, z - a), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(index, pa.int32())), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(value, pa.float32()))], ["id", "label", "at", "x"])
 
-    lit = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(few, "id").mapInArrow(rows, "id long, label int, at array<int>, x array<float>")
+    lit = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(few, "id").mapInArrow(tv.freeing(rows), "id long, label int, at array<int>, x array<float>")
     got = sorted(lit.collect(), key=lambda r: (r.id, r.label, len(r.at)))
     bound = np.concatenate([[0], np.cumsum([len(r.at) for r in got])]).astype(np.int64)
     index = np.fromiter((i for r in got for i in r.at), np.int64, bound[-1])
@@ -191,7 +191,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(rows, f"`{id_col}` {kind}, score double")
+    return docs.select(id_col, text_col).mapInArrow(tv.freeing(rows), f"`{id_col}` {kind}, score double")
 
 
 def keep(docs: DataFrame, machine: Machine, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -207,7 +207,7 @@ def keep(docs: DataFrame, machine: Machine, text_col: str = "text", least: float
                 good = np.round(1 / (1 + np.exp(-np.clip(margin.astype(np.float64), -30, 30))), 6) >= least
                 yield batch.slice(a, z - a).filter(pa.array(good))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(tv.freeing(rows), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:

@@ -124,7 +124,7 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = R
     else:
         unseen = unseen.withColumn("rules", F.array(*map(F.lit, wanted)))
     same = rows.alias("r").join(unseen.alias("u"), F.col("r.id").eqNullSafe(F.col("u.id")) & (F.col("r.blob") == F.col("u.blob")))
-    same.select("r.blob", "u.rules", "r.text").mapInArrow(_scanner(rules), LEDGER).write.mode("append").parquet(path)
+    same.select("r.blob", "u.rules", "r.text").mapInArrow(tv.freeing(_scanner(rules)), LEDGER).write.mode("append").parquet(path)
 
     rank = F.element_at(F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))]), F.col("f.kind"))
     version = F.element_at(F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.key)]), F.col("f.kind"))  # findings of other versions don't count

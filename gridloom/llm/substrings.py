@@ -274,7 +274,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    seen = staged(rows.mapInArrow(_summary, "id long, content binary, n_words long, n_bytes long, kept_sha256 string, kept string"), "summary")
+    seen = staged(rows.mapInArrow(tv.freeing(_summary), "id long, content binary, n_words long, n_bytes long, kept_sha256 string, kept string"), "summary")
     first = seen.where(F.col("id").isNotNull() & (F.col("n_words") >= WINDOW)).groupBy("content").agg(F.min("id").alias("id"), F.max("n_bytes").alias("n_bytes"))
     first = staged(first, "classes")
     total = first.agg(F.sum("n_bytes")).first()[0] or 0
@@ -295,7 +295,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     finally:
         spark.conf.set(every, before)
 
-    found = texts.select("id", "text").mapInArrow(_anchor_pass(buckets), PACKED).groupBy("b").applyInArrow(_shared(groups, False), PACKED)
+    found = texts.select("id", "text").mapInArrow(tv.freeing(_anchor_pass(buckets)), PACKED).groupBy("b").applyInArrow(_shared(groups, False), PACKED)
     windows = texts.groupBy("b").cogroup(found.groupBy("b")).applyInArrow(_window_pass(buckets), PACKED)
     gone = windows.groupBy("b").applyInArrow(_shared(groups, True), PACKED)
     schema = "id long, content binary, n_removed long, kept_sha256 string" + ", kept string" * with_text

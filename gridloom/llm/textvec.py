@@ -1,12 +1,14 @@
 """Words of whole Arrow batches as NumPy arrays: boundaries, 64-bit hashes, hashes of runs of words.
 
 Everything works on the UTF-8 bytes in slices of about a megabyte, so memory
-stays bounded by the slice or the longest single text.
+stays bounded by the slice or the longest single text. ``freeing`` gives back
+what a partition's work has left in the worker, which Spark keeps for others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,17 +27,35 @@ NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 
 _random = np.random.default_rng(20240229)
 _BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
+#: Bytes or words hashed at a time; the powers below serve every hash, so no table grows with a text.
+CHUNK = 1 << 17
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for i, base in enumerate((_BASE, _INVERSE)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[i] = np.multiply.accumulate(table)
-    return _powers[0], _powers[1]
+
+def _powers_of(base: int) -> np.ndarray:
+    table = np.full(CHUNK + 1, base, np.uint64)
+    table[0] = 1
+    return np.multiply.accumulate(table)
+
+
+_POWER, _UNDO = _powers_of(_BASE), _powers_of(_INVERSE)
+
+
+def _prefix(values: np.ndarray) -> np.ndarray:
+    """Sums of up to CHUNK values, each times the power of its place, before every place and in all."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _POWER[: len(values)], out=total[1:])
+    return total
+
+
+def _long_word(data: np.ndarray) -> np.uint64:
+    """What ``hashes`` gives, before mixing, for a word of more than CHUNK bytes."""
+    out, scale = 0, 1
+    for a in range(0, len(data), CHUNK):
+        part = int(_prefix(_BYTE[data[a : a + CHUNK]])[-1])
+        out = (out + part * scale) % (1 << 64)
+        scale = scale * pow(_BASE, CHUNK, 1 << 64) % (1 << 64)
+    return np.uint64(out)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -48,6 +68,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def release() -> None:
+    """Hands freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], after: Callable[[], None] | None = None):
+    """``run`` for ``mapInArrow``, with ``after`` and ``release`` called when its partition ends."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if after:
+                after()
+            release()
+
+    return whole
+
+
 def texts(column: pa.Array) -> pa.Array:
     """The column with nulls as empty texts, as one plain string array."""
     if isinstance(column, pa.ChunkedArray):
@@ -96,16 +139,20 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        power, inverse = _power_tables(n + 1)
-        v = _BYTE[self.data]
-        v *= power[:n]
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(v, out=total[1:])
-        h = total[self.end]
-        h -= total[self.start]
-        h *= inverse[self.start]
-        return mix(h)
+        out = np.zeros(len(self.start), np.uint64)
+        at, n = 0, len(self.start)
+        while at < n:
+            zero = self.start[at]
+            to = int(np.searchsorted(self.end, zero + CHUNK, "right"))
+            if to == at:
+                out[at] = _long_word(self.data[zero : self.end[at]])
+                to += 1
+            else:
+                start, end = self.start[at:to] - zero, self.end[at:to] - zero
+                total = _prefix(_BYTE[self.data[zero : zero + end[-1]]])
+                out[at:to] = (total[end] - total[start]) * _UNDO[start]
+            at = to
+        return mix(out)
 
 
 def words(column: pa.Array, is_word: np.ndarray = NOT_SPACE) -> Words:
@@ -132,14 +179,15 @@ def runs(h: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     n = len(h)
     if n < k:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    power, inverse = _power_tables(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(h * power[:n], out=total[1:])
     room = np.repeat(bound[1:], np.diff(bound)) - np.arange(n)
     at = np.flatnonzero(room >= k)
-    out = total[at + k]
-    out -= total[at]
-    out *= inverse[at]
+    out = np.zeros(len(at), np.uint64)
+    step = CHUNK - k + 1
+    for zero in range(0, n, step):
+        a, z = np.searchsorted(at, (zero, zero + step))
+        total = _prefix(h[zero : zero + CHUNK])
+        mine = at[a:z] - zero
+        out[a:z] = (total[mine + k] - total[mine]) * _UNDO[mine]
     return mix(out), at
 
 

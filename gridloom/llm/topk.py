@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textvec as tv
+
 BLOCK = 4096
 QUERY_BLOCK = 512
 FIRST_DEPTH = 64
@@ -129,7 +131,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                 size = [len(f[0]) for f in found]
                 yield pa.record_batch([pa.array(np.repeat(q_ids, size)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], ["query_id", "id", "score"])
 
-    local = dealt.join(lists, "block").select("q_width", "q_ids", "q_rows", "width", "ids", "rows").mapInArrow(run, "query_id long, id long, score long")
+    local = dealt.join(lists, "block").select("q_width", "q_ids", "q_rows", "width", "ids", "rows").mapInArrow(tv.freeing(run), "query_id long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
