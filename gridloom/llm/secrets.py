@@ -1,18 +1,22 @@
 """Secret scans with an incremental blob ledger.
 
-Every text is addressed by its SHA-256. The ledger, a Parquet table, says
-which rule versions have scanned which blob and what they found. A call
-scans only blob and rule-version pairs that the ledger lacks, appends them,
-and joins the findings back to every row that holds the blob.
-
-Copies meet in a ``groupBy`` on the address that is combined before its
-shuffle; texts move once, keyed by (id, address) of one representative, and
-not at all if the unseen set is small enough for Spark to broadcast. The
-join back is salted, so a blob held by a third of all rows is spread out.
+Every text is addressed by its SHA-256. A ledger is a folder of two Parquet
+tables: ``scans`` says which rule versions have read which blob and what each
+found, ``versions`` which id has held which blob. A call reads only blob and
+rule-version pairs that the ledger lacks and appends them, notes the versions
+that are new, and joins the findings back to every row that holds the blob.
+``history`` joins them back to every version of every id that any call saw.
+
+A finding bears the version of its rule, so findings of a version that is no
+longer asked for count for nothing. Copies meet in a ``groupBy`` on the
+address that is combined before its shuffle; texts move once, keyed by (id,
+address) of one representative. The join back moves ids and addresses; blobs
+without findings are no rows of its other side, and a blob held by a third of
+all rows is split by Spark's skew join or broadcast.
 
 Defined results: null texts count as empty and have no findings; repeated
 rows keep a result each; an empty table gives an empty result and no ledger
-rows; other columns are ignored.
+rows; other columns are ignored, and kept by ``redact`` whatever their names.
 """
 
 from __future__ import annotations
@@ -68,7 +72,6 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 FINDING = "struct<kind:string,start:int,end:int>"
-SALT = 32
 
 
 def _scan(rule: Rule, text: str, regex: re.Pattern) -> Iterator[tuple[int, int]]:
@@ -81,7 +84,11 @@ def _scanner(rules: tuple[Rule, ...]):
     compiled = {r.key: (r, re.compile(r.pattern, re.ASCII | (re.IGNORECASE if r.any_case else 0))) for r in rules}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
+            blobs = batch.column("blob").to_pylist()
+            batch = batch.filter(pa.array([b != a for a, b in zip([last, *blobs], blobs, strict=False)], pa.bool_()))  # rows repeated whole lie together
+            last = blobs[-1] if blobs else last
             column = tv.texts(batch.column("text"))
             wanted = batch.column("rules").to_pylist()
             found: list[list[dict]] = [[] for _ in wanted]
@@ -89,8 +96,8 @@ def _scanner(rules: tuple[Rule, ...]):
                 held = pc.match_substring_regex(column, rule.hint) if rule.hint else pa.array([True] * len(column))
                 for i in pc.indices_nonzero(held).to_pylist():
                     if key in wanted[i]:
-                        found[i] += [{"kind": rule.kind, "start": a, "end": z} for a, z in _scan(rule, column[i].as_py(), regex)]
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+                        found[i] += [{"rule": key, "start": a, "end": z} for a, z in _scan(rule, column[i].as_py(), regex)]
+            kind = pa.list_(pa.struct([("rule", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
             yield pa.record_batch([batch.column("blob"), batch.column("rules"), pa.array(found, kind)], ["blob", "rules", "findings"])
 
     return run
@@ -102,38 +109,62 @@ def _exists(spark, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-LEDGER = f"blob binary, rules array<string>, findings array<{FINDING}>"
+SCANS = "blob binary, rules array<string>, findings array<struct<rule:string,start:int,end:int>>"
 
 
-def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, blob, findings array<struct<kind, start, end>>) of every row; positions are code points, end exclusive.
+def _addressed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("blob"))
 
-    ``ledger`` is the table's path: blobs that it has seen with every one of
-    ``rules`` aren't read again. Without one, a new ledger is made in the
-    shared folder. Findings are sorted by start, then by the order of rules.
-    """
+
+def record(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Scans the blob and rule-version pairs of ``docs`` that the ledger lacks, and notes its new versions."""
     spark = docs.sparkSession
     small_batches(spark)
-    path = ledger or new_path(spark, "ledger")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
+    rows = _addressed(docs, id_col, text_col)
     wanted = [r.key for r in rules]
     unseen = rows.groupBy("blob").agg(F.min(F.struct("id")).alias("first")).select("blob", F.col("first.id").alias("id"))
-    if _exists(spark, path):
-        seen = spark.read.schema(LEDGER).parquet(path).select("blob", F.explode("rules").alias("rule")).where(F.col("rule").isin(wanted)).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+    scans, versions = f"{ledger}/scans", f"{ledger}/versions"
+    if _exists(spark, scans):
+        seen = spark.read.schema(SCANS).parquet(scans).select("blob", F.explode("rules").alias("rule")).where(F.col("rule").isin(wanted)).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
         unseen = unseen.join(seen, "blob", "left").withColumn("rules", F.array_except(F.array(*map(F.lit, wanted)), F.coalesce("seen", F.expr("cast(array() as array<string>)")))).where(F.size("rules") > 0).drop("seen")
     else:
         unseen = unseen.withColumn("rules", F.array(*map(F.lit, wanted)))
     same = rows.alias("r").join(unseen.alias("u"), F.col("r.id").eqNullSafe(F.col("u.id")) & (F.col("r.blob") == F.col("u.blob")))
-    same.select("r.blob", "u.rules", "r.text").mapInArrow(tv.freeing(_scanner(rules)), LEDGER).write.mode("append").parquet(path)
+    same.select("r.blob", "u.rules", "r.text").mapInArrow(tv.freeing(_scanner(rules)), SCANS).write.mode("append").parquet(scans)
+    held = rows.select("id", "blob")
+    if _exists(spark, versions):
+        noted = spark.read.parquet(versions).distinct().alias("n")
+        held = held.alias("h").join(noted, F.col("h.id").eqNullSafe(F.col("n.id")) & (F.col("h.blob") == F.col("n.blob")), "left_anti")
+    held.write.mode("append").parquet(versions)
+
+
+def _joined_back(held: DataFrame, ledger: str, rules: tuple[Rule, ...], id_col: str) -> DataFrame:
+    """(id, blob, findings) of every row of ``held`` (id, blob): what these versions of the rules found in the blob."""
+    keys = [r.key for r in rules]
+    place = lambda values: F.element_at(F.create_map(*[x for k, v in zip(keys, values, strict=True) for x in (F.lit(k), F.lit(v))]), F.col("f.rule"))
+    found = held.sparkSession.read.schema(SCANS).parquet(f"{ledger}/scans").where(F.size("findings") > 0).select("blob", F.explode("findings").alias("f")).where(F.col("f.rule").isin(keys))
+    found = found.select("blob", F.struct(F.col("f.start").alias("start"), place(range(len(keys))).alias("rank"), F.col("f.end").alias("end"), place([r.kind for r in rules]).alias("kind")).alias("f"))
+    found = found.groupBy(F.col("blob").alias("of")).agg(F.array_sort(F.collect_set("f")).alias("found"))
+    listed = F.coalesce(F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))), F.expr(f"cast(array() as array<{FINDING}>)"))
+    return held.join(found, F.col("blob") == F.col("of"), "left").select(F.col("id").alias(id_col), F.lower(F.hex("blob")).alias("blob"), listed.alias("findings"))
+
+
+def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, blob, findings array<struct<kind, start, end>>) of every row; positions are code points, end exclusive.
+
+    ``ledger`` is the folder's path: blobs that it has seen with every one of
+    ``rules`` aren't read again. Without one, a new ledger is made in the
+    shared folder. Findings are sorted by start, then by the order of rules.
+    """
+    path = ledger or new_path(docs.sparkSession, "ledger")
+    record(docs, path, rules, id_col, text_col)
+    return _joined_back(_addressed(docs, id_col, text_col).select("id", "blob"), path, rules, id_col)
+
 
-    rank = F.element_at(F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))]), F.col("f.kind"))
-    version = F.element_at(F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.key)]), F.col("f.kind"))  # findings of other versions don't count
-    known = spark.read.schema(LEDGER).parquet(path).where(F.size("findings") > 0).select("blob", "rules", F.explode("findings").alias("f")).where(F.array_contains("rules", version)).select("blob", "f").distinct()
-    known = known.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct(F.col("f.start").alias("start"), rank.alias("rank"), F.col("f.end").alias("end"), F.col("f.kind").alias("kind")))).alias("found"))
-    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    all_rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("blob")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int"))
-    found = F.coalesce(F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))), F.expr(f"cast(array() as array<{FINDING}>)"))
-    return all_rows.join(known, ["blob", "salt"], "left").select(F.col("id").alias(id_col), F.lower(F.hex("blob")).alias("blob"), found.alias("findings"))
+def history(spark, ledger: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id") -> DataFrame:
+    """(id, blob, findings) of every version that the ledger has noted, by the given versions of the rules; no text is read."""
+    return _joined_back(spark.read.parquet(f"{ledger}/versions"), ledger, rules, id_col)
 
 
 def joined(findings: Column) -> Column:
@@ -143,13 +174,16 @@ def joined(findings: Column) -> Column:
 
 def redact(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with each finding's code points replaced by ``mark``; overlapping findings become one. Other columns stay."""
-    hits = scanned.where(F.size("findings") > 0).groupBy(id_col, "blob").agg(F.first("findings").alias("_findings")).select(F.col(id_col).alias("_id"), F.col("blob").alias("_blob"), "_findings").hint("shuffle_hash")
-    merged = F.aggregate("_findings", F.expr("cast(array() as array<struct<a:int,z:int>>)"), lambda out, x: F.when((F.size(out) > 0) & (x["start"] <= F.element_at(out, -1)["z"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["a"].alias("a"), F.greatest(F.element_at(out, -1)["z"], x["end"]).alias("z"))))).otherwise(F.concat(out, F.array(F.struct(x["start"].alias("a"), x["end"].alias("z"))))))
+    hits = scanned.where(F.size("findings") > 0).groupBy(F.col(id_col).alias("id"), F.col("blob").alias("of")).agg(F.first("findings").alias("findings")).hint("shuffle_hash")
+    merged = F.aggregate("findings", F.expr("cast(array() as array<struct<a:int,z:int>>)"), lambda out, x: F.when((F.size(out) > 0) & (x["start"] <= F.element_at(out, -1)["z"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["a"].alias("a"), F.greatest(F.element_at(out, -1)["z"], x["end"]).alias("z"))))).otherwise(F.concat(out, F.array(F.struct(x["start"].alias("a"), x["end"].alias("z"))))))
     first = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-    text = F.aggregate(merged, first, lambda acc, x: F.struct(F.concat(acc["text"], F.col("_whole").substr(acc["at"] + 1, x["a"] - acc["at"]), F.lit(mark)).alias("text"), x["z"].alias("at")), lambda acc: F.concat(acc["text"], F.col("_whole").substr(acc["at"] + 1, F.length("_whole"))))
-    keyed = docs.withColumns({"_whole": F.coalesce(F.col(text_col), F.lit("")), "_blob": F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)})
-    out = keyed.join(hits, F.col(id_col).eqNullSafe(F.col("_id")) & (keyed["_blob"] == hits["_blob"]), "left")
-    return out.withColumn(text_col, F.when(F.col("_findings").isNotNull(), text).otherwise(F.col(text_col))).select(*docs.columns)
+    whole = F.coalesce(F.col("row")[text_col], F.lit(""))
+    text = F.aggregate(merged, first, lambda acc, x: F.struct(F.concat(acc["text"], whole.substr(acc["at"] + 1, x["a"] - acc["at"]), F.lit(mark)).alias("text"), x["z"].alias("at")), lambda acc: F.concat(acc["text"], whole.substr(acc["at"] + 1, F.length(whole))))
+    # the row travels as one column, so that no name of its own can clash with ours
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("blob", F.sha2(whole, 256))
+    out = keyed.join(hits, F.col("row")[id_col].eqNullSafe(F.col("id")) & (F.col("blob") == F.col("of")), "left")
+    clean = F.when(F.col("findings").isNotNull(), text).otherwise(F.col("row")[text_col])
+    return out.select(*((clean if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def _count(kind: str) -> Column:
@@ -157,6 +191,10 @@ def _count(kind: str) -> Column:
 
 
 def op1_secrets(spark, sf_dir: str) -> DataFrame:
-    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Two increments into one ledger, each scanned when it comes; the ledger gives the result for all rows."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), new_path(spark, "ledger")
+    later = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2, F.lit(0))
+    for turn in (0, 1):
+        record(docs.where(later == turn), path)
     base = F.filter("findings", lambda x: x["kind"].isin(*BASE))
-    return found.select("doc_id", *(_count(k).cast("long").alias(f"n_{k}") for k in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
+    return history(spark, path).select("doc_id", *(_count(k).cast("long").alias(f"n_{k}") for k in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))

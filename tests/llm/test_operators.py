@@ -108,23 +108,55 @@ def test_signed_tokens_are_found_inside_runs():
     assert time.process_time() - began < 20
 
 
+def plain(df):
+    return sorted(map(str, df.collect()))
+
+
 def test_ledger_scans_only_what_is_unseen(docs, spark, tmp_path):
     path = str(tmp_path / "ledger")
-    first = secrets.scan(docs, path).select("doc_id", secrets.joined(F.col("findings"))).collect()
-    size = spark.read.parquet(path).count()
+    scans = lambda: spark.read.parquet(f"{path}/scans")
+    first = plain(secrets.scan(docs, path))
+    size = scans().count()
     assert size == len({t or "" for _, t, *_ in corpus()})
-    assert sorted(map(str, secrets.scan(docs, path).select("doc_id", secrets.joined(F.col("findings"))).collect())) == sorted(map(str, first))
-    assert spark.read.parquet(path).count() == size
+    assert plain(secrets.scan(docs, path)) == first
+    assert scans().count() == size
     newer = (*secrets.RULES[:2], secrets.Rule("hex", r"[0-9a-f]{32,}", 0, 32, version=2, hint="[0-9a-f]{32}"))
     secrets.scan(docs, path, newer).count()
-    again = spark.read.parquet(path).where(F.array_contains("rules", "hex@2"))
+    again = scans().where(F.array_contains("rules", "hex@2"))
     assert again.count() == size and again.where(F.size("rules") > 1).count() == 0
 
 
+def test_findings_of_an_older_version_of_a_rule_are_forgotten(spark, tmp_path):
+    d = spark.createDataFrame([(1, "0f" * 20), (2, "0f" * 40), (3, None)], "doc_id long, text string")
+    path = str(tmp_path / "ledger")
+    old, new = secrets.Rule("hex", r"[0-9a-f]{32,}"), secrets.Rule("hex", r"[0-9a-f]{64,}", version=2)
+    assert {r.doc_id: len(r.findings) for r in secrets.scan(d, path, (old,)).collect()} == {1: 1, 2: 1, 3: 0}
+    assert plain(secrets.scan(d, path, (new,))) == plain(secrets.scan(d, None, (new,)))
+    assert {r.doc_id: len(r.findings) for r in secrets.scan(d, path, (new,)).collect()} == {1: 0, 2: 1, 3: 0}
+    assert {r.doc_id: len(r.findings) for r in secrets.scan(d, path, (old,)).collect()} == {1: 1, 2: 1, 3: 0}
+
+
+def test_history_holds_every_version_of_every_path(docs, spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    kind = "doc_id long, text string"
+    secrets.record(spark.createDataFrame([(1, "0f" * 20), (2, "nothing"), (2, "nothing")], kind), path)
+    secrets.record(spark.createDataFrame([(1, "clean now"), (2, "nothing"), (3, "0f" * 20)], kind), path)
+    got = sorted((r.doc_id, len(r.findings)) for r in secrets.history(spark, path).collect())
+    assert got == [(1, 0), (1, 1), (2, 0), (2, 0), (3, 1)]
+    assert spark.read.parquet(f"{path}/scans").select("blob").distinct().count() == 3
+    halves = str(tmp_path / "halves")
+    for turn in (0, 1):
+        secrets.record(docs.where(F.col("doc_id") % 2 == turn), halves)
+    assert plain(secrets.history(spark, halves)) == plain(secrets.scan(docs))
+
+
 def test_redact(docs):
     clean = rows_of(secrets.redact(docs, secrets.scan(docs)))
     assert clean[17][0].text == "[secret]' [secret] é password:x [secret]" and clean[4][0].text is None and clean[0][0].text == corpus()[0][1]
     assert sum(map(len, clean.values())) == len(corpus())
+    odd = docs.select("doc_id", "text", *(F.lit(7).alias(c) for c in ("_blob", "_id", "id", "of", "row", "findings", "a.b")))
+    got = secrets.redact(odd, secrets.scan(docs))
+    assert got.columns == odd.columns and {r.text for r in got.where("doc_id = 17").collect()} == {clean[17][0].text} and got.where("`a.b` = 7 AND findings = 7").count() == len(corpus())
 
 
 def test_private_keys_are_redacted_whole(spark, tmp_path):
