@@ -46,11 +46,12 @@ SQL = {
         e AS (SELECT source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS epochs, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest FROM f),
         d AS (SELECT r.*, substr(place, 1, digits) AS block FROM r, n),
         t AS (SELECT source, block, sum(tokens) AS in_block FROM d GROUP BY source, block),
-        o AS (SELECT source, block, in_block, coalesce(sum(in_block) OVER (PARTITION BY source ORDER BY md5(coalesce(source, '') || ':' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t),
-        p AS (SELECT d.*, e.epochs, e.rest, o.before, o.in_block, sum(d.tokens) OVER (PARTITION BY d.source, d.block ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) AS running
-              FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source AND d.block = o.block JOIN e ON d.source IS NOT DISTINCT FROM e.source)
-        SELECT doc_id, source, tokens, CAST(unnest(range(0, epochs)) AS INTEGER) AS epoch, block FROM p
-        UNION ALL SELECT doc_id, source, tokens, CAST(epochs AS INTEGER), block FROM p WHERE rest > 0 AND (before + in_block <= rest OR before < rest AND before + running <= rest)
+        o AS (SELECT t.*, epochs, rest, coalesce(sum(in_block) OVER (PARTITION BY t.source ORDER BY md5(epochs || ':' || coalesce(t.source, '') || ':' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t JOIN e ON t.source IS NOT DISTINCT FROM e.source),
+        p AS (SELECT d.*, o.epochs, o.rest, o.before, o.in_block, sum(d.tokens) OVER (PARTITION BY d.source, d.block ORDER BY md5(epochs || ':' || doc_id), doc_id, d.tokens ROWS UNBOUNDED PRECEDING) AS running
+              FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source AND d.block = o.block),
+        z AS (SELECT doc_id, source, tokens, CAST(unnest(range(0, epochs)) AS INTEGER) AS epoch, block FROM p
+              UNION ALL SELECT doc_id, source, tokens, CAST(epochs AS INTEGER), block FROM p WHERE rest > 0 AND (before + in_block <= rest OR before < rest AND before + running <= rest))
+        SELECT *, md5(epoch || ':' || coalesce(source, '') || ':' || block) AS turn, md5(epoch || ':' || doc_id) AS place FROM z
     """,
 }
 
