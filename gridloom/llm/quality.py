@@ -2,14 +2,16 @@
 
 The score is ``sigmoid(b + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2))``,
 so a document costs time linear in its words. Training runs on the driver
-over at most ``sample`` labelled rows (the bound is a parameter); every
-document is scored, whole, where it lies: no shuffle of texts.
+over at most ``sample`` labelled rows and ``values`` numbers (the bounds are
+parameters); every document is scored, whole, where it lies: no shuffle of
+texts.
 
 Defined results: null and empty texts have no words and get the score of the
 statistics alone; labels that are null or without a document teach nothing;
-a document with several label rows counts once per row; without any label
-every score is 0.5. Repeated rows keep their own result each. Other columns
-are ignored.
+a document with several label rows teaches once per different label, one of
+several texts under one id once per text, repeated rows once; without any
+label every score is 0.5. Repeated rows keep their own result each. Ids may
+be of any type. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .scratch import small_batches, smallest
+from .scratch import small_batches, smallest, staged
 
 BUCKETS = 1 << 15
 BINS = 16
 SAMPLE = 4000
+VALUES = 8_000_000
 
 
 def _class_of_bytes() -> np.ndarray:
@@ -147,35 +150,48 @@ def train(bound: np.ndarray, index: np.ndarray, value: np.ndarray, label: np.nda
     return m
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Machine:
-    """Learns from the ``sample`` labelled rows with the smallest hashes of their ids.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, values: int = VALUES) -> Machine:
+    """Learns from the ``sample`` labelled rows with the smallest hashes of id and text, as far as their features make up ``values`` numbers.
 
-    Rows whose crc32(id as text) mod 3 is 1 are held out. Only the chosen ids,
-    at most ``sample``, are broadcast; texts aren't shuffled.
+    Rows whose crc32(id as text) mod 3 is 1 are held out. First only ids,
+    labels and lengths of at most ``2 * sample`` labels' documents are seen,
+    then the features of the chosen texts; texts are never gathered.
     """
     spark = docs.sparkSession
     small_batches(spark)
     key = F.col(id_col).cast("string")
-    taught = labels.where(F.col(label_col).isNotNull() & (F.crc32(key) % 3 != 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    chosen = smallest(taught, F.xxhash64(F.col("id").cast("string"), F.lit(11)), ["id", "label"], sample).collect()
+    taught = labels.where(F.col(label_col).isNotNull() & key.isNotNull() & (F.crc32(key) % 3 != 1)).select(key.alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
+    asked = smallest(taught, F.xxhash64("id", F.lit(11)), ["id", "label"], sample).collect()
+    if not asked:
+        none = np.zeros(0, np.int64)
+        return train(np.zeros(1, np.int64), none, none, none)
+    few = F.broadcast(spark.createDataFrame(asked, "id string, label int"))
+    lit = docs.select(key.alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(few, "id").withColumn("same", F.xxhash64("text"))
+    light = staged(lit.groupBy("id", "label", "same").agg(F.max(F.length("text")).alias("n")), "light")
+    chosen, held = [], 0
+    for r in smallest(light, F.xxhash64("id", "same", F.lit(11)), ["id", "label", "same"], sample).collect():
+        held += min(r.n // 2 + 1, BUCKETS) + STATS
+        if held > values and chosen:
+            break
+        chosen.append((r.id, r.label, r.same))
     if not chosen:
         none = np.zeros(0, np.int64)
         return train(np.zeros(1, np.int64), none, none, none)
-    few = F.broadcast(spark.createDataFrame(chosen, "id long, label int"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = tv.texts(batch.column("text"))
             for a, z in tv.slices(column):
                 bound, index, value = features(column.slice(a, z - a))
-                yield pa.record_batch([batch.column("id").slice(a, z - a), batch.column("label").slice(a, z - a), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(index, pa.int32())), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(value, pa.float32()))], ["id", "label", "at", "x"])
-
-    lit = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(few, "id").mapInArrow(tv.freeing(rows), "id long, label int, at array<int>, x array<float>")
-    got = sorted(lit.collect(), key=lambda r: (r.id, r.label, len(r.at)))
-    bound = np.concatenate([[0], np.cumsum([len(r.at) for r in got])]).astype(np.int64)
-    index = np.fromiter((i for r in got for i in r.at), np.int64, bound[-1])
-    value = np.fromiter((x for r in got for x in r.x), np.float32, bound[-1])
-    return train(bound, index, value, np.array([r.label for r in got], np.float32))
+                yield pa.record_batch([*(batch.column(c).slice(a, z - a) for c in ("id", "label", "same")), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(index, pa.int32())), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(value, pa.float32()))], ["id", "label", "same", "at", "x"])
+
+    these = F.broadcast(spark.createDataFrame(chosen, "id string, label int, same long"))
+    once = lit.drop("label").join(these, ["id", "same"]).groupBy("id", "label", "same").agg(F.first("text").alias("text"))
+    learnt = once.select("id", "label", "same", "text").mapInArrow(tv.freeing(rows), "id string, label int, same long, at array<int>, x array<float>").toArrow()
+    learnt = learnt.sort_by([("id", "ascending"), ("label", "ascending"), ("same", "ascending")])
+    size = np.concatenate([[0], *(c.value_lengths().to_numpy() for c in learnt["at"].chunks)]).astype(np.int64)
+    flat = lambda c, t: np.concatenate([np.zeros(0, t), *(x.flatten().to_numpy() for x in learnt[c].chunks)]).astype(t)
+    return train(np.cumsum(size), flat("at", np.int64), flat("x", np.float32), learnt["label"].to_numpy().astype(np.float32))
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -461,6 +461,22 @@ def test_quality_does_not_look_at_labels_or_batches(docs, spark):
     assert [r.score for r in none] == [0.5]
 
 
+def test_what_is_gathered_to_learn_is_bounded(spark):
+    rows = [("a", text(k % 3, 30)) for k in range(200)] + [("b", text(50, 20000)), (None, "x"), ("c", None), ("d", text(51, 20))]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([("a", 1), ("a", 1), ("b", 0), ("c", 1), (None, 1), ("d", 0)], "doc_id string, quality int")
+    seen = []
+    keep, quality.train = quality.train, lambda bound, index, value, label: seen.append((len(label), len(index))) or keep(bound, index, value, label)
+    try:
+        quality.fit(d, labels)
+        quality.fit(d, labels, sample=2)
+        quality.fit(d, labels, values=1)
+    finally:
+        quality.train = keep
+    known = sum(zlib.crc32(i.encode()) % 3 != 1 for i in "abcd")
+    assert seen[0][0] == known + 2 * (zlib.crc32(b"a") % 3 != 1) and seen[1][0] <= 2 and seen[2][0] == 1
+
+
 # 8
 
 
@@ -585,6 +601,36 @@ def test_every_document_is_drawn_without_a_budget(docs):
     assert {r.doc_id for r in out.collect()} == ids and out.columns == docs.columns
 
 
+def test_repeated_rows_share_their_draws_to_the_last(spark):
+    rows = [(1, "a b c", "x", k) for k in range(3)] + [(2, "a b c", "x", 0), (2, "a b", "y", 1), (None, "a", None, 0), (3, None, "y", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, _time int").withColumn("turn", F.lit(1)).withColumn("row", F.lit("r"))
+    for budget in (None, 5, 12, 15, 31, 47):
+        drawn = mixing.draw(d, budget=budget)
+        out = mixing.mix_rows(d, budget=budget)
+        assert out.columns == d.columns and out.count() == drawn.count()
+        many = lambda df: sorted((str(r.doc_id), str(r.source), r["count"]) for r in df.groupBy("doc_id", "source").count().collect())
+        assert many(out) == many(drawn)
+        copies = [r["count"] for r in out.where("doc_id = 1").groupBy("_time").count().collect()]
+        assert max(copies, default=0) - (min(copies) if len(copies) == 3 else 0) <= 1
+
+
+def test_entropy_is_met_by_the_largest_exponent(spark):
+    rng = np.random.default_rng(3)
+    tokens = rng.integers(1, 10**6, 300)
+    shares = spark.createDataFrame([(str(k), int(n)) for k, n in enumerate(tokens)], "source string, tokens long")
+    p = tokens / tokens.sum()
+
+    def plain(a):
+        q = p**a / (p**a).sum()
+        return -(q * np.log(q)).sum()
+
+    for wanted in (5.0, 5.5, plain(1) - 0.1):
+        a = mixing.exponent(shares, None, entropy=float(wanted)).first()[0]
+        assert plain(min(1, a + 2e-6)) <= wanted + 1e-9 or a >= 1 - 2e-6
+        assert plain(max(0, a - 2e-6)) >= wanted - 1e-9
+    assert mixing.exponent(shares.where("false"), None, entropy=1.0).first()[0] == 1.0
+
+
 # All of them
 
 
