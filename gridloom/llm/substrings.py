@@ -14,11 +14,14 @@ starts in a document with a smaller id. Instead of sorting every window:
 
 Exact copies are one class: only the smallest id goes through the steps, so
 a text that a third of all rows hold costs no more than any other. Texts are
-shuffled once, into a table bucketed like the groups that the later steps
-join on; after that only packed hashes move, a binary row for each pair of
-blocks, never a row for each pair of documents.
+shuffled once, into a table bucketed by groups of ``GROUP_BYTES``; after that
+only packed hashes move. A group sends each different hash once, with the
+smallest and the largest id that hold it there, so a passage that a third of
+all documents share is one entry a group, and gets back what the others hold.
+Blocks of hashes are cut by how many words there are.
 
-Hashes have 64 bits; windows that collide are taken for equal.
+Windows are told apart by 128 bits: two sums over words that are hashed in
+two ways. Anchors have 64; a chance meeting there only adds windows to look at.
 
 Defined results: a null or empty text has no words; a row with a null id
 loses nothing and takes nothing from others; rows with one id, repeated or
@@ -45,6 +48,8 @@ WINDOW = 13
 PERIOD = 7
 COVER = (1, 2, 4)  # differences 1 to 6 modulo 7, each once
 GROUP_BYTES = 4 << 20
+BLOCK_HASHES = 1 << 20
+OTHER = np.uint64(0xA0761D6478BD642F)
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -56,73 +61,62 @@ def anchors(h: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return run[on], at[on]
 
 
-def _pack(bucket: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-    """One binary row per bucket: distinct ids, how many hashes each has, the hashes."""
-    order = np.lexsort((hashes, ids, bucket))
-    bucket, ids, hashes = bucket[order], ids[order], hashes[order]
-    if len(bucket):
-        same = (bucket[1:] == bucket[:-1]) & (ids[1:] == ids[:-1]) & (hashes[1:] == hashes[:-1])
-        keep = np.concatenate([[True], ~same])
-        bucket, ids, hashes = bucket[keep], ids[keep], hashes[keep]
-    first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (ids[1:] != ids[:-1])])) if len(bucket) else np.zeros(0, np.int64)
-    count = np.diff(np.concatenate([first, [len(bucket)]])).astype(np.int32)
-    block = bucket[first]
-    cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
-    starts = np.concatenate([cut, [len(first)]])
-    rows = [(int(block[a]), ids[first[a:z]].astype("<i8").tobytes(), count[a:z].tobytes(), hashes[first[a] : (first[z] if z < len(first) else len(hashes))].astype("<u8").tobytes()) for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-    columns = list(zip(*rows, strict=True)) or [()] * 4
-    return pa.record_batch([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["b", "ids", "counts", "hashes"])
+def _check(h: np.ndarray) -> np.ndarray:
+    """The words' hashes in another way, for the second half of a window's key."""
+    return tv.mix(h + OTHER)
 
 
-PACKED = "b int, ids binary, counts binary, hashes binary"
+def _merged(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different rows of ``keys`` in order, with the smallest and the largest id of each."""
+    if not len(keys):
+        return keys, low, high
+    order = np.lexsort(keys.T[::-1])
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
+    return keys[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
 
 
-def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(id, hash) of every packed pair."""
-    ids = np.frombuffer(b"".join(table["ids"].to_pylist()), "<i8")
-    counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.int32)
-    return np.repeat(ids, counts), np.frombuffer(b"".join(table["hashes"].to_pylist()), "<u8")
+PACKED = "b int, g int, keys binary, lows binary, highs binary"
+FOUND = "b int, keys binary, lows binary"
 
 
-def _pairs(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    return tv.mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ hashes)
+def _sent(group: int, blocks: int, keys: np.ndarray, ids: np.ndarray) -> pa.Table:
+    """What a group of texts holds, one binary row for each block of hashes."""
+    keys, low, high = _merged(keys, ids, ids)
+    block = (keys[:, 0] >> np.uint64(33)).astype(np.int64) % blocks
+    order = np.argsort(block, kind="stable")
+    return _rows_of("b", block[order], [keys[order], low[order], high[order]], ["keys", "lows", "highs"], {"g": group})
 
 
-def _shared(groups: int, smaller_only: bool):
-    """Per block of hashes, the pairs whose hash other ids hold too (``smaller_only``: smaller ids), packed by the ids' groups."""
+def _rows_of(name: str, number: np.ndarray, arrays: list[np.ndarray], names: list[str], more: dict[str, int]) -> pa.Table:
+    """A binary row for each run of equal ``number``."""
+    cut = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(number) else np.zeros(0, np.int64)
+    ends = np.concatenate([cut[1:], [len(number)]]) if len(number) else cut
+    packed = [pa.array([a[s:e].tobytes() for s, e in zip(cut.tolist(), ends.tolist(), strict=True)], pa.binary()) for a in arrays]
+    return pa.table([pa.array(number[cut].astype(np.int32)), *(pa.array([v] * len(cut), pa.int32()) for v in more.values()), *packed], [name, *more, *names])
 
-    def run(table):
-        ids, hashes = _unpack(table)
-        order = np.lexsort((ids, hashes))
-        ids, hashes = ids[order], hashes[order]
-        first = np.concatenate([[True], hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, bool)
-        at = np.flatnonzero(first)
-        size = np.diff(np.concatenate([at, [len(hashes)]]))
-        low = np.repeat(ids[at], size)
-        if smaller_only:
-            hit = ids > low
-        else:
-            hit = low < np.repeat(ids[at + size - 1], size)
-        return pa.Table.from_batches([_pack(_group_of(ids[hit], groups), ids[hit], hashes[hit])])
 
-    return run
+def _numbers(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table[name].to_pylist()), kind)
 
 
-def _group_of(ids: np.ndarray, groups: int) -> np.ndarray:
-    """Spark's pmod(xxhash64(id), groups): XXH64 of one 64-bit word with seed 42."""
-    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda x, k: x << np.uint64(k) | x >> np.uint64(64 - k)
-    h = np.full(len(ids), 42 + 8, np.uint64) + p5
-    h ^= turn(ids.astype(np.uint64) * p2, 31) * p1
-    h = turn(h, 27) * p1 + p4
-    h = (h ^ h >> np.uint64(33)) * p2
-    h = (h ^ h >> np.uint64(29)) * p3
-    h ^= h >> np.uint64(32)
-    return (h.view(np.int64) % groups).astype(np.int32)
+def _shared(width: int, smaller_only: bool):
+    """Per block of hashes, for each group its keys that other ids hold too (``smaller_only``: smaller ids), with the smallest id."""
 
+    def run(table):
+        keys, low, high = _numbers(table, "keys", "<u8").reshape(-1, width), _numbers(table, "lows", "<i8"), _numbers(table, "highs", "<i8")
+        group = np.repeat(table["g"].to_numpy(), [len(x) // (8 * width) for x in table["keys"].to_pylist()])
+        order = np.lexsort(keys.T[::-1])
+        keys, low, high, group = keys[order], low[order], high[order], group[order]
+        first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])) if len(keys) else np.zeros(0, np.int64)
+        size = np.diff(np.concatenate([first, [len(keys)]]))
+        least = np.repeat(np.minimum.reduceat(low, first), size) if len(first) else low
+        hit = high > least if smaller_only else np.repeat(np.maximum.reduceat(high, first), size) > least if len(first) else np.zeros(0, bool)
+        keys, least, group = keys[hit], least[hit], group[hit]
+        order = np.argsort(group, kind="stable")
+        return _rows_of("b", group[order], [keys[order], least[order]], ["keys", "lows"], {})
 
-def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return (hashes >> np.uint64(40)).astype(np.int64) % buckets
+    return run
 
 
 def _rows(table: pa.Table) -> Iterator[tuple[np.ndarray, pa.Array]]:
@@ -131,48 +125,38 @@ def _rows(table: pa.Table) -> Iterator[tuple[np.ndarray, pa.Array]]:
         yield ids[a:z], column.slice(a, z - a)
 
 
-def _anchor_pass(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for ids, column in _rows(pa.Table.from_batches([batch.select(["id", "text"])])):
-                w = tv.words(column)
-                run_, at = anchors(w.hashes(), w.bound)
-                held.append((ids[w.owner()[at]], run_))
-                size += len(at)
-                if size > 1_000_000:
-                    yield packed(held)
-                    held, size = [], 0
-        if held:
-            yield packed(held)
-
-    def packed(held):
-        ids, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
-        return _pack(_bucket_of(hashes, buckets), ids, hashes)
+def _gathered(parts: list[tuple[np.ndarray, np.ndarray]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros((0, width), np.uint64), *(k for k, _ in parts)]), np.concatenate([np.zeros(0, np.int64), *(i for _, i in parts)])
+
+
+def _anchor_pass(blocks: int):
+    def run(key, texts):
+        parts = []
+        for ids, column in _rows(texts):
+            w = tv.words(column)
+            anchor, at = anchors(w.hashes(), w.bound)
+            parts.append((anchor[:, None], ids[w.owner()[at]]))
+        return _sent(key[0].as_py(), blocks, *_gathered(parts, 1))
 
     return run
 
 
-def _window_pass(buckets: int):
-    def run(texts, marks):
-        wanted = np.sort(_pairs(*_unpack(marks)))
-        out_ids, out_hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        if len(wanted):
-            for ids, column in _rows(texts):
-                w = tv.words(column)
-                h, owner = w.hashes(), w.owner()
-                run_, at = anchors(h, w.bound)
-                hit = at[_within(wanted, _pairs(ids[owner[at]], run_))]
-                window, start = tv.runs(h, w.bound, WINDOW)
-                # a window holds the anchors that begin at its first PERIOD words
-                marked = np.zeros(len(h) + 1, np.int64)
-                marked[hit + 1] = 1
-                marked = np.cumsum(marked)
-                near = marked[start + PERIOD] > marked[start]
-                out_ids.append(ids[owner[start[near]]])
-                out_hashes.append(window[near])
-        ids, hashes = np.concatenate(out_ids), np.concatenate(out_hashes)
-        return pa.Table.from_batches([_pack(_bucket_of(hashes, buckets), ids, hashes)])
+def _window_pass(blocks: int):
+    def run(key, texts, marks):
+        wanted, parts = np.sort(_numbers(marks, "keys", "<u8")), []
+        for ids, column in _rows(texts) if len(wanted) else ():
+            w = tv.words(column)
+            h, owner = w.hashes(), w.owner()
+            anchor, at = anchors(h, w.bound)
+            hit = at[_within(wanted, anchor)]
+            window, start = tv.runs(h, w.bound, WINDOW)
+            # a window holds the anchors that begin at its first PERIOD words
+            marked = np.zeros(len(h) + 1, np.int64)
+            marked[hit + 1] = 1
+            marked = np.cumsum(marked)
+            near = marked[start + PERIOD] > marked[start]
+            parts.append((np.stack([window[near], tv.runs_at(_check(h), start[near], WINDOW)], 1), ids[owner[start[near]]]))
+        return _sent(key[0].as_py() if key[0].is_valid else 0, blocks, *_gathered(parts, 2))
 
     return run
 
@@ -183,6 +167,27 @@ def _within(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return sorted_keys[np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)] == keys
 
 
+class _Gone:
+    """The smallest id of each key (hash, check) that a group was told."""
+
+    def __init__(self, table: pa.Table):
+        keys, low = _numbers(table, "keys", "<u8").reshape(-1, 2), _numbers(table, "lows", "<i8")
+        order = np.lexsort(keys.T[::-1])
+        self.hash, self.check, self.low = keys[order, 0], keys[order, 1], low[order]
+        same = np.diff(np.concatenate([np.flatnonzero(np.concatenate([[True], self.hash[1:] != self.hash[:-1]])), [len(order)]])) if len(order) else np.zeros(0, np.int64)
+        self.alike = int(same.max(initial=0))  # keys with one hash: 1 but for chance
+
+    def takes(self, h: np.ndarray, window: np.ndarray, start: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Starts of the windows that a smaller id holds."""
+        some = np.flatnonzero(_within(self.hash, window))
+        at, check = np.searchsorted(self.hash, window[some]), tv.runs_at(_check(h), start[some], WINDOW)
+        out = np.zeros(len(some), bool)
+        for k in range(self.alike):
+            slot = np.minimum(at + k, len(self.hash) - 1)
+            out |= (self.hash[slot] == window[some]) & (self.check[slot] == check) & (ids[some] > self.low[slot])
+        return start[some[out]]
+
+
 def kept_words(w: tv.Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of the kept words joined by single spaces, and their bounds between texts."""
     n = len(w.data)
@@ -203,16 +208,15 @@ def kept_words(w: tv.Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _digest_pass(with_text: bool):
     def run(texts, gone):
-        removed = np.sort(_pairs(*_unpack(gone)))
-        out = []
+        removed, out = _Gone(gone), []
         pairs = list(zip(texts["id"].to_pylist(), texts["content"].to_pylist(), strict=True))
         texts = texts.take(pa.array(sorted({p: i for i, p in enumerate(pairs)}.values()), pa.int64()))  # a repeated row once
         content = texts["content"].combine_chunks()
         for ids, column in _rows(texts):
             w = tv.words(column)
-            owner = w.owner()
-            window, start = tv.runs(w.hashes(), w.bound, WINDOW)
-            hit = start[_within(removed, _pairs(ids[owner[start]], window))]
+            h, owner = w.hashes(), w.owner()
+            window, start = tv.runs(h, w.bound, WINDOW)
+            hit = removed.takes(h, window, start, ids[owner[start]])
             cover = np.zeros(len(w.start) + 1, np.int64)
             cover[hit] += 1
             cover[hit + WINDOW] -= 1
@@ -275,12 +279,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     seen = staged(rows.mapInArrow(tv.freeing(_summary), "id long, content binary, n_words long, n_bytes long, kept_sha256 string, kept string"), "summary")
-    first = seen.where(F.col("id").isNotNull() & (F.col("n_words") >= WINDOW)).groupBy("content").agg(F.min("id").alias("id"), F.max("n_bytes").alias("n_bytes"))
+    first = seen.where(F.col("id").isNotNull() & (F.col("n_words") >= WINDOW)).groupBy("content").agg(F.min("id").alias("id"), F.max("n_bytes").alias("n_bytes"), F.max("n_words").alias("n_words"))
     first = staged(first, "classes")
-    total = first.agg(F.sum("n_bytes")).first()[0] or 0
+    total, words = (x or 0 for x in first.agg(F.sum("n_bytes"), F.sum("n_words")).first())
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = max(1, -(-total // GROUP_BYTES))
-    buckets = 4 * partitions
+    blocks = max(partitions, -(-words * len(COVER) // (PERIOD * BLOCK_HASHES)))
 
     held = min(groups, partitions)
     dealt = lambda df, key: df.withColumn("b", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")).repartition(held, "b")
@@ -295,9 +299,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     finally:
         spark.conf.set(every, before)
 
-    found = texts.select("id", "text").mapInArrow(tv.freeing(_anchor_pass(buckets)), PACKED).groupBy("b").applyInArrow(_shared(groups, False), PACKED)
-    windows = texts.groupBy("b").cogroup(found.groupBy("b")).applyInArrow(_window_pass(buckets), PACKED)
-    gone = windows.groupBy("b").applyInArrow(_shared(groups, True), PACKED)
+    found = texts.select("b", "id", "text").groupBy("b").applyInArrow(_anchor_pass(blocks), PACKED).groupBy("b").applyInArrow(_shared(1, False), FOUND)
+    windows = texts.groupBy("b").cogroup(found.groupBy("b")).applyInArrow(_window_pass(blocks), PACKED)
+    gone = windows.groupBy("b").applyInArrow(_shared(2, True), FOUND)
     schema = "id long, content binary, n_removed long, kept_sha256 string" + ", kept string" * with_text
     done = texts.groupBy("b").cogroup(gone.groupBy("b")).applyInArrow(_digest_pass(with_text), schema)
     return _joined(seen, first, done, id_col, with_text)

@@ -176,19 +176,24 @@ def words(column: pa.Array, is_word: np.ndarray = NOT_SPACE) -> Words:
 
 def runs(h: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every k words in a row that stay in one text, and the index of each one's first word."""
-    n = len(h)
-    if n < k:
+    if len(h) < k:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    room = np.repeat(bound[1:], np.diff(bound)) - np.arange(n)
+    room = np.repeat(bound[1:], np.diff(bound)) - np.arange(len(h))
     at = np.flatnonzero(room >= k)
+    return runs_at(h, at, k), at
+
+
+def runs_at(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k words that begin at each of the rising indices ``at``."""
     out = np.zeros(len(at), np.uint64)
     step = CHUNK - k + 1
-    for zero in range(0, n, step):
+    for zero in range(0, len(h) if len(at) else 0, step):
         a, z = np.searchsorted(at, (zero, zero + step))
-        total = _prefix(h[zero : zero + CHUNK])
-        mine = at[a:z] - zero
-        out[a:z] = (total[mine + k] - total[mine]) * _UNDO[mine]
-    return mix(out), at
+        if a < z:
+            total = _prefix(h[zero : zero + CHUNK])
+            mine = at[a:z] - zero
+            out[a:z] = (total[mine + k] - total[mine]) * _UNDO[mine]
+    return mix(out)
 
 
 def fold(values: np.ndarray, bound: np.ndarray, ufunc=np.add, empty=0) -> np.ndarray:

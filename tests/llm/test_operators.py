@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import audio, langid, licenses, mixing, near, packing, quality, secrets, substrings, topk
+from gridloom.llm import textvec as tv
 
 WORDS = [a + b for a in ("ba", "ke", "lo", "mi", "nu", "zér") for b in ("ra", "sti", "ton", "we", "xi")]
 
@@ -374,11 +375,34 @@ def test_cover_has_every_shift():
             assert any((a + d) % substrings.PERIOD in substrings.COVER and (b + d) % substrings.PERIOD in substrings.COVER for d in range(substrings.PERIOD))
 
 
-def test_groups_agree_with_spark(spark):
-    ids = [0, 1, -5, 2**62, 12345678901]
-    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "id long").select(F.pmod(F.xxhash64("id"), F.lit(97))).collect()]
-    with np.errstate(over="ignore"):
-        assert substrings._group_of(np.array(ids), 97).tolist() == got
+def test_substrings_over_many_groups_and_blocks(spark, monkeypatch):
+    passage = text(70, 25)
+    rows = [(k, f"{text(100 + k, 15)} {passage} {text(300 + k, k % 30)}") for k in range(120)] + [(500 + k, text(900, 300)) for k in range(3)] + [(7, text(901, 40) + " " + passage)]
+    monkeypatch.setattr(substrings, "GROUP_BYTES", 2000)
+    monkeypatch.setattr(substrings, "BLOCK_HASHES", 200)
+    got = sorted(tuple(r) for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect())
+    assert got == brute_substrings(rows)
+
+
+def test_windows_with_one_hash_are_told_apart_by_the_other():
+    h = np.arange(40, dtype=np.uint64)
+    start = np.arange(10)
+    window, check = tv.runs_at(h, start, 13), tv.runs_at(substrings._check(h), start, 13)
+    keys = np.concatenate([np.stack([window[:4], check[:4] + np.uint64(1)], 1), np.stack([window[:2], check[:2]], 1)])
+    gone = substrings._Gone(pa.table({"keys": pa.array([keys.astype("<u8").tobytes()], pa.binary()), "lows": pa.array([np.full(6, 5, "<i8").tobytes()], pa.binary())}))
+    assert gone.alike == 2 and gone.takes(h, window, start, np.full(10, 9)).tolist() == [0, 1] and gone.takes(h, window, start, np.full(10, 5)).tolist() == []
+
+
+def test_hashes_do_not_hang_on_their_pieces(monkeypatch):
+    column = pa.array(["é" * 50 + " abc", "", " x " + text(5, 60), "y" * 333])
+    w = tv.words(column)
+    whole, runs = w.hashes(), tv.runs(w.hashes(), w.bound, 5)
+    monkeypatch.setattr(tv, "CHUNK", 64)
+    assert (w.hashes() == whole).all()
+    again = tv.runs(w.hashes(), w.bound, 5)
+    assert (again[0] == runs[0]).all() and (again[1] == runs[1]).all()
+    alone = [tv.words(pa.array([x.decode()])).hashes()[0] for x in (w.data[s:e].tobytes() for s, e in zip(w.start, w.end, strict=True))]
+    assert alone == whole.tolist()
 
 
 # 6
