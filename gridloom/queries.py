@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cells as fc
-from .functions.noise import DIRECTIONS, derive
+from . import noise_sql
 from .operators import Raster, apply
 from .operators import focal, points, water
 from .operators.base import CHANNELS, HEIGHT, MASK, blank, join_layers
@@ -227,49 +227,82 @@ for _shape, _d in {
     "triangle": _polygon_sql([(0.0, -2 * _W3), (700.0, _W3), (-700.0, _W3)]),
 }.items():
     on_line(f"shape_{_shape}", "primitive.shape", {"shape": _shape, "size_m": 700, "rotation_deg": 20}, select(f"1000.0 * (1.0 - {smooth(0.0, 800.0, 'd')})", EMPTY, more=f"{_TURNED}, q AS (SELECT j, i, {_d} AS d FROM p)", source="q", scale=1e4), scale=1e4)
-on_line("crater_smooth", "terrain.crater", {"roughness": 0, "radius_m": 900}, select(f"CASE WHEN r < 1 THEN -300.0 + 420.0 * t * t * (1.2 - 0.2 * t) ELSE 120.0 / (1.0 + 6.0 * o * o) * (1.0 - {smooth(0.6, 1.0, '(o / 3.0)')}) END", EMPTY, more=f"p AS (SELECT j, i, sqrt({DX} * {DX} + {DY} * {DY}) / 900.0 AS r FROM g), q AS (SELECT j, i, r, least(greatest((r - 0.3) / 0.7, 0.0), 1.0) AS t, (r - 1.0) / 0.6 AS o FROM p)", source="q", scale=1e4), scale=1e4)
-on_line("plateau_smooth", "terrain.plateau", {"roughness": 0, "edge_m": 0, "radius_m": 900}, select(f"500.0 * CASE WHEN d <= 0 THEN 1.0 WHEN d < 150 THEN 1.0 - 0.65 * {smooth(0.0, 1.0, '(d / 150.0)')} ELSE 0.35 * pow(1.0 - least((d - 150.0) / 700.0, 1.0), 2) END", EMPTY, more=f"p AS (SELECT j, i, sqrt({DX} * {DX} + {DY} * {DY}) - 900.0 AS d FROM g)", source="p", scale=1e4), scale=1e4)
-for _t in ("mountain", "ridge", "canyon", "dunes"):
-    on_line(f"terrain_{_t}", f"terrain.{_t}", {})
-for _t in ("simplex", "ridged", "billow", "domain_warp"):
-    on_line(f"noise_{_t}", f"noise.{_t}", {"feature_size_m": 700})
-
-_MOD = "18446744073709551616::UHUGEINT"
-
-
-def _mix_sql(prev: str, name: str, src: str, keep: str) -> str:
-    """CTEs that add ``name``, the SplitMix64 of the UBIGINT column ``src``."""
-    step = lambda k, e, frm: f"{k} AS (SELECT *, CAST(({e}) % {_MOD} AS UBIGINT) AS {k}_z FROM {frm})"
-    a, b, c = f"{name}a", f"{name}b", f"{name}c"
-    return ", ".join([
-        step(a, f"{src}::UHUGEINT + {0x9E3779B97F4A7C15}::UHUGEINT", prev),
-        step(b, f"xor({a}_z, {a}_z >> 30)::UHUGEINT * {0xBF58476D1CE4E5B9}::UHUGEINT", a),
-        step(c, f"xor({b}_z, {b}_z >> 27)::UHUGEINT * {0x94D049BB133111EB}::UHUGEINT", b),
-        f"{name} AS (SELECT *, xor({c}_z, {c}_z >> 31) AS {name}_h FROM {c})",
-    ])
-
-
-def _lattice_sql(seed: int, size: float) -> str:
-    mul = lambda e, k: f"CAST((CASE WHEN {e} < 0 THEN {_MOD} - ((-({e}))::UHUGEINT * {k}::UHUGEINT) % {_MOD} ELSE ({e})::UHUGEINT * {k}::UHUGEINT END) % {_MOD} AS UBIGINT)"
-    return ", ".join([
-        f"p AS (SELECT j, i, {X} / {size} AS px, {Y} / {size} AS py FROM g)",
-        "c AS (SELECT *, CAST(floor(px) AS BIGINT) + cx AS gx, CAST(floor(py) AS BIGINT) + cy AS gy, px - floor(px) AS fx, py - floor(py) AS fy FROM p, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) o(cx, cy))",
-        f"s0 AS (SELECT *, xor({seed}::UBIGINT, {mul('gx', 0x9E3779B97F4A7C15)}) AS s0_z FROM c)",
-        _mix_sql("s0", "m1", "s0_z", ""),
-        f"s1 AS (SELECT *, xor(m1_h, {mul('gy', 0xC2B2AE3D27D4EB4F)}) AS s1_z FROM m1)",
-        _mix_sql("s1", "m2", "s1_z", ""),
-    ])
-
-
-_FADE = "{0} * {0} * {0} * ({0} * ({0} * 6.0 - 15.0) + 10.0)"
-_BLEND = "t AS (SELECT j, i, any_value(" + _FADE.format("fx") + ") AS u, any_value(" + _FADE.format("fy") + ") AS w, sum(n) FILTER (cx = 0 AND cy = 0) AS a, sum(n) FILTER (cx = 1 AND cy = 0) AS b, sum(n) FILTER (cx = 0 AND cy = 1) AS c, sum(n) FILTER (cx = 1 AND cy = 1) AS d FROM k GROUP BY j, i), e AS (SELECT j, i, a + (b - a) * u + ((c + (d - c) * u) - (a + (b - a) * u)) * w AS n FROM t)"
-_GX = "[" + ", ".join(repr(float(x)) for x, _ in DIRECTIONS) + "]"
-_GY = "[" + ", ".join(repr(float(y)) for _, y in DIRECTIONS) + "]"
-on_line("perlin", "noise.perlin", {"feature_size_m": 700}, select("(n * sqrt(2.0) * 0.5 + 0.5) * 1000.0", EMPTY, more=_lattice_sql(7, 700.0) + f", k AS (SELECT *, ({_GX})[CAST(m2_h >> 60 AS INTEGER) + 1] * (fx - cx) + ({_GY})[CAST(m2_h >> 60 AS INTEGER) + 1] * (fy - cy) AS n FROM m2), " + _BLEND, source="e"))
-on_line("value_noise", "noise.value", {"feature_size_m": 700}, select("(n * 0.5 + 0.5) * 1000.0", EMPTY, more=_lattice_sql(7, 700.0) + ", k AS (SELECT *, CAST(m2_h >> 11 AS DOUBLE) / 9007199254740992.0 * 2.0 - 1.0 AS n FROM m2), " + _BLEND, source="e"))
-on_line("fbm", "noise.fbm", {"feature_size_m": 700, "octaves": 1}, select("(n * sqrt(2.0) * 0.5 + 0.5) * 1000.0", EMPTY, more=_lattice_sql(derive(7, 0), 700.0) + f", k AS (SELECT *, ({_GX})[CAST(m2_h >> 60 AS INTEGER) + 1] * (fx - cx) + ({_GY})[CAST(m2_h >> 60 AS INTEGER) + 1] * (fy - cy) AS n FROM m2), " + _BLEND, source="e"))
-on_line("voronoi_grid", "noise.voronoi", {"feature_size_m": 700, "jitter": 0}, select(f"(2.0 * least(sqrt(pow({X} / 700.0 - floor({X} / 700.0) - 0.5, 2) + pow({Y} / 700.0 - floor({Y} / 700.0) - 0.5, 2)), 1.0) - 1.0) * 500.0 + 500.0", EMPTY))
-on_line("voronoi_cells", "noise.voronoi", {"feature_size_m": 700, "mode": "cells"})
+# Noise and landforms. The SQL computes lattice noise on its own, in ``noise_sql``.
+
+SEED = 7
+_U, _V = f"({X} / 700.0)", f"({Y} / 700.0)"
+_SPREAD = "(n * 0.5 + 0.5) * 1000.0"
+
+
+def noisy(e: str | dict[str, str], *more: str, source: str = "g", scale: float = 1e4, grid: str = EMPTY) -> str:
+    return select(e, grid, more=", ".join(more), source=source, scale=scale)
+
+
+for _t in ("perlin", "value", "simplex"):
+    on_line("value_noise" if _t == "value" else _t if _t == "perlin" else f"noise_{_t}", f"noise.{_t}", {"feature_size_m": 700}, noisy(_SPREAD, noise_sql.one("f", "g", _U, _V, SEED, _t), source="f"), scale=1e4)
+on_line("fbm", "noise.fbm", {"feature_size_m": 700}, noisy(_SPREAD, noise_sql.fbm("f", "g", _U, _V, SEED, 6), source="f"), scale=1e4)
+on_line("noise_ridged", "noise.ridged", {"feature_size_m": 700}, noisy("((n * 2.0 - 1.0) * 0.5 + 0.5) * 1000.0", noise_sql.ridged("f", "g", _U, _V, SEED, 8), source="f"), scale=1e4)
+on_line("noise_billow", "noise.billow", {"feature_size_m": 700}, noisy(_SPREAD, noise_sql.fbm("f", "g", _U, _V, SEED, 6, "abs(n) * 2.0 - 1.0"), source="f"), scale=1e4)
+_BENT = "w AS (SELECT a.j, a.i, {u} + 2000.0 / 700.0 * a.n AS wu, {v} + 2000.0 / 700.0 * b.n AS wv FROM wa a JOIN wb b USING (j, i))"
+on_line("noise_domain_warp", "noise.domain_warp", {"feature_size_m": 700}, noisy(_SPREAD, noise_sql.fbm("wa", "g", _U, _V, noise_sql.sub_seed(SEED, 1001), 4), noise_sql.fbm("wb", "g", f"{_U} + 5.2", f"{_V} + 1.3", noise_sql.sub_seed(SEED, 1002), 4), _BENT.format(u=_U.replace("i /", "a.i /"), v=_V.replace("j /", "a.j /")), noise_sql.fbm("f", "w", "wu", "wv", SEED, 6), source="f"), scale=1e4)
+for _mode, _e in {"f1": "2.0 * least(near, 1.0) - 1.0", "f1_inverted": "1.0 - 2.0 * least(near, 1.0)", "f2_f1": "1.0 - 2.0 * least((second - near) * 2.0, 1.0)", "cells": "own * 2.0 - 1.0"}.items():
+    on_line(f"voronoi_{_mode}", "noise.voronoi", {"feature_size_m": 700, "mode": _mode}, noisy(f"(({_e}) * 0.5 + 0.5) * 1000.0", noise_sql.cells("f", "g", _U, _V, SEED), source="f"), scale=1e4)
+
+
+def _near(name: str, size: float, octaves: int, part: int) -> str:
+    return noise_sql.fbm(name, "g", f"({X} / {size!r})", f"({Y} / {size!r})", noise_sql.sub_seed(SEED, part), octaves)
+
+
+def _fields(name: str, src: str, columns: dict[str, str], **fields: str) -> str:
+    """``src`` with noise fields joined to it and then more columns."""
+    got = " ".join(f"JOIN (SELECT j, i, n AS {n} FROM {f}) USING (j, i)" for n, f in fields.items())
+    extra = "".join(f", {e} AS {n}" for n, e in columns.items())
+    return f"{name}0 AS (SELECT * FROM {src} {got}), {name} AS (SELECT *{extra} FROM {name}0)"
+
+
+def _clamp(e: str) -> str:
+    return f"least(greatest({e}, 0.0), 1.0)"
+
+
+_CREST = "least(greatest(1.0 - 1.5 * abs({0}), 0.0), 1.0)"
+_MIDDLE = f"c AS (SELECT j, i, {X} AS x, {Y} AS y, {DX} AS dx, {DY} AS dy, sqrt({DX} * {DX} + {DY} * {DY}) AS far FROM g)"
+
+
+def _turned(angle: float, dx: str = "dx", dy: str = "dy") -> str:
+    return f"c0 AS (SELECT j, i, {X} AS x, {Y} AS y, {DX} AS dx, {DY} AS dy FROM g), c AS (SELECT *, {dx} * cos(radians({angle})) + {dy} * sin(radians({angle})) AS u, {dy} * cos(radians({angle})) - {dx} * sin(radians({angle})) AS w FROM c0)"
+
+
+def _on(name: str, src: str, u: str, v: str, octaves: int, part: int) -> str:
+    return noise_sql.fbm(name, src, u, v, noise_sql.sub_seed(SEED, part), octaves)
+
+
+for _style, _oct, _plain, _body in (("alpine", 4, 5, "pow(t, 1.7)"), ("rounded", 2, 3, "t * t * (3.0 - 2.0 * t)")):
+    on_line(f"terrain_mountain_{_style}", "terrain.mountain", {"radius_m": 1500, "style": _style}, noisy(
+        f"1800.0 * greatest({_body} * (1.0 - 0.6 * (1.0 - t * t) * (1.0 - {_CREST.format('(0.6 * spokes + 0.4 * plain)')})) + 0.025 * t * fine, 0.0)",
+        _MIDDLE, _near("wave", 1200.0, 3, 11), _fields("d", "c", {"r": "far / 1500.0 * (1.0 + 0.3 * wave)"}, wave="wave"),
+        _on("spokes", "d", "(dx * ((2.0 + r) / greatest(far, 1e-6)))", "(dy * ((2.0 + r) / greatest(far, 1e-6)))", _oct, 12), _near("plain", 600.0, _plain, 13), _near("fine", 187.5, 5, 14),
+        _fields("e", "d", {"t": _clamp("1.0 - r")}, spokes="spokes", plain="plain", fine="fine"), source="e"), scale=1e4)
+on_line("terrain_ridge", "terrain.ridge", {"length_m": 3000, "width_m": 700}, noisy(
+    f"1200.0 * greatest(pow(1.0 - d, 1.6) * (1.0 - 0.25 * abs(sag)) * (1.0 - 0.5 * d * (1.0 - {_CREST.format('spurs')})) + 0.025 * (1.0 - d) * fine, 0.0)",
+    _turned(30), _on("bend", "c", "(u / 1500.0)", "0.0", 3, 21), _on("sag", "c", "(u / 900.0)", "7.0", 3, 22), _near("fine", 700.0 / 6, 5, 24),
+    _fields("e", "c", {"w2": "w + 500.0 * bend", "past": "greatest(abs(u) - 1500.0, 0.0)"}, bend="bend", sag="sag", fine="fine"), _on("spurs", "e", "(u / 280.0)", "(w2 / 1400.0)", 4, 23),
+    _fields("k", "e", {"d": "least(sqrt(w2 * w2 + past * past) / 700.0, 1.0)"}, spurs="spurs"), source="k"), scale=1e4)
+_WALL = "away AS (SELECT *, abs(w - 900.0 * bend) + 0.15 * (450.0 - 150.0) * ragged AS d FROM e), s AS (SELECT *, " + smooth(150.0, 450.0, "d") + " AS wall FROM away)"
+for _name, _steps, _e in (("canyon", 3, f"wall + ((floor(wall * 3) + {smooth(0.6, 1.0, '(wall * 3 - floor(wall * 3))')}) / 3 - wall) * 0.75"), ("canyon_smooth", 0, "wall")):
+    on_line(f"terrain_{_name}", "terrain.canyon", {"width_m": 900, "steps": _steps, "meander_size_m": 1500}, noisy(
+        f"v + 450.0 * (({_e}) - 1.0)", _turned(0), _on("bend", "c", "(u / 1500.0)", "0.0", 3, 31), _near("ragged", 450.0, 4, 32), _fields("e", "c", {}, bend="bend", ragged="ragged") + ", " + _WALL, source="(SELECT s.*, 800.0 AS v FROM s)"), scale=1e4)
+on_line("terrain_crater", "terrain.crater", {"radius_m": 900}, noisy(
+    f"CASE WHEN r < 1 THEN 300.0 * ({smooth(0.3, 1.0, 'r')} - 1.0 + grain) + 120.0 * ({smooth(0.3, 1.0, 'r')} + grain) ELSE 300.0 * grain + 120.0 * (exp(-2.0 * pow((r - 1.0) / 0.6, 2)) + grain) END",
+    _MIDDLE, _near("wave", 540.0, 3, 41), _near("fine", 150.0, 4, 42), _fields("d", "c", {"r": "far / 900.0 * (1.0 + 0.036 * wave)"}, wave="wave", fine="fine"),
+    f"e AS (SELECT *, 0.024 * fine * (1.0 - {smooth(1.0, 2.2, 'r')}) AS grain FROM d)", source="e"), scale=1e4)
+on_line("terrain_plateau", "terrain.plateau", {"radius_m": 900, "edge_m": 200}, noisy(
+    f"500.0 * CASE WHEN d <= 0 THEN 1.0 + 0.012 * fine * (1.0 - {smooth(-90.0, 0.0, 'd')}) WHEN d < 150 THEN 0.35 + 0.65 * (0.5 + 0.5 * cos(pi() * d / 150.0)) ELSE 0.35 * pow({_clamp('1.0 - (d - 150.0) / 700.0')}, 2) END",
+    _MIDDLE, _near("wave", 400.0, 4, 51), _near("fine", 225.0, 4, 52), _fields("e", "c", {"d": "far - 900.0 + 200.0 * wave"}, wave="wave", fine="fine"), source="e"), scale=1e4)
+on_line("terrain_dunes", "terrain.dunes", {"angle_deg": 25}, noisy(
+    f"35.0 * CASE WHEN f < 0.75 THEN 0.5 - 0.5 * cos(pi() * f / 0.75) ELSE pow((1.0 - f) / 0.25, 1.5) END * (1.0 - 0.5 * {_clamp('0.5 + 0.5 * swell')})",
+    _turned(25, "x", "y").replace("x * cos", "(dx + 2450.0) * cos").replace("y * sin", "(dy + 550.0) * sin").replace("y * cos", "(dy + 550.0) * cos").replace("x * sin", "(dx + 2450.0) * sin"),
+    _on("bend", "c", "(w / 900.0)", "(u / 2250.0)", 3, 61), _near("swell", 2250.0, 3, 62), _fields("e", "c", {"phase": "(u + 220.0 * bend) / 450.0"}, bend="bend", swell="swell"),
+    "k AS (SELECT *, phase - floor(phase) AS f FROM e)", source="k"), scale=1e4)
 
 # Focal operators.
 
@@ -343,7 +376,7 @@ add("bilinear", lambda s, d: numbers(focal.onto(line12(s, d), _FINE_SPEC)), sele
 add("nearest", lambda s, d: numbers(focal.onto(line12(s, d), _FINE_SPEC, nearest=True)), select("v", more=f"{_FINE}, e AS (SELECT p.j, p.i, g.v FROM p JOIN g ON g.i = CAST(floor(sx / 4900.0 * 49.0 + 0.5) AS INTEGER) AND g.j = CAST(floor(sy / 1100.0 * 11.0 + 0.5) AS INTEGER))", source="e"))
 _MOVED = f"p AS (SELECT j, i, 2450.0 + (({DX} - 300.0) * cos(radians(-15)) - {DY} * sin(radians(-15))) / 1.25 AS sx, 550.0 + (({DX} - 300.0) * sin(radians(-15)) + {DY} * cos(radians(-15))) / 1.25 AS sy FROM g)"
 on_line("transform", "adjust.transform", {"move_x_m": 300, "rotation_deg": 15, "scale": 1.25, "height_scale": 0.5}, select("v * 0.5", more=f"{_MOVED}, {_BILINEAR}", source="e", scale=1e4), scale=1e4)
-on_line("warp", "adjust.warp", {"strength_m": 200})
+on_line("warp", "adjust.warp", {"strength_m": 200}, select("v", more=", ".join([_on("wa", "g", f"({X} / 1500.0)", f"({Y} / 1500.0)", 4, 1), _on("wb", "g", f"({X} / 1500.0)", f"({Y} / 1500.0)", 4, 2), "p AS (SELECT a.j, a.i, " + X.replace("i /", "a.i /") + " + 200.0 * a.n AS sx, " + Y.replace("j /", "a.j /") + " + 200.0 * b.n AS sy FROM wa a JOIN wb b USING (j, i))", _BILINEAR]), source="e", scale=1e4), scale=1e4)
 _COARSE = GridSpec(25, 6, (4900.0, 1100.0))
 _COARSE_SQL = "p AS (SELECT CAST(b AS INTEGER) AS j, CAST(a AS INTEGER) AS i, 4900.0 * (a / 24.0) AS sx, 1100.0 * (b / 5.0) AS sy FROM range(25) t(a), range(6) u(b))"
 _SOFT = _taps_sql("f", "g", 0.5 * max(_COARSE.cell)) + ", s AS (SELECT j, i, b AS v FROM f)"
