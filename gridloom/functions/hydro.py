@@ -12,7 +12,16 @@ from .noise import GOLDEN, U, derive, mix, unit
 
 #: Neighbours as (dj, di): edges W E N S, then diagonals NW NE SW SE. Ties go to the first.
 D8 = ((0, -1), (0, 1), (-1, 0), (1, 0), (-1, -1), (-1, 1), (1, -1), (1, 1))
-FLOW_LOW, FLOW_HIGH = 5e3, 5e7
+
+# Fixed values.
+FLOW_LOW, FLOW_HIGH = 5e3, 5e7  # m^2 of drained area from black to white
+SEDIMENT_LOW, SEDIMENT_HIGH = 1.0, 1e5  # m^3 a year
+WEAR_HALF, DEPOSITION_HALF = 30.0, 10.0  # metres at half brightness
+FLAT_SLOPE = 1e-5  # by which a filled cell stands above the one it drains to
+CUT_RATE = 1e-5  # a year, at full softness
+STEP_KYR = 25.0
+BASIN_SALT = 0xBA515EED
+
 DRY = -1e9
 MOST_STEPS = 100_000
 
@@ -22,40 +31,61 @@ def jitter(n: int) -> np.ndarray:
     return 0.25 + 1.5 * unit(mix(np.arange(n, dtype=U) ^ U(GOLDEN)))
 
 
-def flood_order(h: np.ndarray, step: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Priority flood from the borders in (height, index) order: filled heights and the order of visits.
+#: The same neighbours by rising index.
+_RASTER = tuple(sorted(D8))
+
+
+def fill(h: np.ndarray, cell: tuple[float, float] | None = None) -> np.ndarray:
+    """Heights filled up to where they spill over the borders, as by a priority flood in (height, index) order.
 
-    ``step`` above 0 lifts each cell of a flat above the one it drains to.
+    With ``cell`` each filled cell stands above the one that it drains to, by
+    a small slope times the length of their link and the cell's jitter.
+
+    A cell whose lowest neighbour is low enough, and so on down to a border,
+    keeps its height: these are found by pointer jumping. Only the others go
+    through a heap, which begins at their neighbours among the first.
     """
     rows, cols = h.shape
-    n = h.size
-    flat = h.ravel().astype(np.float64)
-    filled, seen, order = flat.copy(), np.zeros(n, bool), np.empty(n, np.int64)
-    lift = jitter(n) * step if step else None
-    border = np.zeros(h.shape, bool)
-    border[0] = border[-1] = border[:, 0] = border[:, -1] = True
-    heap = [(float(flat[k]), int(k)) for k in np.flatnonzero(border)]
+    n, flat = h.size, h.astype(np.float64).ravel()
+    own = np.arange(n).reshape(h.shape)
+    lift = FLAT_SLOPE * jitter(n) if cell else np.zeros(n)
+    low, to, far = np.full(h.shape, np.inf), own.copy(), np.zeros(h.shape)
+    for dj, di in _RASTER:
+        near = shifted(h.astype(np.float64), dj, di, np.inf)
+        better = near < low
+        low, to = np.where(better, near, low), np.where(better, own + dj * cols + di, to)
+        far = np.where(better, math.hypot(dj * cell[1], di * cell[0]) if cell else 0.0, far)
+    border = np.ones(h.shape, bool)
+    border[1:-1, 1:-1] = False
+    border, low = border.ravel(), low.ravel()
+    falls = (flat > low) & (flat >= low + far.ravel() * lift)
+    sure = border[outlets(np.where(border | ~falls, own.ravel(), to.ravel()))]
+    if sure.all():
+        return h.astype(np.float64)
+    wide = cols + 2
+    ring = lambda a, edge: np.pad(a.reshape(h.shape), 1, constant_values=edge).ravel()
+    todo = ring(~sure, False)
+    links = [(dj * wide + di, math.hypot(dj * cell[1], di * cell[0]) if cell else 0.0) for dj, di in D8]
+    beside = np.zeros(len(todo), bool)
+    at = np.flatnonzero(todo)
+    for off, _ in links:
+        beside[at + off] = True
+    seeds = np.flatnonzero(beside & ring(sure, False)).tolist()
+    level, up, todo = ring(flat, np.nan).tolist(), ring(lift, 0.0).tolist(), todo.tolist()
+    heap = [(level[k], k) for k in seeds]
     heapq.heapify(heap)
-    seen[border.ravel()] = True
-    done = 0
+    push, pop = heapq.heappush, heapq.heappop
     while heap:
-        level, k = heapq.heappop(heap)
-        order[done] = k
-        done += 1
-        j, i = divmod(k, cols)
-        for dj, di in D8:
-            a, b = j + dj, i + di
-            if 0 <= a < rows and 0 <= b < cols and not seen[m := a * cols + b]:
-                seen[m] = True
-                low = level + (lift[m] if lift is not None else 0.0)
-                if filled[m] < low:
-                    filled[m] = low
-                heapq.heappush(heap, (float(filled[m]), m))
-    return filled.reshape(h.shape), order
-
-
-def fill(h: np.ndarray) -> np.ndarray:
-    return flood_order(h)[0]
+        top, k = pop(heap)
+        for off, d in links:
+            m = k + off
+            if todo[m]:
+                todo[m] = False
+                floor = top + d * up[m]
+                if level[m] < floor:
+                    level[m] = floor
+                push(heap, (level[m], m))
+    return np.array(level).reshape(rows + 2, wide)[1:-1, 1:-1].copy()
 
 
 def shifted(a: np.ndarray, dj: int, di: int, outside=np.nan) -> np.ndarray:
@@ -79,25 +109,35 @@ def steepest(h: np.ndarray, cell: tuple[float, float]) -> np.ndarray:
     return to
 
 
-def route(h: np.ndarray, cell: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(receiver, order from outlets upwards, filled): every cell drains to a border cell."""
-    filled, order = flood_order(h, 1e-5 * min(cell))
-    to = steepest(filled, cell).ravel()
-    rows, cols = h.shape
-    j, i = np.divmod(np.arange(h.size), cols)
-    rim = (j == 0) | (i == 0) | (j == rows - 1) | (i == cols - 1)
-    to[rim] = np.flatnonzero(rim)
-    return to, np.argsort(filled.ravel(), kind="stable"), filled
+def route(h: np.ndarray, cell: tuple[float, float]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(receiver, cells by how many links they are from their outlet, filled): every cell drains to a border cell."""
+    filled = fill(h, cell)
+    to = steepest(filled, cell)
+    own = np.arange(h.size).reshape(h.shape)
+    for edge in (np.s_[0], np.s_[-1], np.s_[:, 0], np.s_[:, -1]):
+        to[edge] = own[edge]
+    to = to.ravel()
+    return to, by_depth(to), filled
+
+
+def by_depth(to: np.ndarray) -> list[np.ndarray]:
+    """The cells of a forest by their number of links to the root, roots first: what a level needs is settled by the levels beside it."""
+    depth, far = (to != np.arange(len(to))).astype(np.int64), to
+    while True:
+        on = far[far]
+        if (on == far).all():
+            break
+        depth, far = depth + depth[far], on
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.cumsum(np.bincount(depth))[:-1])
 
 
-def gather_down(to: np.ndarray, order: np.ndarray, own: np.ndarray, keep: float | np.ndarray = 1.0) -> np.ndarray:
+def gather_down(to: np.ndarray, levels: list[np.ndarray], own: np.ndarray, keep: float | np.ndarray = 1.0) -> np.ndarray:
     """Each cell's own amount and what its donors pass on, ridges first."""
     total = own.astype(np.float64).copy()
     kept = np.broadcast_to(np.asarray(keep, float), total.shape)
-    for k in order[::-1].tolist():
-        r = to[k]
-        if r != k:
-            total[r] += total[k] * kept[k]
+    for cells in levels[:0:-1]:
+        np.add.at(total, to[cells], total[cells] * kept[cells])
     return total
 
 
@@ -110,45 +150,62 @@ def outlets(to: np.ndarray) -> np.ndarray:
         to = on
 
 
+#: Facets in the numbering of the paper on D-infinity (Tarboton 1997): edge and corner neighbour as (dj, di).
+FACETS = (((0, 1), (-1, 1)), ((-1, 0), (-1, 1)), ((-1, 0), (-1, -1)), ((0, -1), (-1, -1)), ((0, -1), (1, -1)), ((1, 0), (1, -1)), ((1, 0), (1, 1)), ((0, 1), (1, 1)))
+
+
+def link_angle(to: np.ndarray, shape: tuple[int, int], cell: tuple[float, float]) -> np.ndarray:
+    """Degrees of each cell's link (0 is +x, 90 is +y); outlets drain off the nearest edge, W, E, N or S."""
+    j, i = np.divmod(np.arange(len(to)), shape[1])
+    off = np.array([180.0, 0.0, 270.0, 90.0])[np.argmin([i, shape[1] - 1 - i, j, shape[0] - 1 - j], axis=0)]
+    own = np.degrees(np.arctan2((to // shape[1] - j) * cell[1], (to % shape[1] - i) * cell[0])) % 360.0
+    return np.where(to == np.arange(len(to)), off, own)
+
+
 def spread_two(h: np.ndarray, cell: tuple[float, float], fallback: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Direction of flow by the steepest of eight triangular facets: (first receiver, second, share of the first, angle).
 
-    Cells without a falling facet drain to ``fallback``.
+    Cells without a falling facet drain to ``fallback``; those that are their own fallback are outlets.
     """
-    rows, cols = h.shape
+    cols = h.shape[1]
     own = np.arange(h.size).reshape(h.shape)
-    facets = [((0, 1), (1, 1)), ((1, 0), (1, 1)), ((1, 0), (1, -1)), ((0, -1), (1, -1)), ((0, -1), (-1, -1)), ((-1, 0), (-1, -1)), ((-1, 0), (-1, 1)), ((0, 1), (-1, 1))]
+    inside = fallback.reshape(h.shape) != own
     best = np.zeros(h.shape)
-    one, two, share, angle = fallback.reshape(h.shape).copy(), own.copy(), np.ones(h.shape), np.zeros(h.shape)
-    for edge, corner in facets:
-        d1 = cell[0] if edge[0] == 0 else cell[1]
-        d2 = cell[1] if edge[0] == 0 else cell[0]
+    one, two, share, angle = fallback.reshape(h.shape).copy(), own.copy(), np.ones(h.shape), link_angle(fallback, h.shape, cell).reshape(h.shape)
+    for edge, corner in FACETS:
+        d1, d2 = cell if edge[0] == 0 else cell[::-1]
         e1, e2 = shifted(h, *edge, np.nan), shifted(h, *corner, np.nan)
+        top = math.atan2(d2, d1)
         with np.errstate(invalid="ignore"):
             s1, s2 = (h - e1) / d1, (e1 - e2) / d2
             r = np.arctan2(s2, s1)
-            top = math.atan2(d2, d1)
-            slope = np.hypot(s1, s2)
-            slope = np.where(r < 0, s1, np.where(r > top, (h - e2) / math.hypot(d1, d2), slope))
-            r = np.clip(r, 0.0, top)
-            better = slope > best
+            slope = np.where(r < 0, s1, np.where(r > top, (h - e2) / math.hypot(d1, d2), np.hypot(s1, s2)))
+            better = inside & (slope > best)
+        r = np.clip(r, 0.0, top)
+        a0 = math.atan2(*edge)
+        turn = (math.atan2(*corner) - a0 + math.pi) % (2 * math.pi) - math.pi
         best = np.where(better, slope, best)
         one = np.where(better, own + edge[0] * cols + edge[1], one)
         two = np.where(better, own + corner[0] * cols + corner[1], two)
         share = np.where(better, 1.0 - r / top, share)
-        a0, a1 = math.atan2(edge[0], edge[1]), math.atan2(corner[0], corner[1])
-        turn = (a1 - a0 + math.pi) % (2 * math.pi) - math.pi
-        angle = np.where(better, a0 + turn * (r / top), angle)
-    return one.ravel(), two.ravel(), share.ravel(), np.degrees(angle.ravel()) % 360.0
-
-
-def gather_two(one, two, share, order, own) -> np.ndarray:
-    total = own.astype(np.float64).copy()
-    for k in order[::-1].tolist():
-        if one[k] != k:
-            total[one[k]] += total[k] * share[k]
-        if two[k] != k and share[k] < 1.0:
-            total[two[k]] += total[k] * (1.0 - share[k])
+        angle = np.where(better, np.degrees(a0 + math.copysign(1.0, turn) * r) % 360.0, angle)
+    return one.ravel(), two.ravel(), share.ravel(), angle.ravel()
+
+
+def gather_two(one: np.ndarray, two: np.ndarray, share: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """As ``gather_down`` with two receivers: in waves, each of the cells whose donors have all been heard."""
+    total, n = own.astype(np.float64).copy(), np.arange(len(own))
+    first, second = one != n, (two != n) & (share < 1.0)
+    waits = np.bincount(one[first], minlength=len(n)) + np.bincount(two[second], minlength=len(n))
+    ready = np.flatnonzero(waits == 0)
+    while len(ready):
+        a, b = ready[first[ready]], ready[second[ready]]
+        np.add.at(total, one[a], total[a] * share[a])
+        np.add.at(total, two[b], total[b] * (1.0 - share[b]))
+        heard = np.concatenate([one[a], two[b]])
+        np.subtract.at(waits, heard, 1)
+        heard = np.unique(heard)
+        ready = heard[waits[heard] == 0]
     return total
 
 
@@ -243,54 +300,62 @@ def blur(a: np.ndarray, sigma: tuple[float, float]) -> np.ndarray:
     return a
 
 
+def _carve(now: np.ndarray, to: np.ndarray, levels: list[np.ndarray], factor: np.ndarray) -> np.ndarray:
+    """Stream power by one implicit step: outlets first, each cell against its receiver's new height."""
+    out = now.copy()
+    for cells in levels[1:]:
+        low = out[to[cells]]
+        cut = (now[cells] + factor[cells] * low) / (1.0 + factor[cells])
+        out[cells] = np.where((factor[cells] > 0) & (now[cells] > low), cut, now[cells])
+    return out
+
+
+def _settle(now: np.ndarray, to: np.ndarray, levels: list[np.ndarray], loose: np.ndarray, able: np.ndarray, span: np.ndarray, share: np.ndarray, filled: np.ndarray, area: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ridges first, sediment goes down; ``share`` of what is beyond ``able`` times the slope settles, in lakes up to their level, elsewhere up to half the drop."""
+    out, load = now.copy(), np.zeros(len(now))
+    for cells in levels[::-1]:
+        r = to[cells]
+        carried = load[cells] + loose[cells]
+        drop = np.maximum(out[cells] - out[r], 0.0)
+        beyond = carried - able[cells] * drop / np.maximum(span[cells], 1e-9)
+        room = np.maximum(np.maximum(filled[cells] - out[cells], 0.0), 0.5 * drop) * area
+        laid = np.where((r != cells) & (carried > 0) & (beyond > 0), np.minimum(beyond * share[cells], room), 0.0)
+        out[cells] += laid / area
+        load[cells] = carried - laid
+        moves = r != cells
+        np.add.at(load, r[moves], load[cells[moves]])
+    return out, load
+
+
 def hydraulic(h: np.ndarray, cell: tuple[float, float], p: dict, strength=1.0, hardness=0.0) -> dict[str, np.ndarray]:
     """Stream power with sediment: per step of at most 25 kyr route, gather, cut (downstream first), carry, creep."""
     area = cell[0] * cell[1]
     years = p["duration_kyr"] * 1000.0
-    steps = max(1, math.ceil(p["duration_kyr"] / 25.0)) if years > 0 else 0
+    steps = max(1, math.ceil(p["duration_kyr"] / STEP_KYR)) if years > 0 else 0
     dt = years / steps if steps else 0.0
     strength = np.broadcast_to(strength, h.shape).astype(float).ravel()
     weight = strength * (1.0 - np.broadcast_to(hardness, h.shape).ravel())
     start = h.astype(np.float64).ravel().copy()
-    now = start.copy()
-    rows, cols = h.shape
-    where = np.stack(np.divmod(np.arange(h.size), cols))
-    q, moved = np.full(h.size, area * p["rain"]), np.zeros(h.size)
-    cut_rate = 1e-5 * p["softness"] * p["downcutting"]
+    now, q, load = start.copy(), np.zeros(h.size), np.zeros(h.size)
+    j, i = np.divmod(np.arange(h.size), h.shape[1])
+    kept, unsettled = 1.0 - p["evaporation"] / 1000.0, 1.0 - p["deposition_rate"]
     for _ in range(steps):
-        to, order, filled = route(now.reshape(h.shape), cell)
-        span = np.hypot((where[0] - where[0][to]) * cell[1], (where[1] - where[1][to]) * cell[0])
-        q = gather_down(to, order, np.full(h.size, p["rain"] * area), (1.0 - p["evaporation"] / 1000.0) ** span)
-        before = now.copy()
-        factor = np.where(span > 0, cut_rate * weight * dt * np.sqrt(q) / np.maximum(span, 1e-9), 0.0)
-        for k in order.tolist():
-            r = to[k]
-            if r != k and factor[k] > 0 and now[k] > now[r]:
-                now[k] = (now[k] + factor[k] * now[r]) / (1.0 + factor[k])
-        loose = (before - now) * area
-        settle = 1.0 - (1.0 - p["deposition"]) ** (span / 100.0)
-        depth = filled.ravel() - now
-        moved = np.zeros(h.size)
-        for k in order[::-1].tolist():
-            r = to[k]
-            moved[k] += loose[k]
-            if r == k:
-                continue
-            drop = now[k] - now[r]
-            hold = p["capacity"] * 1e-5 * dt * math.sqrt(q[k]) * max(drop, 0.0) / span[k] * area
-            if moved[k] > hold:
-                laid = (moved[k] - hold) * settle[k] * strength[k] / area
-                laid = min(laid, depth[k] if depth[k] > 0 else max(drop, 0.0) / 2)
-                now[k] += laid
-                moved[k] -= laid * area
-            moved[r] += moved[k]
-        sigma = math.sqrt(2.0 * p["creep"] * dt)
+        to, levels, filled = route(now.reshape(h.shape), cell)
+        span = np.hypot((j - j[to]) * cell[1], (i - i[to]) * cell[0])
+        q = gather_down(to, levels, np.full(h.size, p["rainfall_m_yr"] * area), kept**span)
+        power = np.sqrt(q)
+        before, now = now, _carve(now, to, levels, CUT_RATE * p["rock_softness"] * p["downcutting"] * weight * dt * power / np.maximum(span, 1e-9))
+        able = p["sediment_capacity"] * CUT_RATE * dt * power * area
+        now, load = _settle(now, to, levels, np.maximum(before - now, 0.0) * area, able, span, (1.0 - unsettled ** (span / 100.0)) * strength, filled.ravel(), area)
+        load /= dt
+        sigma = math.sqrt(2.0 * p["creep_m2_yr"] * dt)
         if sigma > 0:
             soft = blur(now.reshape(h.shape), (sigma / cell[0], sigma / cell[1])).ravel()
-            now += (soft - now) * weight
+            now = now + (soft - now) * weight
     log = lambda v, lo, hi: np.clip(np.log10(np.maximum(v, lo) / lo) / math.log10(hi / lo), 0.0, 1.0)
     worn, laid = np.maximum(start - now, 0.0), np.maximum(now - start, 0.0)
-    out = {"height": now, "flow": log(q / max(p["rain"], 1e-9), FLOW_LOW, FLOW_HIGH), "wear": worn / (30.0 + worn), "deposition": laid / (10.0 + laid), "sediment": log(moved, 1.0, 1e5)}
+    rain = p["rainfall_m_yr"]
+    out = {"height": now, "flow": log(q / rain, FLOW_LOW, FLOW_HIGH) if rain > 0 else np.zeros(h.size), "wear": worn / (WEAR_HALF + worn), "deposition": laid / (DEPOSITION_HALF + laid), "sediment": log(load, SEDIMENT_LOW, SEDIMENT_HIGH)}
     return {k: v.reshape(h.shape) for k, v in out.items()}
 
 

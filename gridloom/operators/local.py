@@ -81,12 +81,12 @@ def select_range(c: Call):
     return mask_out(c.frame(), soft_range(F.col("in"), p["low"], p["high"], p["falloff"]), p["invert"])
 
 
-@operator("data.rock_hardness", (H(),), OUT_M, (number("layer_thickness_m", 50, 1e-3), number("offset_m", 0), number("soft", 0.1, 0, 1), number("hard", 0.9, 0, 1)))
+@operator("data.rock_hardness", (H(),), OUT_M, (number("layer_thickness_m", 50, 1e-3), number("offset_m", 0), number("soft_hardness", 0.1, 0, 1), number("hard_hardness", 0.9, 0, 1)))
 def rock_hardness(c: Call):
     """Bands of soft and hard rock by height."""
     p = c.params
     wave = F.sin(F.lit(3.141592653589793) * (F.col("in") - p["offset_m"]) / p["layer_thickness_m"])
-    return mask_out(c.frame(), lerp(p["soft"], p["hard"], smoothstep(0.35, 0.65, wave * 0.5 + 0.5)))
+    return mask_out(c.frame(), lerp(p["soft_hardness"], p["hard_hardness"], smoothstep(0.0, 1.0, 2.0 * wave + 0.5)))
 
 
 @operator("combine.combine", (H("a"), H("b"), M("mask", True)), OUT_H, (choice("mode", "blend", "add", "subtract", "multiply", "max", "min"), number("ratio", 1, 0, 1)))

@@ -62,7 +62,7 @@ def scatter_points(density: Raster, height: Raster, p: dict, seed: int) -> DataF
             x, y, ci, cj = x[own], y[own], ci[own], cj[own]
             s = noise.derive(seed, 7)
             turn, size = hydro.cell_random(ci, cj, s, 10), hydro.cell_random(ci, cj, s, 11)
-        return pa.table([pa.array(c) for c in (x, y, 360.0 * turn, p["scale_min"] + (p["scale_max"] - p["scale_min"]) * size)], ["sx", "sy", "rotation_deg", "scale"])
+        return pa.table([pa.array(c) for c in (x, y, (p["rotation_min_deg"] + (p["rotation_max_deg"] - p["rotation_min_deg"]) * turn) % 360.0, p["scale_min"] + (p["scale_max"] - p["scale_min"]) * size)], ["sx", "sy", "rotation_deg", "scale"])
 
     found = held.select("tx", "ty", "j", "i", F.col("v").cast("double").alias("v")).groupBy("tx", "ty").applyInArrow(run, "sx double, sy double, rotation_deg double, scale double")
     raised = sample(height, found)
@@ -86,7 +86,7 @@ def _population(type_id: str, species: str, spacing: float, scale: tuple[float,
         number("height_min_m", 0), number("height_max_m", top), number("height_falloff_m", 100, 0), number("avoid_peaks", peaks, 0, 1), number("snow_tolerance", 0.2, 0, 1),
         choice("occupied_mode", "avoid", "intermingle", "near"), number("occupied_strength", 1, 0, 1),
         number("dead_zones", dead, 0, 1), number("dead_slope_deg", 38, 0, 90), number("patches", patches, 0, 1), number("patch_size_m", patch, 1e-3),
-        number("spacing_m", spacing, 0.1), number("scale_min", scale[0], 0.01), number("scale_max", scale[1], 0.01), Param("species", "text", species), whole("seed", 0),
+        number("spacing_m", spacing, 0.1), number("rotation_min_deg", 0, 0, 360), number("rotation_max_deg", 360, 0, 360), number("scale_min", scale[0], 0.01), number("scale_max", scale[1], 0.01), Param("species", "text", species), whole("seed", 0),
     )
 
     @operator(type_id, (H(), M("water", True), M("snow", True), M("area", True), M("occupied", True)), (M("density"), Port("points", POINTS), M("dead_zones"), M("occupied"), M("water")), params, reach=lambda p: 500.0 + REACH_CELLS * p["spacing_m"] / math.sqrt(2.0))
@@ -155,7 +155,7 @@ grass = _population("vegetation.grass", "grass", 2, (0.6, 1.4), 45, 2200, 0.3, 0
 
 DEBRIS = (
     number("coverage", 0.8, 0, 1, drivable=True), number("talus_weight", 1, 0, 10), number("dead_zone_weight", 0.5, 0, 10), number("slope_min_deg", 30, 0, 90), number("reach_m", 80, 0),
-    number("patches", 0.4, 0, 1), number("patch_size_m", 40, 1e-3), number("spacing_m", 5, 0.1), number("scale_min", 0.5, 0.01), number("scale_max", 2, 0.01), Param("species", "text", "rock"), whole("seed", 0),
+    number("patches", 0.4, 0, 1), number("patch_size_m", 40, 1e-3), number("spacing_m", 5, 0.1), number("rotation_min_deg", 0, 0, 360), number("rotation_max_deg", 360, 0, 360), number("scale_min", 0.5, 0.01), number("scale_max", 2, 0.01), Param("species", "text", "rock"), whole("seed", 0),
 )
 
 

@@ -102,8 +102,8 @@ def drained(g: Raster) -> Raster:
     """Columns ``area`` (m^2) and ``outlet`` (index) of D8 flow over filled ground."""
 
     def f(cell, h):
-        to, order, _ = hydro.route(h, cell)
-        return {"area": hydro.gather_down(to, order, np.full(h.size, cell[0] * cell[1])), "outlet": hydro.outlets(to)}
+        to, levels, _ = hydro.route(h, cell)
+        return {"area": hydro.gather_down(to, levels, np.full(h.size, cell[0] * cell[1])), "outlet": hydro.outlets(to)}
 
     return world_pass(g, f, ["v"], ["area", "outlet"])
 
@@ -114,19 +114,18 @@ def flow(c: Call):
     dinf = c.params["method"] == "dinf"
 
     def f(cell, h):
-        to, order, filled = hydro.route(h, cell)
+        to, levels, filled = hydro.route(h, cell)
         own = np.full(h.size, cell[0] * cell[1])
         one, two, share, angle = hydro.spread_two(filled, cell, to)
         if dinf:
-            area = hydro.gather_two(one, two, share, order, own)
+            area = hydro.gather_two(one, two, share, own)
         else:
-            area = hydro.gather_down(to, order, own)
-            j, i = np.divmod(np.arange(h.size), h.shape[1])
-            angle = np.degrees(np.arctan2(j[to] - j, i[to] - i)) % 360.0
-        return {"area": area, "angle": angle / 360.0, "basin": hydro.unit(hydro.mix(hydro.outlets(to).astype(hydro.U) ^ hydro.U(0xBA515EED)))}
+            area = hydro.gather_down(to, levels, own)
+            angle = hydro.link_angle(to, h.shape, cell)
+        return {"area": area, "angle": angle / 360.0, "basin": hydro.unit(hydro.mix(hydro.outlets(to).astype(hydro.U) ^ hydro.U(hydro.BASIN_SALT)))}
 
     r = world_pass(sim, f, ["v"], ["area", "angle", "basin"])
-    strong = gaussian(dilate(r.cells(log_mask(F.col("area"), hydro.FLOW_LOW, hydro.FLOW_HIGH), MASK)), 0.5 * max(spec.cell))
+    strong = gaussian(dilate(r.cells(log_mask(F.col("area"), hydro.FLOW_LOW, hydro.FLOW_HIGH), MASK)), 0.5 * spec.cell[0])
     near = lambda name: _one(r, name, MASK) if spec == c.spec else onto(_one(r, name, MASK), c.spec, nearest=True)
     return {"accumulation": strong if spec == c.spec else onto(strong, c.spec), "direction": near("angle"), "basins": near("basin")}
 
@@ -138,25 +137,25 @@ def wetness(c: Call):
     sim, spec = simulated(_one(g, "in"), p["detail_m"])
 
     def f(cell, h):
-        to, order, filled = hydro.route(h, cell)
+        to, levels, filled = hydro.route(h, cell)
         one, two, share, _ = hydro.spread_two(filled, cell, to)
-        area = hydro.gather_two(one, two, share, order, np.full(h.size, cell[0] * cell[1]))
+        area = hydro.gather_two(one, two, share, np.full(h.size, cell[0] * cell[1]))
         gy, gx = np.gradient(h, cell[1], cell[0])
         twi = np.log(area.reshape(h.shape) / (sum(cell) / 2) / np.maximum(np.hypot(gx, gy), 1e-3))
         return {"twi": np.clip((twi - 4.0) / 10.0, 0.0, 1.0), "stream": area >= p["stream_area_km2"] * 1e6}
 
     r = world_pass(sim, f, ["v"], ["twi", "stream"])
-    damp = gaussian(_one(r, "twi", MASK), max(spec.cell))
-    damp = damp if spec == c.spec else onto(damp, c.spec)
-    stream = _one(r, "stream", MASK) if spec == c.spec else onto(_one(r, "stream", MASK), c.spec, nearest=True)
-    layers = {"v": stream} | ({"water": c.inputs["water"]} if c.has("water") else {})
-    wet = (F.col("v") > 0.5) | (F.col("water") > 0.5) if c.has("water") else F.col("v") > 0.5
-    far = distance_to(Raster(join_layers(layers), c.spec, c.world), wet).cells(clamp(F.col("v") / p["reach_m"]), MASK)
+    near = lambda g, cells: distance_to(g, cells).cells(clamp(F.col("v") / p["reach_m"]), MASK)
+    damp, far = gaussian(_one(r, "twi", MASK), 0.5 * spec.cell[0]), near(_one(r, "stream", MASK), F.col("v") > 0.5)
+    damp, far = (x if spec == c.spec else onto(x, c.spec) for x in (damp, far))
+    if c.has("water"):
+        both = Raster(join_layers({"a": far, "b": near(c.inputs["water"], F.col("v") > 0.5)}), c.spec, c.world)
+        far = both.cells(F.least("a", "b"), MASK)
     both = Raster(join_layers({"t": damp, "d": far}), c.spec, c.world)
-    return {"wetness": both.cells(1.0 - (1.0 - F.col("t")) * F.col("d"), MASK), "water_distance": far}
+    return {"wetness": both.cells(1.0 - (1.0 - F.col("t")) * smoothstep(0.0, 1.0, F.col("d")), MASK), "water_distance": far}
 
 
-LAKES = (number("min_depth_m", 1, 0), number("min_area_m2", 5000, 0), number("infill", 0.3, 0, 1), number("shore_m", 30, 1e-6), number("detail_m", 8, 0.01, 1e4))
+LAKES = (number("min_depth_m", 1, 0), number("min_area_m2", 5000, 0), number("infill", 0.3, 0, 1), number("shore_width_m", 30, 0, 1e4), number("detail_m", 8, 0.01, 1e4))
 
 
 def waterline(g: Raster, wet, width_m: float) -> Raster:
@@ -184,11 +183,11 @@ def lakes(c: Call):
         "height": g.cells(F.when(deep > 0, F.greatest(F.col("h"), F.col("level") - (1.0 - p["infill"]) * F.col("depth"))).otherwise(F.col("h")), HEIGHT),
         "water_surface": g.cells(F.when(deep > 0, F.col("level")).otherwise(F.col("h")), HEIGHT),
         "lakes": g.cells(snap01(soft), MASK),
-        "shore": waterline(g, soft >= 0.5, p["shore_m"]),
+        "shore": waterline(g, soft >= 0.5, p["shore_width_m"]),
     }
 
 
-RIVERS = (number("source_area_km2", 0.5, 1e-6), number("width_m", 40, 0.1), number("depth_m", 4, 0), number("bank_m", 20, 0), number("meander_m", 30, 0), number("detail_m", 8, 0.01, 1e4))
+RIVERS = (number("source_area_km2", 0.5, 1e-6), number("width_m", 40, 0.1), number("depth_m", 4, 0), number("bank_width_m", 20, 0), number("meander_m", 30, 0), number("detail_m", 8, 0.01, 1e4))
 PIECES = 4
 
 
@@ -210,8 +209,8 @@ def reaches(g: Raster, p: dict, seed: int = 0):
         h = np.zeros(shape)
         h[table["j"].to_numpy(), table["i"].to_numpy()] = table["v"].to_numpy()
         with np.errstate(over="ignore"):
-            to, order, filled = hydro.route(h, cell)
-            area = hydro.gather_down(to, order, np.full(h.size, cell[0] * cell[1]))
+            to, levels, filled = hydro.route(h, cell)
+            area = hydro.gather_down(to, levels, np.full(h.size, cell[0] * cell[1]))
             j, i = np.divmod(np.arange(h.size), shape[1])
             x, y = origin[0] + i * cell[0], origin[1] + j * cell[1]
             if amp > 0:
@@ -249,7 +248,7 @@ def rivers(c: Call):
     """Beds cut along the reaches: a band join of cells with pieces by blocks, then min and max per cell."""
     p, fine = c.params, _one(c.frame(), "in")
     sim, _ = simulated(fine, p["detail_m"])
-    bank, pixel = p["bank_m"], min(c.spec.cell)
+    bank, pixel = p["bank_width_m"], min(c.spec.cell)
     band = max(bank, 0.5 * pixel)
     block = max(32 * max(c.spec.cell), p["width_m"] + bank)
     pieces = reaches(sim, p, c.seed).withColumn("far", F.greatest("half0", "half1") + band)
@@ -276,7 +275,7 @@ def rivers(c: Call):
     }
 
 
-SEA = (number("sea_level_m", 200), flag("from_edges", True), number("shallow_m", 30, 1e-6), number("shore_m", 60, 1e-6), number("beach_m", 10, 0), number("erosion", 0.6, 0, 1))
+SEA = (number("sea_level_m", 200), flag("from_edges", True), number("shallow_depth_m", 30, 1e-6), number("shore_width_m", 60, 0, 1e4), number("beach_height_m", 10, 0), number("coastal_erosion", 0.6, 0, 1))
 
 
 @operator("simulate.sea", (H(),), (H("height"), H("water_surface"), M("sea"), M("shallow"), M("shoreline")), SEA, reach=None)
@@ -286,19 +285,19 @@ def sea(c: Call):
     wet = fine.cells(F.when(F.col("v") < level, 1.0).otherwise(0.0), MASK)
     if p["from_edges"]:
         wet = _one(world_pass(fine, lambda cell, h: {"wet": hydro.flood_below(h, level)}, ["v"], ["wet"]), "wet", MASK)
-    near = distance_to(wet, F.col("v") > 0.5).cells(1.0 - smoothstep(0.0, p["shore_m"], F.col("v")), MASK)
+    near = distance_to(wet, F.col("v") > 0.5).cells(1.0 - smoothstep(0.0, p["shore_width_m"], F.col("v")), MASK)
     g = Raster(join_layers({"h": fine, "wet": wet, "near": near}), c.spec, c.world)
     h, is_wet = F.col("h"), F.col("wet") > 0.5
     deep, above = level - h, h - level
-    low = (above > 0) & (above < p["beach_m"])
-    line = waterline(g, is_wet, p["shore_m"])
-    beach = level + above * (1.0 - p["erosion"] * F.col("near") * (1.0 - above / max(p["beach_m"], 1e-9)))
+    low = (above > 0) & (above < p["beach_height_m"])
+    line = waterline(g, is_wet, p["shore_width_m"])
+    beach = level + above * (1.0 - p["coastal_erosion"] * F.col("near") * (1.0 - above / max(p["beach_height_m"], 1e-9)))
     worn = F.when(~is_wet & low, beach).otherwise(h)
     return {
         "height": g.cells(worn, HEIGHT),
         "water_surface": g.cells(F.when(is_wet, level).otherwise(worn), HEIGHT),
         "sea": g.cells(F.when(is_wet, F.least(deep / 0.1, F.lit(1.0))).otherwise(0.0), MASK),
-        "shallow": g.cells(F.when(is_wet, 1.0 - smoothstep(0.0, p["shallow_m"], deep)).otherwise(0.0), MASK),
+        "shallow": g.cells(F.when(is_wet, 1.0 - smoothstep(0.0, p["shallow_depth_m"], deep)).otherwise(0.0), MASK),
         "shoreline": line,
     }
 
@@ -324,13 +323,13 @@ def _eroded(c: Call, f, outputs: list[str]) -> tuple[Raster, Raster]:
 DETAIL = number("detail_m", 8, 0.01, 1e4)
 
 
-@operator("simulate.thermal", (H(), M("mask", True), M("hardness", True)), (H("height"), M("debris")), (number("duration_s", 60, 0), number("talus_deg", 35, 0, 89), number("diffusivity", 10, 0), DETAIL), reach=None)
+@operator("simulate.thermal", (H(), M("mask", True), M("hardness", True)), (H("height"), M("debris")), (number("duration_s", 60, 0), number("talus_angle_deg", 35, 0, 89), number("diffusivity_m2_s", 10, 0, 100), DETAIL), reach=None)
 def thermal(c: Call):
     p = c.params
-    hydro.thermal_steps(simulated(_one(c.frame(), "in"), p["detail_m"])[1].cell, p["duration_s"], p["diffusivity"])  # said before anything runs
+    hydro.thermal_steps(simulated(_one(c.frame(), "in"), p["detail_m"])[1].cell, p["duration_s"], p["diffusivity_m2_s"])  # said before anything runs
 
     def f(cell, h, strength, hard):
-        d = hydro.thermal(h, cell, p["duration_s"], p["talus_deg"], p["diffusivity"], strength, hard) - h
+        d = hydro.thermal(h, cell, p["duration_s"], p["talus_angle_deg"], p["diffusivity_m2_s"], strength, hard) - h
         up = np.maximum(d, 0.0)
         return {"change": d, "debris": up / (1.0 + up)}
 
@@ -338,7 +337,7 @@ def thermal(c: Call):
     return {"height": _added(fine, r, "change"), "debris": _back(fine, r, "debris")}
 
 
-HYDRAULIC = (number("duration_kyr", 1000, 0), number("rain", 1, 0), number("softness", 0.5, 0), number("capacity", 1.5, 0), number("deposition", 0.5, 0, 1), number("evaporation", 0.02, 0, 1000), number("downcutting", 1, 0), DETAIL, number("creep", 0.002, 0))
+HYDRAULIC = (number("duration_kyr", 1000, 0, 5000), number("rainfall_m_yr", 1, 0, 10), number("rock_softness", 0.5, 0, 1), number("sediment_capacity", 1.5, 0, 10), number("deposition_rate", 0.5, 0, 1), number("evaporation", 0.02, 0, 1), number("downcutting", 1, 0, 4), DETAIL, number("creep_m2_yr", 0.002, 0, 1))
 
 
 @operator("simulate.hydraulic", (H(), M("mask", True), M("hardness", True)), (H("height"), M("flow"), M("wear"), M("deposition"), M("sediment")), HYDRAULIC, reach=None)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cells as fc
-from . import noise_sql
+from . import noise_sql, water_sql
 from .operators import Raster, apply
 from .operators import focal, points, water
 from .operators.base import CHANNELS, HEIGHT, MASK, blank, join_layers
@@ -101,7 +101,7 @@ on_line("terrace", "adjust.terrace", {"offset_m": 30}, select("(floor((v - 30.0)
 on_line("height_mask", "data.height_mask", {"low_m": 400, "high_m": 900}, select(soft("v", 400.0, 900.0, 100.0)))
 on_line("height_mask_inverted", "data.height_mask", {"low_m": 400, "high_m": 900, "invert": True}, select(f"1.0 - {soft('v', 400.0, 900.0, 100.0)}"))
 on_line("select_range", "data.select_range", {}, select(soft("(v / 2000.0)", 0.4, 0.6, 0.05)))
-on_line("rock_hardness", "data.rock_hardness", {}, select(f"0.1 + (0.9 - 0.1) * {smooth(0.35, 0.65, '(sin(3.141592653589793 * v / 50.0) * 0.5 + 0.5)')}"))
+on_line("rock_hardness", "data.rock_hardness", {}, select(f"0.1 + (0.9 - 0.1) * {smooth(0.0, 1.0, '(2.0 * sin(3.141592653589793 * v / 50.0) + 0.5)')}"))
 on_line("portal", "portal.height", {}, select("v"))
 on_line("portal_mask", "portal.mask", {}, select("v / 2000.0"))
 add("to_mask", lambda s, d: numbers(line12(s, d).to(MASK)), select("v / 2000.0"))
@@ -324,25 +324,24 @@ on_line("aspect", "data.aspect", {}, select(f"CASE WHEN gx <> 0 OR gy <> 0 THEN
 on_line("normal_map", "output.normal_map", {"strength": 2}, select({"r": "0.5 - gx * 2.0 / n * 0.5", "g": "0.5 + gy * 2.0 / n * 0.5", "b": "0.5 + 0.5 / n", "a": "1.0"}, more=_GRAD + ", e AS (SELECT *, sqrt(gx * gx * 4.0 + gy * gy * 4.0 + 1.0) AS n FROM d)", source="e"))
 
 
-def _taps_sql(name: str, src: str, sigma: float, width: int = 50, height: int = 12) -> str:
+def _taps_sql(name: str, src: str, sigma: float, width: int = 50, height: int = 12, cell: float = 100.0) -> str:
+    """A Gaussian out to three sigmas with repeated borders, row by row and column by column."""
     out, prev = [], src
     for axis, n, other in (("i", width, "j"), ("j", height, "i")):
-        s = sigma / 100.0
+        s = sigma / cell
         if s < 0.2:
             continue
-        w = focal.taps(s)
-        cells = ", ".join(f"({k}, {w[abs(k)]!r})" for k in range(-len(w) + 1, len(w)))
-        cur = f"{name}_{axis}"
-        out.append(f"{cur} AS (SELECT a.{other}, a.{axis}, sum(b.v * k.w) AS v FROM {prev} a, (VALUES {cells}) k(o, w) JOIN {prev} b ON b.{other} = a.{other} AND b.{axis} = least(greatest(a.{axis} + k.o, 0), {n - 1}) GROUP BY 1, 2)")
+        far, cur = math.ceil(3 * s), f"{name}_{axis}"
+        out.append(f"{cur} AS (SELECT a.{other}, a.{axis}, sum(b.v * exp(-0.5 * pow(k.o / {s!r}, 2))) / sum(exp(-0.5 * pow(k.o / {s!r}, 2))) AS v FROM {prev} a, range({-far}, {far + 1}) k(o) JOIN {prev} b ON b.{other} = a.{other} AND b.{axis} = least(greatest(a.{axis} + k.o, 0), {n - 1}) GROUP BY 1, 2)")
         prev = cur
     out.append(f"{name} AS (SELECT j, i, v AS b FROM {prev})")
     return ", ".join(out)
 
 
-def _box_sql(name: str, src: str, sigma: float) -> str:
+def _box_sql(name: str, src: str, radii: tuple[int, ...]) -> str:
     out, prev = [], src
     for axis, n, other in (("i", 50, "j"), ("j", 12, "i")):
-        for t, r in enumerate(focal.box_radii(sigma / 100.0)):
+        for t, r in enumerate(radii):
             cur = f"{name}_{axis}{t}"
             out.append(f"{cur} AS (SELECT a.{other}, a.{axis}, sum(b.v) / {2 * r + 1}.0 AS v FROM {prev} a, range({-r}, {r + 1}) k(o) JOIN {prev} b ON b.{other} = a.{other} AND b.{axis} = least(greatest(a.{axis} + k.o, 0), {n - 1}) GROUP BY 1, 2)")
             prev = cur
@@ -352,7 +351,7 @@ def _box_sql(name: str, src: str, sigma: float) -> str:
 
 _JOINED = ", z AS (SELECT g.j, g.i, v, b FROM g JOIN f ON f.j = g.j AND f.i = g.i)"
 on_line("blur_taps", "adjust.blur", {"radius_m": 300, "strength": 0.5}, select("v + (b - v) * 0.5", more=_taps_sql("f", "g", 150.0) + _JOINED, source="z"))
-on_line("blur_box", "adjust.blur", {"radius_m": 1500}, select("b", more=_box_sql("f", "g", 750.0) + _JOINED, source="z"))
+on_line("blur_box", "adjust.blur", {"radius_m": 1500}, select("b", more=_box_sql("f", "g", (7, 7, 7)) + _JOINED, source="z"))
 on_line("sharpen", "adjust.sharpen", {"radius_m": 400}, select("v + (v - b)", more=_taps_sql("f", "g", 200.0) + _JOINED, source="z"))
 on_line("curvature", "data.curvature", {"mode": "both", "radius_m": 300, "range_m": 400}, select("least(greatest((v - b) / 400.0 * 0.5 + 0.5, 0.0), 1.0)", more=_taps_sql("f", "g", 150.0) + _JOINED, source="z"))
 on_line("occlusion", "data.occlusion", {"radius_m": 400}, select("least(greatest(1.0 - 4.0 * ((greatest(f.b - v, 0.0) / 100.0 + greatest(f2.b - v, 0.0) / 200.0 + greatest(f3.b - v, 0.0) / 400.0) / 3.0), 0.0), 1.0)", more=f"{_taps_sql('f', 'g', 100.0)}, {_taps_sql('f2', 'g', 200.0)}, {_taps_sql('f3', 'g', 400.0)}", source="g JOIN f USING (j, i) JOIN f2 USING (j, i) JOIN f3 USING (j, i)"))
@@ -411,32 +410,54 @@ def _receiver(s, d):
 add("d8_receiver", _receiver, f"WITH {LINE}, {_STEEP.replace('arg_min(t, (-s, k))', 'arg_min(t, {{a: -s, b: k}})')} SELECT j, i, CAST(r AS BIGINT) AS v FROM rc".replace("{{", "{").replace("}}", "}"))
 
 
-def _tree(kind: str):
-    def run(s, d):
-        """Drained cells (area) and outlets of D8 flow on raw heights: iterated joins along receivers, by doubling."""
-        tree = water.d8_receiver(line12(s, d)).df.select((F.col("j") * 50 + F.col("i")).cast("long").alias("me"), F.col("to").alias("r"))
-        pairs = tree.where("me <> r").select("me", "r")
-        ancestors = pairs
-        for _ in range(5):  # 2**5 steps downstream; paths on this grid are shorter (checked against recursion)
-            hop = ancestors.select(F.col("me").alias("r"), F.col("r").alias("up"))
-            ancestors = ancestors.unionByName(ancestors.join(hop, "r").select("me", F.col("up").alias("r"))).distinct()
-        if kind == "area":
-            up = ancestors.groupBy(F.col("r").alias("me")).agg(F.count(F.lit(1)).alias("n"))
-            out = tree.join(up, "me", "left").select("me", ((F.coalesce("n", F.lit(0)) + 1) * 10000).cast("long").alias("v"))
-        else:
-            ends = tree.where("me = r").select(F.col("me").alias("r"))
-            out = ancestors.join(ends, "r").select("me", F.col("r").alias("v")).unionByName(ends.select(F.col("r").alias("me"), F.col("r").alias("v")))
-        return out.select(F.expr("cast(me div 50 as int)").alias("j"), (F.col("me") % 50).cast("int").alias("i"), "v")
-
-    return run
-
-
-_TREE = f"WITH RECURSIVE {LINE}, {_STEEP}, up AS (SELECT me, r AS a, me <> r AS moved FROM rc UNION ALL SELECT up.me, rc.r, up.a <> rc.r FROM up JOIN rc ON rc.me = up.a WHERE up.moved AND up.a <> rc.r)".replace("arg_min(t, (-s, k))", "arg_min(t, {a: -s, b: k})")
-add("d8_area", _tree("area"), _TREE + ", n AS (SELECT a, count(*) AS n FROM up WHERE moved AND a <> me GROUP BY a) SELECT j, i, CAST((coalesce(n, 0) + 1) * 10000 AS BIGINT) AS v FROM rc LEFT JOIN n ON n.a = rc.me")
-add("basins", _tree("outlet"), _TREE + ", e AS (SELECT me, a FROM up WHERE a IN (SELECT me FROM rc WHERE r = me)) SELECT j, i, CAST(coalesce(e.a, rc.me) AS BIGINT) AS v FROM rc LEFT JOIN e ON e.me = rc.me")
+def _drained(s, d):
+    r = water.drained(line12(s, d))
+    return r.df.select("j", "i", F.round("area").cast("long").alias("area"), F.col("outlet").cast("long").alias("outlet"))
+
+
+_ROUTE = ", ".join([water_sql.base(), "land0 AS (SELECT c, h AS x FROM cells)", water_sql.routed("way", "land0")])
+_AREA8 = water_sql.gathered("area", water_sql.d8_edges("way"), "10000.0::DOUBLE")
+_AREA2 = ", ".join([water_sql.split("two", "way"), water_sql.gathered("area", water_sql.split_edges("two"), "10000.0::DOUBLE")])
+add("drained", _drained, f"WITH RECURSIVE {LINE}, {_ROUTE}, {_AREA8}, {water_sql.ends('outlet', 'way')} SELECT j, i, CAST(round(area.x) AS BIGINT) AS area, CAST(outlet.x AS BIGINT) AS outlet FROM cells JOIN area USING (c) JOIN outlet USING (c)")
+
+
+def watery(e: str | dict[str, str], *more: str, source: str, scale: float = 1e5) -> str:
+    return select(e, more=", ".join([_ROUTE, *more]), source=source, scale=scale, recursive=True)
+
+
+_STRONG = f"bright AS (SELECT c, {water_sql.log_mask('x', 5e3, 5e7)} AS v FROM area), wide AS (SELECT m.j, m.i, greatest(any_value(o.v), max(b.v)) AS v FROM cells m JOIN bright o ON o.c = m.c JOIN links e ON e.c = m.c JOIN bright b ON b.c = e.t GROUP BY m.j, m.i), " + _taps_sql("f", "wide", 50.0)
+for _method, _area, _angle in (("dinf", _AREA2, "angle"), ("d8", _AREA8 + ", " + water_sql.split("two", "way"), "plain")):
+    on_line(f"flow_{_method}", "data.flow", {"method": _method}, watery("b", _area, _STRONG, source="f"), port="accumulation", scale=1e5)
+    on_line(f"flow_direction_{_method}", "data.flow", {"method": _method}, watery(f"{_angle} / 360.0", _area, source="(SELECT j, i, two.* FROM two JOIN cells USING (c))"), port="direction", scale=1e5)
+on_line("flow_basins", "data.flow", {}, watery("b_u", water_sql.ends("outlet", "way"), water_sql.unit_of("(SELECT j, i, x FROM outlet JOIN cells USING (c))", "b", f"xor(CAST(x AS UBIGINT), {0xBA515EED}::UBIGINT)"), source="b"), port="basins", scale=1e5)
+_DAMP = f"{_GRAD}, damp AS (SELECT j, i, {_clamp('(ln(area.x / 100.0 / greatest(sqrt(gx * gx + gy * gy), 1e-3)) - 4.0) / 10.0')} AS v FROM area JOIN cells USING (c) JOIN d USING (j, i)), " + _taps_sql("f", "damp", 50.0)
+_FARS = "far AS (SELECT a.j, a.i, least(min(sqrt(pow(a.i - b.i, 2) + pow(a.j - b.j, 2)) * 100.0) / 350.0, 1.0) AS d FROM cells a, cells b JOIN area USING (c) WHERE area.x >= 1e5 GROUP BY a.j, a.i)"
+for _port, _e in (("wetness", f"1.0 - (1.0 - b) * {smooth(0.0, 1.0, 'd')}"), ("water_distance", "d")):
+    on_line("wetness" if _port == "wetness" else "wetness_distance", "data.wetness", {"stream_area_km2": 0.1, "reach_m": 350}, watery(_e, _AREA2, _DAMP, _FARS, source="f JOIN far USING (j, i)"), port=_port, scale=1e5)
+_LAKES = water_sql.lakes("held", 20.0, 15000.0) + ", seen AS (SELECT j, i, h, coalesce(level, -1e9) AS level, coalesce(depth, 0.0) AS depth FROM cells LEFT JOIN held USING (c))"
+_SHORE = "edge AS (SELECT j, i, least(greatest((level - h) / 0.1, 0.0), 1.0) >= 0.5 AS wet FROM seen), line AS (SELECT a.j, a.i, any_value(a.wet) AS wet, min(sqrt(pow(a.i - b.i, 2) + pow(a.j - b.j, 2)) * 100.0) AS d FROM edge a, edge b WHERE a.wet <> b.wet GROUP BY a.j, a.i)"
+for _port, _e in (("height", "CASE WHEN level > h THEN greatest(h, level - 0.7 * depth) ELSE h END"), ("water_surface", "greatest(level, h)"), ("lakes", _clamp("(level - h) / 0.1")), ("shore", f"1.0 - {smooth(0.0, 250.0, 'd')}")):
+    on_line(f"lakes_{_port}", "simulate.lakes", {"min_depth_m": 20, "min_area_m2": 15000, "shore_width_m": 250}, watery(_e, _LAKES, *([_SHORE] if _port == "shore" else []), source="line" if _port == "shore" else "seen"), port=_port, scale=1e5)
+_RIVER = {"source_area_km2": 0.08, "width_m": 260, "depth_m": 20, "bank_width_m": 90, "meander_m": 60}
+_CARVED = ", ".join([
+    water_sql.reaches("way", "area", SEED, 8e4, 260.0, 20.0, 60.0),
+    "met0 AS (SELECT c, h, p.*, least(greatest(((i * 100.0 - x0) * (x1 - x0) + (j * 100.0 - y0) * (y1 - y0)) / greatest(pow(x1 - x0, 2) + pow(y1 - y0, 2), 1e-9), 0.0), 1.0) AS t, i * 100.0 AS px, j * 100.0 AS py FROM cells, reach p)",
+    "met1 AS (SELECT c, h, sqrt(pow(px - x0 - t * (x1 - x0), 2) + pow(py - y0 - t * (y1 - y0), 2)) AS d, level0 + t * (level1 - level0) AS level, half0 + t * (half1 - half0) AS half, deep0 + t * (deep1 - deep0) AS deep FROM met0)",
+    f"met AS (SELECT *, {smooth(0.0, 1.0, '((d - half) / 90.0)')} AS up FROM met1 WHERE d < half + 90.0)",
+    "per AS (SELECT c, min(least(h, CASE WHEN d < half THEN level - deep * (1.0 - pow(d / half, 2)) ELSE level + (h - level) * up END)) AS bed, max(least(greatest((half - d) / 100.0 + 0.5, 0.0), 1.0)) AS cover, max(CASE WHEN d < half THEN level END) AS water, max(CASE WHEN d >= half THEN 1.0 - up END) AS bank FROM met GROUP BY c)",
+    "cut AS (SELECT j, i, coalesce(bed, h) AS bed, coalesce(cover, 0.0) AS cover, coalesce(water, -1e9) AS water, coalesce(bank, 0.0) AS bank FROM cells LEFT JOIN per USING (c))",
+])
+for _port, _e in (("height", "bed"), ("water_surface", "greatest(bed, water)"), ("river", "cover"), ("riverbank", "bank * (1.0 - cover)")):
+    on_line(f"rivers_{_port}", "simulate.rivers", _RIVER, watery(_e, _AREA8, _CARVED, source="cut", scale=1e4), port=_port, scale=1e4)
+_CREEP = math.sqrt(2.0 * 0.002 * 25000.0)
+_WORN = water_sql.eroded(2, 25000.0, lambda name, src: _taps_sql(name, src, _CREEP))
+for _port, _e in (("height", "x"), ("wear", "greatest(h - x, 0.0) / (30.0 + greatest(h - x, 0.0))"), ("deposition", "greatest(x - h, 0.0) / (10.0 + greatest(x - h, 0.0))")):
+    on_line(f"hydraulic_{_port}", "simulate.hydraulic", {"duration_kyr": 50}, watery(_e, _WORN, source="(SELECT j, i, h, x FROM cells JOIN ground2 USING (c))", scale=1e4), port=_port, scale=1e4)
+for _port, _src, _e in (("flow", "q1", water_sql.log_mask("x", 5e3, 5e7)), ("sediment", "laid1", water_sql.log_mask("(out / 25000.0)", 1.0, 1e5))):
+    on_line(f"hydraulic_{_port}", "simulate.hydraulic", {"duration_kyr": 50}, watery("b", _WORN, f"raw AS (SELECT j, i, {_e} AS v FROM {_src} JOIN cells USING (c))", _taps_sql("f", "raw", 100.0), source="f", scale=1e4), port=_port, scale=1e4)
 _WET = "wet AS (SELECT j, i FROM g WHERE v < 500 AND (j IN (0, 11) OR i IN (0, 49)) UNION SELECT g.j, g.i FROM wet JOIN g ON abs(g.j - wet.j) + abs(g.i - wet.i) = 1 WHERE g.v < 500)"
 on_line("sea_edges", "simulate.sea", {"sea_level_m": 500}, select("CASE WHEN w.j IS NULL THEN 0.0 ELSE least((500.0 - v) / 0.1, 1.0) END", more=_WET.replace("wet AS", "wet(j, i) AS"), source="g LEFT JOIN (SELECT j AS j, i AS i FROM wet) w USING (j, i)", recursive=True).replace("w.j IS NULL", "w.i IS NULL").replace("SELECT j AS j, i AS i FROM wet", "SELECT j, i FROM wet"), port="sea")
-on_line("sea_all", "simulate.sea", {"sea_level_m": 500, "from_edges": False, "shallow_m": 200}, select(f"CASE WHEN v < 500 THEN 1.0 - {smooth(0.0, 200.0, '(500.0 - v)')} ELSE 0.0 END"), port="shallow")
+on_line("sea_all", "simulate.sea", {"sea_level_m": 500, "from_edges": False, "shallow_depth_m": 200}, select(f"CASE WHEN v < 500 THEN 1.0 - {smooth(0.0, 200.0, '(500.0 - v)')} ELSE 0.0 END"), port="shallow")
 _FILL = """m AS (SELECT max(v) AS top FROM g), lv AS (SELECT DISTINCT v AS l FROM g),
  rch(l, j, i) AS (SELECT l, g.j, g.i FROM lv, g WHERE g.v <= l AND (g.j IN (0, 29) OR g.i IN (0, 23)) UNION SELECT rch.l, n.j, n.i FROM rch JOIN g n ON abs(n.j - rch.j) <= 1 AND abs(n.i - rch.i) <= 1 AND n.v <= rch.l),
  f AS (SELECT j, i, min(l) AS v FROM rch GROUP BY j, i)"""
@@ -445,14 +466,14 @@ add("fill_depressions", lambda s, d: numbers(water.fill_depressions(events(s, d)
 
 def _thermal(s, d):
     g = line12(s, d)
-    return numbers(apply("simulate.thermal", {"in": g}, {"duration_s": 2, "talus_deg": 30, "diffusivity": 1000, "detail_m": 50})["height"])
+    return numbers(apply("simulate.thermal", {"in": g}, {"duration_s": 8, "talus_angle_deg": 30, "diffusivity_m2_s": 100, "detail_m": 50})["height"])
 
 
 def _thermal_sql() -> str:
     parts, prev = [], "g"
-    for n in range(2):
+    for n in range(8):
         parts.append(f"""h{n} AS (SELECT a.j, a.i, any_value(a.v) + sum(
-          greatest(b.v - a.v - tan(radians(30)) * dd, 0.0) * (1000.0 * w / (dd * dd)) - greatest(a.v - b.v - tan(radians(30)) * dd, 0.0) * (1000.0 * w / (dd * dd))) AS v
+          greatest(b.v - a.v - tan(radians(30)) * dd, 0.0) * (100.0 * w / (dd * dd)) - greatest(a.v - b.v - tan(radians(30)) * dd, 0.0) * (100.0 * w / (dd * dd))) AS v
           FROM (SELECT a.*, b.v AS bv, 1 FROM {prev} a JOIN {prev} b ON false) z RIGHT JOIN {prev} a ON false JOIN {prev} b ON abs(a.j - b.j) <= 1 AND abs(a.i - b.i) <= 1 AND (a.j <> b.j OR a.i <> b.i),
           LATERAL (SELECT 100.0 * sqrt(pow(a.i - b.i, 2) + pow(a.j - b.j, 2)) AS dd, CASE WHEN a.i = b.i OR a.j = b.j THEN 2.0 / 3.0 ELSE 1.0 / 3.0 END AS w) q GROUP BY a.j, a.i)""".replace(f"(SELECT a.*, b.v AS bv, 1 FROM {prev} a JOIN {prev} b ON false) z RIGHT JOIN {prev} a ON false", f"{prev} a"))
         prev = f"h{n}"
@@ -460,20 +481,78 @@ def _thermal_sql() -> str:
 
 
 add("thermal_steps", _thermal, _thermal_sql())
-for _name, _type, _params, _port in (
-    ("lakes", "simulate.lakes", {"min_depth_m": 1, "min_area_m2": 1}, "lakes"),
-    ("rivers", "simulate.rivers", {"source_area_km2": 0.1, "width_m": 150}, "height"),
-    ("hydraulic", "simulate.hydraulic", {"duration_kyr": 50}, "height"),
-    ("flow_dinf", "data.flow", {}, "accumulation"),
-    ("flow_d8", "data.flow", {"method": "d8"}, "basins"),
-    ("wetness", "data.wetness", {"stream_area_km2": 0.1}, "wetness"),
-    ("trees_density", "vegetation.trees", {"height_max_m": 1000, "slope_max_deg": 80, "spacing_m": 60}, "density"),
-    ("trees_points", "vegetation.trees", {"height_max_m": 1000, "slope_max_deg": 80, "spacing_m": 60}, "points"),
-    ("shrubs_points", "vegetation.shrubs", {"slope_max_deg": 80, "spacing_m": 60}, "points"),
-    ("grass_density", "vegetation.grass", {"slope_max_deg": 80}, "density"),
-    ("debris", "vegetation.debris", {"spacing_m": 40, "coverage": 1.0}, "points"),
+# Vegetation: density by habitat, noise and dead ground; points by nine phases of cells, three tries each.
+
+
+def _habitat(slope_max: float, top: float, water: float, peaks: float, dead: float, patches: float, patch: float, spread: float, spacing: float) -> str:
+    """``dens`` (j, i, v, z) of a population at its other defaults."""
+    pref = f"(1.0 + (w - 1.0) * {water!r})" if water >= 0 else f"(1.0 + (1.0 - w - 1.0) * {-water!r})"
+    return ", ".join([
+        _GRAD, _taps_sql("soft120", "g", 120.0),
+        f"site AS (SELECT d.j, d.i, d.v AS z, {_SLOPE} AS s, (d.v - b) / 40.0 AS rel FROM d JOIN soft120 USING (j, i))",
+        f"site1 AS (SELECT *, {_clamp('0.5 - 0.5 * rel')} AS w, {smooth(32.0, 44.0, 's')} AS steep FROM site)",
+        f"site2 AS (SELECT *, {soft('s', 0.0, slope_max, 6.0)} * {soft('z', 0.0, top, 100.0)} * {pref} * (1.0 - {peaks!r} * {_clamp('rel')}) AS home FROM site1)",
+        "homes AS (SELECT j, i, home AS v FROM site2)", _taps_sql("homef", "homes", spread / 2), "steeps AS (SELECT j, i, steep AS v FROM site2)", _taps_sql("runf", "steeps", 60.0),
+        _near("na", patch, 3, 1), _near("nb", max(4.0 * spacing, 4.0), 2, 2), _near("nc", 80.0, 2, 3),
+        f"site3 AS (SELECT site2.*, h.b AS grown, r.b AS runout, {_clamp('na.n * 0.5 + 0.5')} AS n1, {_clamp('nb.n * 0.5 + 0.5')} AS n2, {_clamp('nc.n * 0.5 + 0.5')} AS n3 FROM site2 JOIN homef h USING (j, i) JOIN runf r USING (j, i) JOIN na USING (j, i) JOIN nb USING (j, i) JOIN nc USING (j, i))",
+        f"dens AS MATERIALIZED (SELECT j, i, z, {_clamp(f"0.8 * {_clamp('(grown - 0.2) / 0.8')} * (1.0 + ({smooth(0.35, 0.65, 'n1')} - 1.0) * {patches!r}) * (1.0 + (n2 - 1.0) * 0.3) * (1.0 - {_clamp(f'{dead!r} * greatest(steep, least(runout * 1.6, 1.0) * 0.8) * (0.8 + 0.7 * n3)')})")} AS v FROM site3)",
+    ])
+
+
+def _scattered(spacing: float, low: float, high: float, species: str) -> str:
+    """``points`` by ``dens``: cells whose side is the spacing over the root of two keep one point each."""
+    side = spacing / math.sqrt(2.0)
+    nx, ny = math.ceil(4900.0 / side), math.ceil(1100.0 / side)
+    seed = noise_sql.sub_seed(SEED, 7)
+    out = [f"sc AS (SELECT ci AS gx, cj AS gy, ci, cj FROM range({nx}) a(ci), range({ny}) b(cj))"]
+    # a hash of the cell and the number of what it is for
+    rolls = []
+    for k in range(7):
+        rolls.append(f"({k}, {seed ^ ((k * 0xD6E8FEB86659FD93) % (1 << 64))}::UBIGINT)")
+    rolls += [f"({k}, {seed ^ ((k * 0xD6E8FEB86659FD93) % (1 << 64))}::UBIGINT)" for k in (10, 11)]
+    out += [f"sr AS (SELECT sc.*, k, seed FROM sc, (VALUES {', '.join(rolls)}) r(k, seed))", noise_sql.lattice("sr", "sl")]
+    out.append("roll AS MATERIALIZED (SELECT ci, cj, " + ", ".join(f"max(CAST(sl_h >> 11 AS DOUBLE) / 9007199254740992.0) FILTER (k = {k}) AS u{k}" for k in (*range(7), 10, 11)) + " FROM sl GROUP BY ci, cj)")
+    at = lambda v, x, y: f"(SELECT q.*, least(greatest({x} / 100.0, 0.0), 49.0) AS fx, least(greatest({y} / 100.0, 0.0), 11.0) AS fy FROM {v} q)"
+    lerp4 = lambda col: f"((a.{col} + (b.{col} - a.{col}) * (fx - a.i)) + ((k.{col} + (l.{col} - k.{col}) * (fx - a.i)) - (a.{col} + (b.{col} - a.{col}) * (fx - a.i))) * (fy - a.j))"
+    four = "JOIN dens a ON a.j = least(floor(fy), 10) AND a.i = least(floor(fx), 48) JOIN dens b ON b.j = a.j AND b.i = a.i + 1 JOIN dens k ON k.j = a.j + 1 AND k.i = a.i JOIN dens l ON l.j = a.j + 1 AND l.i = a.i + 1"
+    out.append(f"want AS MATERIALIZED (SELECT m.ci, m.cj, u1, u2, u3, u4, u5, u6, u10, u11 FROM {at('roll', f'((ci + 0.5) * {side!r})', f'((cj + 0.5) * {side!r})')} m {four} WHERE u0 < {lerp4('v')})")
+    out.append("kept0 AS (SELECT ci, cj, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y FROM want WHERE false)")
+    n = 0
+    for phase in range(9):
+        for t in range(3):
+            x, y = f"((w.ci + u{1 + 2 * t}) * {side!r})", f"((w.cj + u{2 + 2 * t}) * {side!r})"
+            out.append(f"""kept{n + 1} AS MATERIALIZED (SELECT * FROM kept{n} UNION ALL SELECT w.ci, w.cj, {x}, {y} FROM want w WHERE w.ci % 3 + 3 * (w.cj % 3) = {phase} AND {x} <= 4900.0 AND {y} <= 1100.0 AND NOT EXISTS (SELECT 1 FROM kept{n} p WHERE p.ci = w.ci AND p.cj = w.cj)
+ AND NOT EXISTS (SELECT 1 FROM kept{n} p WHERE p.ci BETWEEN w.ci - 2 AND w.ci + 2 AND p.cj BETWEEN w.cj - 2 AND w.cj + 2 AND abs(p.ci - w.ci) + abs(p.cj - w.cj) < 4 AND pow(p.x - {x}, 2) + pow(p.y - {y}, 2) < {spacing * spacing!r}))""")
+            n += 1
+    out.append(f"points AS (SELECT x, y, {lerp4('z')} AS z, u10 * 360.0 AS turn, {low!r} + {high - low!r} * u11 AS scale, '{species}' AS species FROM {at(f'(SELECT p.*, u10, u11 FROM kept{n} p JOIN want USING (ci, cj))', 'x', 'y')} m {four})")
+    return ", ".join(out)
+
+
+_POINT_COLUMNS = {"x": "x_m", "y": "y_m", "z": "z_m", "turn": "rotation_deg", "scale": "scale"}
+
+
+def _placed(type_id: str, params: dict):
+    def run(s, d):
+        df = apply(type_id, {"in": line12(s, d)}, params, seed=SEED)["points"]
+        return df.select(*(whole(F.col(c), 1e4).alias(n) for n, c in _POINT_COLUMNS.items()), "species")
+
+    return run
+
+
+_PLACED = "SELECT " + ", ".join(f"{sql_whole(n, 1e4)} AS {n}" for n in _POINT_COLUMNS) + ", species FROM points"
+for _kind, _own, _low, _high, _params, _args in (
+    ("trees", "tree", 0.8, 1.2, {"height_max_m": 1000, "slope_max_deg": 80, "spacing_m": 60}, (80.0, 1000.0, 0.2, 0.4, 0.5, 0.4, 150.0, 20.0, 60.0)),
+    ("shrubs", "shrub", 0.7, 1.3, {"slope_max_deg": 80, "spacing_m": 60, "spread_m": 90, "water_preference": -0.4}, (80.0, 1800.0, -0.4, 0.2, 0.3, 0.5, 60.0, 90.0, 60.0)),
+    ("grass", "grass", 0.6, 1.4, {"slope_max_deg": 80, "spacing_m": 50}, (80.0, 2200.0, 0.3, 0.0, 0.2, 0.3, 40.0, 5.0, 50.0)),
 ):
-    on_line(_name, _type, _params, port=_port)
+    on_line(f"{_kind}_density", f"vegetation.{_kind}", _params, select("v", more=_habitat(*_args), source="dens", scale=1e4), port="density", scale=1e4)
+    add(f"{_kind}_points", _placed(f"vegetation.{_kind}", _params), f"WITH {LINE}, {_habitat(*_args)}, {_scattered(_params['spacing_m'], _low, _high, _own)} {_PLACED}")
+_ROCKS = ", ".join([
+    _GRAD, f"shed AS (SELECT j, i, v AS z, {smooth(26.0, 40.0, _SLOPE)} AS v FROM d)", _taps_sql("rolled", "shed", 40.0), _near("na", 40.0, 3, 1),
+    f"dens AS MATERIALIZED (SELECT shed.j, shed.i, z, {_clamp(f"{_clamp('least(b * 1.8, 1.0) * (1.0 - 0.7 * shed.v)')} * (1.0 + ({smooth(0.35, 0.65, _clamp('na.n * 0.5 + 0.5'))} - 1.0) * 0.4)")} AS v FROM shed JOIN rolled USING (j, i) JOIN na USING (j, i))",
+])
+on_line("debris_density", "vegetation.debris", {"spacing_m": 40, "coverage": 1.0}, select("v", more=_ROCKS, source="dens", scale=1e4), port="density", scale=1e4)
+add("debris_points", _placed("vegetation.debris", {"spacing_m": 40, "coverage": 1.0}), f"WITH {LINE}, {_ROCKS}, {_scattered(40.0, 0.5, 2.0, 'rock')} {_PLACED}")
 
 # Points, sinks, overlays.
 

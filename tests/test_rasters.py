@@ -143,14 +143,35 @@ def test_fill_is_the_minimax_path():
     assert np.array_equal(hydro.fill(h), level)
 
 
+def test_filled_ground_equals_a_plain_priority_flood():
+    rng = np.random.default_rng(8)
+    for shape, cell in (((14, 17), (10.0, 10.0)), ((9, 30), (5.0, 20.0)), ((25, 25), (8.0, 8.0))):
+        j, i = np.mgrid[0 : shape[0], 0 : shape[1]]
+        for h in (rng.uniform(0, 100, shape), np.round(rng.uniform(0, 3, shape)), 3.0 * i + rng.uniform(0, 4, shape), np.zeros(shape)):
+            lift, n = 1e-5 * hydro.jitter(h.size), h.size
+            level, done = h.ravel().copy(), {k for k in range(n) if k // shape[1] in (0, shape[0] - 1) or k % shape[1] in (0, shape[1] - 1)}
+            heap = [(level[k], k) for k in done]
+            heapq.heapify(heap)
+            while heap:
+                v, k = heapq.heappop(heap)
+                for dj, di in hydro.D8:
+                    a, b = k // shape[1] + dj, k % shape[1] + di
+                    m = a * shape[1] + b
+                    if 0 <= a < shape[0] and 0 <= b < shape[1] and m not in done:
+                        done.add(m)
+                        level[m] = max(level[m], v + math.hypot(dj * cell[1], di * cell[0]) * lift[m])
+                        heapq.heappush(heap, (level[m], m))
+            assert np.array_equal(hydro.fill(h, cell).ravel(), level)
+
+
 def test_every_cell_drains_and_area_is_kept():
     h = np.random.default_rng(4).uniform(0, 100, (20, 20))
     with np.errstate(over="ignore", invalid="ignore"):
-        to, order, _ = hydro.route(h, (10.0, 10.0))
+        to, levels, _ = hydro.route(h, (10.0, 10.0))
     ends = hydro.outlets(to)
     j, i = np.divmod(ends, 20)
     assert ((j == 0) | (j == 19) | (i == 0) | (i == 19)).all()
-    area = hydro.gather_down(to, order, np.full(400, 100.0))
+    area = hydro.gather_down(to, levels, np.full(400, 100.0))
     assert math.isclose(area[to == np.arange(400)].sum(), 400 * 100.0)
 
 
@@ -165,7 +186,7 @@ def test_thermal_keeps_mass_and_rests():
 
 def test_lakes_reach_their_shore_on_the_fine_grid(spark):
     g = grid(spark, lambda x, y: F.least(F.sqrt((x - 500.0) * (x - 500.0) + (y - 530.0) * (y - 530.0)), F.lit(300.0)), n=65)
-    out = {k: array(v) for k, v in apply("simulate.lakes", {"in": g}, {"detail_m": 64, "infill": 0.3, "shore_m": 50}).items()}
+    out = {k: array(v) for k, v in apply("simulate.lakes", {"in": g}, {"detail_m": 64, "infill": 0.3, "shore_width_m": 50}).items()}
     h, level = array(g), out["water_surface"].max()
     assert level > 250 and ((out["lakes"] > 0) == (h < level)).all()
     floor = out["height"].min()
@@ -181,7 +202,7 @@ def test_lakes_grow_to_the_higher_one():
 
 def test_narrow_rivers_show_from_their_heads(spark):
     g = grid(spark, lambda x, y: F.abs(x - 512.0) + 100.0 + y * 0.1)
-    p = {"source_area_km2": 0.02, "width_m": 40, "depth_m": 4, "bank_m": 0, "meander_m": 0, "detail_m": 8}
+    p = {"source_area_km2": 0.02, "width_m": 40, "depth_m": 4, "bank_width_m": 0, "meander_m": 0, "detail_m": 8}
     out = {k: array(v) for k, v in apply("simulate.rivers", {"in": g}, p).items()}
     river = out["river"][1:15, 8]
     assert (river > 0.5).all() and (river < 1).all() and (np.diff(river) <= 1e-9).all()
@@ -196,7 +217,7 @@ def test_narrow_rivers_show_from_their_heads(spark):
 
 def test_shorelines_lie_on_both_sides(spark):
     g = grid(spark, lambda x, y: x)
-    out = {k: array(v) for k, v in apply("simulate.sea", {"in": g}, {"sea_level_m": 500, "shore_m": 200, "beach_m": 100, "erosion": 1}).items()}
+    out = {k: array(v) for k, v in apply("simulate.sea", {"in": g}, {"sea_level_m": 500, "shore_width_m": 200, "beach_height_m": 100, "coastal_erosion": 1}).items()}
     assert out["shoreline"][5, 6] > 0.2 and out["shoreline"][5, 9] > 0.2 and out["shoreline"][5, 1] == out["shoreline"][5, 14] == 0
     assert np.array_equal(out["water_surface"][:, 8:], out["height"][:, 8:]) and out["height"][5, 8] < array(g)[5, 8]
 
