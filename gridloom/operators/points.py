@@ -201,14 +201,24 @@ def rasterise(points: DataFrame, like: Raster) -> Raster:
     return Raster(like.df.select("j", "i").join(hit, ["j", "i"], "left").select("j", "i", F.coalesce("hit", F.lit(0.0)).alias("v")), s, like.world, MASK)
 
 
+BLOCK_POINTS = 4096
+
+
 def thin(points: DataFrame, most: int, order: list[str]) -> DataFrame:
-    """Every n-th point of each species, ``most`` in all, in equal shares; ranks by blocks, no species in one task."""
+    """Every n-th point of each species, ``most`` in all, in equal shares.
+
+    Points are ranked by a hash of ``order``, then by ``order``; by blocks of
+    the hash whose number follows that of the points, so no species is in one
+    task.
+    """
     total = points.groupBy("species").agg(F.count(F.lit(1)).alias("_n"))
-    kinds = total.count() or 1
-    share = max(1, most // kinds)
-    blocked = points.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(64)))
+    kinds, count = (x or 0 for x in total.agg(F.count(F.lit(1)), F.sum("_n")).first())
+    share, digits = max(1, most // max(kinds, 1)), 1
+    while count > BLOCK_POINTS * 16**digits:
+        digits += 1
+    blocked = points.withColumn("_block", F.substring(F.md5(F.concat_ws(":", *(F.col(c).cast("string") for c in order))), 1, digits))
     own = F.row_number().over(Window.partitionBy("species", "_block").orderBy(*order)) - 1
     sizes = blocked.groupBy("species", "_block").agg(F.count(F.lit(1)).alias("_m"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_m").over(Window.partitionBy("species").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_m")
-    ranked = blocked.withColumn("_own", own).join(before, ["species", "_block"]).join(F.broadcast(total), "species")
+    ranked = blocked.withColumn("_own", own).join(before, ["species", "_block"]).join(total, "species")
     return ranked.where((F.col("_before") + F.col("_own")) % F.ceil(F.col("_n") / share) == 0).drop("_block", "_own", "_before", "_n")

@@ -1,6 +1,6 @@
 """Operators that see the whole world: flow, lakes, rivers, sea, erosion.
 
-They run on a simulation grid of at most ``WORLD_SIDE`` samples a side, as
+They run on a simulation grid of at most ``MAX_SIDE`` samples a side, as
 one group of cells in one task; heights come to it through a distributed
 resample and go back to the full grid as a distributed difference, so only
 the bounded simulation grid ever meets in one place.
@@ -18,17 +18,15 @@ from pyspark.sql import functions as F
 from ..functions import hydro
 from ..functions.cells import clamp, log_mask, smoothstep, snap01
 from ..plans.params import choice, flag, number
-from ..plans.world import GridSpec, PlanError
+from ..plans.world import MAX_SIDE, GridSpec, PlanError
 from .base import HEIGHT, MASK, Call, H, M, Raster, join_layers, operator
 from .focal import dilate, distance_to, gaussian, gradient, onto, resample
 
-WORLD_SIDE = 4097
-
 
 def world_pass(g: Raster, f: Callable[..., dict[str, np.ndarray]], inputs: list[str], outputs: list[str]) -> Raster:
     """``f`` over whole 2-D arrays of ``inputs``; columns ``outputs`` of the result."""
-    if max(g.spec.width, g.spec.height) > WORLD_SIDE:
-        raise PlanError(f"a world pass has at most {WORLD_SIDE} samples a side")
+    if max(g.spec.width, g.spec.height) > MAX_SIDE:
+        raise PlanError(f"a world pass has at most {MAX_SIDE} samples a side")
     shape, cell = (g.spec.height, g.spec.width), g.spec.cell
 
     def run(table: pa.Table) -> pa.Table:
@@ -56,9 +54,6 @@ def _one(g: Raster, name: str, kind: str = HEIGHT) -> Raster:
 def simulated(g: Raster, detail_m: float) -> tuple[Raster, GridSpec]:
     """The raster on its simulation grid."""
     spec = g.spec.simulation(detail_m)
-    side = max(spec.width, spec.height)
-    if side > WORLD_SIDE:
-        spec = GridSpec(min(spec.width, WORLD_SIDE), min(spec.height, WORLD_SIDE), spec.extent_m, spec.origin_m)
     return (g if spec == g.spec else resample(g, spec)), spec
 
 

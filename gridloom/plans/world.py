@@ -83,10 +83,10 @@ class GridSpec:
         return replace(self, window=(i0, j0, width, height))
 
     def simulation(self, detail_m: float) -> GridSpec:
-        """The grid of about ``detail_m`` metres a cell; this one if its cells are at least twice as large."""
+        """The grid of about ``detail_m`` metres a cell, at most ``MAX_SIDE`` a side; this one if its cells are at least twice as large."""
         if min(self.cell) >= 2 * detail_m:
             return self
-        w, h = (max(2, round(e / detail_m) + 1) for e in self.extent_m)
+        w, h = (min(max(2, round(e / detail_m) + 1), MAX_SIDE) for e in self.extent_m)
         return GridSpec(w, h, self.extent_m, self.origin_m)
 
 

@@ -17,8 +17,7 @@ from . import noise_sql, water_sql
 from .operators import Raster, apply
 from .operators import focal, points, water
 from .operators.base import CHANNELS, HEIGHT, MASK, blank, join_layers
-from .operators.colour import GRADIENTS, ecosystem_view, snow_overlay, water_overlay
-from .plans.params import curve, tangents
+from .operators.colour import ecosystem_view, snow_overlay, water_overlay
 from .plans.world import GridSpec, World
 from .sources import sinks
 from .sources.tables import customers, events, line12
@@ -107,11 +106,14 @@ on_line("portal_mask", "portal.mask", {}, select("v / 2000.0"))
 add("to_mask", lambda s, d: numbers(line12(s, d).to(MASK)), select("v / 2000.0"))
 add("to_height", lambda s, d: numbers(line12(s, d).to(MASK).to(HEIGHT)), select("v / 2000.0 * 2000.0"))
 
-_CURVE = curve([(0, 0), (0.25, 0.5), (0.6, 0.55), (1, 1)])
+_CURVE = [(0.0, 0.0), (0.25, 0.5), (0.6, 0.55), (1.0, 1.0)]
+# Its pieces rise by 2, 1/7 and 9/8. The mean slopes at the inner points are 7.5 and 4.4375 times the middle piece's, too steep together, and shrink to a length of 3.
+_SHRINK = 3.0 / math.sqrt(7.5**2 + 4.4375**2)
+_TANGENTS = (2.0, _SHRINK * 7.5 / 7.0, _SHRINK * 4.4375 / 7.0, 1.125)
 
 
 def _curve_sql(v: str, pts) -> str:
-    m, out = tangents(pts), str(pts[-1][1])
+    m, out = _TANGENTS, str(pts[-1][1])
     for k in range(len(pts) - 2, -1, -1):
         (a, b), (c, d) = pts[k], pts[k + 1]
         t = f"(({v} - {a}) / {c - a})"
@@ -150,8 +152,15 @@ def _gradient_sql(t: str, k: int, stops) -> str:
     return f"({out})"
 
 
+# Stops (place, red, green, blue), as text of their own.
+_STOPS = {
+    "terrain": ((0.0, 0.2, 0.27, 0.13), (0.3, 0.36, 0.4, 0.2), (0.55, 0.47, 0.41, 0.31), (0.78, 0.55, 0.53, 0.5), (0.9, 0.88, 0.89, 0.91), (1.0, 0.97, 0.98, 1.0)),
+    "desert": ((0.0, 0.42, 0.22, 0.13), (0.4, 0.7, 0.4, 0.22), (0.75, 0.84, 0.6, 0.38), (1.0, 0.93, 0.8, 0.62)),
+}
+
+
 def _rgb(name: str, t: str) -> dict[str, str]:
-    return {n: _gradient_sql(t, k, GRADIENTS[name]) for k, n in enumerate("rgb")}
+    return {n: _gradient_sql(t, k, _STOPS[name]) for k, n in enumerate("rgb")}
 
 
 _T = "least(greatest(v / 2000.0, 0.0), 1.0)"
@@ -562,18 +571,20 @@ add("points_owned", lambda s, d: points.owned(customers(s, d), 10.0, 0.0, 120.0,
 add("points_range", lambda s, d: points.z_range(customers(s, d)).select(whole(F.col("low"), 1e3).alias("low"), whole(F.col("high"), 1e3).alias("high"), "n"), f"WITH {_CUST} SELECT {sql_whole('min(z_m)', 1e3)} AS low, {sql_whole('max(z_m)', 1e3)} AS high, count(*) AS n FROM p")
 add("points_raster", lambda s, d: numbers(points.rasterise(customers(s, d), line12(s, d))), select("CASE WHEN h.j IS NULL THEN 0.0 ELSE 1.0 END", more=f"{_CUST}, h AS (SELECT DISTINCT CAST(floor(least(greatest(y_m / 1100.0 * 11.0, 0.0), 11.0) + 0.5) AS INTEGER) AS j, CAST(floor(least(greatest(x_m / 4900.0 * 49.0, 0.0), 49.0) + 0.5) AS INTEGER) AS i FROM p)", source="(SELECT g.j, g.i, h.j AS hj FROM g LEFT JOIN h ON h.j = g.j AND h.i = g.i)").replace("h.j IS NULL", "hj IS NULL"))
 add("points_csv", lambda s, d: sinks.csv_points(customers(s, d)), f"WITH {_CUST} SELECT printf('%.3f,%.3f,%.3f,%.2f,%.4f,%s', x_m, y_m, z_m, rotation_deg, scale, species) AS line FROM p".replace("1.0 AS scale", "CAST(1.0 AS DOUBLE) AS scale"))
-add("thin", lambda s, d: points.thin(customers(s, d), 200, ["x_m"]).groupBy("species").agg((F.count(F.lit(1)) <= 40).alias("fits"), (F.count(F.lit(1)) > 0).alias("some")), "SELECT c_mktsegment AS species, true AS fits, true AS some FROM customer GROUP BY 1")
+add("thin", lambda s, d: points.thin(customers(s, d), 200, ["x_m"]).select(F.col("x_m").cast("long").alias("x"), "species"), f"WITH {_CUST}, n AS (SELECT greatest(1, CAST(ceil(ln(greatest(count(*), 1) / 4096.0) / ln(16)) AS INTEGER)) AS digits FROM p), r AS (SELECT x_m, species, row_number() OVER (PARTITION BY species ORDER BY substr(md5(CAST(x_m AS VARCHAR)), 1, digits), x_m) - 1 AS k, count(*) OVER (PARTITION BY species) AS m FROM p, n), q AS (SELECT 200 // count(DISTINCT species) AS share FROM p) SELECT CAST(x_m AS BIGINT) AS x, species FROM r, q WHERE k % CAST(ceil(m / share) AS BIGINT) = 0")
 add("minmax", lambda s, d: line12(s, d).min_max().select(whole(F.col("low")).alias("low"), whole(F.col("high")).alias("high")), f"WITH {LINE} SELECT {sql_whole('min(v)')} AS low, {sql_whole('max(v)')} AS high FROM g")
 add("mean", lambda s, d: line12(s, d).mean().select(whole(F.col("mean"), 1e4).alias("mean")), f"WITH {LINE} SELECT {sql_whole('avg(v)', 1e4)} AS mean FROM g")
 add("probe", lambda s, d: line12(s, d).probe(1234.0, 567.0).select(whole(F.col("v")).alias("v")), f"WITH {LINE} SELECT {sql_whole('sum(v * (1.0 - abs(i - 12.34)) * (1.0 - abs(j - 5.67)))')} AS v FROM g WHERE i IN (12, 13) AND j IN (5, 6)")
 for _bits in (16, 8):
     add(f"png{_bits}", lambda s, d, b=_bits: sinks.png_cells(line12(s, d), b), f"WITH {LINE} SELECT j, i, CAST(floor({_T} * {(1 << _bits) - 1}.0 + 0.5) AS INTEGER) AS v FROM g")
-add("tile_files", lambda s, d: sinks.tile_cells(line12(s, d), 8).groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n")), f"WITH {LINE}, t AS (SELECT unnest(range(greatest(CAST(ceil((i - 7) / 7.0) AS BIGINT), 0), least(i // 7, 6) + 1)) AS tx, j FROM g), u AS (SELECT tx, unnest(range(greatest(CAST(ceil((j - 7) / 7.0) AS BIGINT), 0), least(j // 7, 1) + 1)) AS ty FROM t) SELECT CAST(tx AS INTEGER) AS tx, CAST(ty AS INTEGER) AS ty, count(*) AS n FROM u GROUP BY 1, 2")
+add("tile_files", lambda s, d: sinks.tile_cells(line12(s, d), 8).groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"), whole(F.min("v")).alias("low"), whole(F.max("v")).alias("high"), F.sum(whole(F.col("v")) * (F.col("j") * 50 + F.col("i"))).alias("all")), f"WITH {LINE}, t AS (SELECT unnest(range(greatest(CAST(ceil((i - 7) / 7.0) AS BIGINT), 0), least(i // 7, 6) + 1)) AS tx, j, i, v FROM g), u AS (SELECT tx, j, i, v, unnest(range(greatest(CAST(ceil((j - 7) / 7.0) AS BIGINT), 0), least(j // 7, 1) + 1)) AS ty FROM t) SELECT CAST(tx AS INTEGER) AS tx, CAST(ty AS INTEGER) AS ty, count(*) AS n, {sql_whole('min(v)')} AS low, {sql_whole('max(v)')} AS high, CAST(sum({sql_whole('v')} * (j * 50 + i)) AS BIGINT) AS all FROM u GROUP BY 1, 2".replace("AS all", 'AS "all"'))
 
 
 def _tiles(s, d):
     """Cells by the tile that owns them, tiles of 16 x 16 with short ones merged."""
-    return line12(s, d).df.groupBy(F.least(F.floor(F.col("i") / 16), F.lit(3)).cast("int").alias("ti"), F.floor(F.col("j") / 16).cast("int").alias("tj")).agg(F.count(F.lit(1)).alias("n"), whole(F.min("v")).alias("low"), whole(F.max("v")).alias("high"))
+    g = line12(s, d)
+    ti, tj = sinks.tile_number(g.spec, 16)
+    return g.df.groupBy(ti.alias("ti"), tj.alias("tj")).agg(F.count(F.lit(1)).alias("n"), whole(F.min("v")).alias("low"), whole(F.max("v")).alias("high"))
 
 
 add("tiles", _tiles, f"WITH {LINE} SELECT CAST(least(i // 16, 3) AS INTEGER) AS ti, CAST(j // 16 AS INTEGER) AS tj, count(*) AS n, {sql_whole('min(v)')} AS low, {sql_whole('max(v)')} AS high FROM g GROUP BY 1, 2")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import quantise
 from ..operators.base import HEIGHT, POINTS, Raster
-from ..plans.world import GridSpec, PlanError, World, tiles_even
+from ..plans.world import GridSpec, PlanError, World, runs, tiles_even
 
 FORMATS = {"exr32", "png16", "png8", "parquet"}
 POINT_FORMATS = {"csv", "json", "parquet"}
@@ -48,6 +48,12 @@ def tile_cells(r: Raster, size: int) -> DataFrame:
     return r.df.withColumn("tx", touched("i", r.spec.width)).withColumn("ty", touched("j", r.spec.height))
 
 
+def tile_number(spec: GridSpec, size: int) -> tuple[Column, Column]:
+    """(ti, tj) of the tile whose core holds a cell; a rest below 2 belongs to the last tile."""
+    of = lambda v, n: F.least(F.floor(F.col(v) / size), F.lit(len(runs(n, size)) - 1)).cast("int")
+    return of("i", spec.width), of("j", spec.height)
+
+
 def write_tiles(r: Raster, size: int, path: str) -> None:
     """Parquet by output tile; each tile's cells meet once."""
     tile_cells(r, size).repartition("tx", "ty").write.mode("overwrite").partitionBy("tx", "ty").parquet(path)

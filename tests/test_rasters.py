@@ -15,7 +15,7 @@ from gridloom.plans.world import GridSpec, PlanError, World
 from gridloom.sources import images, sinks
 from gridloom.sources.tables import events, line12
 
-ORACLE = ["flagship", "levels_auto", "terrace", "curve", "driven_strength", "combine_multiply", "colourise", "blend_overlay", "layers", "splat", "slope", "normal_map", "blur_taps", "blur_box", "occlusion", "distance_inside", "snow", "bilinear", "transform", "resample", "upsample_detail", "shape_hexagon", "perlin", "sea_edges", "fill_depressions", "d8_receiver", "d8_area", "basins", "thermal_steps", "points_raster", "tile_files", "build_summary"]
+ORACLE = ["flagship", "levels_auto", "terrace", "curve", "driven_strength", "combine_multiply", "colourise", "blend_overlay", "layers", "splat", "slope", "normal_map", "blur_taps", "blur_box", "occlusion", "distance_inside", "snow", "bilinear", "transform", "resample", "upsample_detail", "shape_hexagon", "perlin", "sea_edges", "fill_depressions", "d8_receiver", "drained", "flow_dinf", "lakes_height", "rivers_height", "hydraulic_height", "wetness", "terrain_mountain_alpine", "terrain_dunes", "fbm", "noise_ridged", "noise_simplex", "voronoi_cells", "warp", "trees_points", "debris_density", "thermal_steps", "points_raster", "thin", "tiles", "tile_files", "build_summary"]
 
 
 @pytest.fixture(scope="session")
