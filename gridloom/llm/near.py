@@ -1,15 +1,19 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 Two texts are linked if the Jaccard similarity of their sets of five-word
-shingles is at least 0.8. Equal texts are one node. Nodes that share a band
+shingles is at least 0.8. Equal texts, told apart by 128 bits, are one node
+with a number of its own. Nodes that share a band
 of MinHash values are candidates (32 bands of 4: a pair at 0.8 shares none
 with probability 5e-8). Candidates compare their MinHash values 16 at a
 time; with a uniform prior the similarity's posterior after m of n matches is
 Beta(m + 1, n - m + 1), and a pair is dropped once P(similarity >= 0.8) falls
 below 1e-6. The rest is verified exactly on the sets of shingles.
 
-Pairs never become rows. A band with many members is dealt into cells of two
-blocks of at most ``BLOCK`` members, each pair met in one cell; a cell
+Pairs never become rows. Members of bands meet in buckets whose number
+follows that of the nodes; a band that may have ``HOT`` members or more is
+found beforehand, by counting inside each partition, and never grouped: its
+members find their blocks by hashes. A band with many members is dealt into
+cells of two blocks of about ``BLOCK`` members, each pair met in one cell; a cell
 returns only edges that span what it has linked. Verification does the same
 within the clusters that these edges make: each cell of two blocks compares
 all its pairs (band, posterior, exact) and returns, per node, how many
@@ -45,6 +49,8 @@ HASHES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-6
 BLOCK = 256
+HOT = 1 << 20
+BUCKET_KEYS = 1 << 20
 PAIRS_AT_ONCE = 1 << 15
 
 _random = np.random.default_rng(97)
@@ -134,11 +140,59 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, z in tv.slices(column):
             runs, bound = shingles(column.slice(a, z - a))
             sig = [signature(runs[s:e]).tobytes() for s, e in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
-            yield pa.record_batch([batch.column(0).slice(a, z - a), batch.column(1).slice(a, z - a), pa.array(sig, pa.binary())], ["id", "node", "sig"])
+            yield pa.record_batch([batch.column(0).slice(a, z - a), batch.column(1).slice(a, z - a), pa.array(sig, pa.binary())], ["id", "digest", "sig"])
 
 
-def _post(buckets: int):
-    """Signatures to packed postings: a binary row for each bucket of keys."""
+def _known(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which keys are among the sorted ``hot`` ones."""
+    return hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys if len(hot) else np.zeros(len(keys), bool)
+
+
+def _count(least: int, most: int = 1 << 21):
+    """Keys that a partition holds at least about ``least`` times; beyond ``most`` keys the rarer half is forgotten, with what it may have missed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, missed = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        for batch in batches:
+            new, many = np.unique(band_keys(_sigs(batch.column(1))).ravel(), return_counts=True)
+            keys, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([counts, many])).astype(np.int64)
+            if len(keys) > most:
+                low = int(np.partition(counts, len(counts) // 2)[len(counts) // 2])
+                keys, counts, missed = keys[counts > low], counts[counts > low] - low, missed + low
+        keep = counts + missed >= least
+        yield pa.record_batch([pa.array(keys[keep].view(np.int64)), pa.array(counts[keep] + missed)], ["key", "n"])
+
+    return run
+
+
+def _hot_keys(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, blocks) of every band that ``2 * HOT`` nodes share, and of some that fewer do. One for each ``HOT / 2`` postings at most."""
+    parts = nodes.rdd.getNumPartitions()
+    counted = nodes.mapInArrow(tv.freeing(_count(max(2, HOT // parts))), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT // 2)
+    got = sorted((int(np.int64(r.key).view(np.uint64)), -(-(r.n + HOT) // BLOCK)) for r in counted.collect())
+    return np.array([k for k, _ in got], np.uint64), np.array([m for _, m in got], np.int64)
+
+
+MEMBERS = "key long, node long, block int, many int"
+
+
+def _spread(hot: np.ndarray, many: np.ndarray):
+    """Members of hot bands, each with its block by a hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = band_keys(_sigs(batch.column(1))).ravel()
+            mine = np.flatnonzero(_known(key, hot))
+            node, count = batch.column(0).to_numpy()[mine // BANDS], many[np.searchsorted(hot, key[mine])]
+            block = (tv.mix(node.astype(np.uint64)) % count.astype(np.uint64)).astype(np.int32)
+            yield pa.record_batch([pa.array(key[mine].view(np.int64)), pa.array(node), pa.array(block), pa.array(count.astype(np.int32))], ["key", "node", "block", "many"])
+
+    return run
+
+
+def _post(buckets: int, hot: np.ndarray):
+    """Signatures to packed postings, a binary row for each bucket of keys; hot keys are left to ``_spread``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,6 +201,9 @@ def _post(buckets: int):
                 node = part.column(0).to_numpy()
                 key = band_keys(_sigs(part.column(1))).ravel()
                 owner = np.repeat(node, BANDS)
+                if len(hot):
+                    cold = ~_known(key, hot)
+                    key, owner = key[cold], owner[cold]
                 bucket = (tv.mix(key) >> np.uint64(20)).astype(np.int64) % buckets
                 order = np.argsort(bucket, kind="stable")
                 bucket, key, owner = bucket[order], key[order], owner[order]
@@ -158,7 +215,7 @@ def _post(buckets: int):
 
 
 def _deal(table):
-    """Members of keys that two nodes or more share, dealt into cells of two blocks."""
+    """Members of keys that two nodes or more share, with their block and how many there are."""
     key = np.frombuffer(b"".join(table["keys"].to_pylist()), "<u8")
     node = np.frombuffer(b"".join(table["nodes"].to_pylist()), "<i8")
     order = np.lexsort((node, key))
@@ -167,13 +224,8 @@ def _deal(table):
     size = np.diff(np.concatenate([first, [len(key)]]))
     each = np.repeat(size, size)
     block = (np.arange(len(key)) - np.repeat(first, size)) // BLOCK
-    many = -(-each // BLOCK)
     keep = each > 1
-    key, node, block, many = key[keep], node[keep], block[keep], many[keep]
-    take = np.repeat(np.arange(len(key)), many)
-    other = np.arange(len(take)) - np.repeat(np.cumsum(many) - many, many)
-    mine = block[take]
-    return pa.table({"key": pa.array(key[take].view(np.int64)), "lo": pa.array(np.minimum(mine, other).astype(np.int32)), "hi": pa.array(np.maximum(mine, other).astype(np.int32)), "block": pa.array(mine.astype(np.int32)), "node": pa.array(node[take])})
+    return pa.table({"key": pa.array(key[keep].view(np.int64)), "node": pa.array(node[keep]), "block": pa.array(block[keep].astype(np.int32)), "many": pa.array((-(-each // BLOCK))[keep].astype(np.int32))})
 
 
 class _Sets:
@@ -336,16 +388,23 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark = docs.sparkSession
     small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), text.alias("text"))
     some = rows.where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
-    ids = staged(rows.select("id", F.when(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.col("node")).alias("node")), "ids")
-    classes = staged(ids.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
-    key = classes.select(F.col("node").alias("_node"), F.col("first").alias("_first")).hint("shuffle_hash")
-    own = (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_first"))
-    nodes = staged(some.mapInArrow(tv.freeing(_sign), "id long, node long, sig binary").join(key, own).select("node", "sig").dropDuplicates(["node"]), "nodes")
-
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = nodes.mapInArrow(tv.freeing(_post(4 * partitions)), "b int, keys binary, nodes binary").groupBy("b").applyInArrow(_deal, "key long, lo int, hi int, block int, node long")
+    ids = staged(rows.select("id", F.when(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.col("digest")).alias("digest")), "ids")
+    classes = ids.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    key = classes.select(F.col("digest").alias("_digest"), F.col("first").alias("_first"), "node").hint("shuffle_hash")
+    own = (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("_first"))
+    nodes = staged(some.mapInArrow(tv.freeing(_sign), "id long, digest binary, sig binary").join(key, own).select("node", "sig").dropDuplicates(["node"]), "nodes")
+
+    partitions, many = int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count()
+    hot, blocks = _hot_keys(nodes) if many >= HOT else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    buckets = max(partitions, -(-many * BANDS // BUCKET_KEYS))
+    dealt = nodes.mapInArrow(tv.freeing(_post(buckets, hot)), "b int, keys binary, nodes binary").groupBy("b").applyInArrow(_deal, MEMBERS)
+    if len(hot):
+        dealt = dealt.unionByName(nodes.mapInArrow(tv.freeing(_spread(hot, blocks)), MEMBERS))
+    # a member goes to a cell for each block of its band: dealt out first, so that no task makes all cells of a band
+    dealt = dealt.repartition(partitions, "key", "block").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node")
     sigs = nodes.select(F.col("node").alias("_n"), "sig").hint("shuffle_hash")
     cells = dealt.join(sigs, F.col("node") == F.col("_n")).drop("_n").repartition(partitions, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
     clusters = components(cells.mapInArrow(tv.freeing(_link), "u long, v long"))
@@ -353,8 +412,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     size = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK // 2)).cast("int").alias("blocks"))
     member = clusters.join(size, "root").select("node", F.col("root").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     member = member.join(classes, "node").join(nodes, "node")
-    member = member.select(F.col("node").alias("_m"), F.col("first").alias("_first"), "cluster", "blocks", "block", "copies", "sig").hint("shuffle_hash")
-    whole = some.join(member, (F.col("node") == F.col("_m")) & F.col("id").eqNullSafe(F.col("_first")))
+    member = member.select("node", F.col("digest").alias("_digest"), F.col("first").alias("_first"), "cluster", "blocks", "block", "copies", "sig").hint("shuffle_hash")
+    whole = some.join(member, own)
     paired = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "copies", "sig", "text")
     found = staged(paired.repartition(partitions, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "node").mapInArrow(tv.freeing(_verify), "node long, root long, links long"), "links")
     final = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
@@ -362,8 +421,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     least = final.join(classes, "node").groupBy("root").agg(F.min("first").alias("class_id"))
     info = classes.join(final, "node", "left").join(least, "root", "left").join(links, "node", "left")
-    info = info.select(F.col("node").alias("_n"), F.coalesce("class_id", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    return ids.join(info, F.col("node") == F.col("_n"), "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    info = info.select(F.col("digest").alias("_digest"), F.coalesce("class_id", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    return ids.join(info, F.col("digest") == F.col("_digest"), "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def op4_near(spark, sf_dir: str) -> DataFrame:

@@ -315,16 +315,45 @@ def test_cells_of_two_blocks_meet_each_pair_once():
     node = np.arange(1000, dtype=np.int64)
     table = pa.table({"keys": pa.array([np.full(1000, 32, np.uint64).tobytes()]), "nodes": pa.array([node.tobytes()])})
     dealt = near._deal(table)
+    assert set(dealt["many"].to_pylist()) == {4}
+    own, block = np.repeat(dealt["node"].to_numpy(), 4), np.repeat(dealt["block"].to_numpy(), 4)
+    other = np.tile(np.arange(4), 1000)
+    low, high = np.minimum(block, other), np.maximum(block, other)
     seen = collections.Counter()
-    for lo, hi in sorted(set(zip(dealt["lo"].to_pylist(), dealt["hi"].to_pylist(), strict=True))):
-        mine = [k for k, (a, b) in enumerate(zip(dealt["lo"].to_pylist(), dealt["hi"].to_pylist(), strict=True)) if (a, b) == (lo, hi)]
-        own, block = dealt["node"].take(mine).to_numpy(), dealt["block"].take(mine).to_numpy()
-        zero = np.zeros(len(mine), np.int64)
-        for i, j in near._pairs(zero, block, zero + lo, zero + hi):
-            seen.update(zip(np.minimum(own[i], own[j]).tolist(), np.maximum(own[i], own[j]).tolist(), strict=True))
+    for lo, hi in sorted(set(zip(low.tolist(), high.tolist(), strict=True))):
+        mine = (low == lo) & (high == hi)
+        zero = np.zeros(mine.sum(), np.int64)
+        for i, j in near._pairs(zero, block[mine], zero + lo, zero + hi):
+            seen.update(zip(np.minimum(own[mine][i], own[mine][j]).tolist(), np.maximum(own[mine][i], own[mine][j]).tolist(), strict=True))
     assert len(seen) == 1000 * 999 // 2 and set(seen.values()) == {1}
 
 
+def test_hot_bands_are_never_grouped(spark, docs, monkeypatch):
+    w = text(1, 80).split()
+    rows = [(k, " ".join([*w[: k % 78], f"x{k}", *w[k % 78 + 1 :]])) for k in range(150)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near, "HOT", 20)
+    monkeypatch.setattr(near, "BUCKET_KEYS", 300)
+    seen = []
+    keep = near._hot_keys
+    monkeypatch.setattr(near, "_hot_keys", lambda nodes: seen.append(keep(nodes)) or seen[-1])
+    assert sorted(tuple(r) for r in near.join(d).collect()) == brute_near(rows)
+    assert len(seen[0][0]) > 10
+    plain = [(r[0], r[1]) for r in corpus()]
+    assert sorted(tuple(r) for r in near.join(docs).collect()) == brute_near(plain)
+
+
+def test_counting_keeps_every_frequent_key():
+    rng = np.random.default_rng(5)
+    sig = rng.integers(0, 1 << 16, (3000, near.HASHES)).astype("<u2")
+    sig[rng.random(3000) < 0.2, :4] = 7
+    batches = [pa.record_batch([pa.array(np.arange(a, a + 500)), pa.array([r.tobytes() for r in sig[a : a + 500]], pa.binary())], ["node", "sig"]) for a in range(0, 3000, 500)]
+    keys, counts = np.unique(near.band_keys(sig), return_counts=True)
+    got = {r["key"]: r["n"] for b in near._count(300, 20_000)(iter(batches)) for r in b.to_pylist()}
+    for k, n in zip(keys[counts >= 300].view(np.int64).tolist(), counts[counts >= 300].tolist(), strict=True):
+        assert got[k] >= n
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     rng = np.random.default_rng(4)
     sig = rng.integers(0, 1 << 16, (2000, near.HASHES), dtype=np.uint16)
