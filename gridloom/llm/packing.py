@@ -4,6 +4,7 @@ Documents become pieces: the ids of the text and an end id, cut only where a
 document is longer than a sequence. Full pieces fill sequences of their own.
 The others are packed by bulk-synchronous best-fit sweeps:
 
+* full pieces fill sequences of their own and are numbered without a shuffle;
 * documents and gaps are range-sorted by size. A size is an integer of at
   most ``capacity``, so each sorted list is held run-length encoded, as runs
   of equal size with an interval of ranks: at most ``capacity`` runs,
@@ -44,6 +45,8 @@ VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = 250_000
 END_OF_WORD = "</w>"
 TOGETHER = 256
+SALTS = (64, 1024)
+PROBES = ("Ab c", "x!y (z)", "Word. it's", "ÉA b1-2", "a,,b\tC\n\nd!?", "don't. 3.5%")
 
 _encoders: dict[str, _Encoder] = {}
 
@@ -97,6 +100,10 @@ class _Encoder:
         self.ends = np.zeros(max(by_id.values()) + 1, bool)
         self.ends[[i for t, i in by_id.items() if t.endswith(END_OF_WORD)]] = True
         self.empty()
+        whole = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in PROBES]
+        #: whether texts may be encoded part by part
+        self.splits = bool(self.ends.any()) and np.concatenate(whole).tolist() == self.encode(tv.words(pa.array(PROBES)))[0].tolist()
+        self.empty()
 
     def empty(self) -> None:
         none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -192,9 +199,14 @@ def _encoder(vocabulary: str) -> _Encoder:
 
 
 def token_ids(column: pa.Array, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, each followed by ``end_id``, and the bounds between texts."""
-    w = tv.words(column)
-    ids, count, parts = _encoder(vocabulary).encode(w)
+    """Ids of all texts, each followed by ``end_id``, and the bounds between texts. A tokenizer whose parts don't add up gets whole texts."""
+    encoder = _encoder(vocabulary)
+    if encoder.splits:
+        ids, count, parts = encoder.encode(tv.words(column))
+    else:
+        lists = [e.ids for e in encoder.tokenizer.encode_batch_fast(column.to_pylist(), add_special_tokens=False)]
+        count, parts = np.fromiter(map(len, lists), np.int64, len(lists)), np.arange(len(lists) + 1)
+        ids = np.fromiter((i for x in lists for i in x), np.uint32, int(count.sum()))
     size = tv.fold(count, parts)
     bound = np.concatenate([[0], np.cumsum(size + 1)])
     out = np.full(bound[-1], end_id, np.uint32)
@@ -286,19 +298,26 @@ def sweep_plan(histogram: dict[int, int], capacity: int = CAPACITY, first_sequen
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
-    """``cut`` (a staged table of pieces) with sequence_id and offset of every row."""
+    """``cut`` (a staged table of pieces) with sequence_id and offset of every row.
+
+    Full pieces are sequences by themselves and are numbered where they lie.
+    The ranks of the others within their length are counted in salted parts,
+    at least ``SALTS[0]`` and one for each million rows up to ``SALTS[1]``.
+    """
     spark = cut.sparkSession
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(64)).cast("int"))
-    counts = salted.groupBy("length", "salt").count().collect()  # at most capacity x 64 rows
-    histogram: dict[int, int] = defaultdict(int)
-    base = np.zeros((capacity + 1, 64), np.int64)
-    for r in sorted(counts, key=lambda r: (r.length, r.salt)):
-        base[r.length, r.salt] = histogram[r.length]
-        histogram[r.length] += r["count"]
-    plan = sorted(sweep_plan(histogram, capacity))
-    length, rank, _, sequence, offset = (np.array(c, np.int64) for c in (zip(*plan, strict=True) if plan else [()] * 5))
+    salts = min(max(cut.count() >> 20, SALTS[0]), SALTS[1])
+    salted = cut.where(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)).cast("int"))
+    counts = salted.groupBy("length", "salt").count().orderBy("length", "salt").toArrow()  # at most capacity x salts rows of numbers
+    length, salt, many = (counts[c].to_numpy() for c in ("length", "salt", "count"))
+    base = np.zeros((capacity + 1, salts), np.int64)
+    ends = np.cumsum(many)
+    base[length, salt] = ends - many - np.concatenate([[0], ends])[np.searchsorted(length, length)]
+    total = np.bincount(length, many, capacity + 1).astype(np.int64)
+    plan = sorted(sweep_plan({int(k): int(total[k]) for k in np.flatnonzero(total)}, capacity))
+    length, rank, many, sequence, offset = (np.array(c, np.int64) for c in (zip(*plan, strict=True) if plan else [()] * 5))
+    opened = int((sequence + many).max(initial=0))
     key = length << 46 | rank
-    held = spark.sparkContext.broadcast((base, key, rank, sequence, offset))  # bounded by capacity, not by rows
+    held = spark.sparkContext.broadcast((base, key, rank, sequence, offset))  # bounded by capacity and salts, not by rows
 
     kept = list(cut.columns)
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(id_col, "piece")) - 1)
@@ -313,7 +332,8 @@ def place(cut: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> D
             yield pa.record_batch([*(at[c] for c in kept), pa.array(sequence[slot] + mine - rank[slot]), pa.array(offset[slot])], [*kept, "sequence_id", "offset"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
-    return ranked.mapInArrow(run, f"{types}, sequence_id long, offset long")
+    full = cut.where(F.col("length") == capacity).select(*kept, (F.monotonically_increasing_id() + F.lit(opened)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return ranked.mapInArrow(tv.freeing(run), f"{types}, sequence_id long, offset long").unionByName(full)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

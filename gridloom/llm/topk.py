@@ -8,6 +8,11 @@ score. Blocks of queries meet blocks of candidates in an equi-join on the
 block number, so no list, and no result but k rows per query and block, is
 larger than a block.
 
+What a query has found elsewhere counts everywhere: each block of queries
+first meets one block of candidates, whose k-th scores are floors for all
+other blocks. A block whose bound is below the floor at the top of its lists
+is left at once, the others stop as soon as their bound falls below it.
+
 Defined results: vectors that are null, empty or hold a null or non-finite
 component take no part; shorter vectors count as filled with zeros; ties go
 to the smaller id; rows with the query's own id are no candidates; repeated
@@ -25,10 +30,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .scratch import staged
 
 BLOCK = 4096
 QUERY_BLOCK = 512
-FIRST_DEPTH = 64
+FIRST_DEPTH = 16
+NO_FLOOR = -(1 << 62)
 
 
 def quantised(vector: Column, scale: float = 64) -> Column:
@@ -54,11 +61,11 @@ class SortedLists:
         np.put_along_axis(self.rank, order, np.arange(len(rows), dtype=np.int32)[:, None], 0)
         self.size = max(1, rows.shape[1]) * int(np.abs(rows).max(initial=0))
 
-    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids, scores) of the k best rows of every query, best first.
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, scores) of the k best rows of every query, best first; none below a query's ``floor``.
 
         All queries go down their lists together, in rounds of growing depth;
-        a query whose bound can't beat its k-th score leaves.
+        a query whose bound can't beat its k-th score or its floor leaves.
         """
         n = len(self.ids)
         # products as floats where every sum is a whole number that they hold exactly
@@ -67,8 +74,10 @@ class SortedLists:
         rows, asked = self.rows.astype(kind), queries.astype(kind)
         up = queries >= 0
         least = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
-        found: list = [None] * len(queries)
-        active, depth = np.arange(len(queries)), min(FIRST_DEPTH, n)
+        found: list = [(self.ids[:0], np.zeros(0, np.int64))] * len(queries)
+        floor = np.full(len(queries), least) if floor is None else floor.astype(kind)
+        best = np.where(up, self.sorted[-1], self.sorted[0]) * queries
+        active, depth = np.flatnonzero(best.sum(1) >= floor), min(FIRST_DEPTH, n)
         while len(active):
             from_top, from_bottom = (n - 1 - self.rank < depth), (self.rank < depth)
             down = up[active]
@@ -80,12 +89,12 @@ class SortedLists:
             bound = (edge * queries[active]).sum(1)
             have = met.sum(1) >= k
             kth = np.partition(score, len(some) - k, axis=1)[:, len(some) - k] if len(some) >= k else np.full(len(active), least)
-            done = (have & (kth > bound)) | (depth >= n)
+            done = (have & (kth > bound)) | (floor[active] > bound) | (depth >= n)
             for i in np.flatnonzero(done):
-                best = np.flatnonzero((score[i] >= kth[i]) & met[i, some])
+                best = np.flatnonzero((score[i] >= max(kth[i], floor[active[i]])) & met[i, some])
                 best = best[np.lexsort((best, -score[i, best]))[:k]]  # rows are in the order of their ids
                 found[active[i]] = self.ids[some[best]], score[i, best].astype(np.int64)
-            active, depth = active[~done], min(n, depth * 8)
+            active, depth = active[~done], min(n, depth * 4)
         return found
 
 
@@ -114,9 +123,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     asked = queries.where(usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).distinct()
     n, m = rows.count(), asked.count()
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-m // query_block))
-    lists = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(_packed, PACKED)
-    wanted = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int")).groupBy("block").applyInArrow(_packed, PACKED)
-    dealt = wanted.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
+    # packed once, as both meetings read them
+    lists = staged(rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(_packed, PACKED), "lists")
+    wanted = staged(asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int")).groupBy("block").applyInArrow(_packed, PACKED), "queries")
+    wanted = wanted.select(F.col("block").alias("q_block"), F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,11 +137,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                 width = max(rows.shape[1], q_rows.shape[1])
                 lists = SortedLists(ids, np.pad(rows, ((0, 0), (0, width - rows.shape[1]))))
                 q_rows = np.pad(q_rows, ((0, 0), (0, width - q_rows.shape[1])))
-                found = lists.top(q_rows, q_ids, k)
+                floor = None
+                if r["floor_ids"]:
+                    known = dict(zip(r["floor_ids"], r["floors"], strict=True))
+                    floor = np.array([known.get(q, NO_FLOOR) for q in q_ids.tolist()], np.int64)
+                found = lists.top(q_rows, q_ids, k, floor)
                 size = [len(f[0]) for f in found]
                 yield pa.record_batch([pa.array(np.repeat(q_ids, size)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], ["query_id", "id", "score"])
 
-    local = dealt.join(lists, "block").select("q_width", "q_ids", "q_rows", "width", "ids", "rows").mapInArrow(tv.freeing(run), "query_id long, id long, score long")
+    meet = lambda asked: asked.join(lists, "block").select("q_width", "q_ids", "q_rows", "floor_ids", "floors", "width", "ids", "rows").mapInArrow(tv.freeing(run), "query_id long, id long, score long")
+    none = F.expr("cast(null as array<bigint>)")
+    home = F.pmod(F.col("q_block"), F.lit(blocks)).cast("int")
+    near = staged(meet(wanted.select("*", home.alias("block"), none.alias("floor_ids"), none.alias("floors"))), "near")
+    floors = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
+    floors = floors.groupBy(F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(query_blocks)).cast("int").alias("q_block")).agg(F.collect_list(F.struct("query_id", "floor")).alias("f"))
+    floors = floors.select("q_block", F.col("f.query_id").alias("floor_ids"), F.col("f.floor").alias("floors"))  # at most a block's queries
+    others = wanted.join(floors, "q_block", "left").select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).where(F.col("block") != home)
+    local = near.unionByName(meet(others)) if blocks > 1 else near
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 

@@ -205,6 +205,19 @@ def test_words_encode_alone_as_in_a_text():
         assert ids[bound[k] : bound[k + 1]].tolist() == [*t.encode(m, add_special_tokens=False).ids, 1]
 
 
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    many = ["", "It's, isn't it's.", "  two  spaces\n\nand lines", "12,5 a1,b2", "日本語、テスト。"]
+    ids, bound = packing.token_ids(pa.array(many), "byte_bpe_50k.json")
+    packing._encoders.clear()
+    for k, m in enumerate(many):
+        assert ids[bound[k] : bound[k + 1]].tolist() == [*t.encode(m, add_special_tokens=False).ids, 1]
+    assert packing._encoder(packing.VOCABULARY).splits
+
+
 def check_packed(sizes, plan, capacity):
     held = collections.defaultdict(list)
     for length, rank, n, first, offset in plan:
@@ -240,7 +253,7 @@ def test_sequences_are_gapless(docs):
     got = packing.pack(docs, capacity=256).toPandas()
     for _, own in got.groupby("sequence_id"):
         own = own.sort_values("offset")
-        assert (own.offset == own.length.cumsum() - own.length).all() and own.length.sum() <= 256
+        assert (own.offset == own.length.cumsum() - own.length).all() and own.length.sum() <= 256 and (len(own) == 1 or own.length.max() < 256)
     assert got.sequence_id.nunique() <= math.ceil(got.length.sum() / 256) * 1.05 + 1
 
 
@@ -266,6 +279,22 @@ def test_top_k_equals_brute_force(spark):
     assert topk.search(ints.where("false"), ints, 20).count() == 0
 
 
+def test_floors_lose_nothing_and_skip_blocks():
+    rng = np.random.default_rng(6)
+    far = topk.SortedLists(np.arange(500), rng.integers(-5, 5, (500, 16)))
+    queries, own = rng.integers(-9, 9, (20, 16)), np.full(20, -1)
+    plain = far.top(queries, own, 10)
+    for q, (ids, scores) in enumerate(plain):
+        all_scores = far.rows @ queries[q]
+        assert sorted(scores.tolist(), reverse=True) == sorted(all_scores.tolist(), reverse=True)[:10]
+        for low in (scores[-1], scores[4], scores[0], scores[0] + 1):
+            got = far.top(queries[q : q + 1], own[:1], 10, np.array([low]))[0]
+            assert list(zip(*(x.tolist() for x in got), strict=True)) == [(i, s) for i, s in zip(ids.tolist(), scores.tolist(), strict=True) if s >= low]
+    seen = []
+    far.rank = type("Seen", (np.ndarray,), {"__lt__": lambda self, other: seen.append(1) or np.asarray(self) < other})(far.rank.shape, far.rank.dtype, far.rank)
+    assert all(not len(i) for i, _ in far.top(queries, own, 10, np.full(20, 10**6))) and not seen
+
+
 # 4
 
 
