@@ -3,8 +3,10 @@
 ``encode`` stores each payload as a WAV file in a binary column. ``features``
 reads the stored bytes back, halves the rate with a polyphase filter, takes
 overlapped log-mel frames and marks energetic spans with two thresholds
-(hysteresis). Frames come in blocks of one fixed shape with time spans, so a
-column of them is a fixed-shape Arrow tensor (``tensors``).
+(hysteresis). Frames come in blocks of one fixed shape with time spans. They
+are stored as fixed-shape Arrow tensors: Spark's types have none, so a file's
+tensors are a binary column that holds an Arrow stream, which any Arrow
+reader opens without a copy (``read_tensors``).
 
 Rows are independent: no shuffle, memory bounded by an Arrow batch and the
 longest text. Defined results: a null text counts as empty and becomes one
@@ -58,13 +60,14 @@ def samples(media: bytes) -> tuple[int, bytes]:
     raise ValueError("no samples")
 
 
-def _low_pass(taps: int = 32, cut: float = 0.45) -> np.ndarray:
-    t = np.arange(taps) - (taps - 1) / 2
-    h = np.sinc(cut * t) * np.hamming(taps)
-    return (h / h.sum()).astype(np.float64)
+def low_pass(up: int, down: int, taps: int = 16) -> np.ndarray:
+    """A windowed sinc for a change of the rate by ``up / down``; ``taps`` for each sample of the slower rate."""
+    wide = max(up, down)
+    t = np.arange(taps * wide) - (taps * wide - 1) / 2
+    h = np.sinc(0.9 * t / wide) * np.hamming(taps * wide)
+    return up * h / h.sum()
 
 
-_FILTER = _low_pass()
 _WINDOW = np.hanning(FRAME + 1)[:-1]
 
 
@@ -82,14 +85,29 @@ def _mel_bank(rate: int) -> np.ndarray:
 _BANK = _mel_bank(RATE // 2)
 
 
-def resample_by_half(x: np.ndarray, taps: np.ndarray = _FILTER) -> np.ndarray:
-    """Every second sample of the filtered signal, from the filter's two phases on the signal's two phases."""
-    n = (len(x) + 1) // 2
-    padded = np.concatenate([np.zeros(len(taps) // 2), x, np.zeros(len(taps))])
-    even = np.convolve(padded[0::2], taps[0::2][::-1], "valid")
-    odd = np.convolve(padded[1::2], taps[1::2][::-1], "valid")
-    m = min(len(even), len(odd), n)
-    return even[:m] + odd[:m]
+def _every(x: np.ndarray, g: np.ndarray, step: int, shift: int, count: int) -> np.ndarray:
+    """sum over k of g[k] x[q step + shift - k] for q from 0, from the filter's phases on the signal's phases; nothing else is computed."""
+    out = np.zeros(count)
+    for r in range(min(step, len(g))):
+        part, ahead = x[(shift - r) % step :: step], (shift - r) // step
+        if len(part):
+            y = np.convolve(part, g[r::step])[max(ahead, 0) :][: count + min(ahead, 0)]
+            out[max(-ahead, 0) : max(-ahead, 0) + len(y)] += y
+    return out
+
+
+def resample(x: np.ndarray, up: int, down: int, taps: np.ndarray | None = None) -> np.ndarray:
+    """The signal at ``up / down`` times its rate: each of ``up`` output phases has its own part of the filter."""
+    h = low_pass(up, down) if taps is None else taps
+    n = -(-len(x) * up // down)
+    out = np.zeros(n)
+    for s in range(min(up, n)):
+        at = s * down + len(h) // 2
+        out[s::up] = _every(x, h[at % up :: up], down, at // up, len(out[s::up]))
+    return out
+
+
+_HALF = low_pass(1, 2)
 
 
 def log_mel(x: np.ndarray) -> np.ndarray:
@@ -135,75 +153,59 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(id_col, text_col).mapInArrow(tv.freeing(run), f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
-BLOCKS = "array<struct<t_start:double,t_end:double,frames:int,logmel:array<float>>>"
 SEGMENTS = "array<struct<t_start:double,t_end:double>>"
+TENSOR = pa.schema([("t_start", pa.float64()), ("t_end", pa.float64()), ("frames", pa.int32()), ("logmel", pa.fixed_shape_tensor(pa.float32(), (BLOCK, MELS)))])
+
+
+def _stream(mel: np.ndarray, step: float) -> bytes:
+    """An Arrow stream of the frames in tensors of (BLOCK, MELS) with their seconds; the last one is filled with -60."""
+    n = len(mel)
+    full = np.full((-(-n // BLOCK) * BLOCK, MELS), -60, np.float32)
+    full[:n] = mel
+    first = np.arange(0, len(full), BLOCK)
+    used = np.minimum(BLOCK, n - first)
+    tensor = pa.ExtensionArray.from_storage(TENSOR.field("logmel").type, pa.FixedSizeListArray.from_arrays(pa.array(full.ravel()), BLOCK * MELS))
+    begin = first * step
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, TENSOR) as out:
+        out.write_batch(pa.record_batch([pa.array(begin), pa.array(begin + ((used - 1) * HOP + FRAME) / (RATE / 2)), pa.array(used.astype(np.int32)), tensor], schema=TENSOR))
+    return sink.getvalue().to_pybytes()
+
+
+def read_tensors(stored: bytes) -> pa.Table:
+    """(t_start, t_end, frames, logmel) of a file's blocks; ``logmel`` is a fixed-shape tensor."""
+    return pa.ipc.open_stream(stored).read_all()
 
 
 def features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """Every file's digests, fixed-shape log-mel blocks with their seconds, and energetic spans in seconds."""
+    """Every file's digests, its log-mel blocks as an Arrow stream of fixed-shape tensors, and energetic spans in seconds."""
     keep = [c for c in media.columns if c not in (id_col, media_col)]
     step = HOP / (RATE / 2)
+    own = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_blocks", "tensors", "segments"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.list_(pa.struct([("t_start", pa.float64()), ("t_end", pa.float64())]))]
+
+    def one(stored: bytes) -> tuple:
+        _, payload = samples(stored)
+        x = (np.frombuffer(payload, np.uint8).astype(np.float64) - 128) / 128
+        mel = log_mel(resample(x - x.mean(), 1, 2, _HALF))
+        loud = [{"t_start": a * step, "t_end": ((z - 1) * HOP + FRAME) / (RATE / 2)} for a, z in spans(mel.mean(1))]
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), -(-len(mel) // BLOCK), _stream(mel, step), loud
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             for a in range(0, batch.num_rows, 256):
                 rows = [one(m.as_py()) for m in at[media_col].slice(a, 256)]
-                size = [len(r[4]) // BLOCK for r in rows]
-                mel = np.concatenate([r[4] for r in rows]) if rows else np.zeros((0, MELS), np.float32)
-                first = np.concatenate([np.arange(k) for k in size]) * BLOCK * step if rows else np.zeros(0)
-                used = np.concatenate([np.minimum(BLOCK, r[5] - np.arange(k) * BLOCK) for r, k in zip(rows, size, strict=True)]).astype(np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, mel.size + 1, BLOCK * MELS), pa.int32()), pa.array(mel.ravel()))
-                blocks = pa.StructArray.from_arrays([pa.array(first), pa.array(first + ((used - 1) * HOP + FRAME) / (RATE / 2)), pa.array(used), flat], ["t_start", "t_end", "frames", "logmel"])
-                seg = [s for r in rows for s in r[6]]
-                segs = pa.StructArray.from_arrays([pa.array([s * step for s, _ in seg], pa.float64()), pa.array([((e - 1) * HOP + FRAME) / (RATE / 2) for _, e in seg], pa.float64())], ["t_start", "t_end"])
-                bound = lambda c: pa.array(np.concatenate([[0], np.cumsum(c)]), pa.int32())
-                yield pa.record_batch(
-                    [at[id_col].slice(a, 256), *(at[c].slice(a, 256) for c in keep), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[7] for r in rows]), pa.ListArray.from_arrays(bound(size), blocks), pa.ListArray.from_arrays(bound([len(r[6]) for r in rows]), segs)],
-                    [id_col, *keep, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "blocks", "segments"],
-                )
-
-    def one(stored: bytes):
-        _, payload = samples(stored)
-        x = (np.frombuffer(payload, np.uint8).astype(np.float64) - 128) / 128
-        mel = log_mel(resample_by_half(x - x.mean()))
-        n = len(mel)
-        full = np.full((-(-n // BLOCK) * BLOCK, MELS), -60, np.float32)
-        full[:n] = mel
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), full, n, spans(mel.mean(1)), hashlib.sha256(stored).hexdigest()
+                made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+                yield pa.record_batch([at[id_col].slice(a, 256), *(at[c].slice(a, 256) for c in keep), *made], [id_col, *keep, *own])
 
     small_batches(media.sparkSession)
     types = {f.name: f.dataType.simpleString() for f in media.schema.fields}
-    return media.mapInArrow(tv.freeing(run), ", ".join([f"`{c}` {types[c]}" for c in (id_col, *keep)]) + f", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, blocks {BLOCKS}, segments {SEGMENTS}")
-
-
-def tensors(featured: pa.Table) -> pa.Table:
-    """A table of ``features`` as one row per block, its ``logmel`` an Arrow tensor of the fixed shape (BLOCK, MELS)."""
-    column = featured["blocks"].combine_chunks()
-    parent = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
-    blocks = column.flatten()
-    values = blocks.field("logmel").flatten()
-    tensor = pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (BLOCK, MELS)), pa.FixedSizeListArray.from_arrays(values, BLOCK * MELS))
-    ids = featured[featured.schema.names[0]].combine_chunks().take(pa.array(parent))
-    return pa.table([ids, blocks.field("t_start"), blocks.field("t_end"), blocks.field("frames"), tensor], [featured.schema.names[0], "t_start", "t_end", "frames", "logmel"])
-
-
-def stored_tensors(featured: DataFrame) -> DataFrame:
-    """(n_blocks, arrow) for every batch of files: ``tensors`` of it as the bytes of an Arrow IPC stream, made where the rows lie."""
-    id_col = featured.columns[0]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table, sink = tensors(pa.Table.from_batches([batch])), pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as out:
-                out.write_table(table)
-            yield pa.record_batch([pa.array([table.num_rows], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["n_blocks", "arrow"])
-
-    small_batches(featured.sparkSession)
-    return featured.select(id_col, "blocks").mapInArrow(tv.freeing(run), "n_blocks long, arrow binary")
+    schema = ", ".join([f"`{c}` {types[c]}" for c in (id_col, *keep)])
+    return media.mapInArrow(tv.freeing(run), f"{schema}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_blocks int, tensors binary, segments {SEGMENTS}")
 
 
 def op6_audio(spark, sf_dir: str) -> DataFrame:
     made = features(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    digest = F.sha2(F.to_json(F.struct("blocks", "segments")), 256)
-    return made.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(":", F.size("blocks").cast("string"), F.size("segments").cast("string"), digest).alias("feature"))
+    digest = F.sha2(F.concat("tensors", F.to_json("segments").cast("binary")), 256)
+    return made.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(":", F.col("n_blocks").cast("string"), F.size("segments").cast("string"), digest).alias("feature"))

@@ -3,14 +3,16 @@
 The log posterior of a language adds the likelihood of the text's byte
 trigrams (tempered, as neighbouring trigrams aren't independent), the
 likelihood of the declared markup language, and a prior of the address: host
-counts smoothed by those of the address suffix, these by all rows'. Counts
-are grouped aggregates of the languages that text and markup alone suggest,
-over all rows; a row's own count is left out of its priors.
+counts smoothed by those of its domain (the last two names), these by those
+of the suffix (the last name), these by all rows'. Counts are grouped
+aggregates of the languages that the text alone suggests, over all rows; a
+row's own count is left out of its priors.
 
-Texts are read once, where they lie; what moves is a few numbers a row. The
-joins with suffix and host totals are on salted keys, so a host with a third
-of all rows is spread out. The languages are those of all labelled documents;
-their trigrams come from about ``sample`` documents of each (a parameter).
+Texts are read once, where they lie; what moves is a few numbers a row.
+Totals are one row for each host, domain and suffix; Spark broadcasts them
+where they are small and splits a host with a third of all rows where not
+(skew join). The languages are those of all labelled documents; their
+trigrams come from about ``sample`` documents of each (a parameter).
 
 Defined results: null and empty texts say nothing, nor does an undeclared
 language or a missing address, so other evidence or the prior of all rows
@@ -35,8 +37,8 @@ from .scratch import small_batches, staged
 BUCKETS = 1 << 13
 SAMPLE = 4000
 TEMPER = 60.0
-HOST_WEIGHT, SUFFIX_WEIGHT = 8.0, 32.0
-SALT = 32
+#: From the widest to the narrowest, with how many rows the next wider one counts for.
+LEVELS = (("suffix", 32.0), ("domain", 16.0), ("host", 8.0))
 
 _HIDDEN = re.compile(r"<(?:!--|(script|style|nav|head)\b)", re.I)
 _CLOSE = {"": re.compile("-->")} | {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style", "nav", "head")}
@@ -132,7 +134,8 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray, keys: lis
     said = F.when(F.col(markup), said).otherwise(F.lower(F.col(declared_col).cast("string")) if declared_col else blank) if markup else F.lower(F.col(declared_col).cast("string")) if declared_col else blank
     base = rows.select(*keys, F.col(text_col).alias("_text"), (F.col(markup) if markup else F.lit(False)).alias("_markup"), said.alias("declared"), F.when(host != "", host).alias("host"))
     base = base.withColumn("declared", F.when(F.col("declared").isin(languages), F.col("declared"))).withColumn("suffix", F.when(F.col("host").contains("."), F.substring_index("host", ".", -1)))
-    carried = [*keys, "declared", "host", "suffix"]
+    base = base.withColumn("domain", F.when(F.col("host").contains("."), F.substring_index("host", ".", -2)))
+    carried = [*keys, "declared", "host", "domain", "suffix"]
     types = {f.name: f.dataType.simpleString() for f in base.schema.fields}
     table = [np.ascontiguousarray(m) for m in model]
 
@@ -154,7 +157,7 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray, keys: lis
     read = staged(base.mapInArrow(tv.freeing(run), ", ".join(f"`{c}` {types[c]}" for c in carried) + ", like array<double>"), "likelihoods")
     best = lambda scores: F.array_position(scores, F.array_max(scores)).cast("int") - 1
     known = F.array_max("like") != F.array_min("like")
-    read = read.withColumn("guess", F.when(known, best(F.col("like")))).withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(SALT)).cast("int"))
+    read = read.withColumn("guess", F.when(known, best(F.col("like"))))
 
     counts = [F.sum(F.when(F.col("guess") == i, 1).otherwise(0)).alias(f"n{i}") for i in range(n)]
     as_array = F.array(*[F.col(f"n{i}") for i in range(n)])
@@ -167,19 +170,14 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray, keys: lis
     for name, values in said_given.items():
         markup_log = F.when(F.col("declared") == name, logs(values)).otherwise(markup_log)
 
-    def totals(name: str) -> DataFrame:
-        """Per value of ``name``: counts, once for each salt."""
-        by = read.where(F.col(name).isNotNull() & F.col("guess").isNotNull()).groupBy(name, *(["suffix"] if name == "host" else [])).agg(*counts)
-        return by.select(F.col(name).alias(f"_{name}"), as_array.alias(f"{name}_n"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias(f"{name}_salt"))
-
     out = read
-    for name in ("suffix", "host"):
-        t = totals(name)
-        out = out.join(t, (F.col(name) == F.col(f"_{name}")) & (F.col("salt") == F.col(f"{name}_salt")), "left").drop(f"_{name}", f"{name}_salt")
+    for name, _ in LEVELS:
+        by = read.where(F.col(name).isNotNull() & F.col("guess").isNotNull()).groupBy(F.col(name).alias(f"_{name}")).agg(*counts)
+        out = out.join(by.select(f"_{name}", as_array.alias(f"{name}_n")), F.col(name) == F.col(f"_{name}"), "left").drop(f"_{name}")
     own = lambda i: F.when(F.col("guess") == i, 1.0).otherwise(0.0)
     one = F.when(F.col("guess").isNotNull(), 1.0).otherwise(0.0)
     prior = [F.lit(float(x)) for x in everyone]
-    for name, weight in (("suffix", SUFFIX_WEIGHT), ("host", HOST_WEIGHT)):
+    for name, weight in LEVELS:
         all_n = F.aggregate(f"{name}_n", F.lit(0.0), lambda a, x: a + x)
         prior = [F.when(F.col(f"{name}_n").isNull(), p).otherwise((F.col(f"{name}_n")[i] - own(i) + F.lit(weight) * p) / (all_n - one + F.lit(weight))) for i, p in enumerate(prior)]
     out = out.withColumn("prior", F.array(*prior)).withColumn("markup", markup_log)

@@ -1,7 +1,7 @@
 """License scans with a positional rare-token index.
 
-Each licence template is a run of words with a key phrase that must stand
-in full. The rarest words of the key phrase, by how many documents of this
+Each licence template is a paragraph of a licence's text, or a short way to
+name it: a run of words with a key phrase that must stand in full. The rarest words of the key phrase, by how many documents of this
 corpus hold them, are looked up in a document; the postings of those words,
 shifted by their places in the template, must meet in one start; only there
 are all words compared. So no place is missed, whichever words are rare. Two
@@ -40,21 +40,48 @@ class Template:
         object.__setattr__(self, "parts", tuple(self.words.split()))
 
 
+#: Words of licence texts, in lower case and without marks.
+MIT_GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+MIT_NOTICE = "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"
+MIT_WARRANTY = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+BSD_TERMS = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+BSD_SOURCE = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+BSD_BINARY = "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+ISC_GRANT = "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+APACHE_NOTICE = "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"
+APACHE_LIMITS = "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"
+GPL_NOTICE = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+MPL_NOTICE = "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"
+UNLICENSE = "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"
+ZLIB_GRANT = "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"
+
 TEMPLATES = (
     Template("mit", "under the mit license", base=True),
     Template("apache-2", "apache license version 2", base=True),
     Template("cc-by-nc", "cc by nc", base=True),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", key="granted free of charge", least=0.8),
+    Template("mit", MIT_GRANT, key="granted free of charge", least=0.8),
+    Template("mit", MIT_NOTICE, key="this permission notice shall be included", least=0.8),
+    Template("mit", MIT_WARRANTY, key="fitness for a particular purpose and noninfringement", least=0.8),
     Template("apache-2", "licensed under the apache license version 2 0", key="apache license", least=0.8),
+    Template("apache-2", APACHE_NOTICE, key="except in compliance with the license", least=0.8),
+    Template("apache-2", APACHE_LIMITS, key="distributed on an as is basis", least=0.8),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", key="source and binary forms", least=0.8),
+    Template("bsd", BSD_TERMS, key="source and binary forms", least=0.8),
+    Template("bsd", BSD_SOURCE, key="redistributions of source code must retain", least=0.8),
+    Template("bsd", BSD_BINARY, key="redistributions in binary form must reproduce", least=0.8),
     Template("gpl", "gnu general public license", key="general public license", least=0.75),
+    Template("gpl", GPL_NOTICE, key="redistribute it and or modify", least=0.8),
     Template("mpl-2", "mozilla public license version 2", key="mozilla public license", least=0.8),
+    Template("mpl-2", MPL_NOTICE, key="subject to the terms of the mozilla public license", least=0.8),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose", key="copy modify and or distribute", least=0.8),
+    Template("isc", ISC_GRANT, key="copy modify and or distribute", least=0.8),
     Template("cc-by", "licensed under a creative commons attribution license", key="creative commons attribution", least=0.8),
     Template("unlicense", "this is free and unencumbered software released into the public domain", key="free and unencumbered software", least=0.8),
+    Template("unlicense", UNLICENSE, key="free and unencumbered software", least=0.8),
+    Template("zlib", ZLIB_GRANT, key="permission is granted to anyone", least=0.8),
 )
 RARE = 2
-LONGEST = 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

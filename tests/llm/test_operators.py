@@ -475,31 +475,29 @@ def test_audio_round_trip(docs):
             assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
             media = audio.wav(payload)
             assert r.media_bytes == len(media) and r.media_sha256 == hashlib.sha256(media).hexdigest() and audio.samples(media) == (8000, payload)
-            assert all(len(b.logmel) == audio.BLOCK * audio.MELS and 1 <= b.frames <= audio.BLOCK and b.t_start < b.t_end for b in r.blocks)
-    assert got[0][0].blocks == got[1][0].blocks == got[1][1].blocks
-
-
-def test_tensors_have_one_shape(docs):
-    table = pa.Table.from_batches(audio.features(audio.encode(docs.where("doc_id IN (0, 12)"))).toArrow().to_batches())
-    t = audio.tensors(table)
-    assert t.schema.field("logmel").type.shape == [audio.BLOCK, audio.MELS] and t.num_rows > 2
-
-
-def test_tensors_are_stored_by_spark(docs):
-    made = audio.features(audio.encode(docs))
-    blocks = sorted((r[0], b.t_start, b.logmel) for r in made.select("doc_id", "blocks").collect() for b in r[1])
-    got = [pa.ipc.open_stream(r.arrow).read_all() for r in audio.stored_tensors(made).collect()]
-    assert all(t.schema.field("logmel").type == pa.fixed_shape_tensor(pa.float32(), (audio.BLOCK, audio.MELS)) for t in got)
-    whole = pa.concat_tables(got)
-    assert sorted(zip(whole["doc_id"].to_pylist(), whole["t_start"].to_pylist(), whole["logmel"].combine_chunks().storage.to_pylist(), strict=True)) == blocks
+            blocks = audio.read_tensors(r.tensors)
+            assert blocks.schema.equals(audio.TENSOR) and blocks.num_rows == r.n_blocks >= 1
+            assert all(1 <= f <= audio.BLOCK for f in blocks["frames"].to_pylist()) and all(p < q for p, q in zip(blocks["t_start"].to_pylist(), blocks["t_end"].to_pylist(), strict=True))
+            x = (np.frombuffer(payload, np.uint8) - 128.0) / 128
+            mel = audio.log_mel(audio.resample(x - x.mean(), 1, 2))
+            assert np.array_equal(blocks["logmel"].combine_chunks().to_numpy_ndarray().reshape(-1, audio.MELS)[: len(mel)], mel) and sum(blocks["frames"].to_pylist()) == len(mel)
+    assert got[0][0].tensors == got[1][0].tensors == got[1][1].tensors
 
 
 def test_resampling_and_mel():
     rng = np.random.default_rng(0)
     x = rng.normal(size=1000)
-    taps = audio._FILTER
-    whole = np.convolve(np.concatenate([np.zeros(len(taps) // 2), x, np.zeros(len(taps))]), taps[::-1], "valid")[0::2]
-    assert np.allclose(audio.resample_by_half(x), whole[:500])
+    for up, down in ((1, 2), (2, 1), (2, 3), (3, 2), (7, 5), (1, 4)):
+        h = audio.low_pass(up, down)
+        stuffed = np.zeros(1000 * up)
+        stuffed[::up] = x
+        whole = np.convolve(stuffed, h)[len(h) // 2 :: down][: -(-1000 * up // down)]
+        got = audio.resample(x, up, down)
+        assert len(got) == -(-1000 * up // down) and np.allclose(got[: len(whole)], whole)
+    for short in ([], [1.0], [1.0, 2.0]):
+        assert len(audio.resample(np.array(short), 3, 2)) == -(-len(short) * 3 // 2)
+    wave = np.sin(2 * np.pi * np.arange(2000) / 40)
+    assert np.abs(audio.resample(wave, 1, 2)[50:-50] - wave[::2][50:-50]).max() < 0.09  # half a sample of delay
     tone = np.sin(2 * np.pi * 500 * np.arange(4000) / 4000)
     loud = audio.log_mel(tone).mean(0)
     centres = 700 * (10 ** (np.linspace(2595 * np.log10(1 + 20 / 700), 2595 * np.log10(1 + 2000 / 700), audio.MELS + 2) / 2595) - 1)[1:-1]
@@ -591,6 +589,34 @@ def test_licenses_with_their_rarest_words_changed(spark):
     assert {x.doc_id: (x.labels, x.score) for x in r.where("doc_id = 1").collect()} == {1: ("bsd", round(12 / 14, 6))}
 
 
+def test_licenses_equal_a_plain_scan_of_all_places(spark):
+    rng = np.random.default_rng(12)
+    known = licenses.vocabulary(licenses.TEMPLATES)
+    texts = []
+    for k in range(120):
+        w = []
+        for _ in range(rng.integers(1, 4)):
+            t = list(licenses.TEMPLATES[rng.integers(len(licenses.TEMPLATES))].parts)
+            for i in rng.choice(len(t), rng.integers(0, 1 + len(t) // 4), replace=False):
+                t[i] = str(rng.choice(["other", *known]))
+            w += [*rng.choice(known, rng.integers(0, 5)), *t]
+        texts.append(" ".join(w))
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    hits = 0
+    for r in got.collect():
+        w, want = texts[r.doc_id].split(), []
+        for t in licenses.TEMPLATES:
+            must = set(licenses._key(t))
+            for at in range(len(w) - len(t.parts) + 1):
+                same = [w[at + i] == x for i, x in enumerate(t.parts)]
+                if all(same[i] for i in must) and sum(same) / len(same) >= t.least:
+                    want.append((t.label, at, round(sum(same) / len(same), 6)))
+        assert sorted((p.label, p.start, p.share) for p in r.places) == sorted(want)
+        assert r.labels == ",".join(sorted({x for x, _, _ in want})) and r.score == max((x for _, _, x in want), default=0)
+        hits += len(want)
+    assert hits > 100
+
+
 # 9
 
 
@@ -639,6 +665,43 @@ def test_evidence_is_fused(spark):
     assert "secret" not in langid.visible_text("<p>a</p><script>secret</script><!-- secret --> b")
 
 
+def test_evidence_equals_a_plain_sum(spark):
+    languages, n = ["aa", "bb", "cc"], 3
+    rng = np.random.default_rng(2)
+    model = np.log(rng.dirichlet(np.full(langid.BUCKETS, 0.3), n))
+    hosts = ["a.x.org", "b.x.org", "c.y.org", "d.z.net", "plain", None, "e.co.uk"]
+    rows = [(k, rng.choice(["", f"<html lang={rng.choice(languages)}>", "<html>"]) + text(k, int(rng.integers(0, 12))), hosts[rng.integers(len(hosts))]) for k in range(80)]
+    t = spark.createDataFrame(rows, "id long, text string, url string").withColumn("is", F.lit(True)).repartition(5)
+    got = rows_of(langid.identify(t, languages, model, ["id"], markup="is", address_col="url"), "id")
+
+    def grams(s):
+        letters = [b + 32 if 65 <= b <= 90 else b for b in langid.visible_text(s).encode()]
+        b = [x if 97 <= x <= 122 or x >= 128 else 32 for x in letters]
+        key = lambda x, y, z: (((x * 0x9E3779B1) ^ (y * 0x85EBCA77) ^ (z * 0xC2B2AE3D)) * 0x27D4EB2F % 2**32) >> 19
+        return [key(*(v % 2**32 for v in b[i : i + 3])) for i in range(len(b) - 2) if not (b[i] == b[i + 1] == 32 or b[i + 1] == b[i + 2] == 32)]
+
+    seen = []
+    for i, s, host in rows:
+        g = grams(s)
+        like = [round(sum(m[k] for k in g) / max(len(g), 1) * min(len(g), langid.TEMPER), 6) for m in model]
+        said = re.search(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", s)
+        names = {"host": host, "domain": host and "." in host and ".".join(host.split(".")[-2:]) or None, "suffix": host and "." in host and host.split(".")[-1] or None}
+        seen.append((i, like, said and said[1], names, like.index(max(like)) if max(like) != min(like) else None))
+    total = [1.0 + sum(x[4] == k for x in seen) for k in range(n)]
+    for i, like, said, names, guess in seen:
+        prior = [x / sum(total) for x in total]
+        for level, weight in langid.LEVELS:
+            own = [x for x in seen if x[4] is not None and x[3][level] == names[level]] if names[level] else []
+            if own:
+                count = [sum(x[4] == k for x in own) - (guess == k) for k in range(n)]
+                prior = [(c + weight * p) / (len(own) - (guess is not None) + weight) for c, p in zip(count, prior, strict=True)]
+        markup = [math.log((sum(x[4] == k and x[2] == said for x in seen) + 0.5) / (total[k] + 0.5 * (n + 1))) if said else 0.0 for k in range(n)]
+        belief = [a + math.log(p) + m for a, p, m in zip(like, prior, markup, strict=True)]
+        r = got[i][0]
+        assert r.lang == languages[belief.index(max(belief))] and r.declared == said
+        assert abs(r.confidence - 1 / sum(math.exp(b - max(belief)) for b in belief)) < 2e-5
+
+
 # 10
 
 
