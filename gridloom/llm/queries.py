@@ -55,12 +55,3 @@ SQL = {
     """,
 }
 
-
-def pipeline(spark, sf_dir: str):
-    """corpus_pipeline.py at the top of the repository, applied to ``documents``."""
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
-QUERIES["pipeline"] = pipeline

@@ -76,45 +76,70 @@ def _merged(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.nda
     return keys[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
 
 
-PACKED = "b int, g int, keys binary, lows binary, highs binary"
+PACKED = "b int, g int, keys binary, ids binary, lows binary, more binary, highs binary"
 FOUND = "b int, keys binary, lows binary"
 
 
 def _sent(group: int, blocks: int, keys: np.ndarray, ids: np.ndarray) -> pa.Table:
-    """What a group of texts holds, one binary row for each block of hashes."""
+    """What a group of texts holds, one binary row for each block of hashes.
+
+    Smallest ids are places in the row's list of ids; largest ones are given,
+    with the key's place, only where they differ.
+    """
     keys, low, high = _merged(keys, ids, ids)
     block = (keys[:, 0] >> np.uint64(33)).astype(np.int64) % blocks
     order = np.argsort(block, kind="stable")
-    return _rows_of("b", block[order], [keys[order], low[order], high[order]], ["keys", "lows", "highs"], {"g": group})
+    keys, low, high, block = keys[order], low[order], high[order], block[order]
+    rows = []
+    for a, z in _spans(block):
+        known, place = np.unique(np.concatenate([low[a:z], high[a:z]]), return_inverse=True)
+        place = place.astype("<u4")
+        more = np.flatnonzero(low[a:z] != high[a:z]).astype("<u4")
+        rows.append((int(block[a]), group, keys[a:z].tobytes(), known.astype("<i8").tobytes(), place[: z - a].tobytes(), more.tobytes(), place[z - a :][more].tobytes()))
+    return _table(rows, PACKED)
+
+
+def _spans(number: np.ndarray) -> list[tuple[int, int]]:
+    """Ends of the runs of equal numbers."""
+    cut = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(number) else np.zeros(0, np.int64)
+    return list(zip(cut.tolist(), [*cut[1:].tolist(), len(number)], strict=False))
 
 
-def _rows_of(name: str, number: np.ndarray, arrays: list[np.ndarray], names: list[str], more: dict[str, int]) -> pa.Table:
-    """A binary row for each run of equal ``number``."""
-    cut = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(number) else np.zeros(0, np.int64)
-    ends = np.concatenate([cut[1:], [len(number)]]) if len(number) else cut
-    packed = [pa.array([a[s:e].tobytes() for s, e in zip(cut.tolist(), ends.tolist(), strict=True)], pa.binary()) for a in arrays]
-    return pa.table([pa.array(number[cut].astype(np.int32)), *(pa.array([v] * len(cut), pa.int32()) for v in more.values()), *packed], [name, *more, *names])
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = [(f.split()[0], {"int": pa.int32(), "binary": pa.binary()}[f.split()[1]]) for f in schema.split(", ")]
+    return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(kinds)})
 
 
 def _numbers(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(table[name].to_pylist()), kind)
 
 
+def _received(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(group, key, smallest id, largest id) of everything that was sent to a block."""
+    group, low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for g, ids, at, more, tops in zip(*(table[n].to_pylist() for n in ("g", "ids", "lows", "more", "highs")), strict=True):
+        known, at = np.frombuffer(ids, "<i8"), np.frombuffer(at, "<u4")
+        low.append(known[at])
+        high.append(low[-1].copy())
+        high[-1][np.frombuffer(more, "<u4")] = known[np.frombuffer(tops, "<u4")]
+        group.append(np.full(len(at), g, np.int64))
+    return np.concatenate(group), _numbers(table, "keys", "<u8").reshape(-1, width), np.concatenate(low), np.concatenate(high)
+
+
 def _shared(width: int, smaller_only: bool):
     """Per block of hashes, for each group its keys that other ids hold too (``smaller_only``: smaller ids), with the smallest id."""
 
     def run(table):
-        keys, low, high = _numbers(table, "keys", "<u8").reshape(-1, width), _numbers(table, "lows", "<i8"), _numbers(table, "highs", "<i8")
-        group = np.repeat(table["g"].to_numpy(), [len(x) // (8 * width) for x in table["keys"].to_pylist()])
+        group, keys, low, high = _received(table, width)
         order = np.lexsort(keys.T[::-1])
         keys, low, high, group = keys[order], low[order], high[order], group[order]
         first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])) if len(keys) else np.zeros(0, np.int64)
         size = np.diff(np.concatenate([first, [len(keys)]]))
         least = np.repeat(np.minimum.reduceat(low, first), size) if len(first) else low
         hit = high > least if smaller_only else np.repeat(np.maximum.reduceat(high, first), size) > least if len(first) else np.zeros(0, bool)
-        keys, least, group = keys[hit], least[hit], group[hit]
-        order = np.argsort(group, kind="stable")
-        return _rows_of("b", group[order], [keys[order], least[order]], ["keys", "lows"], {})
+        order = np.flatnonzero(hit)[np.argsort(group[hit], kind="stable")]
+        group, keys, least = group[order], keys[order], least[order]
+        return _table([(int(group[a]), keys[a:z].tobytes(), least[a:z].tobytes()) for a, z in _spans(group)], FOUND)
 
     return run
 

@@ -791,9 +791,36 @@ def test_rows_without_an_id(spark):
     assert len(got) == 4 and all(r.n_removed == 0 for r in got)
 
 
+def test_a_cluster_must_name_its_shared_folder(tmp_path):
+    from types import SimpleNamespace
+
+    from gridloom.llm import scratch
+
+    def session(master, folder=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda _: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, other: folder), sparkContext=context)
+
+    for master in ("spark://host:7077", "yarn", "k8s://host", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            scratch.shared_dir(session(master))
+        assert scratch.shared_dir(session(master, "hdfs://x/y/")) == "hdfs://x/y"
+    assert scratch.shared_dir(session("local[4]")).startswith("file://")
+
+
 # The pipeline
 
 
+def test_near_copies_go_whatever_else_is_there(spark):
+    import corpus_pipeline as p
+
+    rows = [(1, text(1, 40)), (2, text(1, 40)), (3, text(1, 39)), (4, None), (4, None), (5, ""), (6, text(2, 30)), (6, text(2, 30)), (6, text(3, 30)), (None, text(1, 40)), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(9) for c in ("_first", "_n", "id", "row", "same", "class_id")})
+    got = p.drop_near_copies(spark, d, "")
+    assert got.columns == d.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted((str(i), str(t)) for i, t in [rows[0], rows[3], rows[5], rows[6], rows[8], rows[9], rows[10]])
+    assert p.drop_near_copies(spark, d.where("false"), "").count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
