@@ -2,12 +2,13 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
 returns a frame. ``run`` writes what each stage returns as Parquet in the
-shared folder and gives it to the next.
+shared folder and gives it to the next. Empty tables give empty ones; columns
+beyond those of ``documents`` stay until the last stage, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import mixing, near, packing, quality, secrets
@@ -15,21 +16,26 @@ from gridloom.llm.scratch import staged
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts, a score of 0.5 among them; null and empty texts are judged like others, repeated rows alike."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep(docs, quality.fit(docs, labels))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, the one with the smallest id; rows without an id, and different texts under one id, all stay."""
-    first = near.join(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_first")).distinct()
-    one = docs.join(first, F.col("doc_id") == F.col("_first")).drop("_first")
-    once = one.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))).where("_n = 1").drop("_n")
-    return once.unionByName(docs.where("doc_id IS NULL"))
+    """One document of each class of near copies, the one with the smallest id.
+
+    Repeated rows count once; rows without an id, null and empty texts, and
+    different texts under one id all stay.
+    """
+    first = near.join(docs).where("doc_id = class_id").select(F.col("doc_id").alias("kept")).distinct()
+    # a row travels as one column, so that no name of its own can clash with ours; copies of a row meet before they move
+    rows = docs.where("doc_id IS NOT NULL").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("same"))
+    one = rows.dropDuplicates(["id", "same"]).join(first, F.col("id") == F.col("kept"), "left_semi")
+    return one.select(*(F.col("row")[c].alias(c) for c in docs.columns)).unionByName(docs.where("doc_id IS NULL"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret replaced by a mark; ``n_chars`` follows the text."""
+    """All rows, each secret replaced by a mark; ``n_chars`` follows the text. Null texts stay null."""
     clean = secrets.redact(docs, secrets.scan(docs))
     if "n_chars" not in clean.columns:
         return clean
@@ -38,12 +44,12 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, those of small sources more often (twice at most)."""
+    """Every row at least once, those of small sources more often (twice at most); null and empty texts once."""
     return mixing.mix_rows(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces with the sequence and the offset that hold them."""
+    """Every row's pieces with the sequence and the offset that hold them; a null or empty text is one piece of the end id."""
     return packing.pack(docs)
 
 
