@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.cells import clamp, denormalise, normalise
 from ..plans.params import Param, checked
 from ..plans.world import GridSpec, PlanError, World
+from .tiles import Kernel, TilePlan
 
 HEIGHT, MASK, COLOUR, POINTS = "height", "mask", "colour", "points"
 CHANNELS = ("r", "g", "b", "a")
@@ -19,13 +20,29 @@ CHANNELS = ("r", "g", "b", "a")
 
 @dataclass(frozen=True)
 class Raster:
-    """Cells (j, i and ``v``, or ``r g b a``) of a grid on a world; j is the row, i the column."""
+    """Cells (j, i and ``v``, or ``r g b a``) of a grid on a world; j is the row, i the column.
 
-    df: DataFrame
+    ``source`` is their DataFrame, or a plan by tiles that is yet to become one.
+    """
+
+    source: DataFrame | TilePlan
     spec: GridSpec
     world: World
     kind: str = HEIGHT
 
+    @property
+    def df(self) -> DataFrame:
+        return self.source.frame() if isinstance(self.source, TilePlan) else self.source
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.source.spark if isinstance(self.source, TilePlan) else self.source.sparkSession
+
+    def around(self, halo: tuple[int, int], f: Kernel, names: list[str], kind: str | None = None) -> Raster:
+        """The cells after a kernel that needs ``halo`` cells (across, down) around each, as columns ``names``."""
+        plan = self.source if isinstance(self.source, TilePlan) else TilePlan(self.spark, self.spec, self.source)
+        return replace(self, source=plan.then(halo, f, names), kind=kind or self.kind)
+
     @property
     def columns(self) -> tuple[str, ...]:
         return CHANNELS if self.kind == COLOUR else ("v",)
@@ -39,10 +56,10 @@ class Raster:
         return self.spec.origin_m[1] + self.spec.extent_m[1] * (F.col("j") / float(self.spec.height - 1))
 
     def cells(self, v: Column, kind: str | None = None) -> Raster:
-        return replace(self, df=self.df.select("j", "i", v.alias("v")), kind=kind or self.kind)
+        return replace(self, source=self.df.select("j", "i", v.alias("v")), kind=kind or self.kind)
 
     def colours(self, *rgba: Column) -> Raster:
-        return replace(self, df=self.df.select("j", "i", *(c.alias(n) for c, n in zip(rgba, CHANNELS, strict=True))), kind=COLOUR)
+        return replace(self, source=self.df.select("j", "i", *(c.alias(n) for c, n in zip(rgba, CHANNELS, strict=True))), kind=COLOUR)
 
     def to(self, kind: str) -> Raster:
         """Heights and masks turn into each other over the world's range, without clamping."""
@@ -57,10 +74,10 @@ class Raster:
 
     def crop(self, i0: int, j0: int, width: int, height: int) -> Raster:
         spec = self.spec.crop(i0, j0, width, height)
-        return replace(self, df=self.df.where(F.col("i").between(i0, i0 + width - 1) & F.col("j").between(j0, j0 + height - 1)), spec=spec)
+        return replace(self, source=self.df.where(F.col("i").between(i0, i0 + width - 1) & F.col("j").between(j0, j0 + height - 1)), spec=spec)
 
     def channel(self, name: str) -> Raster:
-        return replace(self, df=self.df.select("j", "i", F.col(name).alias("v")), kind=MASK)
+        return replace(self, source=self.df.select("j", "i", F.col(name).alias("v")), kind=MASK)
 
     def min_max(self) -> DataFrame:
         return self.df.agg(F.min("v").alias("low"), F.max("v").alias("high"))
@@ -130,6 +147,20 @@ class Call:
             return blank(self.spark, self.spec, self.world)
         return Raster(join_layers(use), self.spec, self.world)
 
+    def lone(self) -> Raster | None:
+        """The input ``in`` if nothing else is connected: it need not become a frame."""
+        others = [r for n, r in self.inputs.items() if n != "in" and isinstance(r, Raster)]
+        return None if others or self.driven else self.inputs.get("in")
+
+    def around(self, halo: tuple[int, int], f: Kernel, adds: list[str]) -> Raster:
+        """All inputs as columns of one frame, with the columns that a kernel adds."""
+        g = self.lone()
+        if g is None:
+            g = self.frame()
+            names = [c for c in g.df.columns if c not in ("j", "i")]
+            return g.around(halo, lambda w, a: a | f(w, a), [*names, *adds])
+        return g.around(halo, lambda w, a: {"in": a["v"]} | f(w, {"in": a["v"]}), ["in", *adds])
+
     def has(self, name: str) -> bool:
         return name in self.inputs
 
@@ -201,7 +232,7 @@ def apply(type_id: str, inputs: dict[str, Any] | None = None, params: dict[str,
     layers = {k: r.to(ports[k].kind) if isinstance(r, Raster) else r for k, r in given.items()}
     some = next((r for r in layers.values() if isinstance(r, Raster)), None)
     if some is not None:
-        spark, spec, world = some.df.sparkSession, some.spec, some.world
+        spark, spec, world = some.spark, some.spec, some.world
     if spark is None or spec is None or world is None:
         raise PlanError(f"{type_id} needs a session, a grid and a world")
     return op.run(Call(spark, spec, world, layers, values, seed, masks, drivable))

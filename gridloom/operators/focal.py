@@ -1,7 +1,7 @@
-"""Neighbourhood operators as windows over rows and columns of cells.
+"""Neighbourhood operators: array kernels on tiles with a halo (``tiles``); borders repeat, grids never shrink.
 
-A row (or column) is one window partition, at most 65,537 cells, whatever
-the size of the grid; borders repeat, frames never shrink.
+Only blurs that reach farther than a tile's widest halo run as window frames
+over whole rows and columns, and positions farther away are joined.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from ..plans.params import choice, flag, number, whole
 from ..plans.world import GridSpec
 from .base import COLUMN, HEIGHT, MASK, OUT_C, OUT_H, OUT_M, ROW, Call, H, M, Raster, operator
 from .local import STRENGTH, by_strength, mask_out
+from .tiles import MAX_HALO, Arrays
+from .tiles import Window as Tile
 
 
 def _shift(v: Column, k: int, w: WindowSpec, first: Column, last: Column) -> Column:
@@ -67,8 +69,40 @@ def _box_pass(g: Raster, r: int, w: WindowSpec, place: Column, count: int) -> Ra
     return Raster(g.df.select("j", "i", mean.alias("v")), g.spec, g.world, g.kind)
 
 
+def blurred(a: np.ndarray, sigma_m: float, cell: tuple[float, float]) -> np.ndarray:
+    """What ``gaussian`` does, on an array."""
+    for axis, size in ((1, cell[0]), (0, cell[1])):
+        s = sigma_m / size
+        if s < 0.2:
+            continue
+        if s <= 6:
+            w = taps(s)
+            far, n = len(w) - 1, a.shape[axis]
+            wide = np.pad(a, [(far, far) if k == axis else (0, 0) for k in (0, 1)], mode="edge")
+            part = lambda k, wide=wide, axis=axis, n=n: wide[:, k : k + n] if axis else wide[k : k + n]
+            a = w[0] * part(far)
+            for k, x in enumerate(w[1:], 1):
+                a = a + x * (part(far - k) + part(far + k))
+        else:
+            for r in box_radii(s):
+                wide = np.pad(a, [(r + 1, r) if k == axis else (0, 0) for k in (0, 1)], mode="edge")
+                total = np.cumsum(wide, axis)
+                a = (total[:, 2 * r + 1 :] - total[:, : -2 * r - 1] if axis else total[2 * r + 1 :] - total[: -2 * r - 1]) / (2 * r + 1)
+    return a
+
+
+def blur_halo(sigma_m: float, cell: tuple[float, float]) -> tuple[int, int]:
+    """How many cells a blur reaches, across and down."""
+    far = lambda s: 0 if s < 0.2 else math.ceil(3 * s) if s <= 6 else sum(box_radii(s)) + 1
+    return far(sigma_m / cell[0]), far(sigma_m / cell[1])
+
+
 def gaussian(g: Raster, sigma_m: float) -> Raster:
     """Separable blur with repeated borders: exact taps up to six cells, beyond that three boxes."""
+    halo = blur_halo(sigma_m, g.spec.cell)
+    if max(halo) <= MAX_HALO:
+        cell = g.spec.cell
+        return g.around(halo, lambda w, a: {"v": blurred(a["v"], sigma_m, cell)}, ["v"]) if any(halo) else g
     for w, cell, place, n in ((ROW(), g.spec.cell[0], F.col("i"), g.spec.width), (COLUMN(), g.spec.cell[1], F.col("j"), g.spec.height)):
         s = sigma_m / cell
         if s < 0.2:
@@ -81,15 +115,26 @@ def gaussian(g: Raster, sigma_m: float) -> Raster:
     return g
 
 
-def _blurred(c: Call, sigma_m: float, name: str = "in") -> Raster:
-    """All layers of the call, with ``blur``."""
+def _blurred(c: Call, sigma_m: float | dict[str, float], name: str = "in") -> Raster:
+    """All layers of the call, with ``blur`` (or a column for each of several sigmas)."""
+    wanted = sigma_m if isinstance(sigma_m, dict) else {"blur": sigma_m}
+    cell = c.spec.cell
+    halos = [blur_halo(s, cell) for s in wanted.values()]
+    halo = (max(h[0] for h in halos), max(h[1] for h in halos))
+    if max(halo) <= MAX_HALO:
+        return c.around(halo, lambda w, a: {n: blurred(a[name], s, cell) for n, s in wanted.items()}, list(wanted))
     g = c.frame()
-    soft = gaussian(Raster(g.df.select("j", "i", F.col(name).alias("v")), c.spec, c.world), sigma_m)
-    return Raster(g.df.join(soft.df.withColumnRenamed("v", "blur"), ["j", "i"]), c.spec, c.world)
+    df = g.df
+    for n, s in wanted.items():
+        soft = gaussian(Raster(g.df.select("j", "i", F.col(name).alias("v")), c.spec, c.world), s)
+        df = df.join(soft.df.withColumnRenamed("v", n), ["j", "i"])
+    return Raster(df, c.spec, c.world)
 
 
 @operator("adjust.blur", (H(),), OUT_H, (number("radius_m", 100, 0), *STRENGTH), reach=lambda p: 1.75 * p["radius_m"])
 def blur(c: Call):
+    if c.lone() is not None and c.params["strength"] == 1:
+        return {"out": gaussian(c.lone(), c.params["radius_m"] / 2)}
     return {"out": _blurred(c, c.params["radius_m"] / 2).cells(by_strength(c, F.col("blur")))}
 
 
@@ -98,17 +143,22 @@ def sharpen(c: Call):
     return {"out": _blurred(c, c.params["radius_m"] / 2).cells(F.col("in") + c.value("amount") * (F.col("in") - F.col("blur")))}
 
 
-def _difference(v: str, w: WindowSpec, cell: float) -> Column:
-    """Central difference, one-sided at the borders, per metre."""
-    before, after = F.lag(v).over(w), F.lead(v).over(w)
-    wide = F.when(before.isNull() | after.isNull(), 1.0).otherwise(2.0)
-    return (F.coalesce(after, F.col(v)) - F.coalesce(before, F.col(v))) / (wide * cell)
+def slopes(a: np.ndarray, cell: tuple[float, float]) -> Arrays:
+    """Central differences per metre, one-sided at the borders."""
+    gy, gx = np.gradient(a, cell[1], cell[0])
+    return {"gx": gx, "gy": gy}
 
 
 def gradient(g: Raster, name: str = "v") -> Raster:
-    """The frame with ``gx`` and ``gy``: one window by rows, one by columns."""
-    df = g.df.withColumn("gx", _difference(name, ROW(), g.spec.cell[0])).withColumn("gy", _difference(name, COLUMN(), g.spec.cell[1]))
-    return Raster(df, g.spec, g.world, g.kind)
+    """The frame with ``gx`` and ``gy``."""
+    cell, names = g.spec.cell, [c for c in g.df.columns if c not in ("j", "i")]
+    return g.around((1, 1), lambda w, a: a | slopes(a[name], cell), [*names, "gx", "gy"])
+
+
+def _graded(c: Call) -> Raster:
+    """All layers of the call, with the gradient of ``in``."""
+    cell = c.spec.cell
+    return c.around((1, 1), lambda w, a: slopes(a["in"], cell), ["gx", "gy"])
 
 
 def slope_degrees() -> Column:
@@ -125,7 +175,7 @@ def facing(angle_deg: float) -> Column:
 @operator("data.slope", (H(),), OUT_M, (number("min_deg", 30, 0, 90), number("max_deg", 90, 0, 90), number("falloff_deg", 5, 0, 90), flag("invert", False)))
 def slope(c: Call):
     p = c.params
-    return mask_out(gradient(c.frame(), "in"), soft_range(slope_degrees(), p["min_deg"], p["max_deg"], p["falloff_deg"]), p["invert"])
+    return mask_out(_graded(c), soft_range(slope_degrees(), p["min_deg"], p["max_deg"], p["falloff_deg"]), p["invert"])
 
 
 @operator("data.aspect", (H(),), OUT_M, (number("direction_deg", 270, 0, 360), number("sharpness", 2, 0.01, 100), number("min_slope_deg", 5, 0, 90), flag("invert", False)))
@@ -133,7 +183,7 @@ def aspect(c: Call):
     p = c.params
     steep = (F.col("gx") != 0) | (F.col("gy") != 0)
     v = F.pow(0.5 + 0.5 * facing(p["direction_deg"]), F.lit(p["sharpness"])) * smoothstep(0.0, p["min_slope_deg"], slope_degrees())
-    return mask_out(gradient(c.frame(), "in"), F.when(steep, v).otherwise(0.0), p["invert"])
+    return mask_out(_graded(c), F.when(steep, v).otherwise(0.0), p["invert"])
 
 
 @operator("data.curvature", (H(),), OUT_M, (choice("mode", "convex", "concave", "both"), number("radius_m", 150, 0), number("range_m", 15, 1e-6), flag("invert", False)), reach=lambda p: 1.75 * p["radius_m"])
@@ -147,20 +197,17 @@ def curvature(c: Call):
 @operator("data.occlusion", (H(),), OUT_M, (number("radius_m", 100, 0), number("strength", 1, 0, 10), flag("invert", False)), reach=lambda p: 3.5 * p["radius_m"])
 def occlusion(c: Call):
     """1 in the open; darker below blurred surroundings at three scales."""
-    p, g = c.params, c.frame()
-    df = g.df
+    p = c.params
+    sigmas = {f"b{k}": share * p["radius_m"] for k, share in enumerate((0.25, 0.5, 1.0))}
     deep = F.lit(0.0)
-    for k, share in enumerate((0.25, 0.5, 1.0)):
-        sigma = share * p["radius_m"]
-        soft = gaussian(Raster(g.df.select("j", "i", F.col("in").alias("v")), c.spec, c.world), sigma)
-        df = df.join(soft.df.withColumnRenamed("v", f"b{k}"), ["j", "i"])
-        deep = deep + F.greatest(F.col(f"b{k}") - F.col("in"), F.lit(0.0)) / max(sigma, 1e-9)
-    return mask_out(Raster(df, c.spec, c.world), clamp(1.0 - 4.0 * p["strength"] * (deep / 3.0)), p["invert"])
+    for n, sigma in sigmas.items():
+        deep = deep + F.greatest(F.col(n) - F.col("in"), F.lit(0.0)) / max(sigma, 1e-9)
+    return mask_out(_blurred(c, sigmas), clamp(1.0 - 4.0 * p["strength"] * (deep / 3.0)), p["invert"])
 
 
 @operator("output.normal_map", (H(),), OUT_C, (choice("convention", "opengl", "directx"), number("strength", 1, 0, 100)))
 def normal_map(c: Call):
-    p, g = c.params, gradient(c.frame(), "in")
+    p, g = c.params, _graded(c)
     nx, ny = F.col("gx") * -p["strength"], F.col("gy") * -p["strength"]
     # rows grow downwards: green up for opengl is against +y
     ny = -ny if p["convention"] == "opengl" else ny
@@ -227,14 +274,19 @@ def waterline_band(g: Raster, wet: Column, width_m: float, outside: bool = True)
 
 def dilate(g: Raster) -> Raster:
     """The largest of each cell's 3 x 3 neighbours."""
-    rows = g.df.select("j", "i", F.max("v").over(ROW().rowsBetween(-1, 1)).alias("v"))
-    return Raster(rows.select("j", "i", F.max("v").over(COLUMN().rowsBetween(-1, 1)).alias("v")), g.spec, g.world, g.kind)
+
+    def largest(w: Tile, a: Arrays) -> Arrays:
+        v = np.pad(a["v"], 1, mode="edge")
+        rows = np.maximum(np.maximum(v[:-2], v[1:-1]), v[2:])
+        return {"v": np.maximum(np.maximum(rows[:, :-2], rows[:, 1:-1]), rows[:, 2:])}
+
+    return g.around((1, 1), largest, ["v"])
 
 
 def relief(g: Raster) -> Raster:
     """Height over its surroundings of 120 m, in units of 40 m."""
-    soft = gaussian(g, 120.0).df.withColumnRenamed("v", "blur")
-    return Raster(g.df.join(soft, ["j", "i"]).select("j", "i", ((F.col("v") - F.col("blur")) / 40.0).alias("v")), g.spec, g.world, MASK)
+    cell = g.spec.cell
+    return g.around(blur_halo(120.0, cell), lambda w, a: {"v": (a["v"] - blurred(a["v"], 120.0, cell)) / 40.0}, ["v"], MASK)
 
 
 # Sampling at positions: each cell carries its three neighbours, so one equi-join serves four corners.
@@ -262,11 +314,24 @@ def sample(g: Raster, at, nearest: bool = False):
     return placed.join(corners, ["_j", "_i"]).withColumn("v", v).drop("_fx", "_fy", "_i", "_j", "v00", "v10", "v01", "v11")
 
 
+def bilinear(w: Tile, a: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Clamped bilinear values of a window's array at positions that lie inside it."""
+    s = w.spec
+    fx = np.clip((x - s.origin_m[0]) / s.extent_m[0] * float(s.width - 1), 0.0, s.width - 1.0)
+    fy = np.clip((y - s.origin_m[1]) / s.extent_m[1] * float(s.height - 1), 0.0, s.height - 1.0)
+    i, j = np.minimum(fx.astype(np.int64), s.width - 2), np.minimum(fy.astype(np.int64), s.height - 2)
+    tx, ty = fx - i, fy - j
+    i, j = np.clip(i - w.i0, 0, a.shape[1] - 2), np.clip(j - w.j0, 0, a.shape[0] - 2)
+    low = a[j, i] + (a[j, i + 1] - a[j, i]) * tx
+    high = a[j + 1, i] + (a[j + 1, i + 1] - a[j + 1, i]) * tx
+    return low + (high - low) * ty
+
+
 def onto(g: Raster, spec: GridSpec, nearest: bool = False) -> Raster:
     """The raster's values at another grid's samples."""
     from .base import blank
 
-    empty = blank(g.df.sparkSession, spec, g.world)
+    empty = blank(g.spark, spec, g.world)
     return Raster(sample(g, empty.df.withColumns({"sx": empty.x, "sy": empty.y}), nearest).select("j", "i", "v"), spec, g.world, g.kind)
 
 
@@ -299,9 +364,18 @@ def transform(c: Call):
 def warp(c: Call):
     from .sources import kernel
 
-    p, g, seed = c.params, c.frame(), c.seed
-    size, octaves = p["feature_size_m"], p["octaves"]
+    p, seed = c.params, c.seed
+    size, octaves, far = p["feature_size_m"], p["octaves"], p["strength_m"]
     ax, ay = noise.derive(seed, 1), noise.derive(seed, 2)
+    halo = tuple(math.ceil(math.sqrt(2.0) * far / s) + 2 for s in c.spec.cell)
+    if c.lone() is not None and max(halo) <= MAX_HALO:
+
+        def moved_values(w: Tile, a: Arrays) -> Arrays:
+            x, y = w.positions
+            return {"v": bilinear(w, a["v"], x + far * noise.metres(x, y, size, ax, octaves), y + far * noise.metres(x, y, size, ay, octaves))}
+
+        return {"out": c.lone().around(halo, moved_values, ["v"])}
+    g = c.frame()
     moved = kernel(g, lambda x, y: (noise.metres(x, y, size, ax, octaves), noise.metres(x, y, size, ay, octaves)), ["nx", "ny"], ["p_strength_m"] if "strength_m" in c.driven else [])
     at = moved.df.select("j", "i", (g.x + c.value("strength_m") * F.col("nx")).alias("sx"), (g.y + c.value("strength_m") * F.col("ny")).alias("sy"))
     return {"out": Raster(sample(Raster(g.df.select("j", "i", F.col("in").alias("v")), c.spec, c.world), at).select("j", "i", "v"), c.spec, c.world)}
@@ -313,11 +387,16 @@ SNOW = (number("snow_line_m", 1200), number("transition_m", 250, 1e-6), number("
 @operator("simulate.snow", (H(),), (H("height"), M("snow")), SNOW, reach=lambda p: 1.75 * p["smoothing_m"])
 def snow(c: Call):
     """Snow by altitude (lower on shaded sides), gone on steep ground, smoothed and partly melted."""
-    p, g = c.params, gradient(c.frame(), "in")
+    p, g = c.params, _graded(c)
     half = p["transition_m"] / 2
     amount = smoothstep(p["snow_line_m"] - half, p["snow_line_m"] + half, F.col("in") + p["shade_m"] * facing(p["shade_direction_deg"]))
     amount = amount * (1.0 - smoothstep(p["max_slope_deg"] - 5.0, p["max_slope_deg"] + 5.0, slope_degrees()))
-    soft = gaussian(Raster(g.df.select("j", "i", amount.alias("v")), c.spec, c.world, MASK), p["smoothing_m"] / 2)
-    left = soft.cells(clamp((F.col("v") - p["melt"]) / (1.0 - p["melt"])), MASK)
-    both = Raster(c.frame().df.join(left.df.withColumnRenamed("v", "s"), ["j", "i"]), c.spec, c.world)
-    return {"height": both.cells(F.col("in") + F.col("s") * p["depth_m"], HEIGHT), "snow": left}
+    sigma, cell, melt = p["smoothing_m"] / 2, c.spec.cell, p["melt"]
+    fallen = Raster(g.df.select("j", "i", "in", amount.alias("v")), c.spec, c.world)
+    halo = blur_halo(sigma, cell)
+    if max(halo) <= MAX_HALO:
+        lying = fallen.around(halo, lambda w, a: {"in": a["in"], "s": np.clip((blurred(a["v"], sigma, cell) - melt) / (1.0 - melt), 0.0, 1.0)}, ["in", "s"])
+    else:
+        soft = gaussian(Raster(fallen.df.select("j", "i", "v"), c.spec, c.world, MASK), sigma).df.select("j", "i", clamp((F.col("v") - melt) / (1.0 - melt)).alias("s"))
+        lying = Raster(fallen.df.select("j", "i", "in").join(soft, ["j", "i"]), c.spec, c.world)
+    return {"height": lying.cells(F.col("in") + F.col("s") * p["depth_m"], HEIGHT), "snow": lying.cells(F.col("s"), MASK)}

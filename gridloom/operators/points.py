@@ -16,9 +16,9 @@ from ..functions import hydro, noise
 from ..functions.cells import clamp, lerp, smoothstep, soft_range
 from ..plans.params import Param, choice, number, whole
 from ..plans.world import GridSpec
-from .base import MASK, POINTS, Call, H, M, Port, Raster, join_layers, operator
-from .focal import gaussian, gradient, relief, sample, slope_degrees
-from .sources import kernel
+from .base import MASK, POINTS, Call, H, M, Port, Raster, operator
+from .focal import blur_halo, blurred, sample, slope_degrees, slopes
+from .tiles import Window as Tile
 
 TILE_CELLS = 512
 REACH_CELLS = 20  # nine phases of two cells, and two more
@@ -69,14 +69,12 @@ def scatter_points(density: Raster, height: Raster, p: dict, seed: int) -> DataF
     return raised.select(F.col("sx").alias("x_m"), F.col("sy").alias("y_m"), F.col("v").alias("z_m"), "rotation_deg", "scale", F.lit(p["species"]).alias("species"))
 
 
-def _noise01(g: Raster, name: str, size: float, seed: int, octaves: int, extra: list[str]) -> Raster:
-    return kernel(g, lambda x, y: (np.clip(noise.metres(x, y, size, seed, octaves) * 0.5 + 0.5, 0, 1),), [name], extra)
+def _noise01(w: Tile, size: float, seed: int, octaves: int) -> np.ndarray:
+    return np.clip(noise.metres(*w.positions, size, seed, octaves) * 0.5 + 0.5, 0, 1)
 
 
-def _patchy(c: Call, g: Raster, amount: float, size: float, extra: list[str]) -> tuple[Raster, Column]:
-    if amount <= 0:
-        return g, F.lit(1.0)
-    return _noise01(g, "n1", size, noise.derive(c.seed, 1), 3, extra), lerp(1.0, smoothstep(0.35, 0.65, F.col("n1")), amount)
+def _patches(amount: float) -> Column:
+    return lerp(1.0, smoothstep(0.35, 0.65, F.col("n1")), amount) if amount > 0 else F.lit(1.0)
 
 
 def _population(type_id: str, species: str, spacing: float, scale: tuple[float, float], slope_max: float, top: float, water: float, peaks: float, dead: float, patches: float, patch: float, spread: float):
@@ -92,43 +90,44 @@ def _population(type_id: str, species: str, spacing: float, scale: tuple[float,
     @operator(type_id, (H(), M("water", True), M("snow", True), M("area", True), M("occupied", True)), (M("density"), Port("points", POINTS), M("dead_zones"), M("occupied"), M("water")), params, reach=lambda p: 500.0 + REACH_CELLS * p["spacing_m"] / math.sqrt(2.0))
     def grow(c: Call):
         """Density by habitat, health, patches, neighbours and dead ground; points by density."""
-        p = c.params
+        p, cell, seed = c.params, c.spec.cell, c.seed
         ground = c.inputs["in"]
-        base = gradient(c.frame(), "in")
+        base = c.around(blur_halo(120.0, cell), lambda w, a: slopes(a["in"], cell) | {"relief": (a["in"] - blurred(a["in"], 120.0, cell)) / 40.0}, ["gx", "gy", "relief"])
         have = [k for k in ("water", "snow", "area", "occupied") if c.has(k)] + [f"p_{k}" for k in c.driven]
-        df = base.df.withColumn("slope", slope_degrees()).select("j", "i", "in", "slope", *have)
-        df = df.join(relief(ground).df.withColumnRenamed("v", "relief"), ["j", "i"])
+        df = base.df.withColumn("slope", slope_degrees())
         wet = clamp(F.col("water")) if c.has("water") else clamp(0.5 - 0.5 * F.col("relief"))
         pref = p["water_preference"]
         home = soft_range(F.col("slope"), p["slope_min_deg"], p["slope_max_deg"], p["slope_falloff_deg"]) * soft_range(F.col("in"), p["height_min_m"], p["height_max_m"], p["height_falloff_m"])
-        home = home * (lerp(1.0, wet, pref) if pref >= 0 else lerp(1.0, 1.0 - wet, -pref)) * (1.0 - p["avoid_peaks"] * clamp(F.col("relief")))
+        home = home * (lerp(1.0, F.col("wet"), pref) if pref >= 0 else lerp(1.0, 1.0 - F.col("wet"), -pref)) * (1.0 - p["avoid_peaks"] * clamp(F.col("relief")))
         if c.has("snow"):
             home = home * (1.0 - clamp(F.col("snow")) * (1.0 - p["snow_tolerance"]))
         steep = smoothstep(p["dead_slope_deg"] - 6.0, p["dead_slope_deg"] + 6.0, F.col("slope"))
-        df = df.withColumns({"wet": wet, "home": home, "steep": steep})
-        g = Raster(df, c.spec, c.world)
-        layer = lambda n: Raster(df.select("j", "i", F.col(n).alias("v")), c.spec, c.world, MASK)
-        if p["spread_m"] > 0:
-            df = df.drop("home").join(gaussian(layer("home"), p["spread_m"] / 2).df.withColumnRenamed("v", "home"), ["j", "i"])
-        if p["dead_zones"] > 0:
-            df = df.join(gaussian(layer("steep"), 60.0).df.withColumnRenamed("v", "runout"), ["j", "i"])
-        if c.has("occupied") and p["occupied_mode"] == "near":
-            df = df.join(gaussian(layer("occupied"), 40.0).df.withColumnRenamed("v", "around"), ["j", "i"])
-        g = Raster(df, c.spec, c.world)
-        keep = [n for n in df.columns if n not in ("j", "i")]
+        df = df.withColumn("wet", wet).withColumns({"home": home, "steep": steep})
+        near = c.has("occupied") and p["occupied_mode"] == "near"
+        sigmas = {"home": p["spread_m"] / 2, **({"runout": 60.0} if p["dead_zones"] > 0 else {}), **({"around": 40.0} if near else {})}
+        halos = [blur_halo(s, cell) for s in sigmas.values()]
+        sources = {"home": "home", "runout": "steep", "around": "occupied"}
+
+        def settled(w: Tile, a: dict) -> dict:
+            made = {n: blurred(a[sources[n]], s, cell) for n, s in sigmas.items()}
+            if p["patches"] > 0:
+                made["n1"] = _noise01(w, p["patch_size_m"], noise.derive(seed, 1), 3)
+            if p["randomness"] > 0:
+                made["n2"] = _noise01(w, max(4.0 * p["spacing_m"], 4.0), noise.derive(seed, 2), 2)
+            if p["dead_zones"] > 0:
+                made["n3"] = _noise01(w, 80.0, noise.derive(seed, 3), 2)
+            return a | made
+
+        kept = ["slope", "wet", "home", "steep", *have]
+        extra = [n for n in ("runout", "around") if n in sigmas] + [n for n, k in (("n1", "patches"), ("n2", "randomness"), ("n3", "dead_zones")) if p[k] > 0]
+        g = Raster(df.select("j", "i", *kept), c.spec, c.world).around((max(h[0] for h in halos), max(h[1] for h in halos)), settled, [*kept, *extra])
         dead = F.lit(0.0)
         if p["dead_zones"] > 0:
-            g = _noise01(g, "n3", 80.0, noise.derive(c.seed, 3), 2, keep)
-            keep = [*keep, "n3"]
             slide = clamp(F.col("snow")) * smoothstep(25.0, 40.0, F.col("slope")) if c.has("snow") else F.lit(0.0)
             raw = F.greatest(F.col("steep"), F.least(F.col("runout") * 1.6, F.lit(1.0)) * 0.8, slide)
             dead = clamp(p["dead_zones"] * raw * lerp(0.8, 1.5, F.col("n3")))
-        g, patch = _patchy(c, g, p["patches"], p["patch_size_m"], keep)
-        keep = [*keep, *(["n1"] if p["patches"] > 0 else [])]
-        fine = F.lit(1.0)
-        if p["randomness"] > 0:
-            g = _noise01(g, "n2", max(4.0 * p["spacing_m"], 4.0), noise.derive(c.seed, 2), 2, keep)
-            fine = lerp(1.0, F.col("n2"), p["randomness"])
+        patch = _patches(p["patches"])
+        fine = lerp(1.0, F.col("n2"), p["randomness"]) if p["randomness"] > 0 else F.lit(1.0)
         healthy = F.col("home") if p["health"] >= 1 else clamp((F.col("home") - (1.0 - p["health"])) / max(p["health"], 0.05))
         taken, free = F.lit(0.0), F.lit(1.0)
         if c.has("occupied"):
@@ -162,16 +161,20 @@ DEBRIS = (
 @operator("vegetation.debris", (H(), M("talus", True), M("dead_zones", True), M("area", True)), (M("density"), Port("points", POINTS)), DEBRIS, reach=lambda p: 1.75 * p["reach_m"] + REACH_CELLS * p["spacing_m"] / math.sqrt(2.0))
 def debris(c: Call):
     """Rocks on talus, or below steep ground, and in dead zones."""
-    p, ground = c.params, c.inputs["in"]
+    p, ground, cell, seed = c.params, c.inputs["in"], c.spec.cell, c.seed
     have = [k for k in ("talus", "dead_zones", "area") if c.has(k)] + [f"p_{k}" for k in c.driven]
-    df = gradient(c.frame(), "in").df.withColumn("steep", smoothstep(p["slope_min_deg"] - 4.0, p["slope_min_deg"] + 10.0, slope_degrees())).select("j", "i", "steep", *have)
-    talus = clamp(F.col("talus")) if c.has("talus") else None
-    if talus is None:
-        shed = Raster(df.select("j", "i", F.col("steep").alias("v")), c.spec, c.world, MASK)
-        df = df.join((gaussian(shed, p["reach_m"] / 2) if p["reach_m"] > 0 else shed).df.withColumnRenamed("v", "rolled"), ["j", "i"])
-        talus = clamp(F.least(F.col("rolled") * 1.8, F.lit(1.0)) * (1.0 - 0.7 * F.col("steep")))
-    g = Raster(df, c.spec, c.world)
-    g, patch = _patchy(c, g, p["patches"], p["patch_size_m"], [n for n in df.columns if n not in ("j", "i")])
+    df = c.around((1, 1), lambda w, a: slopes(a["in"], cell), ["gx", "gy"]).df
+    df = df.select("j", "i", smoothstep(p["slope_min_deg"] - 4.0, p["slope_min_deg"] + 10.0, slope_degrees()).alias("steep"), *have)
+    extra = ([] if c.has("talus") else ["rolled"]) + (["n1"] if p["patches"] > 0 else [])
+
+    def settled(w: Tile, a: dict) -> dict:
+        made = {} if c_talus else {"rolled": blurred(a["steep"], p["reach_m"] / 2, cell)}
+        return a | made | ({"n1": _noise01(w, p["patch_size_m"], noise.derive(seed, 1), 3)} if p["patches"] > 0 else {})
+
+    c_talus = c.has("talus")
+    g = Raster(df, c.spec, c.world).around((0, 0) if c_talus else blur_halo(p["reach_m"] / 2, cell), settled, ["steep", *have, *extra])
+    talus = clamp(F.col("talus")) if c_talus else clamp(F.least(F.col("rolled") * 1.8, F.lit(1.0)) * (1.0 - 0.7 * F.col("steep")))
+    patch = _patches(p["patches"])
     dead = clamp(F.col("dead_zones")) if c.has("dead_zones") else F.lit(0.0)
     allowed = clamp(F.col("area")) if c.has("area") else F.lit(1.0)
     made = g.cells(clamp(F.greatest(talus * p["talus_weight"], dead * p["dead_zone_weight"]) * c.value("coverage") * patch * allowed), MASK)

@@ -13,6 +13,7 @@ from ..functions import noise
 from ..functions.cells import clamp, col, smoothstep
 from ..plans.params import choice, flag, number, whole
 from .base import OUT_H, Call, H, Raster, operator
+from .tiles import TilePlan
 
 HEIGHT_PARAMS = (number("height_m", 1000, 0, 20000, drivable=True), number("base_m", 0, -20000, 20000))
 POSITION = (number("pos_x_m", 0), number("pos_y_m", 0))
@@ -127,8 +128,11 @@ def kernel(g: Raster, f, names: list[str], extra: list[str] = ()) -> Raster:
 
 def _field(c: Call, f) -> dict:
     p, seed = c.params, c.seed
-    extra = ["p_height_m"] if "height_m" in c.driven else []
-    g = kernel(c.frame(), lambda x, y: (f((x + p["offset_x_m"]) / p["feature_size_m"], (y + p["offset_y_m"]) / p["feature_size_m"], seed),), ["n"], extra)
+    at = lambda x, y: f((x + p["offset_x_m"]) / p["feature_size_m"], (y + p["offset_y_m"]) / p["feature_size_m"], seed)
+    if not c.driven:
+        made = TilePlan(c.spark, c.spec, None, ((0, 0, lambda w, _: {"v": p["base_m"] + (at(*w.positions) * 0.5 + 0.5) * p["height_m"]}),), ("v",))
+        return {"out": Raster(made, c.spec, c.world)}
+    g = kernel(c.frame(), lambda x, y: (at(x, y),), ["n"], ["p_height_m"])
     return {"out": g.cells(p["base_m"] + (F.col("n") * 0.5 + 0.5) * c.value("height_m"))}
 
 

@@ -70,7 +70,7 @@ def test_partitioning_does_not_show(spark, type_id):
 
 
 def test_masks_stay_in_range(spark, data):
-    for name in ("height_mask", "aspect", "curvature", "occlusion", "wetness", "flow_dinf", "lakes", "trees_density"):
+    for name in ("height_mask", "aspect", "curvature", "occlusion", "wetness", "flow_dinf", "lakes_lakes", "trees_density"):
         got = queries.QUERIES[name](spark, data).agg(F.min("v"), F.max("v")).first()
         assert got[0] >= 0 and got[1] <= queries.SCALE, name
 
@@ -124,6 +124,34 @@ def test_column_hash_equals_the_kernel(spark):
             assert r.h & ((1 << 64) - 1) == int(noise.lattice(np.array([r.a]), np.array([r.b]), 7)[0])
 
 
+def test_chains_by_tile_equal_the_whole_grid(spark):
+    from gridloom.operators import tiles
+
+    world = World((3000.0, 2800.0))
+    spec = GridSpec(601, 561, world.size_m)
+    made = apply("noise.fbm", {}, {"octaves": 3}, spark=spark, spec=spec, world=world, seed=3)["out"]
+    chain = apply("data.slope", {"in": apply("adjust.blur", {"in": apply("adjust.warp", {"in": made}, {"strength_m": 60}, seed=5)["out"]}, {"radius_m": 90})["out"]}, {"min_deg": 5})["out"]
+    got = array(chain)
+    plan = made.source.then((20, 20), lambda w, a: a, ["v"])
+    assert plan.base is None and len(plan.steps) == 2
+    window = tiles.Window(spec, 0, 0, 601, 561)
+    with np.errstate(over="ignore"):
+        h = made.source.steps[0][2](window, {})["v"]
+        x, y = window.positions
+        w = focal.bilinear(window, h, x + 60 * noise.metres(x, y, 1500, noise.derive(5, 1), 4), y + 60 * noise.metres(x, y, 1500, noise.derive(5, 2), 4))
+    soft = focal.blurred(w, 45.0, spec.cell)
+    gy, gx = np.gradient(soft, spec.cell[1], spec.cell[0])
+    deg = np.degrees(np.arctan(np.hypot(gx, gy)))
+    t = np.clip(deg / 5.0, 0, 1)
+    assert np.allclose(got, t * t * (3 - 2 * t), atol=1e-9)
+    dealt = Raster(made.df, spec, world)
+    assert np.allclose(array(apply("adjust.blur", {"in": dealt}, {"radius_m": 90})["out"]), focal.blurred(h, 45.0, spec.cell))
+    part = dealt.crop(200, 100, 300, 200)
+    inside = np.full((561, 601), np.nan)
+    inside[100:300, 200:500] = focal.blurred(h[100:300, 200:500], 45.0, spec.cell)
+    assert np.allclose(array(focal.gaussian(part, 45.0)), inside, equal_nan=True)
+
+
 def test_fill_is_the_minimax_path():
     h = np.random.default_rng(3).uniform(0, 100, (12, 15))
     level = np.full(h.shape, np.inf)
