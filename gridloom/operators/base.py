@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import clamp, denormalise, normalise
 from ..plans.params import Param, checked
-from ..plans.world import GridSpec, PlanError, World
+from ..plans.world import GridSpec, InvalidLink, InvalidParam, MissingInput, PlanError, PortNotFound, UnknownOperator, World
 from .tiles import Kernel, TilePlan
 
 HEIGHT, MASK, COLOUR, POINTS = "height", "mask", "colour", "points"
@@ -70,7 +70,7 @@ class Raster:
             return self.cells(normalise(F.col("v"), low, span), MASK)
         if (self.kind, kind) == (MASK, HEIGHT):
             return self.cells(denormalise(F.col("v"), low, span), HEIGHT)
-        raise PlanError(f"{self.kind} can't feed {kind}")
+        raise InvalidLink(f"{self.kind} can't feed {kind}")
 
     def crop(self, i0: int, j0: int, width: int, height: int) -> Raster:
         spec = self.spec.crop(i0, j0, width, height)
@@ -180,6 +180,7 @@ class Operator:
     params: tuple[Param, ...] = ()
     reach: Callable[[dict], float] | None = None  # metres; None: the whole world
     version: int = 1
+    migrate: Callable[[int, dict], dict] | None = None  # parameters of an older version, brought up to this one
 
 
 OPERATORS: dict[str, Operator] = {}
@@ -215,19 +216,19 @@ def apply(type_id: str, inputs: dict[str, Any] | None = None, params: dict[str,
     """All outputs of an operator. Inputs are converted to the kinds of their ports; parameters are checked first."""
     op = OPERATORS.get(type_id)
     if op is None:
-        raise PlanError(f"no operator {type_id}")
+        raise UnknownOperator(f"no operator {type_id}")
     given, ports = dict(inputs or {}), {p.key: p for p in op.inputs}
     if unknown := set(given) - set(ports):
-        raise PlanError(f"{type_id} has no input {', '.join(sorted(unknown))}")
+        raise PortNotFound(f"{type_id} has no input {', '.join(sorted(unknown))}")
     for p in op.inputs:
         if p.key not in given and not p.optional:
-            raise PlanError(f"{type_id} needs {p.key}")
+            raise MissingInput(f"{type_id} needs {p.key}")
     values = checked(op.params, params or {})
     drivable = {p.key: (p.low, p.high) for p in op.params if p.drivable}
     masks = {}
     for k, r in (driven or {}).items():
         if k not in drivable:
-            raise PlanError(f"{type_id}.{k} can't be driven")
+            raise InvalidParam(f"{type_id}.{k} can't be driven")
         masks[k] = r.to(MASK)
     layers = {k: r.to(ports[k].kind) if isinstance(r, Raster) else r for k, r in given.items()}
     some = next((r for r in layers.values() if isinstance(r, Raster)), None)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.cells import clamp, gradient_value, lerp
 from ..plans.params import Param, choice, flag, number
 from .base import CHANNELS, COLOUR, HEIGHT, MASK, OUT_C, C, Call, H, M, Port, Raster, operator
+from .sources import file_cells
 
 # Stops (t, r, g, b) of the built-in gradients, sRGB.
 GRADIENTS = {
@@ -67,13 +68,17 @@ def layers(c: Call):
     return {"out": c.frame().colours(*out.values())}
 
 
-@operator("colour.image", (C("image"),), OUT_C, (flag("flip_y", False), number("brightness", 1, 0, 10), number("saturation", 1, 0, 10)), reach=None)
+@operator("colour.image", (C("image", optional=True),), OUT_C, (Param("path", "file", ""), flag("flip_y", False), number("brightness", 1, 0, 10), number("saturation", 1, 0, 10)), reach=None)
 def image(c: Call):
-    p, g = c.params, c.frame()
-    px = _layer("image")
+    """A colour image stretched over the world, or the cells of one that is decoded already, with brightness and saturation."""
+    p = c.params
+    if c.has("image"):
+        g, px = c.frame(), _layer("image")
+        j = F.lit(c.spec.height - 1) - F.col("j") if p["flip_y"] else F.col("j")
+    else:
+        g, px, j = file_cells(c, p["flip_y"], COLOUR)[0], {n: F.col(n) for n in CHANNELS}, F.col("j")
     grey = (px["r"] + px["g"] + px["b"]) / 3.0
     rgb = [clamp((grey + (px[n] - grey) * p["saturation"]) * p["brightness"]) for n in "rgb"]
-    j = F.lit(c.spec.height - 1) - F.col("j") if p["flip_y"] else F.col("j")
     moved = g.df.select(j.cast("int").alias("j"), "i", *(v.alias(n) for v, n in zip([*rgb, px["a"]], CHANNELS, strict=True)))
     return {"out": Raster(moved, c.spec, c.world, COLOUR)}
 

@@ -292,26 +292,26 @@ def relief(g: Raster) -> Raster:
 # Sampling at positions: each cell carries its three neighbours, so one equi-join serves four corners.
 
 
-def _corners(g: Raster) -> DataFrame:
-    right = F.coalesce(F.lead("v").over(ROW()), F.col("v"))
-    wide = g.df.select("j", "i", F.col("v").alias("v00"), right.alias("v10"))
-    return wide.select("j", "i", "v00", "v10", F.coalesce(F.lead("v00").over(COLUMN()), F.col("v00")).alias("v01"), F.coalesce(F.lead("v10").over(COLUMN()), F.col("v10")).alias("v11"))
+def _corners(g: Raster, columns: tuple[str, ...]) -> DataFrame:
+    wide = g.df.select("j", "i", *(F.col(c).alias(f"{c}00") for c in columns), *(F.coalesce(F.lead(c).over(ROW()), F.col(c)).alias(f"{c}10") for c in columns))
+    below = [F.coalesce(F.lead(f"{c}{k}0").over(COLUMN()), F.col(f"{c}{k}0")).alias(f"{c}{k}1") for c in columns for k in (0, 1)]
+    return wide.select("*", *below)
 
 
 def sample(g: Raster, at, nearest: bool = False):
-    """``at`` (columns ``sx`` and ``sy`` in metres) with ``v``: clamped bilinear, or the nearest cell's."""
-    s = g.spec
+    """``at`` (columns ``sx`` and ``sy`` in metres) with the raster's columns: clamped bilinear, or the nearest cell's."""
+    s, columns = g.spec, g.columns
     fx = F.least(F.greatest((F.col("sx") - s.origin_m[0]) / s.extent_m[0] * float(s.width - 1), F.lit(0.0)), F.lit(float(s.width - 1)))
     fy = F.least(F.greatest((F.col("sy") - s.origin_m[1]) / s.extent_m[1] * float(s.height - 1), F.lit(0.0)), F.lit(float(s.height - 1)))
     if nearest:
         placed = at.withColumns({"_i": F.floor(fx + 0.5).cast("int"), "_j": F.floor(fy + 0.5).cast("int")})
-        cells = g.df.select(F.col("j").alias("_j"), F.col("i").alias("_i"), "v")
+        cells = g.df.select(F.col("j").alias("_j"), F.col("i").alias("_i"), *columns)
         return placed.join(cells, ["_j", "_i"]).drop("_j", "_i")
     placed = at.withColumns({"_fx": fx, "_fy": fy}).withColumns({"_i": F.least(F.floor("_fx"), F.lit(s.width - 2)).cast("int"), "_j": F.least(F.floor("_fy"), F.lit(s.height - 2)).cast("int")})
-    corners = _corners(g).withColumnsRenamed({"j": "_j", "i": "_i"})
+    corners = _corners(g, columns).withColumnsRenamed({"j": "_j", "i": "_i"})
     tx, ty = F.col("_fx") - F.col("_i"), F.col("_fy") - F.col("_j")
-    v = lerp(lerp(F.col("v00"), F.col("v10"), tx), lerp(F.col("v01"), F.col("v11"), tx), ty)
-    return placed.join(corners, ["_j", "_i"]).withColumn("v", v).drop("_fx", "_fy", "_i", "_j", "v00", "v10", "v01", "v11")
+    own = {c: lerp(lerp(F.col(f"{c}00"), F.col(f"{c}10"), tx), lerp(F.col(f"{c}01"), F.col(f"{c}11"), tx), ty) for c in columns}
+    return placed.join(corners, ["_j", "_i"]).withColumns(own).drop("_fx", "_fy", "_i", "_j", *(f"{c}{k}" for c in columns for k in ("00", "10", "01", "11")))
 
 
 def bilinear(w: Tile, a: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -332,7 +332,7 @@ def onto(g: Raster, spec: GridSpec, nearest: bool = False) -> Raster:
     from .base import blank
 
     empty = blank(g.spark, spec, g.world)
-    return Raster(sample(g, empty.df.withColumns({"sx": empty.x, "sy": empty.y}), nearest).select("j", "i", "v"), spec, g.world, g.kind)
+    return Raster(sample(g, empty.df.withColumns({"sx": empty.x, "sy": empty.y}), nearest).select("j", "i", *g.columns), spec, g.world, g.kind)
 
 
 def resample(g: Raster, spec: GridSpec) -> Raster:

@@ -39,6 +39,7 @@ def scatter_points(density: Raster, height: Raster, p: dict, seed: int) -> DataF
     held = density.df.withColumns({"x": density.x, "y": density.y})
     held = held.withColumn("tx", F.explode(F.sequence(to(F.col("x") - margin, 0), to(F.col("x") + margin, 0)))).withColumn("ty", F.explode(F.sequence(to(F.col("y") - margin, 1), to(F.col("y") + margin, 1))))
     cell, origin = spec.cell, spec.origin_m
+    low, high = p.get("rotation_min_deg", 0.0), p.get("rotation_max_deg", 360.0)
 
     def run(key, table):
         tx, ty = (k.as_py() for k in key)
@@ -62,7 +63,7 @@ def scatter_points(density: Raster, height: Raster, p: dict, seed: int) -> DataF
             x, y, ci, cj = x[own], y[own], ci[own], cj[own]
             s = noise.derive(seed, 7)
             turn, size = hydro.cell_random(ci, cj, s, 10), hydro.cell_random(ci, cj, s, 11)
-        return pa.table([pa.array(c) for c in (x, y, (p["rotation_min_deg"] + (p["rotation_max_deg"] - p["rotation_min_deg"]) * turn) % 360.0, p["scale_min"] + (p["scale_max"] - p["scale_min"]) * size)], ["sx", "sy", "rotation_deg", "scale"])
+        return pa.table([pa.array(c) for c in (x, y, (low + (high - low) * turn) % 360.0, p["scale_min"] + (p["scale_max"] - p["scale_min"]) * size)], ["sx", "sy", "rotation_deg", "scale"])
 
     found = held.select("tx", "ty", "j", "i", F.col("v").cast("double").alias("v")).groupBy("tx", "ty").applyInArrow(run, "sx double, sy double, rotation_deg double, scale double")
     raised = sample(height, found)

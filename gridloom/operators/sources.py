@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import noise
 from ..functions.cells import clamp, col, smoothstep
-from ..plans.params import choice, flag, number, whole
-from .base import OUT_H, Call, H, Raster, operator
+from ..plans.params import Param, choice, flag, number, whole
+from ..plans.world import GridSpec, ImageError, InvalidParam
+from .base import COLOUR, HEIGHT, OUT_H, Call, H, Raster, blank, operator
 from .tiles import TilePlan
 
 HEIGHT_PARAMS = (number("height_m", 1000, 0, 20000, drivable=True), number("base_m", 0, -20000, 20000))
@@ -194,13 +195,37 @@ def voronoi(c: Call):
     return _field(c, f)
 
 
-@operator("primitive.file", (H("image"),), OUT_H, (choice("values", "auto", "metres", "normalised"), flag("world_range", True), number("low_m", 0), number("high_m", 1000), flag("flip_y", False)), reach=None)
+def file_cells(c: Call, flip_y: bool, kind: str) -> tuple[Raster, bool]:
+    """An image file stretched over the whole world, at this grid's samples, and whether its values are metres. Pixel (0, 0) is the origin."""
+    from ..sources.images import read_images
+    from .focal import sample
+
+    if not c.params["path"]:
+        raise InvalidParam("no file is chosen")
+    px = read_images(c.spark, c.params["path"])
+    size = px.agg(F.max("j").alias("j"), F.max("i").alias("i"), F.first("metres").alias("metres")).first()
+    if size.j is None:
+        raise ImageError(f"{c.params['path']} holds no image")
+    grid = GridSpec(size.i + 1, size.j + 1, c.world.size_m)
+    values = [F.col("r").alias("v")] if kind != COLOUR else list("rgba")
+    whole = Raster(px.select("j", "i", *values), grid, c.world, kind)
+    at = blank(c.spark, c.spec, c.world)
+    y = c.world.size_m[1] - at.y if flip_y else at.y
+    read = sample(whole, at.df.withColumns({"sx": at.x, "sy": y}))
+    return Raster(read.select("j", "i", *whole.columns), c.spec, c.world, kind), bool(size.metres)
+
+
+@operator("primitive.file", (H("image", optional=True),), OUT_H, (Param("path", "file", ""), choice("values", "auto", "metres", "normalised"), flag("world_range", True), number("low_m", 0), number("high_m", 1000), flag("flip_y", False)), reach=None)
 def from_image(c: Call):
-    """Cells of a decoded image stretched over the world; ``sources.images`` reads the file."""
-    p, g = c.params, c.frame("image")
-    v = F.col("image")
-    if p["values"] != "metres":
+    """A height image stretched over the world, or the cells of one that is decoded already; 0..1 is brought to a range unless it is in metres."""
+    p = c.params
+    if c.has("image"):
+        g, metres, value = c.frame("image"), False, F.col("image")
+        j = F.lit(c.spec.height - 1) - F.col("j") if p["flip_y"] else F.col("j")
+    else:
+        g, metres = file_cells(c, p["flip_y"], HEIGHT)
+        value, j = F.col("v"), F.col("j")
+    if p["values"] == "normalised" or (p["values"] == "auto" and not metres):
         low, high = c.world.height_range_m if p["world_range"] else (p["low_m"], p["high_m"])
-        v = low + v * (high - low)
-    j = F.lit(c.spec.height - 1) - F.col("j") if p["flip_y"] else F.col("j")
-    return {"out": Raster(g.df.select(j.cast("int").alias("j"), "i", col(v).alias("v")), c.spec, c.world)}
+        value = low + value * (high - low)
+    return {"out": Raster(g.df.select(j.cast("int").alias("j"), "i", col(value).alias("v")), c.spec, c.world)}

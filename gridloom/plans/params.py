@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 from typing import Any
 
-from .world import PlanError
+from .world import InvalidParam
 
 
 @dataclass(frozen=True)
@@ -24,23 +24,23 @@ class Param:
     def check(self, value: Any) -> Any:
         if self.kind in ("float", "int"):
             if isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value):
-                raise PlanError(f"{self.key}: {value!r} is no finite number")
+                raise InvalidParam(f"{self.key}: {value!r} is no finite number")
             value = min(max(value, self.low), self.high)
             return float(value) if self.kind == "float" else int(round(value))
         if self.kind == "bool":
             if not isinstance(value, bool):
-                raise PlanError(f"{self.key}: {value!r} is neither true nor false")
+                raise InvalidParam(f"{self.key}: {value!r} is neither true nor false")
             return value
         if self.kind == "enum":
             if value not in self.choices:
-                raise PlanError(f"{self.key}: {value!r} is none of {', '.join(self.choices)}")
+                raise InvalidParam(f"{self.key}: {value!r} is none of {', '.join(self.choices)}")
             return value
         if self.kind == "curve":
             return curve(value)
         if self.kind == "gradient":
             return gradient(value)
         if not isinstance(value, str):
-            raise PlanError(f"{self.key}: {value!r} is no text")
+            raise InvalidParam(f"{self.key}: {value!r} is no text")
         return value.strip()
 
 
@@ -63,13 +63,13 @@ def choice(key: str, *choices: str) -> Param:
 def curve(points: list) -> list[tuple[float, float]]:
     """At least two and at most 64 sorted points in 0..1, one for each x (within 1e-6)."""
     if not 2 <= len(points) <= 64:
-        raise PlanError("a curve has 2 to 64 points")
+        raise InvalidParam("a curve has 2 to 64 points")
     kept: list[tuple[float, float]] = []
     for x, y in sorted((min(max(float(a), 0.0), 1.0), min(max(float(b), 0.0), 1.0)) for a, b in points):
         if not kept or x - kept[-1][0] > 1e-6:
             kept.append((x, y))
     if len(kept) < 2:
-        raise PlanError("a curve has two different points")
+        raise InvalidParam("a curve has two different points")
     return kept
 
 
@@ -92,7 +92,7 @@ def tangents(points: list[tuple[float, float]]) -> list[float]:
 def gradient(stops: list) -> list[tuple[float, float, float, float]]:
     """1 to 64 stops (t, r, g, b), sorted by t; equal ones keep their order."""
     if not 1 <= len(stops) <= 64:
-        raise PlanError("a gradient has 1 to 64 stops")
+        raise InvalidParam("a gradient has 1 to 64 stops")
     return sorted((tuple(min(max(float(x), 0.0), 1.0) for x in s) for s in stops), key=lambda s: s[0])
 
 

@@ -11,7 +11,59 @@ TILED_ABOVE = 4_097
 
 
 class PlanError(ValueError):
-    """A mistake that is found before anything is computed."""
+    """A mistake that is found before anything is computed; each kind has a class of its own."""
+
+
+class UnknownOperator(PlanError):
+    pass
+
+
+class NodeNotFound(PlanError):
+    pass
+
+
+class PortNotFound(PlanError):
+    pass
+
+
+class InvalidLink(PlanError):
+    pass
+
+
+class Cycle(InvalidLink):
+    pass
+
+
+class MissingInput(PlanError):
+    pass
+
+
+class InvalidParam(PlanError):
+    pass
+
+
+class NodeFailed(PlanError):
+    pass
+
+
+class InvalidResolution(PlanError):
+    pass
+
+
+class Cancelled(PlanError):
+    pass
+
+
+class ProjectError(PlanError):
+    pass
+
+
+class PresetError(PlanError):
+    pass
+
+
+class ImageError(PlanError):
+    pass
 
 
 @dataclass(frozen=True)
@@ -48,11 +100,11 @@ class GridSpec:
 
     def __post_init__(self):
         if not (2 <= self.width <= MAX_BUILD_SIDE and 2 <= self.height <= MAX_BUILD_SIDE):
-            raise PlanError(f"a grid has 2 to {MAX_BUILD_SIDE} samples a side")
+            raise InvalidResolution(f"a grid has 2 to {MAX_BUILD_SIDE} samples a side")
         if self.window:
             i0, j0, w, h = self.window
             if w < 2 or h < 2 or i0 < 0 or j0 < 0 or i0 + w > self.width or j0 + h > self.height:
-                raise PlanError("a window has at least 2 x 2 samples of its grid")
+                raise InvalidResolution("a window has at least 2 x 2 samples of its grid")
             if (i0, j0, w, h) == (0, 0, self.width, self.height):
                 object.__setattr__(self, "window", None)
 

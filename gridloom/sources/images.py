@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.world import PlanError
+from ..plans.world import ImageError
 
 _PNG = b"\x89PNG\r\n\x1a\n"
 _EXR = struct.pack("<I", 20000630)
@@ -24,7 +24,7 @@ PNG_CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 def decode_png(raw: bytes) -> np.ndarray:
     """Rows x columns x channels in 0..1."""
     if raw[:8] != _PNG:
-        raise PlanError("not a PNG file")
+        raise ImageError("not a PNG file")
     at, data, head = 8, b"", None
     while at < len(raw):
         size, kind = struct.unpack_from(">I4s", raw, at)
@@ -34,7 +34,7 @@ def decode_png(raw: bytes) -> np.ndarray:
         at += 12 + size
     width, height, depth, colour, _, _, interlaced = head
     if colour not in PNG_CHANNELS or depth not in (8, 16) or interlaced:
-        raise PlanError("only plain PNG files of 8 or 16 bits are read")
+        raise ImageError("only plain PNG files of 8 or 16 bits are read")
     step = PNG_CHANNELS[colour] * depth // 8
     rows = np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, 1 + width * step)
     out = np.zeros((height, width * step), np.uint8)
@@ -96,7 +96,7 @@ def encode_exr(channels: dict[str, np.ndarray]) -> bytes:
 def decode_exr(raw: bytes) -> dict[str, np.ndarray]:
     """Channels of a file of scan lines of 32-bit floats, uncompressed or zipped."""
     if raw[:4] != _EXR:
-        raise PlanError("not an EXR file")
+        raise ImageError("not an EXR file")
     at, fields = 8, {}
     word = lambda p: (raw[p : raw.index(b"\0", p)].decode(), raw.index(b"\0", p) + 1)
     while raw[at]:
@@ -109,12 +109,12 @@ def decode_exr(raw: bytes) -> dict[str, np.ndarray]:
     while fields["channels"][p]:
         end = fields["channels"].index(b"\0", p)
         if struct.unpack_from("<i", fields["channels"], end + 1)[0] != 2:
-            raise PlanError("only 32-bit floats are read")
+            raise ImageError("only 32-bit floats are read")
         names.append(fields["channels"][p:end].decode())
         p = end + 17
     how = fields["compression"][0]
     if how not in (0, 2, 3):
-        raise PlanError("only plain and zipped scan lines are read")
+        raise ImageError("only plain and zipped scan lines are read")
     x0, y0, x1, y1 = struct.unpack("<4i", fields["dataWindow"])
     width, height, lines = x1 - x0 + 1, y1 - y0 + 1, 16 if how == 3 else 1
     out = {n: np.zeros((height, width), np.float32) for n in names}
@@ -150,7 +150,7 @@ def decode(raw: bytes) -> tuple[np.ndarray, bool]:
 
         from PIL import Image
     except ImportError as e:
-        raise PlanError("this image format needs Pillow") from e
+        raise ImageError("this image format needs Pillow") from e
     return np.asarray(Image.open(io.BytesIO(raw)).convert("RGB"), np.float64) / 255, False
 
 
@@ -161,7 +161,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 px, metres = decode(raw)
                 if min(px.shape[:2]) < 2:
-                    raise PlanError("an image has at least 2 x 2 pixels")
+                    raise ImageError("an image has at least 2 x 2 pixels")
                 if px.shape[2] < 3:
                     alpha = px[:, :, 1:2] if px.shape[2] == 2 else np.ones_like(px[:, :, :1])
                     px = np.concatenate([px[:, :, :1]] * 3 + [alpha], 2)

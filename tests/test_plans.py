@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +7,8 @@ from gridloom.operators import apply
 from gridloom.operators.base import blank
 from gridloom.plans.graph import Evaluator, Graph, History, Project, preset, preset_text
 from gridloom.plans.params import curve, gradient, tangents
-from gridloom.plans.world import GridSpec, PlanError, World, halo, runs, tiles, tiles_even
+from gridloom.plans.store import ResultStore
+from gridloom.plans.world import Cancelled, GridSpec, InvalidLink, InvalidParam, NodeNotFound, PlanError, ProjectError, World, halo, runs, tiles, tiles_even
 
 
 def test_grids():
@@ -118,3 +121,97 @@ def test_the_rest_works_without_the_optional_folder():
 
     code = "import sys; sys.modules['gridloom.llm'] = None; import __spark_entry__ as e; assert not any(n.startswith('op') for n in e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=pathlib.Path(__file__).resolve().parent.parent)
+
+
+def test_portals_and_tabs():
+    g = Graph()
+    a, t = g.add("noise.fbm"), g.add("vegetation.trees", pos=(500.0, 40.0))
+    b = g.add("vegetation.grass", pos=(900.0, 0.0))
+    g.connect((a, "out"), (t, "in"))
+    g.connect((a, "out"), (b, "in"))
+    g.connect((t, "occupied"), (b, "occupied"))
+    assert g.move_vegetation() == 2 and g.move_vegetation() == 0
+    portals = [n for n in g.nodes.values() if n.type_id == "portal.height"]
+    assert len(portals) == 1 and portals[0].tab == "vegetation" and portals[0].pos == (160.0, 0.0)
+    assert g.links[(t, "in")] == g.links[(b, "in")] == (portals[0].id, "out") and g.links[(b, "occupied")] == (t, "occupied")
+    with pytest.raises(InvalidLink):
+        g.add_portal((t, "points"), "output")
+    with pytest.raises(InvalidParam):
+        g.set_tab(a, "nowhere")
+    with pytest.raises(NodeNotFound):
+        g.remove("n_none")
+
+
+def test_undo_merges_quick_edits_of_one_thing():
+    g = Graph()
+    h = History(g)
+    h.record(now=0.0)
+    n = g.add("noise.fbm")
+    for k in range(5):
+        h.record(f"{n}.octaves", now=1.0 + k * 0.5)
+        g.set(n, "octaves", k + 1)
+    h.record(f"{n}.octaves", now=9.0)
+    g.set(n, "octaves", 9)
+    with h.group():
+        for k in range(3):
+            h.record()
+            g.add("noise.perlin")
+    assert len(h.past) == 4 and h.undo() and len(g.nodes) == 1 and g.nodes[n].params["octaves"] == 9
+    assert h.undo() and g.nodes[n].params["octaves"] == 5 and h.undo() and "octaves" not in g.nodes[n].params
+    assert h.redo() and h.redo() and g.nodes[n].params["octaves"] == 9
+
+
+def test_projects_of_other_versions(monkeypatch):
+    from dataclasses import replace
+
+    from gridloom.operators import OPERATORS
+
+    monkeypatch.setitem(OPERATORS, "noise.fbm", replace(OPERATORS["noise.fbm"], version=3, migrate=lambda v, p: p | {"octaves": 2 * v}))
+    text = json.dumps({"nodes": [{"id": "a", "type": "noise.fbm", "type_version": 1, "params": {"gain": 0.25}}, {"id": "b", "type": "noise.perlin", "type_version": 9}]})
+    project = Project.from_json(text)
+    assert project.graph.nodes["a"].params == {"gain": 0.25, "octaves": 2} and len(project.warnings) == 2
+    with pytest.raises(ProjectError):
+        Project.from_json("{")
+
+
+def test_known_erosion_parameters_load_without_a_warning():
+    params = {
+        "simulate.thermal": ["talus_angle_deg", "diffusivity_m2_s"], "simulate.hydraulic": ["rainfall_m_yr", "rock_softness", "sediment_capacity", "deposition_rate", "creep_m2_yr"], "simulate.rivers": ["bank_width_m"], "simulate.lakes": ["shore_width_m"],
+        "simulate.sea": ["beach_height_m", "coastal_erosion", "shallow_depth_m", "shore_width_m"], "data.rock_hardness": ["soft_hardness", "hard_hardness"], "vegetation.trees": ["rotation_min_deg", "rotation_max_deg"],
+    }
+    project = Project.from_json(json.dumps({"nodes": [{"id": t, "type": t, "type_version": 1, "params": dict.fromkeys(keys, 0.5)} for t, keys in params.items()]}))
+    assert not project.warnings and len(project.graph.nodes) == len(params)
+
+
+def test_results_are_stored_by_content_and_leave_by_age(spark, tmp_path):
+    g = Graph()
+    a, b = g.add("noise.fbm", {"octaves": 2}), g.add("adjust.blur")
+    g.connect((a, "out"), (b, "in"))
+    world = World((1000.0, 1000.0))
+    spec = GridSpec(40, 40, world.size_m)
+    store, told = ResultStore(spark, f"file://{tmp_path}/store"), []
+    first = Evaluator(spark, g, world, store, told.append)
+    want = sorted(map(tuple, first.outputs(b, spec)["out"].df.collect()))
+    assert (first.hits, first.misses) == (0, 2) and told == [0.5, 1.0] and len(store.sizes()) == 2
+    again = Evaluator(spark, g, world, ResultStore(spark, f"file://{tmp_path}/store"))
+    assert sorted(map(tuple, again.outputs(b, spec)["out"].df.collect())) == want and (again.hits, again.misses) == (2, 0)
+    g.set(b, "radius_m", 50)
+    again.outputs(b, spec)
+    assert (again.hits, again.misses) == (3, 1) and len(store.sizes()) == 3
+    small = ResultStore(spark, f"file://{tmp_path}/store", max(store.sizes().values()) + 10)
+    small.get(next(iter(store.sizes())), spec, world)
+    assert len(small.evict()) == small.evictions == 2 and len(small.sizes()) == 1
+
+
+def test_an_older_evaluation_is_cancelled(spark):
+    g = Graph()
+    a = g.add("noise.fbm")
+    world = World((1000.0, 1000.0))
+    e = Evaluator(spark, g, world)
+    e.progress = lambda _: e.cancel()
+    b = g.add("adjust.clamp")
+    g.connect((a, "out"), (b, "in"))
+    with pytest.raises(Cancelled):
+        e.outputs(b, GridSpec(20, 20, world.size_m))
+    e.progress = None
+    assert e.outputs(b, GridSpec(20, 20, world.size_m))["out"].df.count() == 400

@@ -289,6 +289,31 @@ def test_images_round_trip(spark, tmp_path):
     assert len(files) == 4 and all(images.decode_png(bytes(f.content)).shape == (5, 5, 1) for f in files)
 
 
+def test_image_files_are_stretched_over_the_world(spark, tmp_path):
+    v = np.random.default_rng(9).uniform(0, 1, (5, 9))
+    (tmp_path / "h.png").write_bytes(images.encode_png(v))
+    (tmp_path / "h.exr").write_bytes(images.encode_exr({"Y": (v * 3000).astype(np.float32)}))
+    px = np.random.default_rng(10).uniform(0, 1, (4, 6, 4))
+    (tmp_path / "c.png").write_bytes(images.encode_png(px, 16))
+    world = World((800.0, 400.0))
+    spec = GridSpec(17, 9, world.size_m)
+    make = {"spark": spark, "spec": spec, "world": world}
+    fine = np.empty((9, 17))
+    for j in range(9):
+        for i in range(17):
+            a, b = min(i // 2, 7), min(j // 2, 3)
+            t, u = i / 2 - a, j / 2 - b
+            fine[j, i] = (v[b, a] * (1 - t) + v[b, a + 1] * t) * (1 - u) + (v[b + 1, a] * (1 - t) + v[b + 1, a + 1] * t) * u
+    got = array(apply("primitive.file", {}, {"path": str(tmp_path / "h.png")}, **make)["out"])
+    assert np.allclose(got, fine * 2000, atol=0.05)
+    assert np.allclose(array(apply("primitive.file", {}, {"path": str(tmp_path / "h.png"), "flip_y": True, "world_range": False, "low_m": 10, "high_m": 20}, **make)["out"]), 10 + 10 * fine[::-1], atol=0.01)
+    assert np.allclose(array(apply("primitive.file", {}, {"path": str(tmp_path / "h.exr")}, **make)["out"]), fine * 3000, atol=0.05)
+    colour = apply("colour.image", {}, {"path": str(tmp_path / "c.png")}, **make)["out"]
+    assert abs(array(colour, "g")[0, 0] - px[0, 0, 1]) < 1e-4 and abs(array(colour, "b")[8, 16] - px[3, 5, 2]) < 1e-4
+    with pytest.raises(PlanError):
+        apply("primitive.file", {}, {}, **make)
+
+
 def test_points_and_tiles_are_written(spark, data, tmp_path):
     from gridloom.sources.tables import customers
 
@@ -321,6 +346,6 @@ def test_streams_fold_like_batches(spark, data):
 
 def test_world_passes_are_bounded(spark):
     world = World((1e6, 1e6))
-    g = blank(spark, GridSpec(5000, 5000, world.size_m), world).cells(F.lit(0.0))
+    g = blank(spark, GridSpec(20000, 20000, world.size_m), world).cells(F.lit(0.0))
     with pytest.raises(PlanError):
         water.fill_depressions(g)
