@@ -209,18 +209,27 @@ def gather_two(one: np.ndarray, two: np.ndarray, share: np.ndarray, own: np.ndar
     return total
 
 
-def flood_below(h: np.ndarray, level: float, from_edges: bool = True) -> np.ndarray:
-    """Cells below ``level``; with ``from_edges`` only those that 4-neighbours connect to the border."""
-    low = h < level
-    if not from_edges:
-        return low
-    wet = np.zeros(h.shape, bool)
-    wet[0], wet[-1], wet[:, 0], wet[:, -1] = low[0], low[-1], low[:, 0], low[:, -1]
-    while True:
-        more = wet | (low & (shifted(wet, 0, 1, False) | shifted(wet, 0, -1, False) | shifted(wet, 1, 0, False) | shifted(wet, -1, 0, False)))
-        if (more == wet).all():
-            return wet
-        wet = more
+def parts(low: np.ndarray) -> np.ndarray:
+    """A number from 0 for each 4-connected part of the marked cells, -1 elsewhere: runs of rows, tied where they touch."""
+    rows, cols = low.shape
+    begins = low.copy()
+    begins[:, 1:] &= ~low[:, :-1]
+    run = np.where(low, np.cumsum(begins.ravel()).reshape(low.shape) - 1, -1)
+    touch = low[1:] & low[:-1]
+    pairs = np.unique(np.stack([run[:-1][touch], run[1:][touch]], 1), axis=0)
+    parent = list(range(int(begins.sum())))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs.tolist():
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    named = np.array([root(x) for x in range(len(parent))] + [-1], np.int64)
+    return named[run]
 
 
 def lakes(h: np.ndarray, cell: tuple[float, float], min_depth: float, min_area: float) -> tuple[np.ndarray, np.ndarray]:

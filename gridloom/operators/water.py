@@ -1,6 +1,6 @@
 """Operators that see the whole world: flow, lakes, rivers, sea, erosion.
 
-They run on a simulation grid of at most ``MAX_SIDE`` samples a side, as
+The sea finds its way over tiles in rounds, on grids of any size. The others run on a simulation grid of at most ``MAX_SIDE`` samples a side, as
 one group of cells in one task; heights come to it through a distributed
 resample and go back to the full grid as a distributed difference, so only
 the bounded simulation grid ever meets in one place.
@@ -13,14 +13,17 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import hydro
 from ..functions.cells import clamp, log_mask, smoothstep, snap01
 from ..plans.params import choice, flag, number
+from ..plans.staging import components, staged
 from ..plans.world import MAX_SIDE, GridSpec, PlanError
 from .base import HEIGHT, MASK, Call, H, M, Raster, join_layers, operator
 from .focal import dilate, distance_to, gaussian, gradient, onto, resample
+from .tiles import TILE
 
 
 def world_pass(g: Raster, f: Callable[..., dict[str, np.ndarray]], inputs: list[str], outputs: list[str]) -> Raster:
@@ -74,8 +77,6 @@ def fill_depressions(g: Raster) -> Raster:
 
 def d8_receiver(g: Raster) -> Raster:
     """Each cell's steepest lower neighbour as j * width + i, its own index where none is lower; windows only."""
-    from pyspark.sql import Column
-
     from .base import COLUMN, ROW
 
     near: dict[tuple[int, int], Column] = {}
@@ -270,6 +271,42 @@ def rivers(c: Call):
     }
 
 
+PART_BITS = 17  # a tile has fewer parts than cells
+
+
+def reached(g: Raster, low: Column) -> Raster:
+    """1 where ``low`` holds and a path of 4-neighbours that hold leads to the border, else 0.
+
+    Tiles number their own parts; parts that touch across tiles are tied in
+    rounds over those pairs alone, so no task sees more than a tile.
+    """
+    spec = g.spec
+    a, b, c, d = spec.bounds
+    wide = (c - 1) // TILE + 1
+    tile = [F.floor(F.col(v) / TILE).cast("int") for v in ("i", "j")]
+
+    def run(key, table):
+        ti, tj = key[0].as_py(), key[1].as_py()
+        j, i = table["j"].to_numpy(), table["i"].to_numpy()
+        low = np.zeros((TILE, TILE), bool)
+        low[j - tj * TILE, i - ti * TILE] = table["low"].to_numpy(zero_copy_only=False)
+        part = hydro.parts(low)[j - tj * TILE, i - ti * TILE]
+        return pa.table([table["j"], table["i"], pa.array(part + ((tj * wide + ti) << PART_BITS), pa.int64(), mask=part < 0)], ["j", "i", "part"])
+
+    marked = g.df.select("j", "i", F.coalesce(low, F.lit(False)).alias("low"), tile[0].alias("ti"), tile[1].alias("tj"))
+    cells = staged(marked.groupBy("ti", "tj").applyInArrow(run, "j int, i int, part long"), "parts")
+    sides = cells.where(F.col("part").isNotNull() & (F.col("i") % TILE).isin(0, TILE - 1) | F.col("part").isNotNull() & (F.col("j") % TILE).isin(0, TILE - 1))
+    there = sides.select(F.col("j").alias("_j"), F.col("i").alias("_i"), F.col("part").alias("v"))
+    across = sides.where(F.col("i") % TILE == TILE - 1).join(there, (F.col("_j") == F.col("j")) & (F.col("_i") == F.col("i") + 1))
+    down = sides.where(F.col("j") % TILE == TILE - 1).join(there, (F.col("_j") == F.col("j") + 1) & (F.col("_i") == F.col("i")))
+    tied = components(across.unionByName(down).select(F.col("part").alias("u"), "v").distinct())
+    rim = cells.where(F.col("part").isNotNull() & ((F.col("i") == a) | (F.col("i") == c - 1) | (F.col("j") == b) | (F.col("j") == d - 1))).select("part").distinct()
+    roots = rim.join(tied, F.col("part") == F.col("node"), "left").select("part", "root")
+    inner = tied.join(roots.where(F.col("root").isNotNull()).select(F.col("root").alias("of")).distinct(), F.col("root") == F.col("of")).select(F.col("node").alias("wet"))
+    wet = roots.select(F.col("part").alias("wet")).union(inner).distinct()
+    return Raster(cells.join(wet, F.col("part") == F.col("wet"), "left").select("j", "i", F.when(F.col("wet").isNotNull(), 1.0).otherwise(0.0).alias("v")), spec, g.world, MASK)
+
+
 SEA = (number("sea_level_m", 200), flag("from_edges", True), number("shallow_depth_m", 30, 1e-6), number("shore_width_m", 60, 0, 1e4), number("beach_height_m", 10, 0), number("coastal_erosion", 0.6, 0, 1))
 
 
@@ -279,7 +316,7 @@ def sea(c: Call):
     level = p["sea_level_m"]
     wet = fine.cells(F.when(F.col("v") < level, 1.0).otherwise(0.0), MASK)
     if p["from_edges"]:
-        wet = _one(world_pass(fine, lambda cell, h: {"wet": hydro.flood_below(h, level)}, ["v"], ["wet"]), "wet", MASK)
+        wet = reached(fine, F.col("v") < level)
     near = distance_to(wet, F.col("v") > 0.5).cells(1.0 - smoothstep(0.0, p["shore_width_m"], F.col("v")), MASK)
     g = Raster(join_layers({"h": fine, "wet": wet, "near": near}), c.spec, c.world)
     h, is_wet = F.col("h"), F.col("wet") > 0.5

@@ -250,6 +250,28 @@ def test_shorelines_lie_on_both_sides(spark):
     assert np.array_equal(out["water_surface"][:, 8:], out["height"][:, 8:]) and out["height"][5, 8] < array(g)[5, 8]
 
 
+def test_the_sea_finds_its_way_across_tiles(spark):
+    world = World((599.0, 299.0))
+    spec = GridSpec(600, 300, world.size_m)
+    made = apply("noise.perlin", {}, {"feature_size_m": 9}, spark=spark, spec=spec, world=world, seed=8)["out"]
+    h = array(made)
+    low = h < 520
+    wet = np.zeros(low.shape, bool)
+    wet[0], wet[-1], wet[:, 0], wet[:, -1] = low[0], low[-1], low[:, 0], low[:, -1]
+    todo = list(zip(*np.nonzero(wet), strict=True))
+    while todo:
+        j, i = todo.pop()
+        for b, a in ((j - 1, i), (j + 1, i), (j, i - 1), (j, i + 1)):
+            if 0 <= b < 300 and 0 <= a < 600 and low[b, a] and not wet[b, a]:
+                wet[b, a] = True
+                todo.append((b, a))
+    assert 0 < wet.sum() < low.sum()
+    assert np.array_equal(array(water.reached(made, F.col("v") < 520)) > 0, wet)
+    assert array(water.reached(made, F.col("v") < -1e9)).max() == 0
+    label = hydro.parts(low)
+    assert (label[low] >= 0).all() and (label[~low] < 0).all()
+
+
 def test_thermal_says_when_it_takes_too_many_steps(spark):
     with pytest.raises(PlanError):
         hydro.thermal(np.zeros((3, 3)), (1.0, 1.0), 2100, 35, 10)
