@@ -36,9 +36,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import components
 from . import textvec as tv
 from .scratch import small_batches, staged
 
@@ -362,27 +363,6 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``edges`` (u, v): root is the smallest node that it is connected to.
-
-    Edges point from the larger node to the smaller. A round ties all smaller
-    neighbours of a node to the smallest of them, which leaves few different
-    edges of a dense group, and then lets each edge skip to what its smaller
-    node points at. Rounds end when every node points at one root. Each is a
-    table in the shared folder.
-    """
-    down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    while True:
-        low = down.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        tied = low.select("u", F.col("m").alias("v")).union(low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        tied = staged(tied, "tied")
-        least = tied.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_v"), F.count(F.lit(1)).alias("_n"))
-        skip = tied.join(least, F.col("v") == F.col("_u"), "left").select("u", F.coalesce("_v", "v").alias("v"), F.col("_v").isNotNull().alias("moved"))
-        if not least.where("_n > 1").limit(1).count() and not skip.where("moved").limit(1).count():
-            return tied.select(F.col("u").alias("node"), F.col("v").alias("root")).union(tied.select("v", "v").distinct())
-        down = skip.select("u", "v").distinct()
-
-
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, links) of every row: the class's smallest id, and how many other rows it is linked to."""
     spark = docs.sparkSession

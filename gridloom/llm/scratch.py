@@ -1,29 +1,13 @@
-"""Cutting lineage with tables in the folder that all executors share."""
+"""Tables in the folder that all executors share, bounded Arrow batches and bounded samples."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where it is unset and one machine does all work, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
+from ..plans.staging import new_path, shared_dir, staged
 
+__all__ = ["new_path", "shared_dir", "small_batches", "smallest", "staged"]
 BATCH_BYTES = 8 << 20
 
 
@@ -35,22 +19,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/gridloom-{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(clean)
-    _written.append((spark, path))
-    return path
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back, so that lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def smallest(df: DataFrame, hashed: Column, ties: list[str], n: int) -> DataFrame:
     """About the ``n`` rows with the smallest hashes, ``n`` at most, for a sample whose size is a parameter.
 
@@ -61,27 +29,3 @@ def smallest(df: DataFrame, hashed: Column, ties: list[str], n: int) -> DataFram
     if rows > 2 * n:
         df = df.where(hashed < F.lit(int(-(1 << 63) + (1 << 64) * (2 * n / rows))).cast("long"))
     return df.orderBy(hashed, *ties).limit(n)
-
-
-def drop(df: DataFrame) -> None:
-    """Deletes the table behind a frame that ``staged`` returned, once nothing will read it again."""
-    files = df.inputFiles()[:1]
-    for spark, path in _written:
-        if any(path.rsplit("/", 1)[1] in f for f in files):
-            _delete(spark, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def clean() -> None:
-    """Deletes every table written by this process."""
-    for spark, path in _written:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session may be over
-            return
-    _written.clear()

@@ -779,7 +779,7 @@ def test_entropy_is_met_by_the_largest_exponent(spark):
 # All of them
 
 
-@pytest.mark.parametrize("run", [lambda d: secrets.scan(d), lambda d: packing.pack(d), lambda d: near.join(d), lambda d: substrings.dedup(d), lambda d: audio.features(audio.encode(d)), lambda d: licenses.scan(d), lambda d: mixing.draw(d), lambda d: mixing.mix_rows(d), lambda d: secrets.redact(d, secrets.scan(d))])
+@pytest.mark.parametrize("run", [lambda d: secrets.scan(d), lambda d: packing.pack(d), lambda d: near.join(d), lambda d: substrings.dedup(d), lambda d: audio.features(audio.encode(d)), lambda d: licenses.scan(d), lambda d: mixing.draw(d), lambda d: mixing.mix_rows(d), lambda d: secrets.redact(d, secrets.scan(d)), lambda d: quality.classify(d, d.select("doc_id", F.lit(1).alias("quality"))), lambda d: quality.keep(d, quality.fit(d, d.select("doc_id", F.lit(1).alias("quality"))))])
 def test_empty_tables(nothing, run):
     assert run(nothing).count() == 0
 
