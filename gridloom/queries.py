@@ -32,8 +32,8 @@ SQL: dict[str, str] = {}
 LINE = """g0 AS (SELECT CAST(month(l_shipdate) - 1 AS INTEGER) AS j, CAST(l_quantity - 1 AS INTEGER) AS i,
  CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) * 100 AS BIGINT) % 40000 AS c FROM lineitem GROUP BY 1, 2),
  g AS (SELECT j, i, 300.0 + CAST(i AS DOUBLE) * 16.0 + CAST(j AS DOUBLE) * 20.0 + c / 100.0 AS v FROM g0)"""
-EVENTS = """g AS (SELECT CAST(b AS INTEGER) AS j, CAST(a AS INTEGER) AS i, coalesce(s, 0.0) AS v FROM range(24) t(a), range(30) u(b)
- LEFT JOIN (SELECT day(ts) - 1 AS dj, hour(ts) AS di, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS s FROM events WHERE day(ts) <= 30 GROUP BY 1, 2) ON dj = b AND di = a)"""
+EVENTS = """g AS (SELECT CAST(b AS INTEGER) AS j, CAST(a AS INTEGER) AS i, coalesce(s, 0.0) AS v FROM range(24) t(a), range(31) u(b)
+ LEFT JOIN (SELECT day(ts) - 1 AS dj, hour(ts) AS di, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS s FROM events GROUP BY 1, 2) ON dj = b AND di = a)"""
 EMPTY = "g AS (SELECT CAST(b AS INTEGER) AS j, CAST(a AS INTEGER) AS i FROM range(50) t(a), range(12) u(b))"
 X, Y = "(4900.0 * (i / 49.0))", "(1100.0 * (j / 11.0))"
 DX, DY = f"({X} - 2450.0)", f"({Y} - 550.0)"
@@ -468,7 +468,7 @@ _WET = "wet AS (SELECT j, i FROM g WHERE v < 500 AND (j IN (0, 11) OR i IN (0, 4
 on_line("sea_edges", "simulate.sea", {"sea_level_m": 500}, select("CASE WHEN w.j IS NULL THEN 0.0 ELSE least((500.0 - v) / 0.1, 1.0) END", more=_WET.replace("wet AS", "wet(j, i) AS"), source="g LEFT JOIN (SELECT j AS j, i AS i FROM wet) w USING (j, i)", recursive=True).replace("w.j IS NULL", "w.i IS NULL").replace("SELECT j AS j, i AS i FROM wet", "SELECT j, i FROM wet"), port="sea")
 on_line("sea_all", "simulate.sea", {"sea_level_m": 500, "from_edges": False, "shallow_depth_m": 200}, select(f"CASE WHEN v < 500 THEN 1.0 - {smooth(0.0, 200.0, '(500.0 - v)')} ELSE 0.0 END"), port="shallow")
 _FILL = """m AS (SELECT max(v) AS top FROM g), lv AS (SELECT DISTINCT v AS l FROM g),
- rch(l, j, i) AS (SELECT l, g.j, g.i FROM lv, g WHERE g.v <= l AND (g.j IN (0, 29) OR g.i IN (0, 23)) UNION SELECT rch.l, n.j, n.i FROM rch JOIN g n ON abs(n.j - rch.j) <= 1 AND abs(n.i - rch.i) <= 1 AND n.v <= rch.l),
+ rch(l, j, i) AS (SELECT l, g.j, g.i FROM lv, g WHERE g.v <= l AND (g.j IN (0, 30) OR g.i IN (0, 23)) UNION SELECT rch.l, n.j, n.i FROM rch JOIN g n ON abs(n.j - rch.j) <= 1 AND abs(n.i - rch.i) <= 1 AND n.v <= rch.l),
  f AS (SELECT j, i, min(l) AS v FROM rch GROUP BY j, i)"""
 add("fill_depressions", lambda s, d: numbers(water.fill_depressions(events(s, d))), select("v", EVENTS, more=_FILL, source="f", recursive=True))
 

@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 
 from ..plans.world import ImageError
 
-_PNG = b"\x89PNG\r\n\x1a\n"
+PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _EXR = struct.pack("<I", 20000630)
 PNG_CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 
 
 def decode_png(raw: bytes) -> np.ndarray:
     """Rows x columns x channels in 0..1."""
-    if raw[:8] != _PNG:
+    if raw[:8] != PNG_SIGNATURE:
         raise ImageError("not a PNG file")
     at, data, head = 8, b"", None
     while at < len(raw):
@@ -59,37 +59,53 @@ def decode_png(raw: bytes) -> np.ndarray:
     return values.reshape(height, width, PNG_CHANNELS[colour])
 
 
+def png_chunk(kind: bytes, body: bytes) -> bytes:
+    return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+
+def png_lines(values: np.ndarray, bits: int) -> bytes:
+    """Unfiltered rows of 0..1 as floor(v * most + 0.5)."""
+    most = (1 << bits) - 1
+    whole = np.floor(np.clip(values, 0, 1) * most + 0.5).astype(">u2" if bits == 16 else np.uint8)
+    return np.concatenate([np.zeros((len(whole), 1), np.uint8), whole.reshape(len(whole), -1).view(np.uint8)], 1).tobytes()
+
+
 def encode_png(values: np.ndarray, bits: int = 16) -> bytes:
-    """0..1 as floor(v * most + 0.5), grey or RGBA."""
+    """0..1, grey or RGBA."""
     if values.ndim == 2:
         values = values[:, :, None]
-    most = (1 << bits) - 1
-    whole = np.floor(np.clip(values, 0, 1) * most + 0.5).astype(">u2" if bits == 16 else np.uint8)
-    height, width, channels = whole.shape
-    lines = np.concatenate([np.zeros((height, 1), np.uint8), whole.reshape(height, -1).view(np.uint8)], 1)
-    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    height, width, channels = values.shape
     head = struct.pack(">IIBBBBB", width, height, bits, {1: 0, 3: 2, 4: 6}[channels], 0, 0, 0)
-    return _PNG + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
+    return PNG_SIGNATURE + png_chunk(b"IHDR", head) + png_chunk(b"IDAT", zlib.compress(png_lines(values, bits), 6)) + png_chunk(b"IEND", b"")
 
 
-def encode_exr(channels: dict[str, np.ndarray]) -> bytes:
-    """Scan lines of 32-bit floats in blocks of 16, compressed."""
-    names = sorted(channels)
-    height, width = channels[names[0]].shape
+def exr_head(names: list[str], width: int, height: int) -> bytes:
+    """Everything before the offsets of the blocks."""
     box = struct.pack("<4i", 0, 0, width - 1, height - 1)
-    listed = b"".join(n.encode() + b"\0" + struct.pack("<iB3xii", 2, 0, 1, 1) for n in names) + b"\0"
+    listed = b"".join(n.encode() + b"\0" + struct.pack("<iB3xii", 2, 0, 1, 1) for n in sorted(names)) + b"\0"
     fields = [("channels", "chlist", listed), ("compression", "compression", b"\x03"), ("dataWindow", "box2i", box), ("displayWindow", "box2i", box), ("lineOrder", "lineOrder", b"\0"), ("pixelAspectRatio", "float", struct.pack("<f", 1)), ("screenWindowCenter", "v2f", struct.pack("<2f", 0, 0)), ("screenWindowWidth", "float", struct.pack("<f", 1))]
-    head = _EXR + struct.pack("<I", 2) + b"".join(n.encode() + b"\0" + t.encode() + b"\0" + struct.pack("<i", len(v)) + v for n, t, v in fields) + b"\0"
-    blocks = []
+    return _EXR + struct.pack("<I", 2) + b"".join(n.encode() + b"\0" + t.encode() + b"\0" + struct.pack("<i", len(v)) + v for n, t, v in fields) + b"\0"
+
+
+def exr_blocks(channels: dict[str, np.ndarray], first: int = 0) -> list[bytes]:
+    """Blocks of 16 scan lines, compressed, of rows that begin at ``first``."""
+    names = sorted(channels)
+    height, blocks = len(channels[names[0]]), []
     for a in range(0, height, 16):
         raw = np.concatenate([np.ascontiguousarray(channels[n][j], "<f4").view(np.uint8) for j in range(a, min(a + 16, height)) for n in names])
         halves = np.concatenate([raw[0::2], raw[1::2]]).astype(np.int16)
         delta = np.concatenate([halves[:1], (halves[1:] - halves[:-1] + 384) & 255]).astype(np.uint8)
         packed = zlib.compress(delta.tobytes())
         packed = packed if len(packed) < len(raw) else raw.tobytes()
-        blocks.append(struct.pack("<ii", a, len(packed)) + packed)
-    first = len(head) + 8 * len(blocks)
-    starts = np.cumsum([first, *(len(b) for b in blocks[:-1])])
+        blocks.append(struct.pack("<ii", first + a, len(packed)) + packed)
+    return blocks
+
+
+def encode_exr(channels: dict[str, np.ndarray]) -> bytes:
+    """Scan lines of 32-bit floats in blocks of 16, compressed."""
+    height, width = next(iter(channels.values())).shape
+    head, blocks = exr_head(list(channels), width, height), exr_blocks(channels)
+    starts = np.cumsum([len(head) + 8 * len(blocks), *(len(b) for b in blocks[:-1])])
     return head + struct.pack(f"<{len(blocks)}Q", *starts.tolist()) + b"".join(blocks)
 
 
@@ -137,7 +153,7 @@ def decode_exr(raw: bytes) -> dict[str, np.ndarray]:
 
 def decode(raw: bytes) -> tuple[np.ndarray, bool]:
     """(rows x columns x channels, whether values are metres) of a PNG or EXR file; JPEG where Pillow is installed."""
-    if raw[:8] == _PNG:
+    if raw[:8] == PNG_SIGNATURE:
         return decode_png(raw), False
     if raw[:4] == _EXR:
         ch = decode_exr(raw)

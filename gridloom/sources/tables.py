@@ -34,10 +34,10 @@ def line12(spark: SparkSession, sf_dir: str) -> Raster:
 
 
 def events(spark: SparkSession, sf_dir: str) -> Raster:
-    """Summed value of ``events`` by day (rows) and hour (columns), 30 x 24."""
+    """Summed value of ``events`` by day of the month (rows) and hour (columns), 31 x 24."""
     t = spark.read.parquet(f"{sf_dir}/events.parquet")
     v = F.sum(F.col("value").cast("decimal(18,2)"))
-    return rasterise_table(t.where(F.dayofmonth("ts") <= 30), F.dayofmonth("ts") - 1, F.hour("ts"), v, GridSpec(24, 30, (23 * CELL, 29 * CELL)), World((23 * CELL, 29 * CELL), (0.0, 2000.0)))
+    return rasterise_table(t, F.dayofmonth("ts") - 1, F.hour("ts"), v, GridSpec(24, 31, (23 * CELL, 30 * CELL)), World((23 * CELL, 30 * CELL), (0.0, 2000.0)))
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:

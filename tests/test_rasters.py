@@ -311,6 +311,27 @@ def test_images_round_trip(spark, tmp_path):
     assert len(files) == 4 and all(images.decode_png(bytes(f.content)).shape == (5, 5, 1) for f in files)
 
 
+def test_whole_images_are_written_by_bands(spark, tmp_path):
+    from gridloom.sources import streamed
+
+    world = World((900.0, 1500.0))
+    spec = GridSpec(91, 151, world.size_m)
+    g = apply("noise.fbm", {}, {"octaves": 2}, spark=spark, spec=spec, world=world, seed=2)["out"]
+    h = array(g)
+    streamed.write_png(g, f"file://{tmp_path}/h.png")
+    assert np.array_equal(np.round(images.decode_png((tmp_path / "h.png").read_bytes())[:, :, 0] * 65535), np.floor(np.clip(h / 2000, 0, 1) * 65535 + 0.5))
+    streamed.write_exr(g, f"file://{tmp_path}/h.exr")
+    assert np.array_equal(images.decode_exr((tmp_path / "h.exr").read_bytes())["Y"], h.astype(np.float32))
+    paint = apply("colour.colourise", {"in": g})["out"]
+    streamed.write_png(paint, f"file://{tmp_path}/c.png", 8)
+    streamed.write_exr(paint, f"file://{tmp_path}/c.exr")
+    assert np.array_equal(images.decode_exr((tmp_path / "c.exr").read_bytes())["G"], array(paint, "g").astype(np.float32))
+    assert images.decode_png((tmp_path / "c.png").read_bytes()).shape == (151, 91, 4)
+    part = g.crop(10, 70, 30, 75)
+    streamed.write_exr(part, f"file://{tmp_path}/p.exr")
+    assert np.array_equal(images.decode_exr((tmp_path / "p.exr").read_bytes())["Y"], h[70:145, 10:40].astype(np.float32))
+
+
 def test_image_files_are_stretched_over_the_world(spark, tmp_path):
     v = np.random.default_rng(9).uniform(0, 1, (5, 9))
     (tmp_path / "h.png").write_bytes(images.encode_png(v))
@@ -350,7 +371,7 @@ def test_points_and_tiles_are_written(spark, data, tmp_path):
 
 
 def test_missing_cells_are_filled(spark, data):
-    assert events(spark, data).df.count() == 720
+    assert events(spark, data).df.count() == 744
 
 
 def test_streams_fold_like_batches(spark, data):
