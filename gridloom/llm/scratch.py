@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.staging import new_path, shared_dir, staged
 
 __all__ = ["new_path", "shared_dir", "small_batches", "smallest", "staged"]
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -34,7 +34,7 @@ from .scratch import staged
 
 BLOCK = 4096
 QUERY_BLOCK = 512
-FIRST_DEPTH = 16
+FIRST_DEPTH = 64
 NO_FLOOR = -(1 << 62)
 
 
@@ -94,7 +94,7 @@ class SortedLists:
                 best = np.flatnonzero((score[i] >= max(kth[i], floor[active[i]])) & met[i, some])
                 best = best[np.lexsort((best, -score[i, best]))[:k]]  # rows are in the order of their ids
                 found[active[i]] = self.ids[some[best]], score[i, best].astype(np.int64)
-            active, depth = active[~done], min(n, depth * 4)
+            active, depth = active[~done], min(n, depth * 8)
         return found
 
 
