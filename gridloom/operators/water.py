@@ -27,7 +27,7 @@ from .tiles import TILE
 
 
 def world_pass(g: Raster, f: Callable[..., dict[str, np.ndarray]], inputs: list[str], outputs: list[str]) -> Raster:
-    """``f`` over whole 2-D arrays of ``inputs``; columns ``outputs`` of the result."""
+    """``f`` over whole 2-D arrays of ``inputs``; columns ``outputs`` of the result, staged once for all who read it."""
     if max(g.spec.width, g.spec.height) > MAX_SIDE:
         raise PlanError(f"a world pass has at most {MAX_SIDE} samples a side")
     shape, cell = (g.spec.height, g.spec.width), g.spec.cell
@@ -47,7 +47,7 @@ def world_pass(g: Raster, f: Callable[..., dict[str, np.ndarray]], inputs: list[
         return pa.table([pa.array(jj.astype(np.int32)), pa.array(ii.astype(np.int32)), *(pa.array(np.asarray(out[n], np.float64).ravel()) for n in outputs)], ["j", "i", *outputs])
 
     one = g.df.select("j", "i", *(F.col(n).cast("double").alias(n) for n in inputs), F.lit(0).alias("all"))
-    return Raster(one.groupBy("all").applyInArrow(run, "j int, i int" + "".join(f", {n} double" for n in outputs)), g.spec, g.world)
+    return Raster(staged(one.groupBy("all").applyInArrow(run, "j int, i int" + "".join(f", {n} double" for n in outputs)), "world"), g.spec, g.world)
 
 
 def _one(g: Raster, name: str, kind: str = HEIGHT) -> Raster:
