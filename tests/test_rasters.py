@@ -228,6 +228,19 @@ def test_lakes_grow_to_the_higher_one():
     assert top.tolist() == [[5.0, 7.0, 7.0, 7.0, hydro.DRY]] and depth.tolist() == [[3.0, 4.0, 4.0, 4.0, 0.0]]
 
 
+def test_streams_begin_at_their_area_whatever_the_sum_rounds_to(spark):
+    h = np.random.default_rng(5).integers(0, 1000, (8, 8)).astype(float)
+    cell = (100.0, 100.0)
+    to, _, filled = hydro.route(h, cell)
+    one, two, share, _ = hydro.spread_two(filled, cell, to)
+    area = hydro.gather_two(one, two, share, np.full(64, 1e4))
+    assert 9e4 - 1e-6 < area[16] < 9e4  # nine cells, of which some reach it in two parts
+    g = Raster(spark.createDataFrame([(j, i, float(h[j, i])) for j in range(8) for i in range(8)], "j int, i int, v double"), GridSpec(8, 8, (700.0, 700.0)), World((700.0, 700.0), (0.0, 1000.0)))
+    far = apply("data.wetness", {"in": g}, {"stream_area_km2": 0.09, "reach_m": 350}, spark=spark, spec=g.spec, world=g.world)["water_distance"]
+    assert array(far)[2, 0] == 0.0
+    assert hydro.reaches(np.array([8.9999e4, 9e4]), 9e4).tolist() == [False, True]
+
+
 def test_narrow_rivers_show_from_their_heads(spark):
     g = grid(spark, lambda x, y: F.abs(x - 512.0) + 100.0 + y * 0.1)
     p = {"source_area_km2": 0.02, "width_m": 40, "depth_m": 4, "bank_width_m": 0, "meander_m": 0, "detail_m": 8}
