@@ -6,7 +6,9 @@ sign favours, scores each row it meets for the first time exactly, and stops
 when the bound (the query times the values now reached) cannot beat its k-th
 score. Blocks of queries meet blocks of candidates in an equi-join on the
 block number, so no list, and no result but k rows per query and block, is
-larger than a block.
+larger than a block. The join is sorted and never broadcast: a packed block
+looks small by its file but not in memory, and a block of queries is dealt to
+every block of candidates.
 
 What a query has found elsewhere counts everywhere: each block of queries
 first meets one block of candidates, whose k-th scores are floors for all
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .scratch import staged
+from .scratch import small_batches, staged
 
 BLOCK = 4096
 QUERY_BLOCK = 512
@@ -121,6 +123,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     """(query_id, rank, id, score): the k best rows of ``vectors`` for every row of ``queries``; both hold integer vectors."""
     rows = vectors.where(usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     asked = queries.where(usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).distinct()
+    small_batches(vectors.sparkSession)  # a row below holds two blocks
     n, m = rows.count(), asked.count()
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-m // query_block))
     # packed once, as both meetings read them
@@ -129,13 +132,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     wanted = wanted.select(F.col("block").alias("q_block"), F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, lists = None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {c: batch.column(j)[i].as_py() for j, c in enumerate(batch.schema.names)}
                 ids, rows = _unpacked(r["width"], r["ids"], r["rows"])
                 q_ids, q_rows = _unpacked(r["q_width"], r["q_ids"], r["q_rows"])
                 width = max(rows.shape[1], q_rows.shape[1])
-                lists = SortedLists(ids, np.pad(rows, ((0, 0), (0, width - rows.shape[1]))))
+                if at != (r["block"], width):  # rows come sorted by block
+                    at, lists = (r["block"], width), SortedLists(ids, np.pad(rows, ((0, 0), (0, width - rows.shape[1]))))
                 q_rows = np.pad(q_rows, ((0, 0), (0, width - q_rows.shape[1])))
                 floor = None
                 if r["floor_ids"]:
@@ -145,14 +150,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                 size = [len(f[0]) for f in found]
                 yield pa.record_batch([pa.array(np.repeat(q_ids, size)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], ["query_id", "id", "score"])
 
-    meet = lambda asked: asked.join(lists, "block").select("q_width", "q_ids", "q_rows", "floor_ids", "floors", "width", "ids", "rows").mapInArrow(tv.freeing(run), "query_id long, id long, score long")
+    meet = lambda asked: asked.join(lists.hint("merge"), "block").select("block", "q_width", "q_ids", "q_rows", "floor_ids", "floors", "width", "ids", "rows").mapInArrow(tv.freeing(run), "query_id long, id long, score long")
     none = F.expr("cast(null as array<bigint>)")
     home = F.pmod(F.col("q_block"), F.lit(blocks)).cast("int")
     near = staged(meet(wanted.select("*", home.alias("block"), none.alias("floor_ids"), none.alias("floors"))), "near")
     floors = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
     floors = floors.groupBy(F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(query_blocks)).cast("int").alias("q_block")).agg(F.collect_list(F.struct("query_id", "floor")).alias("f"))
     floors = floors.select("q_block", F.col("f.query_id").alias("floor_ids"), F.col("f.floor").alias("floors"))  # at most a block's queries
-    others = wanted.join(floors, "q_block", "left").select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).where(F.col("block") != home)
+    others = wanted.join(floors.hint("merge"), "q_block", "left").select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).where(F.col("block") != home)
     local = near.unionByName(meet(others)) if blocks > 1 else near
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

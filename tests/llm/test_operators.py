@@ -521,6 +521,21 @@ def test_machine_scores_in_linear_time_like_all_pairs():
         assert math.isclose(got[k], want)
 
 
+def test_topk_broadcasts_no_blocks_and_keeps_every_row(spark):
+    rng = np.random.default_rng(11)
+    v = rng.integers(-64, 64, (300, 8))
+    given = spark.createDataFrame([(i, [int(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<long>")
+    found = topk.search(given, given.where("vec_id % 3 = 0"), 5, block=32, query_block=16)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    got = rows_of(found, "query_id")
+    assert len(got) == 100
+    for q, r in got.items():
+        score = v @ v[q]
+        want = sorted((k for k in range(300) if k != q), key=lambda k: (-score[k], k))[:5]
+        assert [(x.vec_id, x.score) for x in sorted(r, key=lambda x: x.rank)] == [(k, score[k]) for k in want]
+
+
 def test_quality_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
