@@ -137,7 +137,8 @@ def _drawn(docs: DataFrame, max_repeats: float | None, entropy: float | None, bu
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text).alias("same"), tokens_of(text).alias("tokens")).withColumn("spot", F.md5(F.col("id").cast("string")))
     rows = staged(rows, "tokens")  # the only look at the texts
     shares = staged(rows.groupBy("source").agg(F.sum("tokens").alias("tokens")), "shares")
-    plan = weights(shares, max_repeats, entropy, budget)
+    # a few numbers a source and a block: written once, else every reader's plan repeats how they came about
+    plan = staged(weights(shares, max_repeats, entropy, budget), "weights")
     digits = _block_digits(rows.count(), block_docs)
     rows = rows.withColumn("block", F.coalesce(F.substring("spot", 1, digits), F.lit("")))
 
@@ -146,7 +147,7 @@ def _drawn(docs: DataFrame, max_repeats: float | None, entropy: float | None, bu
     blocks = b.join(p, F.col("b.source").eqNullSafe(F.col("p.source"))).select("b.source", "b.block", "b.in_block", "p.epochs", "p.rest")
     blocks = _before(blocks.withColumn("turn", _turn("epochs")))
     state = F.when(F.col("rest") == 0, 0).when(F.col("before") + F.col("in_block") <= F.col("rest"), 2).when(F.col("before") < F.col("rest"), 1).otherwise(0)
-    blocks = blocks.withColumn("state", state).alias("k")
+    blocks = staged(blocks.select("source", "block", "epochs", "rest", "before", state.alias("state")), "blocks").alias("k")
     planned = r.join(blocks, F.col("r.source").eqNullSafe(F.col("k.source")) & (F.col("r.block") == F.col("k.block"))).select("r.id", "r.source", "r.same", "r.tokens", "r.block", "k.epochs", "k.rest", "k.before", "k.state")
     whole = planned.where("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
     more = planned.where("state = 2").withColumn("epoch", F.col("epochs"))

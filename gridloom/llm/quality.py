@@ -191,7 +191,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     learnt = learnt.sort_by([("id", "ascending"), ("label", "ascending"), ("same", "ascending")])
     size = np.concatenate([[0], *(c.value_lengths().to_numpy() for c in learnt["at"].chunks)]).astype(np.int64)
     flat = lambda c, t: np.concatenate([np.zeros(0, t), *(x.flatten().to_numpy() for x in learnt[c].chunks)]).astype(t)
-    return train(np.cumsum(size), flat("at", np.int64), flat("x", np.float32), learnt["label"].to_numpy().astype(np.float32))
+    index, value, label = flat("at", np.int64), flat("x", np.float32), learnt["label"].to_numpy().astype(np.float32)
+    del learnt
+    machine = train(np.cumsum(size), index, value, label)
+    del index, value
+    tv.release()  # the driver lives on
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

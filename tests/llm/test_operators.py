@@ -536,6 +536,11 @@ def test_topk_broadcasts_no_blocks_and_keeps_every_row(spark):
         assert [(x.vec_id, x.score) for x in sorted(r, key=lambda x: x.rank)] == [(k, score[k]) for k in want]
 
 
+def test_mixing_plan_does_not_repeat_itself(docs):
+    plan = mixing.draw(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") == 0 and plan.count("NestedLoop") == 0 and plan.count("Exchange") <= 12
+
+
 def test_quality_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
